@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ticklake.plans.frame import Scan, SeriesFrame
+from ticklake.plans.frame import Scan, SeriesFrame, fresh
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, added by non_zero_range
 
@@ -27,6 +27,20 @@ def C(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def has_window(x) -> bool:
+    return not isinstance(x, str) and " OVER (" in str(x)
+
+
+def mat(f: SeriesFrame, x) -> Column:
+    """Materialise an input that already holds window functions (Spark does
+    not nest windows); plain column expressions stay inline."""
+    if has_window(x):
+        nm = fresh("m")
+        f.with_columns({nm: x})
+        return F.col(nm)
+    return C(x)
+
+
 @dataclass
 class Need:
     scans: list
@@ -36,7 +50,7 @@ class Need:
 # ----------------------------------------------------------- bounded windows
 def roll(f: SeriesFrame, x, n: int, agg: str = "avg", minp: int | None = None, end: int = 0) -> Column:
     """``rolling(n, min_periods=minp).agg()`` as a ROWS frame; null below minp."""
-    x = C(x)
+    x = mat(f, x)
     w = f.rows(n, end)
     minp = n if minp is None else minp
     fns = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp,
@@ -72,6 +86,7 @@ def rmin(f, x, n, minp=None):
 def lag(f: SeriesFrame, x, k: int = 1) -> Column:
     if k == 0:
         return C(x)
+    x = mat(f, x)
     if k < 0:
         if -k > f.lookahead:
             raise ValueError(f"lead of {-k} rows exceeds lookahead={f.lookahead}")
@@ -89,7 +104,7 @@ def fir(f: SeriesFrame, x, weights: list[float]) -> Column:
     """sum_i weights[i] * x[t - (n-1) + i] (weights oldest -> newest); null
     until n rows exist or when any input in the frame is null."""
     n = len(weights)
-    x = C(x)
+    x = mat(f, x)
     if n <= 48:
         terms = [F.lit(float(wt)) * lag(f, x, n - 1 - i) for i, wt in enumerate(weights)]
         s = terms[0]
@@ -110,7 +125,7 @@ def rn(f) -> Column:
 def regr(f: SeriesFrame, y, n: int):
     """Rolling OLS of y on x = 1..n inside the window: (slope, intercept at x=0,
     r).  Uses the global row number as x and rebases the intercept."""
-    y = C(y)
+    y = mat(f, y)
     w = f.rows(n)
     x = F.col("_rn").cast("double")
     ok = F.count(y).over(w) == n
@@ -129,9 +144,11 @@ def nz_range(hi, lo) -> Column:
 
 
 def div(a, b) -> Column:
-    """a / b with null for b == 0 (pandas gives inf/nan there)."""
-    b = C(b)
-    return F.when(b != 0, C(a) / b)
+    """a / b, null for b == 0 (pandas gives inf/nan there; ANSI mode raises)."""
+    return F.try_divide(C(a), C(b))
+
+
+dv = div
 
 
 def sign(x) -> Column:
@@ -139,15 +156,21 @@ def sign(x) -> Column:
 
 
 # ----------------------------------------------------------- unbounded scans
-def ema(f, x, n: int, warm: int = 0, sma_seed: bool = True, alpha: float | None = None) -> Need:
+def ema(f, x, n: int, warm: int = 0, sma_seed: bool = True, alpha: float | None = None,
+        sliced: bool = False) -> Need:
     """pandas-style EMA: ``ewm(span=n, adjust=False)``; with ``sma_seed`` row n
     holds the mean of the first n rows (nulls skipped).  ``warm`` = number of
-    leading null rows of x (known from the producing indicator)."""
+    leading null rows of x (known from the producing indicator).  ``sliced``:
+    the series is first cut to its first valid row (MACD signal), so the seed
+    is the mean of the first n valid values."""
     x = C(x)
     a = (1.0 - 2.0 / (n + 1)) if alpha is None else (1.0 - alpha)
     al = 1.0 - a
     k = F.col("_rn")
-    if sma_seed and warm < n:
+    if sma_seed and sliced:
+        start = warm + n
+        seed = roll(f, x, n, "avg", minp=1)
+    elif sma_seed and warm < n:
         start = n
         seed = roll(f, x, n, "avg", minp=1)
     else:
@@ -169,7 +192,7 @@ def ewm_adjusted(f, x, alpha: float, minp: int = 0, warm: int = 0) -> Need:
     k = F.col("_rn")
 
     def fin(ys):
-        v = F.when(ys[1] > 0, ys[0] / ys[1])
+        v = F.when(ys[1] > 0, F.try_divide(ys[0], ys[1]))
         return F.when(k >= warm + max(minp, 1), v)
 
     return Need([num, den], fin)
@@ -202,6 +225,16 @@ def linrec(f, a, b, start: int = 1) -> Need:
     return Need([Scan(b=bb, a=acoef)], lambda ys: F.when(k >= start, ys[0]))
 
 
+def ffill(f, x) -> Need:
+    """Last non-null value so far (null before the first one): the affine
+    recurrence y = 0*y + x on values and y = 1*y on nulls, plus a seen flag."""
+    x = C(x)
+    has = F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0))
+    val = Scan(b=F.coalesce(x.cast("double"), F.lit(0.0)), a=1.0 - has)
+    seen = Scan(b=has, a=1.0 - has)
+    return Need([val, seen], lambda ys: F.when(ys[1] > 0.5, ys[0]))
+
+
 MA_SCAN = {"ema", "rma", "dema", "tema", "t3", "zlma", "kama", "vidya"}
 
 

@@ -1,4 +1,5 @@
 """Operators: indicators by category, signals, metrics, cleaning, features."""
 
 from ticklake.operators import registry  # noqa: F401
-from ticklake.operators import overlap, momentum  # noqa: F401
+from ticklake.operators import (candles, momentum, overlap, performance, statistics, trend,  # noqa: F401
+                                volatility, volume)

@@ -189,7 +189,7 @@ class SeriesFrame:
     def result(self, keep: list[str] | None = None) -> DataFrame:
         out = self.df.filter(~F.col("_halo"))
         if keep is not None:
-            return out.select(*keep)
+            return out.select(*[F.col(f"`{c}`") for c in keep])
         return out.drop(*HELPERS)
 
     # ----------------------------------------------------------------- scans
