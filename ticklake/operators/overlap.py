@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ticklake.functions import blocks as B
-from ticklake.functions.blocks import C, fir, lag, roll, sma as _sma
+from ticklake.functions.blocks import C, dv, fir, lag, roll, sma as _sma
 from ticklake.functions.weights import fibonacci, pascals_triangle, symmetric_triangle, sine_weights
 from ticklake.operators.registry import indicator
 
@@ -118,7 +118,7 @@ def midprice(f, high="high", low="low", length=2, min_periods=None):
 def vwma(f, close="close", volume="volume", length=10):
     n = _len(length, 10)
     pv = C(close) * C(volume)
-    return {f"VWMA_{n}": _sma(f, pv, n) / _sma(f, volume, n)}
+    return {f"VWMA_{n}": dv(_sma(f, pv, n), _sma(f, volume, n))}
 
 
 def linreg_cols(f, x, n):
@@ -343,12 +343,14 @@ def vwap(f, high="high", low="low", close="close", volume="volume", anchor="D"):
     inside one symbol's history, so the running sums run per (symbol, period)."""
     unit = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year", "H": "hour"}.get(
         str(anchor).upper(), "day")
+    from pyspark.sql import Window
     tp = (C(high) + C(low) + C(close)) / 3.0
     per = F.date_trunc(unit, F.col(f.ts))
-    w = F.Window if False else None  # noqa
-    from pyspark.sql import Window
+    real = ~F.col("_halo")  # halo copies must not count twice
     wp = Window.partitionBy(f.symbol, per).orderBy(f.ts).rowsBetween(Window.unboundedPreceding, 0)
-    return {f"VWAP_{str(anchor).upper()}": F.sum(tp * C(volume)).over(wp) / F.sum(C(volume)).over(wp)}
+    num = F.sum(F.when(real, tp * C(volume))).over(wp)
+    den = F.sum(F.when(real, C(volume))).over(wp)
+    return {f"VWAP_{str(anchor).upper()}": F.when(real, dv(num, den))}
 
 
 @indicator("ichimoku", "overlap", lookahead=True)
