@@ -98,6 +98,17 @@ class Sql:
         self.cur = nm
         return self
 
+    def window_stat(self, out: str, x: str, n: int, agg: str) -> "Sql":
+        """Per row, an aggregate over the row's last n rows via a self-join
+        (``agg`` sees ``b.<col>`` for the window rows and ``a.<col>`` for the
+        current row), for statistics a window function cannot express."""
+        base = self.cur
+        nm = self._next()
+        self.ctes.append((nm, f"SELECT a.*, (SELECT {agg} FROM {base} b WHERE b.symbol = a.symbol AND "
+                              f"b.rn BETWEEN a.rn - {n - 1} AND a.rn) AS {q(out)} FROM {base} a"))
+        self.cur = nm
+        return self
+
     # ------------------------------------------------------------ recurrences
     def ema(self, out: str, x: str, n: int, warm: int = 0, sliced: bool = False, sma_seed: bool = True,
             alpha: float | None = None) -> "Sql":

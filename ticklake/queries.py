@@ -286,3 +286,305 @@ def _flagship(s):
 
 ind("flagship_sma_rsi_macd_hourly", "h", [dict(kind="sma", length=10), dict(kind="rsi"), dict(kind="macd")],
     _flagship, ["SMA_10", "RSI_14", "MACD_12_26_9", "MACDh_12_26_9", "MACDs_12_26_9"])
+
+
+# ---------------------------------------------------------------- momentum
+def _rsi_sql(s, x, n, pre, warm=0):
+    s.cols(**{f"{pre}_d": f"{x} - {lag(x, 1)}"})
+    s.cols(**{f"{pre}_gp": f"CASE WHEN {pre}_d < 0 THEN 0.0 ELSE {pre}_d END",
+              f"{pre}_gn": f"CASE WHEN {pre}_d > 0 THEN 0.0 ELSE {pre}_d END"})
+    s.rma(f"{pre}pa", f"{pre}_gp", n, warm=warm + 1).rma(f"{pre}na", f"{pre}_gn", n, warm=warm + 1)
+    return dv(f"100 * {pre}pa", f"{pre}pa + abs({pre}na)")
+
+
+ind("rsi_weekly", "w", dict(kind="rsi"), lambda s: {"RSI_14": _rsi_sql(s, C, 14, "r")}, ["RSI_14"])
+HL2 = "(0.5 * (high + low))"
+ind("ao_hourly", "h", dict(kind="ao"), lambda s: {"AO_5_34": f"{roll(HL2, 5)} - {roll(HL2, 34)}"}, ["AO_5_34"])
+ind("apo_hourly", "h", dict(kind="apo"), lambda s: {"APO_12_26": f"{roll(C, 12)} - {roll(C, 26)}"}, ["APO_12_26"])
+ind("bias_hourly", "h", dict(kind="bias"), lambda s: {"BIAS_SMA_26": f"{dv(C, roll(C, 26))} - 1"}, ["BIAS_SMA_26"])
+ind("bop_hourly", "h", dict(kind="bop"), lambda s: {"BOP": dv(nz("close", "open"), nz("high", "low"))}, ["BOP"])
+
+
+def _brar(s):
+    s.cols(pc=lag(C, 1))
+    s.cols(ho=nz("high", "open"), ol=nz("open", "low"), hcy=nz("high", "pc"), cyl=nz("pc", "low"))
+    s.cols(hcy2="CASE WHEN hcy < 0 THEN 0.0 ELSE hcy END", cyl2="CASE WHEN cyl < 0 THEN 0.0 ELSE cyl END")
+    return {"AR_26": dv(f"100 * {roll('ho', 26, 'sum')}", roll("ol", 26, "sum")),
+            "BR_26": dv(f"100 * {roll('hcy2', 26, 'sum')}", roll("cyl2", 26, "sum"))}
+
+
+ind("brar_hourly", "h", dict(kind="brar"), _brar, ["AR_26", "BR_26"])
+
+
+def _cci(s):
+    s.cols(tp=HLC3)
+    s.cols(mtp=roll("tp", 14))
+    s.window_stat("mad", "tp", 14, "CASE WHEN count(b.tp) = 14 THEN avg(abs(b.tp - (SELECT avg(c.tp) FROM "
+                  f"{s.cur} c WHERE c.symbol = a.symbol AND c.rn BETWEEN a.rn - 13 AND a.rn))) END")
+    return {"CCI_14_0.015": dv("tp - mtp", "0.015 * mad")}
+
+
+ind("cci_hourly", "h", dict(kind="cci"), _cci, ["CCI_14_0.015"])
+
+
+def _cfo(s):
+    m, b, r, ok = _ols_cols(s, C, 9, "cf")
+    return {"CFO_9": f"CASE WHEN {ok} THEN {dv(f'100 * (close - ({m} * 9 + {b}))', 'close')} END"}
+
+
+ind("cfo_hourly", "h", dict(kind="cfo"), _cfo, ["CFO_9"])
+ind("cg_hourly", "h", dict(kind="cg"), lambda s: {"CG_10": dv(f"-{fir(C, [float(10 - i) for i in range(10)])}",
+                                                                 roll(C, 10, "sum"))}, ["CG_10"])
+
+
+def _cmo(s):
+    s.cols(md=f"close - {lag(C, 1)}")
+    s.cols(p="CASE WHEN md < 0 THEN 0.0 ELSE md END", m="abs(CASE WHEN md > 0 THEN 0.0 ELSE md END)")
+    s.rma("pa", "p", 14, warm=1).rma("na", "m", 14, warm=1)
+    return {"CMO_14": dv("100 * (pa - na)", "pa + na")}
+
+
+ind("cmo_hourly", "h", dict(kind="cmo"), _cmo, ["CMO_14"])
+
+
+def _roc(x, n):
+    return dv(f"100 * ({x} - {lag(x, n)})", lag(x, n))
+
+
+def _coppock(s):
+    s.cols(tr2=f"{_roc(C, 11)} + {_roc(C, 14)}")
+    return {"COPC_11_14_10": fir("tr2", [i / 55.0 for i in range(1, 11)])}
+
+
+ind("coppock_weekly", "w", dict(kind="coppock"), _coppock, ["COPC_11_14_10"])
+
+
+def _cti(s):
+    m, b, r, ok = _ols_cols(s, C, 12, "ct")
+    return {"CTI_12": f"CASE WHEN {ok} THEN {r} END"}
+
+
+ind("cti_hourly", "h", dict(kind="cti"), _cti, ["CTI_12"])
+
+
+def _dm_sql(s):
+    s.cols(up=f"high - {lag('high', 1)}", dn=f"{lag('low', 1)} - low")
+    s.cols(pp="CASE WHEN up IS NULL OR dn IS NULL THEN NULL WHEN up > dn AND up > 0 THEN up ELSE 0.0 END",
+           nn="CASE WHEN up IS NULL OR dn IS NULL THEN NULL WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END")
+
+
+def _dm(s):
+    _dm_sql(s)
+    s.rma("DMP", "pp", 14, warm=1).rma("DMN", "nn", 14, warm=1)
+    return {"DMP_14": "DMP", "DMN_14": "DMN"}
+
+
+ind("dm_hourly", "h", dict(kind="dm"), _dm, ["DMP_14", "DMN_14"])
+ind("er_hourly", "h", dict(kind="er"),
+    lambda s: {"ER_10": dv(f"abs(close - {lag(C, 10)})", roll(f"abs(close - {lag(C, 1)})", 10, "sum"))}, ["ER_10"])
+
+
+def _er_fix(s):
+    s.cols(ad=f"abs(close - {lag(C, 1)})")
+    return {"ER_10": dv(f"abs(close - {lag(C, 10)})", roll("ad", 10, "sum"))}
+
+
+ind("er_hourly", "h", dict(kind="er"), _er_fix, ["ER_10"])
+
+
+def _eri(s):
+    s.ema("e", C, 13)
+    return {"BULLP_13": "high - e", "BEARP_13": "low - e"}
+
+
+ind("eri_hourly", "h", dict(kind="eri"), _eri, ["BULLP_13", "BEARP_13"])
+
+
+def _kdj(s):
+    s.cols(fk=dv(f"100 * (close - {roll('low', 9, 'min')})", nz(roll("high", 9, "max"), roll("low", 9, "min"))))
+    s.rma("K", "fk", 3, warm=8).rma("D", "K", 3, warm=10)
+    return {"K_9_3": "K", "D_9_3": "D", "J_9_3": "3 * K - 2 * D"}
+
+
+ind("kdj_hourly", "h", dict(kind="kdj"), _kdj, ["K_9_3", "D_9_3", "J_9_3"])
+
+
+def _kst(s):
+    s.cols(r1=_roc(C, 10), r2=_roc(C, 15), r3=_roc(C, 20), r4=_roc(C, 30))
+    s.cols(k=f"100 * ({roll('r1', 10)} + 2 * {roll('r2', 10)} + 3 * {roll('r3', 10)} + 4 * {roll('r4', 15)})")
+    return {"KST_10_15_20_30_10_10_10_15": "k", "KSTs_9": roll("k", 9)}
+
+
+ind("kst_weekly", "w", dict(kind="kst"), _kst, ["KST_10_15_20_30_10_10_10_15", "KSTs_9"])
+
+
+def _macd_w(s):
+    s.ema("ef", C, 12).ema("es", C, 26)
+    s.cols(m="ef - es")
+    s.ema("sg", "m", 9, warm=25, sliced=True)
+    return {"MACD_12_26_9": "m", "MACDh_12_26_9": "m - sg", "MACDs_12_26_9": "sg"}
+
+
+ind("macd_weekly", "w", dict(kind="macd"), _macd_w, ["MACD_12_26_9", "MACDh_12_26_9", "MACDs_12_26_9"])
+ind("mom_hourly", "h", dict(kind="mom"), lambda s: {"MOM_10": f"close - {lag(C, 10)}"}, ["MOM_10"])
+ind("roc_hourly", "h", dict(kind="roc"), lambda s: {"ROC_10": _roc(C, 10)}, ["ROC_10"])
+ind("slope_hourly", "h", dict(kind="slope"), lambda s: {"SLOPE_1": f"close - {lag(C, 1)}"}, ["SLOPE_1"])
+
+
+def _atr_sql(s, out, n, warm=1):
+    s.cols(**{f"{out}_tr": TR})
+    s.rma(out, f"{out}_tr", n, warm=warm)
+
+
+def _pgo(s):
+    _atr_sql(s, "atr", 14)
+    s.ema("ea", "atr", 14, warm=14)
+    return {"PGO_14": dv(f"close - {roll(C, 14)}", "ea")}
+
+
+ind("pgo_hourly", "h", dict(kind="pgo"), _pgo, ["PGO_14"])
+
+
+def _ppo(s):
+    s.cols(p=dv(f"100 * ({roll(C, 12)} - {roll(C, 26)})", roll(C, 26)))
+    s.ema("sg", "p", 9, warm=25)
+    return {"PPO_12_26_9": "p", "PPOh_12_26_9": "p - sg", "PPOs_12_26_9": "sg"}
+
+
+ind("ppo_hourly", "h", dict(kind="ppo"), _ppo, ["PPO_12_26_9", "PPOh_12_26_9", "PPOs_12_26_9"])
+
+
+def _psl(s):
+    s.cols(sg=f"coalesce(sign(close - {lag(C, 1)}), 0)")
+    s.cols(sp="CASE WHEN sg <= 0 THEN 0.0 ELSE sg END")
+    return {"PSL_12": f"100 * {roll('sp', 12, 'sum')} / 12"}
+
+
+ind("psl_hourly", "h", dict(kind="psl"), _psl, ["PSL_12"])
+
+
+def _pvo(s):
+    s.ema("ef", "volume", 12).ema("es", "volume", 26)
+    s.cols(p=dv("100 * (ef - es)", "es"))
+    s.ema("sg", "p", 9, warm=25)
+    return {"PVO_12_26_9": "p", "PVOh_12_26_9": "p - sg", "PVOs_12_26_9": "sg"}
+
+
+ind("pvo_hourly", "h", dict(kind="pvo"), _pvo, ["PVO_12_26_9", "PVOh_12_26_9", "PVOs_12_26_9"])
+
+
+def _rvgi(s):
+    wts = symmetric_triangle(4, True)
+    s.cols(co=nz("close", "open"), hl=nz("high", "low"))
+    s.cols(sn=fir("co", wts), sd=fir("hl", wts))
+    s.cols(rv=dv(roll("sn", 14, "sum"), roll("sd", 14, "sum")))
+    return {"RVGI_14_4": "rv", "RVGIs_14_4": fir("rv", wts)}
+
+
+ind("rvgi_hourly", "h", dict(kind="rvgi"), _rvgi, ["RVGI_14_4", "RVGIs_14_4"])
+
+
+def _tsi_sql(s, fa, sl, sig, scalar):
+    s.cols(d=f"close - {lag(C, 1)}")
+    s.cols(ad="abs(d)")
+    s.ema("s1", "d", sl, warm=1).ema("a1", "ad", sl, warm=1)
+    w1 = sl
+    s.ema("s2", "s1", fa, warm=w1).ema("a2", "a1", fa, warm=w1)
+    w2 = w1 if w1 >= fa else w1 + fa - 1
+    s.cols(t=dv(f"{scalar} * s2", "a2"))
+    s.ema("tsg", "t", sig, warm=w2)
+
+
+def _tsi(s):
+    _tsi_sql(s, 13, 25, 13, 100.0)
+    return {"TSI_13_25_13": "t", "TSIs_13_25_13": "tsg"}
+
+
+ind("tsi_hourly", "h", dict(kind="tsi"), _tsi, ["TSI_13_25_13", "TSIs_13_25_13"])
+
+
+def _smi(s):
+    _tsi_sql(s, 5, 20, 5, 1.0)
+    return {"SMI_5_20_5": "t", "SMIs_5_20_5": "tsg", "SMIo_5_20_5": "t - tsg"}
+
+
+ind("smi_hourly", "h", dict(kind="smi"), _smi, ["SMI_5_20_5", "SMIs_5_20_5", "SMIo_5_20_5"])
+
+
+def _stoch(s):
+    s.cols(st=dv(f"100 * (close - {roll('low', 14, 'min')})", nz(roll("high", 14, "max"), roll("low", 14, "min"))))
+    s.cols(k=roll("st", 3))
+    return {"STOCHk_14_3_3": "k", "STOCHd_14_3_3": roll("k", 3)}
+
+
+ind("stoch_hourly", "h", dict(kind="stoch"), _stoch, ["STOCHk_14_3_3", "STOCHd_14_3_3"])
+
+
+def _stochrsi(s):
+    s.cols(rsi=_rsi_sql(s, C, 14, "r"))
+    s.cols(st=dv(f"100 * (rsi - {roll('rsi', 14, 'min')})", nz(roll("rsi", 14, "max"), roll("rsi", 14, "min"))))
+    s.cols(k=roll("st", 3))
+    return {"STOCHRSIk_14_14_3_3": "k", "STOCHRSId_14_14_3_3": roll("k", 3)}
+
+
+ind("stochrsi_hourly", "h", dict(kind="stochrsi"), _stochrsi, ["STOCHRSIk_14_14_3_3", "STOCHRSId_14_14_3_3"])
+
+
+def _tdseq(s):
+    s.cols(d4=f"close - {lag(C, 4)}")
+    s.cols(cu="coalesce(d4 > 0, false)", cd="coalesce(d4 < 0, false)")
+    s.cols(lu=f"max(CASE WHEN NOT cu THEN rn END) {w()}", ld=f"max(CASE WHEN NOT cd THEN rn END) {w()}")
+    s.cols(ru="CASE WHEN cu THEN least(rn - coalesce(lu, 0), 13) END",
+           rd="CASE WHEN cd THEN least(rn - coalesce(ld, 0), 13) END")
+    return {"TD_SEQ_UPa": "CASE WHEN ru > 0 THEN ru END", "TD_SEQ_DNa": "CASE WHEN rd > 0 THEN rd END"}
+
+
+ind("td_seq_hourly", "h", dict(kind="td_seq"), _tdseq, ["TD_SEQ_UPa", "TD_SEQ_DNa"])
+
+
+def _trix(s):
+    s.ema("e1", C, 30).ema("e2", "e1", 30, warm=29).ema("e3", "e2", 30, warm=58)
+    s.cols(t=f"100 * ({dv('e3', lag('e3', 1))} - 1)")
+    return {"TRIX_30_9": "t", "TRIXs_30_9": roll("t", 9)}
+
+
+ind("trix_hourly", "h", dict(kind="trix"), _trix, ["TRIX_30_9", "TRIXs_30_9"])
+
+
+def _uo(s):
+    s.cols(pc=lag(C, 1))
+    s.cols(mx="greatest(high, pc)", mn="least(low, pc)")
+    s.cols(bp="close - mn", tr2="mx - mn")
+    av = lambda n: dv(roll("bp", n, "sum"), roll("tr2", n, "sum"))
+    return {"UO_7_14_28": f"100 * (4.0 * {av(7)} + 2.0 * {av(14)} + 1.0 * {av(28)}) / 7.0"}
+
+
+ind("uo_hourly", "h", dict(kind="uo"), _uo, ["UO_7_14_28"])
+ind("willr_hourly", "h", dict(kind="willr"),
+    lambda s: {"WILLR_14": f"100 * ({dv(f'close - {roll(chr(108) + 'ow', 14, chr(109) + 'in')}', f'{roll(chr(104) + 'igh', 14, chr(109) + 'ax')} - {roll(chr(108) + 'ow', 14, chr(109) + 'in')}')} - 1)"},
+    ["WILLR_14"])
+
+
+def _squeeze(s):
+    s.cols(mid=roll(C, 20), sd=roll(C, 20, "stddev_pop"), tr=TR)
+    s.cols(bl="mid - 2.0 * sd", bu="mid + 2.0 * sd", band=roll("tr", 20))
+    s.cols(kl="mid - 1.5 * band", ku="mid + 1.5 * band", mo=f"close - {lag(C, 12)}")
+    return {"SQZ_20_2.0_20_1.5": roll("mo", 6), "SQZ_ON": "coalesce(bl > kl AND bu < ku, false)",
+            "SQZ_OFF": "coalesce(bl < kl AND bu > ku, false)",
+            "SQZ_NO": "NOT coalesce(bl > kl AND bu < ku, false) AND NOT coalesce(bl < kl AND bu > ku, false)"}
+
+
+ind("squeeze_hourly", "h", dict(kind="squeeze"), _squeeze, ["SQZ_20_2.0_20_1.5", "SQZ_ON", "SQZ_OFF", "SQZ_NO"],
+    ints=("SQZ_ON", "SQZ_OFF", "SQZ_NO"))
+
+
+def _inertia(s):
+    s.cols(sd=roll(C, 14, "stddev_samp"), dd=f"coalesce(close - {lag(C, 1)}, 0.0)")
+    s.cols(ps="CASE WHEN dd > 0 THEN 1.0 ELSE 0.0 END * sd", ns="CASE WHEN dd < 0 THEN 1.0 ELSE 0.0 END * sd")
+    s.ema("pa", "ps", 14, warm=13).ema("na", "ns", 14, warm=13)
+    s.cols(rvi=dv("100.0 * pa", "pa + na"))
+    m, b, r, ok = _ols_cols(s, "rvi", 20, "in")
+    return {"INERTIA_20_14": f"CASE WHEN {ok} THEN {m} * 19 + {b} END"}
+
+
+ind("inertia_hourly", "h", dict(kind="inertia"), _inertia, ["INERTIA_20_14"])
