@@ -50,10 +50,13 @@ def fir(x: str, weights: list[float]) -> str:
 
 
 def r4(e: str) -> str:
-    """sign * floor(|x| * 1e4 + 0.5) / 1e4: the Spark side uses the same steps."""
+    """4 decimals, or 8 significant digits when coarser; the Spark side uses
+    the same steps (sign * floor(|x| * 10^d + 0.5) / 10^d)."""
     x = f"CAST({e} AS DOUBLE)"
-    return (f"(CASE WHEN abs({x}) < 1e14 THEN sign({x}) * floor(abs({x}) * 10000.0 + 0.5) / 10000.0 "
-            f"ELSE {x} END)")
+    a = f"abs({x})"
+    d = f"(CASE WHEN floor(log10({a})) >= 4 THEN 4 - (floor(log10({a})) - 3) ELSE 4 END)"
+    return (f"(CASE WHEN {a} = 0 THEN {x} WHEN {d} >= 0 THEN sign({x}) * floor({a} * pow(10.0, {d}) + 0.5) "
+            f"/ pow(10.0, {d}) ELSE sign({x}) * floor({a} / pow(10.0, -{d}) + 0.5) * pow(10.0, -{d}) END)")
 
 
 class Sql:

@@ -29,10 +29,17 @@ BARS_FN = {"h": bars_h, "w": bars_w}
 
 
 def r4(c):
-    """Round to 4 digits with the same IEEE steps as the SQL twin
-    (sign * floor(|x| * 1e4 + 0.5) / 1e4), so equal doubles round equally."""
+    """Round to 4 decimals, or to 8 significant digits when that is coarser
+    (|x| >= 1e4), with the same IEEE steps as the SQL twin, so equal doubles
+    round equally and last-bit differences of summation order only matter
+    at exact half-way points."""
     c = c.cast("double")
-    return F.when(F.abs(c) < 1e14, F.signum(c) * F.floor(F.abs(c) * 10000.0 + 0.5) / 10000.0).otherwise(c)
+    a = F.abs(c)
+    e = F.floor(F.log10(F.when(a > 0, a)))
+    d = F.when(e >= 4, F.lit(4) - (e - 3)).otherwise(F.lit(4))
+    up = F.signum(c) * F.floor(a * F.pow(F.lit(10.0), d) + 0.5) / F.pow(F.lit(10.0), d)
+    dn = F.signum(c) * F.floor(a / F.pow(F.lit(10.0), -d) + 0.5) * F.pow(F.lit(10.0), -d)
+    return F.when(a == 0, c).when(d >= 0, up).otherwise(dn)
 
 
 def _ind_df(spark, sf_dir, bars, specs, outs, ints=(), segment="auto", lookahead=0):
@@ -588,3 +595,422 @@ def _inertia(s):
 
 
 ind("inertia_hourly", "h", dict(kind="inertia"), _inertia, ["INERTIA_20_14"])
+
+
+# ---------------------------------------------------------------- volatility
+def _aber(s):
+    _atr_sql(s, "atr", 15)
+    s.cols(zg=roll(HLC3, 5))
+    return {"ABER_ZG_5_15": "zg", "ABER_SG_5_15": "zg + atr", "ABER_XG_5_15": "zg - atr", "ABER_ATR_5_15": "atr"}
+
+
+ind("aberration_hourly", "h", dict(kind="aberration"), _aber,
+    ["ABER_ZG_5_15", "ABER_SG_5_15", "ABER_XG_5_15", "ABER_ATR_5_15"])
+
+
+def _accb(s):
+    s.cols(r=f"4.0 * {dv(nz('high', 'low'), 'high + low')}")
+    s.cols(lo="low * (1 - r)", up="high * (1 + r)")
+    return {"ACCBL_20": roll("lo", 20), "ACCBM_20": roll(C, 20), "ACCBU_20": roll("up", 20)}
+
+
+ind("accbands_hourly", "h", dict(kind="accbands"), _accb, ["ACCBL_20", "ACCBM_20", "ACCBU_20"])
+
+
+def _atr(s):
+    _atr_sql(s, "atr", 14)
+    return {"ATRr_14": "atr"}
+
+
+ind("atr_hourly", "h", dict(kind="atr"), _atr, ["ATRr_14"])
+ind("atr_weekly", "w", dict(kind="atr"), _atr, ["ATRr_14"])
+
+
+def _bb(s):
+    s.cols(mid=roll(C, 5), sd=roll(C, 5, "stddev_pop"))
+    s.cols(lo="mid - 2.0 * sd", up="mid + 2.0 * sd")
+    return {"BBL_5_2.0": "lo", "BBM_5_2.0": "mid", "BBU_5_2.0": "up", "BBB_5_2.0": dv(f"100 * {nz('up', 'lo')}", "mid"),
+            "BBP_5_2.0": dv(nz("close", "lo"), nz("up", "lo"))}
+
+
+ind("bbands_hourly", "h", dict(kind="bbands"), _bb, ["BBL_5_2.0", "BBM_5_2.0", "BBU_5_2.0", "BBB_5_2.0", "BBP_5_2.0"])
+
+
+def _donch(s):
+    s.cols(lo=roll("low", 20, "min"), up=roll("high", 20, "max"))
+    return {"DCL_20_20": "lo", "DCM_20_20": "0.5 * (lo + up)", "DCU_20_20": "up"}
+
+
+ind("donchian_hourly", "h", dict(kind="donchian"), _donch, ["DCL_20_20", "DCM_20_20", "DCU_20_20"])
+
+
+def _kc(s):
+    s.cols(tr=TR)
+    s.ema("basis", C, 20).ema("band", "tr", 20, warm=1)
+    return {"KCLe_20_2": "basis - 2 * band", "KCBe_20_2": "basis", "KCUe_20_2": "basis + 2 * band"}
+
+
+ind("kc_hourly", "h", dict(kind="kc"), _kc, ["KCLe_20_2", "KCBe_20_2", "KCUe_20_2"])
+
+
+def _massi(s):
+    s.cols(hl=nz("high", "low"))
+    s.ema("e1", "hl", 9).ema("e2", "e1", 9, warm=8)
+    s.cols(rt=dv("e1", "e2"))
+    return {"MASSI_9_25": roll("rt", 25, "sum")}
+
+
+ind("massi_hourly", "h", dict(kind="massi"), _massi, ["MASSI_9_25"])
+
+
+def _natr(s):
+    s.cols(tr=TR)
+    s.ema("a", "tr", 14, warm=1)
+    return {"NATR_14": f"{dv('100.0', 'close')} * a"}
+
+
+ind("natr_hourly", "h", dict(kind="natr"), _natr, ["NATR_14"])
+ind("pdist_hourly", "h", dict(kind="pdist"),
+    lambda s: {"PDIST": f"2 * {nz('high', 'low')} + abs({nz('open', lag(C, 1))}) - abs({nz('close', 'open')})"},
+    ["PDIST"])
+
+
+def _rvi(s):
+    s.cols(sd=roll(C, 14, "stddev_samp"), dd=f"coalesce(close - {lag(C, 1)}, 0.0)")
+    s.cols(ps="CASE WHEN dd > 0 THEN 1.0 ELSE 0.0 END * sd", ns="CASE WHEN dd < 0 THEN 1.0 ELSE 0.0 END * sd")
+    s.ema("pa", "ps", 14, warm=13).ema("na", "ns", 14, warm=13)
+    return {"RVI_14": dv("100.0 * pa", "pa + na")}
+
+
+ind("rvi_hourly", "h", dict(kind="rvi"), _rvi, ["RVI_14"])
+
+
+def _thermo(s):
+    s.cols(tl=f"abs({lag('low', 1)} - low)", th=f"abs(high - {lag('high', 1)})")
+    s.cols(t="CASE WHEN th < tl THEN tl ELSE th END")
+    s.ema("tma", "t", 20, warm=1)
+    return {"THERMO_20_2_0.5": "t", "THERMOma_20_2_0.5": "tma", "THERMOl_20_2_0.5": "coalesce(t < tma * 2, false)",
+            "THERMOs_20_2_0.5": "coalesce(t > tma * 0.5, false)"}
+
+
+ind("thermo_hourly", "h", dict(kind="thermo"), _thermo,
+    ["THERMO_20_2_0.5", "THERMOma_20_2_0.5", "THERMOl_20_2_0.5", "THERMOs_20_2_0.5"],
+    ints=("THERMOl_20_2_0.5", "THERMOs_20_2_0.5"))
+ind("true_range_weekly", "w", dict(kind="true_range"), lambda s: {"TRUERANGE_1": TR}, ["TRUERANGE_1"])
+
+
+def _ui(s):
+    s.cols(hc=roll(C, 14, "max"))
+    s.cols(dd=dv("100 * (close - hc)", "hc"))
+    s.cols(d2="dd * dd")
+    return {"UI_14": f"sqrt({roll('d2', 14, 'sum')} / 14)"}
+
+
+ind("ui_hourly", "h", dict(kind="ui"), _ui, ["UI_14"])
+
+
+# ---------------------------------------------------------------- trend
+def _adx(s):
+    _atr_sql(s, "atr", 14)
+    _dm_sql(s)
+    s.rma("mp", "pp", 14, warm=1).rma("mn", "nn", 14, warm=1)
+    s.cols(dmp=f"{dv('100.0', 'atr')} * mp", dmn=f"{dv('100.0', 'atr')} * mn")
+    s.cols(dx=dv("100 * abs(dmp - dmn)", "dmp + dmn"))
+    s.rma("ax", "dx", 14, warm=14)
+    return {"ADX_14": "ax", "DMP_14": "dmp", "DMN_14": "dmn"}
+
+
+ind("adx_hourly", "h", dict(kind="adx"), _adx, ["ADX_14", "DMP_14", "DMN_14"])
+
+
+def _inc(x, n):
+    return f"coalesce({x} - {lag(x, n)} > 0, false)"
+
+
+def _dec(x, n):
+    return f"coalesce({x} - {lag(x, n)} < 0, false)"
+
+
+def _amat(s):
+    s.ema("fa", C, 8).ema("sl", C, 21)
+    return {"AMATE_LR_8_21_2": f"({_inc('fa', 2)} AND {_dec('sl', 2)}) OR ({_inc('fa', 2)} AND {_inc('sl', 2)})",
+            "AMATE_SR_8_21_2": f"({_dec('fa', 2)} AND {_inc('sl', 2)}) OR ({_dec('fa', 2)} AND {_dec('sl', 2)})"}
+
+
+ind("amat_hourly", "h", dict(kind="amat"), _amat, ["AMATE_LR_8_21_2", "AMATE_SR_8_21_2"],
+    ints=("AMATE_LR_8_21_2", "AMATE_SR_8_21_2"))
+
+
+def _aroon(s):
+    s.cols(hh=f"max(high) {w(15)}", ll=f"min(low) {w(15)}", cnt=f"count(high) {w(15)}")
+    s.window_stat("hi_rn", "high", 15, "max(CASE WHEN b.high = a.hh THEN b.rn END)")
+    s.window_stat("lo_rn", "low", 15, "max(CASE WHEN b.low = a.ll THEN b.rn END)")
+    up = "CASE WHEN cnt >= 15 THEN 100.0 * (1 - (rn - hi_rn) / 14.0) END"
+    dn = "CASE WHEN cnt >= 15 THEN 100.0 * (1 - (rn - lo_rn) / 14.0) END"
+    return {"AROOND_14": dn, "AROONU_14": up, "AROONOSC_14": f"{up} - {dn}"}
+
+
+ind("aroon_hourly", "h", dict(kind="aroon"), _aroon, ["AROOND_14", "AROONU_14", "AROONOSC_14"])
+
+
+def _chop(s):
+    s.cols(tr=TR)
+    s.cols(asum=roll("tr", 14, "sum"), df=f"{roll('high', 14, 'max')} - {roll('low', 14, 'min')}")
+    return {"CHOP_14_1_100": "100 * (log10(CASE WHEN asum > 0 THEN asum END) - log10(CASE WHEN df > 0 THEN df END))"
+                             f" / {math.log10(14)!r}"}
+
+
+ind("chop_hourly", "h", dict(kind="chop"), _chop, ["CHOP_14_1_100"])
+
+
+def _cksp(s):
+    _atr_sql(s, "atr", 10)
+    s.cols(ls=f"{roll('high', 10, 'max')} - 3 * atr", ss=f"{roll('low', 10, 'min')} + 3 * atr")
+    return {"CKSPl_10_3_20": roll("ls", 20, "max"), "CKSPs_10_3_20": roll("ss", 20, "min")}
+
+
+ind("cksp_hourly", "h", dict(kind="cksp"), _cksp, ["CKSPl_10_3_20", "CKSPs_10_3_20"])
+ind("decay_hourly", "h", dict(kind="decay"),
+    lambda s: {"LDECAY_5": f"greatest(close, CASE WHEN rn = 1 THEN close ELSE {lag(C, 1)} - 0.2 END, 0.0)"},
+    ["LDECAY_5"])
+ind("increasing_decreasing_hourly", "h", [dict(kind="increasing", length=3), dict(kind="decreasing", length=3)],
+    lambda s: {"INC_3": _inc(C, 3), "DEC_3": _dec(C, 3)}, ["INC_3", "DEC_3"], ints=("INC_3", "DEC_3"))
+
+
+def _dpo(s):
+    s.cols(ma=roll(C, 20))
+    return {"DPO_20": f"close - {lag('ma', -11)}"}
+
+
+ind("dpo_hourly", "h", dict(kind="dpo"), _dpo, ["DPO_20"], lookahead=15)
+ind("qstick_hourly", "h", dict(kind="qstick"), lambda s: (s.cols(qd=nz("close", "open")),
+                                                          {"QS_10": roll("qd", 10)})[1], ["QS_10"])
+ind("ttm_trend_hourly", "h", dict(kind="ttm_trend"),
+    lambda s: {"TTM_TRND_6": f"CASE WHEN close > {roll(HL2, 6)} THEN 1 ELSE -1 END"}, ["TTM_TRND_6"],
+    ints=("TTM_TRND_6",))
+
+
+def _vhf(s):
+    s.cols(ad=f"abs(close - {lag(C, 1)})")
+    return {"VHF_28": dv(f"abs({nz(roll(C, 28, 'max'), roll(C, 28, 'min'))})", roll("ad", 28, "sum"))}
+
+
+ind("vhf_hourly", "h", dict(kind="vhf"), _vhf, ["VHF_28"])
+
+
+def _vortex(s):
+    s.cols(tr=TR, vp=f"abs(high - {lag('low', 1)})", vm=f"abs(low - {lag('high', 1)})")
+    return {"VTXP_14": dv(roll("vp", 14, "sum"), roll("tr", 14, "sum")),
+            "VTXM_14": dv(roll("vm", 14, "sum"), roll("tr", 14, "sum"))}
+
+
+ind("vortex_hourly", "h", dict(kind="vortex"), _vortex, ["VTXP_14", "VTXM_14"])
+
+
+# ---------------------------------------------------------------- statistics
+def _entropy(s):
+    s.cols(p=dv(C, roll(C, 10, "sum")))
+    s.cols(t="-p * ln(CASE WHEN p > 0 THEN p END) / ln(2.0)")
+    return {"ENTP_10": roll("t", 10, "sum")}
+
+
+ind("entropy_hourly", "h", dict(kind="entropy"), _entropy, ["ENTP_10"])
+ind("kurtosis_hourly", "h", dict(kind="kurtosis"), lambda s: {"KURT_30": roll(C, 30, "kurtosis")}, ["KURT_30"])
+ind("skew_hourly", "h", dict(kind="skew"), lambda s: {"SKEW_30": roll(C, 30, "skewness")}, ["SKEW_30"])
+ind("mad_hourly", "h", dict(kind="mad"),
+    lambda s: (s.cols(m30=roll(C, 30)),
+               s.window_stat("MAD", C, 30, "CASE WHEN count(b.close) = 30 THEN avg(abs(b.close - a.m30)) END"),
+               {"MAD_30": "MAD"})[2], ["MAD_30"])
+ind("median_hourly", "h", dict(kind="median"), lambda s: {"MEDIAN_30": roll(C, 30, "median")}, ["MEDIAN_30"])
+ind("quantile_weekly", "w", dict(kind="quantile", length=20, q=0.25),
+    lambda s: {"QTL_20_0.25": f"CASE WHEN count(close) {w(20)} >= 20 THEN quantile_cont(close, 0.25) {w(20)} END"},
+    ["QTL_20_0.25"])
+# weekly prices are not 2-decimal, so the variance never sits exactly on a rounding tie
+ind("stdev_variance_weekly", "w", [dict(kind="stdev"), dict(kind="variance")],
+    lambda s: {"STDEV_30": roll(C, 30, "stddev_samp"), "VAR_30": roll(C, 30, "var_samp")}, ["STDEV_30", "VAR_30"])
+ind("zscore_hourly", "h", dict(kind="zscore"),
+    lambda s: {"ZS_30": dv(f"close - {roll(C, 30)}", roll(C, 30, "stddev_samp"))}, ["ZS_30"])
+
+
+def _tos(s):
+    pw = "OVER (PARTITION BY symbol)"
+    s.cols(m=f"regr_slope(close, rn) {pw}", b=f"regr_intercept(close, rn) {pw}", sd=f"stddev_samp(close) {pw}")
+    out = {"TOS_STDEVALL_LR": "m * rn + b"}
+    for i in (1, 2, 3):
+        out[f"TOS_STDEVALL_L_{i}"] = f"m * rn + b - {i} * sd"
+        out[f"TOS_STDEVALL_U_{i}"] = f"m * rn + b + {i} * sd"
+    return out
+
+
+ind("tos_stdevall_weekly", "w", dict(kind="tos_stdevall"), _tos,
+    ["TOS_STDEVALL_LR"] + [f"TOS_STDEVALL_{s}_{i}" for i in (1, 2, 3) for s in ("L", "U")])
+
+
+# ---------------------------------------------------------------- volume
+AD_FLOW = f"(2 * close - (high + low)) * {dv('volume', nz('high', 'low'))}"
+
+
+def _run_sum(x):
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE sum({x}) {w()} END"
+
+
+def _ad(s):
+    s.cols(af=AD_FLOW)
+    return {"AD": _run_sum("af")}
+
+
+ind("ad_hourly", "h", dict(kind="ad"), _ad, ["AD"])
+
+
+def _adosc(s):
+    s.cols(af=AD_FLOW)
+    s.cols(adl=_run_sum("af"))
+    s.ema("e1", "adl", 3).ema("e2", "adl", 10)
+    return {"ADOSC_3_10": "e1 - e2"}
+
+
+ind("adosc_hourly", "h", dict(kind="adosc"), _adosc, ["ADOSC_3_10"])
+SIGNED_C = f"(CASE WHEN rn = 1 THEN 1.0 ELSE sign(close - {lag(C, 1)}) END)"
+
+
+def _obv(s):
+    s.cols(sv=f"{SIGNED_C} * volume")
+    s.cols(obv=_run_sum("sv"))
+    return {"OBV": "obv"}
+
+
+ind("obv_hourly", "h", dict(kind="obv"), _obv, ["OBV"])
+
+
+def _aobv(s):
+    _obv(s)
+    s.ema("fa", "obv", 4).ema("sl", "obv", 12)
+    return {"OBV": "obv", "OBV_min_2": roll("obv", 2, "min"), "OBV_max_2": roll("obv", 2, "max"), "OBVE_4": "fa",
+            "OBVE_12": "sl",
+            "AOBV_LR_2": f"({_inc('fa', 2)} AND {_dec('sl', 2)}) OR ({_inc('fa', 2)} AND {_inc('sl', 2)})",
+            "AOBV_SR_2": f"({_dec('fa', 2)} AND {_inc('sl', 2)}) OR ({_dec('fa', 2)} AND {_dec('sl', 2)})"}
+
+
+ind("aobv_hourly", "h", dict(kind="aobv"), _aobv,
+    ["OBV", "OBV_min_2", "OBV_max_2", "OBVE_4", "OBVE_12", "AOBV_LR_2", "AOBV_SR_2"], ints=("AOBV_LR_2", "AOBV_SR_2"))
+ind("cmf_hourly", "h", dict(kind="cmf"),
+    lambda s: (s.cols(af=AD_FLOW), {"CMF_20": dv(roll("af", 20, "sum"), roll("volume", 20, "sum"))})[1], ["CMF_20"])
+
+
+def _efi(s):
+    s.cols(pv=f"(close - {lag(C, 1)}) * volume")
+    s.ema("e", "pv", 13, warm=1)
+    return {"EFI_13": "e"}
+
+
+ind("efi_hourly", "h", dict(kind="efi"), _efi, ["EFI_13"])
+
+
+def _eom(s):
+    s.cols(dist=f"{HL2} - 0.5 * ({lag('high', 1)} + {lag('low', 1)})",
+           box=dv("volume / 100000000.0", nz("high", "low")))
+    s.cols(e=dv("dist", "box"))
+    return {"EOM_14_100000000": roll("e", 14)}
+
+
+ind("eom_weekly", "w", dict(kind="eom"), _eom, ["EOM_14_100000000"])
+
+
+def _kvo(s):
+    s.cols(sv=f"volume * (CASE WHEN rn = 1 THEN 1.0 ELSE sign({HLC3} - {lag(HLC3, 1)}) END)")
+    s.ema("fa", "sv", 34).ema("sl", "sv", 55)
+    s.cols(k="fa - sl")
+    s.ema("sg", "k", 13, warm=54, sliced=True)
+    return {"KVO_34_55_13": "k", "KVOs_34_55_13": "sg"}
+
+
+ind("kvo_hourly", "h", dict(kind="kvo"), _kvo, ["KVO_34_55_13", "KVOs_34_55_13"])
+
+
+def _mfi(s):
+    s.cols(tp=HLC3)
+    s.cols(td=f"tp - {lag('tp', 1)}", rmf="tp * volume")
+    s.cols(pm="CASE WHEN td > 0 THEN rmf ELSE 0.0 END", nm="CASE WHEN td < 0 THEN rmf ELSE 0.0 END")
+    s.cols(ps=roll("pm", 14, "sum"), ns=roll("nm", 14, "sum"))
+    return {"MFI_14": dv("100 * ps", "ps + ns")}
+
+
+ind("mfi_hourly", "h", dict(kind="mfi"), _mfi, ["MFI_14"])
+
+
+def _vi(s, pos):
+    t = "p" if pos else "n"
+    s.cols(**{f"svv{t}": f"CASE WHEN rn = 1 THEN 1.0 ELSE sign(volume - {lag('volume', 1)}) END", f"r1{t}": _roc(C, 1)})
+    cond = f"svv{t} > 0" if pos else f"svv{t} < 0"
+    s.cols(**{f"stp{t}": f"CASE WHEN rn = 1 THEN 1000.0 ELSE coalesce(CASE WHEN {cond} THEN abs(svv{t}) END * r1{t}, 0.0) END"})
+    return _run_sum(f"stp{t}")
+
+
+ind("nvi_pvi_hourly", "h", [dict(kind="nvi"), dict(kind="pvi")],
+    lambda s: {"NVI_1": (s.cols(nvi=_vi(s, False)), "nvi")[1], "PVI_1": (s.cols(pvi=_vi(s, True)), "pvi")[1]},
+    ["NVI_1", "PVI_1"])
+ind("pvol_pvr_hourly", "h", [dict(kind="pvol"), dict(kind="pvr")],
+    lambda s: {"PVOL": "close * volume",
+               "PVR": f"CASE WHEN coalesce(close - {lag(C, 1)}, 0) >= 0 AND coalesce(volume - {lag('volume', 1)}, 0) >= 0 "
+                      f"THEN 1 WHEN coalesce(close - {lag(C, 1)}, 0) >= 0 THEN 2 "
+                      f"WHEN coalesce(volume - {lag('volume', 1)}, 0) >= 0 THEN 3 ELSE 4 END"}, ["PVOL", "PVR"])
+
+
+def _pvt(s):
+    s.cols(pv=f"{_roc(C, 1)} * volume")
+    return {"PVT": _run_sum("pv")}
+
+
+ind("pvt_hourly", "h", dict(kind="pvt"), _pvt, ["PVT"])
+
+
+# ---------------------------------------------------------------- performance
+def _dd(s):
+    s.cols(mx=f"max(close) {w()}")
+    return {"DD": "mx - close", "DD_PCT": f"1 - {dv('close', 'mx')}",
+            "DD_LOG": "ln(CASE WHEN mx > 0 THEN mx END) - ln(CASE WHEN close > 0 THEN close END)"}
+
+
+ind("drawdown_weekly", "w", dict(kind="drawdown"), _dd, ["DD", "DD_PCT", "DD_LOG"])
+
+
+def _rets(s):
+    s.cols(c0=f"first_value(close) OVER (PARTITION BY symbol ORDER BY rn)")
+    return {"LOGRET_1": f"ln(CASE WHEN {dv(C, lag(C, 1))} > 0 THEN {dv(C, lag(C, 1))} END)",
+            "PCTRET_1": f"{dv(C, lag(C, 1))} - 1", "CUMLOGRET_1": f"ln(CASE WHEN {dv(C, 'c0')} > 0 THEN {dv(C, 'c0')} END)",
+            "CUMPCTRET_1": f"{dv(C, 'c0')} - 1"}
+
+
+ind("returns_hourly", "h", [dict(kind="log_return"), dict(kind="percent_return"),
+                            dict(kind="log_return", cumulative=True), dict(kind="percent_return", cumulative=True)],
+    _rets, ["LOGRET_1", "PCTRET_1", "CUMLOGRET_1", "CUMPCTRET_1"])
+
+
+# ---------------------------------------------------------------- candles
+ind("cdl_doji_inside_hourly", "h", [dict(kind="cdl_doji"), dict(kind="cdl_inside")],
+    lambda s: {"CDL_DOJI_10_0.1": f"100 * CAST(coalesce(abs({nz('close', 'open')}) < 0.1 * "
+                                  f"{roll(f'abs({nz(chr(104) + chr(105) + chr(103) + chr(104), chr(108) + chr(111) + chr(119))})', 10)}, false) AS INTEGER)",
+               "CDL_INSIDE": f"CAST(coalesce(high - {lag('high', 1)} < 0 AND low - {lag('low', 1)} > 0, false) AS INTEGER)"
+                             " * (CASE WHEN close >= open THEN 1 ELSE -1 END)"},
+    ["CDL_DOJI_10_0.1", "CDL_INSIDE"], ints=("CDL_INSIDE",))
+
+
+def _cdlz(s):
+    out = {}
+    for c in ("open", "high", "low", "close"):
+        out[f"{c}_Z_30_1"] = dv(f"{c} - {roll(c, 30)}", roll(c, 30, "stddev_samp"))
+    return out
+
+
+ind("cdl_z_hourly", "h", dict(kind="cdl_z"), _cdlz, [f"{c}_Z_30_1" for c in ("open", "high", "low", "close")])
+
+
+def _ha(s):
+    s.cols(hc="0.25 * (open + high + low + close)")
+    s.cols(ha_a="CASE WHEN rn = 1 THEN 1.0 ELSE 0.5 END",
+           ha_b=f"CASE WHEN rn = 1 THEN 0.5 * (open + close) ELSE 0.5 * {lag('hc', 1)} END")
+    s.rec(1, ho=("ha_a", "ha_b"))
+    return {"HA_open": "ho", "HA_high": "greatest(ho, high, hc)", "HA_low": "least(ho, low, hc)", "HA_close": "hc"}
+
+
+ind("ha_weekly", "w", dict(kind="ha"), _ha, ["HA_open", "HA_high", "HA_low", "HA_close"])
