@@ -373,3 +373,65 @@ def _carry_fn(sym: str, specs):
         return pd.DataFrame(out)
 
     return fn
+
+
+# ------------------------------------------------------------ state machines
+def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict | None = None) -> list[str]:
+    """Stream every symbol's real rows in row order through a Python state
+    machine (``make(tail_values) -> obj`` with ``obj.step(*inputs) -> tuple``).
+
+    Non-linear recurrences (parabolic SAR, Jurik, ...) are serial by nature:
+    the rows of one symbol go to one task, but they are streamed in Arrow
+    batches with O(1) state, never materialised as one group.  ``tails``
+    asks for a symbol's last rows ({name: (column, k)} = value k rows before
+    the last), a bounded per-symbol aggregate, for machines whose first
+    rows read from the end of the series (negative-index wrap-around)."""
+    sym = f.symbol
+    names = [fresh("s") for _ in outs]
+    ins = {fresh("i"): c for c in inputs}
+    real = f.df.filter(~F.col("_halo")).withColumns(ins)
+    tail_cols = []
+    if tails:
+        n = real.groupBy(sym).agg(F.max("_rn").alias("__N"))
+        need = max(k for _, k in tails.values()) + 1
+        last = (real.join(F.broadcast(n) if False else n, sym).filter(F.col("_rn") > F.col("__N") - need))
+        aggs = []
+        for nm, (c, k) in tails.items():
+            tc = fresh("tl")
+            aggs.append(F.max(F.when(F.col("_rn") == F.col("__N") - k, c)).alias(tc))
+            tail_cols.append(tc)
+        real = real.join(last.groupBy(sym).agg(*aggs), sym, "left")
+    if f.segment is None:
+        src = real.sortWithinPartitions(sym, "_part", "_rn")
+    else:
+        src = real.repartition(sym).sortWithinPartitions(sym, "_rn")
+    schema = T.StructType(list(src.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
+    in_names, keep = list(ins), list(src.columns)
+
+    def fn(batches):
+        cur, m = None, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            syms = pdf[sym].tolist()
+            cols = [pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist() for c in in_names]
+            tl = [pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist() for c in tail_cols]
+            res = [[0.0] * len(pdf) for _ in names]
+            for i in range(len(pdf)):
+                if syms[i] != cur:
+                    cur = syms[i]
+                    m = make([t[i] for t in tl])
+                o = m.step(*[c[i] for c in cols])
+                for j in range(len(names)):
+                    res[j][i] = o[j]
+            yield pdf.assign(**{n: r for n, r in zip(names, res)})
+
+    out = src.mapInPandas(fn, schema).drop(*in_names, *tail_cols)
+    if f.segment is None:
+        f.df = out.unionByName(f.df.filter(F.col("_halo")).withColumns(
+            {n: F.lit(None).cast("double") for n in names}), allowMissingColumns=False) \
+            if False else out
+    else:
+        f.df = out.withColumn("_halo", F.lit(False))
+        f.rehalo()
+    return names
