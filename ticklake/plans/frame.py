@@ -394,7 +394,7 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
     if tails:
         n = real.groupBy(sym).agg(F.max("_rn").alias("__N"))
         need = max(k for _, k in tails.values()) + 1
-        last = (real.join(F.broadcast(n) if False else n, sym).filter(F.col("_rn") > F.col("__N") - need))
+        last = real.join(n, sym).filter(F.col("_rn") > F.col("__N") - need)
         aggs = []
         for nm, (c, k) in tails.items():
             tc = fresh("tl")
@@ -428,9 +428,7 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
 
     out = src.mapInPandas(fn, schema).drop(*in_names, *tail_cols)
     if f.segment is None:
-        f.df = out.unionByName(f.df.filter(F.col("_halo")).withColumns(
-            {n: F.lit(None).cast("double") for n in names}), allowMissingColumns=False) \
-            if False else out
+        f.df = out  # no halo rows without segments
     else:
         f.df = out.withColumn("_halo", F.lit(False))
         f.rehalo()

@@ -20,7 +20,7 @@ from ticklake.functions.weights import fibonacci, pascals_triangle, sine_weights
 from ticklake.oracle_sql import Sql, dv, fir, lag, nz, q, roll, w
 from ticklake.operators import registry as R
 from ticklake.plans.frame import SeriesFrame
-from ticklake.sources.bars import bars_h, bars_w
+from ticklake.sources.bars import BARS_H_SQL, BARS_W_SQL, bars_h, bars_w
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1014,3 +1014,60 @@ def _ha(s):
 
 
 ind("ha_weekly", "w", dict(kind="ha"), _ha, ["HA_open", "HA_high", "HA_low", "HA_close"])
+
+
+# ---------------------------------------------------------------- metrics
+def _metrics_spark(spark, sf_dir):
+    from ticklake.operators.metrics import metrics
+    m = metrics(bars_w(spark, sf_dir))
+    ints = ("n", "optimal_leverage")
+    return m.select("symbol", *[F.col(c).cast("long").alias(c) if c in ints else r4(F.col(c)).alias(c)
+                                for c in m.columns if c != "symbol"])
+
+
+SPARK["performance_metrics_weekly"] = _metrics_spark
+
+
+def _metrics_sql():
+    span = 365.25 * 3 * 86400 * 1_000_000
+    body = f"""
+WITH b0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({BARS_W_SQL}) x),
+b1 AS (SELECT *, close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY rn), 0) - 1 AS r,
+              max(close) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mx,
+              epoch_us(ts) > epoch_us(max(ts) OVER (PARTITION BY symbol)) - {span} AS inwin FROM b0),
+b2 AS (SELECT *, mx - close AS dd, 1 - close / NULLIF(mx, 0) AS ddp,
+              ln(CASE WHEN mx > 0 THEN mx END) - ln(CASE WHEN close > 0 THEN close END) AS ddl,
+              CASE WHEN inwin THEN 1 - close / NULLIF(max(CASE WHEN inwin THEN close END) OVER (PARTITION BY symbol
+                ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS wddp FROM b1),
+a AS (SELECT symbol, count(*) AS n, arg_min(close, rn) AS fc, arg_max(close, rn) AS lc,
+             floor((epoch(max(ts)) - epoch(min(ts))) / 86400.0) AS days, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs,
+             avg(r) AS mr, stddev_samp(r) AS sr, max(dd) AS mdd, max(ddp) AS mddp, max(ddl) AS mddl,
+             sum(ln(coalesce(r, 0) + 1)) AS sl, min(coalesce(r, 0) + 1) AS m1,
+             regr_r2(close, rn) AS r2, regr_slope(close, rn) AS lb, regr_intercept(close, rn) AS la, corr(close, rn) AS lr,
+             arg_min(CASE WHEN inwin THEN close END, CASE WHEN inwin THEN rn END) AS wf,
+             floor((epoch(max(CASE WHEN inwin THEN ts END)) - epoch(min(CASE WHEN inwin THEN ts END))) / 86400.0) AS wdays,
+             max(wddp) AS wdd FROM b2 GROUP BY symbol),
+a2 AS (SELECT *, days / 252.0 AS yrs, power(lc / fc, 1.0 / NULLIF(days / 252.0, 0)) - 1 AS cagr,
+              n / NULLIF(days / 252.0, 0) AS dpy FROM a),
+a3 AS (SELECT *, power(1 + 0.0, 1.0 / dpy) - 1 AS adj FROM a2),
+d AS (SELECT b2.symbol, sum(CASE WHEN a3.adj - b2.r > 0 THEN power(a3.adj - b2.r, 2) END) AS dss
+      FROM b2 JOIN a3 USING (symbol) GROUP BY b2.symbol),
+o AS (SELECT a3.*, sqrt(coalesce(d.dss, 0) / NULLIF(n - 1, 0)) * sqrt(dpy) AS dsd,
+             252 * mr AS mu, sqrt(252) * sr AS sd FROM a3 LEFT JOIN d USING (symbol))
+SELECT symbol, CAST(n AS BIGINT) AS n, {{cols}},
+       CAST(trunc((mu - 0.0) / NULLIF(sd * sd, 0)) AS BIGINT) AS optimal_leverage FROM o"""
+    from ticklake.oracle_sql import r4 as sr4
+    cols = {"tt_years": "yrs", "tt_months": "days / 30.417", "tt_weeks": "days / 7", "tt_days": "days",
+            "tt_hours": "days * 24", "tt_minutes": "secs / 60", "tt_seconds": "secs", "cagr": "cagr",
+            "max_dd_dollar": "mdd", "max_dd_percent": "mddp", "max_dd_log": "mddl",
+            "log_max_drawdown": "ln(lc) - ln(fc) - mddl",
+            "calmar_ratio": "(power(lc / wf, 1.0 / NULLIF(wdays / 252.0, 0)) - 1) / NULLIF(wdd, 0)",
+            "sharpe_ratio": "(mu - 0.0) / NULLIF(sd, 0)", "downside_deviation": "dsd",
+            "sortino_ratio": "(cagr - 0.0) / NULLIF(dsd, 0)", "volatility": "sqrt(dpy) * sr",
+            "pure_profit_score": "r2 * cagr",
+            "log_geometric_mean": "CASE WHEN n >= 2 THEN CASE WHEN m1 > 0 THEN exp(sl / n) - 1 ELSE 0.0 END END",
+            "lr_a": "la", "lr_b": "lb", "lr_r": "lr", "lr_t": "lr / NULLIF(sqrt((1 - lr * lr) / NULLIF(n - 2, 0)), 0)"}
+    return body.replace("{cols}", ", ".join(f"{sr4(e)} AS {k}" for k, e in cols.items()))
+
+
+ORACLE["performance_metrics_weekly"] = _metrics_sql()
