@@ -45,6 +45,7 @@ def mat(f: SeriesFrame, x) -> Column:
 class Need:
     scans: list
     finish: Callable
+    reverse: bool = False
 
 
 # ----------------------------------------------------------- bounded windows
@@ -235,6 +236,12 @@ def ffill(f, x) -> Need:
     return Need([val, seen], lambda ys: F.when(ys[1] > 0.5, ys[0]))
 
 
+def bfill(f, x) -> Need:
+    """Next non-null value (null after the last one): ``ffill`` run backwards."""
+    n = ffill(f, x)
+    return Need(n.scans, n.finish, reverse=True)
+
+
 MA_SCAN = {"ema", "rma", "dema", "tema", "t3", "zlma", "kama", "vidya"}
 
 

@@ -136,27 +136,31 @@ def _advance_all(f: SeriesFrame, calls) -> dict:
             nxt.append(i)
         if not nxt:
             break
-        flat = []
+        fwd, bwd = [], []
         for i in nxt:
             y = needs[i]
             items = list(y) if isinstance(y, (tuple, list)) else [y]
             for need in items:
-                flat.extend(need.scans)
+                (bwd if need.reverse else fwd).extend(need.scans)
         # materialise the window expressions already produced (they may feed scans)
         if outs:
             tmp = {k: v for k, v in outs.items()}
             f.with_columns(tmp)
             outs = {k: F.col(k) for k in tmp}
-        names = f.scan(flat) if flat else []
-        pos = 0
+        names_f = f.scan(fwd) if fwd else []
+        names_b = f.scan(bwd, reverse=True) if bwd else []
+        pf = pb = 0
         for i in nxt:
             y = needs[i]
             items = list(y) if isinstance(y, (tuple, list)) else [y]
             res = []
             for need in items:
                 k = len(need.scans)
-                res.append(need.finish([F.col(n) for n in names[pos:pos + k]]))
-                pos += k
+                if need.reverse:
+                    cols, pb = names_b[pb:pb + k], pb + k
+                else:
+                    cols, pf = names_f[pf:pf + k], pf + k
+                res.append(need.finish([F.col(n) for n in cols]))
             sends[i] = tuple(res) if isinstance(y, (tuple, list)) else res[0]
         active = nxt
     return outs

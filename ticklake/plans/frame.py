@@ -193,8 +193,10 @@ class SeriesFrame:
         return out.drop(*HELPERS)
 
     # ----------------------------------------------------------------- scans
-    def scan(self, reqs: list[Scan]) -> list[str]:
-        """Run several recurrences in one Arrow pass; returns result columns."""
+    def scan(self, reqs: list[Scan], reverse: bool = False) -> list[str]:
+        """Run several recurrences in one Arrow pass; returns result columns.
+        ``reverse`` runs them from the newest row backwards (back-fill, next
+        valid value); the carry then flows from later segments."""
         sym = self.symbol
         names = [fresh("y") for _ in reqs]
         df = self.df
@@ -213,7 +215,7 @@ class SeriesFrame:
                     specs.append((nm, r.kind, bcol, None, float(r.a)))
             else:
                 specs.append((nm, r.kind, bcol, None, None))
-        df = df.withColumns(ins).sortWithinPartitions(sym, "_part", "_rn")
+        df = df.withColumns(ins).sortWithinPartitions(sym, "_part", F.col("_rn").desc() if reverse else "_rn")
         out_fields = list(df.schema.fields)
         for nm, kind, *_ in specs:
             out_fields += [T.StructField(f"{nm}_y", T.DoubleType())]
@@ -229,14 +231,15 @@ class SeriesFrame:
             return names
         # per-segment summaries (state at the segment's last row) -> carries
         aggs = [F.first("_pidx").alias("_pidx")]
+        last = F.min_by if reverse else F.max_by  # the segment's last processed row
         for nm, kind, *_ in specs:
-            aggs.append(F.max_by(f"{nm}_y", "_rn").alias(f"{nm}_B"))
+            aggs.append(last(f"{nm}_y", "_rn").alias(f"{nm}_B"))
             if kind == "lin":
-                aggs.append(F.max_by(f"{nm}_g", "_rn").alias(f"{nm}_A"))
+                aggs.append(last(f"{nm}_g", "_rn").alias(f"{nm}_A"))
         summ = local.filter(~F.col("_halo")).groupBy(sym, "_part").agg(*aggs)
         cschema = T.StructType([T.StructField(sym, df.schema[sym].dataType), T.StructField("_part", T.LongType())]
                                + [T.StructField(f"{nm}_c", T.DoubleType()) for nm, *_ in specs])
-        carry = summ.groupBy(sym).applyInPandas(_carry_fn(sym, specs), cschema)
+        carry = summ.groupBy(sym).applyInPandas(_carry_fn(sym, specs, reverse), cschema)
         joined = local.join(carry, [sym, "_part"])
         outs = {}
         for nm, kind, *_ in specs:
@@ -338,12 +341,12 @@ def _run(kind, a, b, newgrp, halo, st):
     return ys, gs, (y, g)
 
 
-def _carry_fn(sym: str, specs):
+def _carry_fn(sym: str, specs, reverse: bool = False):
     """Per symbol over the small segment table: the state at the end of the
     previous segment, composed from the per-segment summaries."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pidx")
+        pdf = pdf.sort_values("_pidx", ascending=not reverse)
         out = {sym: pdf[sym].to_numpy(), "_part": pdf["_part"].to_numpy()}
         m = len(pdf)
         for nm, kind, *_ in specs:

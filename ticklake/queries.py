@@ -1071,3 +1071,151 @@ SELECT symbol, CAST(n AS BIGINT) AS n, {{cols}},
 
 
 ORACLE["performance_metrics_weekly"] = _metrics_sql()
+
+
+# ---------------------------------------------------------------- cleaning
+def _gappy(spark, sf_dir):
+    """bars_h with close set to NULL where hour-of-epoch % 10 = 0 (a plain
+    expression both engines evaluate alike): the imputation fixture."""
+    b = bars_h(spark, sf_dir)
+    return b.withColumn("close", F.when((F.unix_seconds("ts") / 3600) % 10 == 0, F.lit(None).cast("double"))
+                        .otherwise(F.col("close")))
+
+
+GAPPY_SQL = (f"SELECT symbol, ts, open, high, low, CASE WHEN (epoch(ts) / 3600) % 10 = 0 THEN NULL ELSE close END "
+             f"AS close, volume FROM ({BARS_H_SQL}) g")
+RUN = "OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+AFTER = "OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _clean_q(name, fn, sql_outs, outs, ints=(), src="gappy", sql_pre=None):
+    def spark_fn(spark, sf_dir):
+        b = _gappy(spark, sf_dir) if src == "gappy" else BARS_FN[src](spark, sf_dir)
+        df = fn(b)
+        return df.select("symbol", "ts", *[F.col(o).cast("int").alias(o) if o in ints else r4(F.col(o)).alias(o)
+                                           for o in outs])
+    SPARK[name] = spark_fn
+    s = Sql(GAPPY_SQL if src == "gappy" else src)
+    if sql_pre:
+        sql_pre(s)
+    ORACLE[name] = s.sql(sql_outs, ints=ints)
+
+
+from ticklake.operators import clean as CL  # noqa: E402
+
+_clean_q("impute_ffill_bfill_hourly", lambda b: CL.impute(b, "forward_fill", True, ["close"]),
+         {"close": f"coalesce(last_value(close IGNORE NULLS) {RUN}, first_value(close IGNORE NULLS) {AFTER})"},
+         ["close"])
+
+
+def _interp_pre(s):
+    s.cols(pv=f"last_value(close IGNORE NULLS) {RUN}", pr=f"last_value(CASE WHEN close IS NOT NULL THEN rn END "
+           f"IGNORE NULLS) {RUN}", nv=f"first_value(close IGNORE NULLS) {AFTER}",
+           nr=f"first_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) {AFTER}")
+
+
+_clean_q("impute_interpolate_hourly", lambda b: CL.impute(b, "interpolate", False, ["close"]),
+         {"close": f"coalesce(close, pv + (nv - pv) * {dv('rn - pr', 'nr - pr')}, pv, nv)"}, ["close"],
+         sql_pre=_interp_pre)
+
+
+def _z_pre(s):
+    s.cols(m=f"avg(close) OVER (PARTITION BY symbol)", sd="stddev_pop(close) OVER (PARTITION BY symbol)")
+    s.cols(x=f"CASE WHEN coalesce(abs({dv('close - m', 'sd')}) > 2.0, false) THEN NULL ELSE close END")
+
+
+_clean_q("outliers_zscore_hourly", lambda b: CL.remove_outliers(b, "zscore", 2.0, cols=["close"]),
+         {"close": f"last_value(x IGNORE NULLS) {RUN}"}, ["close"], src="h", sql_pre=_z_pre)
+
+
+def _iqr_pre(s):
+    s.cols(q1="quantile_cont(close, 0.25) OVER (PARTITION BY symbol)",
+           q3="quantile_cont(close, 0.75) OVER (PARTITION BY symbol)")
+    s.cols(x="CASE WHEN close < q1 - 1.5 * (q3 - q1) OR close > q3 + 1.5 * (q3 - q1) THEN NULL ELSE close END")
+
+
+_clean_q("outliers_iqr_weekly", lambda b: CL.remove_outliers(b, "iqr", factor=1.5, cols=["close"]),
+         {"close": f"last_value(x IGNORE NULLS) {RUN}"}, ["close"], src="w", sql_pre=_iqr_pre)
+
+
+def _den_pre(s):
+    s.rma("dc", "close", 5, alpha=2.0 / 6, minp=0).rma("dv", "volume", 5, alpha=2.0 / 6, minp=0)
+
+
+_clean_q("denoise_ewm_hourly", lambda b: CL.denoise(b, 5, ["close", "volume"]), {"close": "dc", "volume": "dv"},
+         ["close", "volume"], src="h", sql_pre=_den_pre)
+
+
+def _rsis_pre(s):
+    s.cols(d=f"close - {lag(C, 1)}")
+    s.cols(g="CASE WHEN d IS NULL THEN NULL WHEN d > 0 THEN d ELSE 0.0 END",
+           l="CASE WHEN d IS NULL THEN NULL WHEN d < 0 THEN -d ELSE 0.0 END")
+    s.cols(ga=roll("g", 14), la=roll("l", 14))
+
+
+_clean_q("rsi_simple_hourly", lambda b: CL.rsi_simple(b, 14), {
+    "rsi": "CASE WHEN la <> 0 THEN 100 - 100 / (1 + ga / la) WHEN la = 0 AND ga > 0 THEN 100.0 END"}, ["rsi"],
+         src="h", sql_pre=_rsis_pre)
+
+
+def _macdi_pre(s):
+    af, asl, ag = 2.0 / 13, 2.0 / 27, 2.0 / 10
+    s.cols(fa=f"{1 - af!r}", fb=f"CASE WHEN rn = 1 THEN close ELSE {af!r} * close END",
+           sa=f"{1 - asl!r}", sb=f"CASE WHEN rn = 1 THEN close ELSE {asl!r} * close END")
+    s.rec(1, ef=("fa", "fb"), es=("sa", "sb"))
+    s.cols(m="ef - es", ga=f"{1 - ag!r}")
+    s.cols(gb=f"CASE WHEN rn = 1 THEN 0.0 ELSE {ag!r} * m END")
+    s.rec(1, sg=("ga", "gb"))
+
+
+_clean_q("macd_incremental_hourly", lambda b: CL.macd_incremental(b), {"macd": "m", "macd_signal": "sg"},
+         ["macd", "macd_signal"], src="h", sql_pre=_macdi_pre)
+
+
+def _holiday_sql():
+    obs = lambda d: (f"(CASE WHEN dayofweek({d}) = 6 THEN {d} - INTERVAL 1 DAY WHEN dayofweek({d}) = 0 "
+                     f"THEN {d} + INTERVAL 1 DAY ELSE {d} END)")
+    md = lambda m, d: f"make_date(y, {m}, {d})"
+    # n-th weekday: DuckDB dayofweek 0=Sun..6=Sat
+    nth = lambda m, dow, n: (f"(make_date(y, {m}, 1) + INTERVAL (((({dow} - dayofweek(make_date(y, {m}, 1))) % 7 + 7) "
+                             f"% 7) + 7 * ({n} - 1)) DAY)")
+    lastw = lambda m, dow: (f"(last_day(make_date(y, {m}, 1)) - INTERVAL (((dayofweek(last_day(make_date(y, {m}, 1))) "
+                            f"- {dow}) % 7 + 7) % 7) DAY)")
+    rules = [obs(md(1, 1)), nth(1, 1, 3), nth(2, 1, 3), lastw(5, 1), f"CASE WHEN y >= 2021 THEN {obs(md(6, 19))} END",
+             obs(md(7, 4)), nth(9, 1, 1), nth(10, 1, 2), obs(md(11, 11)), nth(11, 4, 4), obs(md(12, 25))]
+    return ("SELECT DISTINCT CAST(d AS DATE) AS hd FROM (SELECT CAST(range AS INTEGER) AS y FROM range(1960, 2100)) yy, "
+            f"LATERAL (SELECT unnest([{', '.join(rules)}]) AS d) t WHERE d IS NOT NULL")
+
+
+def _cal_spark(spark, sf_dir):
+    b = bars_w(spark, sf_dir)
+    return CL.calendar_features(b).select("symbol", "ts", F.col("day_of_week").cast("int").alias("day_of_week"),
+                                          F.col("is_holiday").cast("int").alias("is_holiday"))
+
+
+SPARK["calendar_features_weekly"] = _cal_spark
+ORACLE["calendar_features_weekly"] = (
+    f"WITH h AS ({_holiday_sql()}) SELECT b.symbol, b.ts, CAST((dayofweek(b.ts) + 6) % 7 AS INTEGER) AS day_of_week, "
+    f"CAST(h.hd IS NOT NULL AS INTEGER) AS is_holiday FROM ({BARS_W_SQL}) b LEFT JOIN h ON CAST(b.ts AS DATE) = h.hd")
+
+# A small valence lexicon (word, valence) for the sentiment job.
+LEXICON = [("good", 1.9), ("great", 3.1), ("excellent", 3.2), ("happy", 2.7), ("love", 3.2), ("nice", 1.8),
+           ("best", 3.2), ("bad", -2.5), ("terrible", -2.1), ("awful", -2.0), ("poor", -2.1), ("hate", -2.7),
+           ("sad", -2.1), ("worst", -3.1), ("wrong", -2.1), ("fail", -2.5), ("risk", -1.1), ("gain", 2.4),
+           ("loss", -1.3), ("strong", 2.3), ("weak", -1.9), ("profit", 1.9)]
+
+
+def _sent_spark(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("lang") == "en").select("doc_id", "text")
+    lex = spark.createDataFrame(LEXICON, "word string, valence double")
+    return CL.sentiment(docs, lex).select("doc_id", r4(F.col("sentiment")).alias("sentiment"))
+
+
+SPARK["sentiment_lexicon_documents"] = _sent_spark
+_lex_sql = ", ".join(f"('{w}', {v!r})" for w, v in LEXICON)
+ORACLE["sentiment_lexicon_documents"] = (
+    f"WITH lex(word, valence) AS (VALUES {_lex_sql}), d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), "
+    "t AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z'']+')) AS word FROM d), "
+    "s AS (SELECT t.doc_id, sum(valence) AS s FROM t JOIN lex USING (word) WHERE word <> '' GROUP BY t.doc_id) "
+    f"SELECT d.doc_id, {__import__('ticklake.oracle_sql', fromlist=['r4']).r4('coalesce(s.s / sqrt(s.s * s.s + 15.0), 0.0)')}"
+    " AS sentiment FROM d LEFT JOIN s USING (doc_id)")
