@@ -193,7 +193,7 @@ def rsi_simple(df, window: int = 14, fillna_method: str | None = None, close="cl
                segment="auto") -> DataFrame:
     """RSI from simple rolling means of gains and losses: 100 when there are
     no losses, null when there is no movement at all."""
-    f = _frame(df, symbol, ts, segment)
+    f = _frame(df, symbol, ts, segment, lookback=window + 1)
     d = C(close) - lag(f, close, 1)
     gain = B.sma(f, F.when(d > 0, d).otherwise(F.when(d.isNull(), None).otherwise(0.0)), window)
     loss = B.sma(f, F.when(d < 0, -d).otherwise(F.when(d.isNull(), None).otherwise(0.0)), window)
