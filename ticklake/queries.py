@@ -1219,3 +1219,49 @@ ORACLE["sentiment_lexicon_documents"] = (
     "s AS (SELECT t.doc_id, sum(valence) AS s FROM t JOIN lex USING (word) WHERE word <> '' GROUP BY t.doc_id) "
     f"SELECT d.doc_id, {__import__('ticklake.oracle_sql', fromlist=['r4']).r4('coalesce(s.s / sqrt(s.s * s.s + 15.0), 0.0)')}"
     " AS sentiment FROM d LEFT JOIN s USING (doc_id)")
+
+
+# ---------------------------------------------------------------- features
+from ticklake.operators import features as FT  # noqa: E402
+
+
+def _scale_spark(spark, sf_dir):
+    b = bars_h(spark, sf_dir)
+    a = FT.scale(b, ["close", "volume"], "minmax").select("symbol", "ts", r4(F.col("close")).alias("close_mm"),
+                                                          r4(F.col("volume")).alias("volume_mm"))
+    z = FT.scale(b, ["close", "volume"], "zscore").select("symbol", "ts", r4(F.col("close")).alias("close_z"),
+                                                          r4(F.col("volume")).alias("volume_z"))
+    return a.join(z, ["symbol", "ts"])
+
+
+SPARK["scale_minmax_zscore_hourly"] = _scale_spark
+_P = "OVER (PARTITION BY symbol)"
+_sr4 = __import__("ticklake.oracle_sql", fromlist=["r4"]).r4
+ORACLE["scale_minmax_zscore_hourly"] = (
+    f"SELECT symbol, ts, "
+    + ", ".join(
+        f"{_sr4(f'({c} - min({c}) {_P}) / (CASE WHEN max({c}) {_P} - min({c}) {_P} = 0 THEN 1.0 ELSE max({c}) {_P} - min({c}) {_P} END)')} AS {c}_mm, "
+        f"{_sr4(f'({c} - avg({c}) {_P}) / (CASE WHEN stddev_pop({c}) {_P} = 0 THEN 1.0 ELSE stddev_pop({c}) {_P} END)')} AS {c}_z"
+        for c in ("close", "volume"))
+    + f" FROM ({BARS_H_SQL}) b")
+
+
+def _seq_spark(spark, sf_dir):
+    b = FT.scale(bars_h(spark, sf_dir), ["close", "volume"], "minmax")
+    s = FT.sequences(b, ["close", "volume"], seq_len=5, horizon=2)
+    ex = s.select("symbol", "end_ts", "y", F.posexplode("X").alias("k", "row"))
+    return ex.select("symbol", "end_ts", F.col("k").cast("int").alias("k"), r4(F.col("row")[0]).alias("x_close"),
+                     r4(F.col("row")[1]).alias("x_volume"), r4(F.col("y")).alias("y"))
+
+
+SPARK["sequences_long_hourly"] = _seq_spark
+ORACLE["sequences_long_hourly"] = f"""
+WITH b AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn,
+  (close - min(close) {_P}) / (CASE WHEN max(close) {_P} - min(close) {_P} = 0 THEN 1.0 ELSE max(close) {_P} - min(close) {_P} END) AS c,
+  (volume - min(volume) {_P}) / (CASE WHEN max(volume) {_P} - min(volume) {_P} = 0 THEN 1.0 ELSE max(volume) {_P} - min(volume) {_P} END) AS v
+  FROM ({BARS_H_SQL}) x),
+e AS (SELECT symbol, ts AS end_ts, rn, lead(c, 2) OVER (PARTITION BY symbol ORDER BY rn) AS y FROM b)
+SELECT e.symbol, e.end_ts, CAST(b.rn - (e.rn - 4) AS INTEGER) AS k, {_sr4('b.c')} AS x_close, {_sr4('b.v')} AS x_volume,
+       {_sr4('e.y')} AS y
+FROM e JOIN b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - 4 AND e.rn
+WHERE e.rn >= 5 AND e.y IS NOT NULL"""
