@@ -1265,3 +1265,100 @@ SELECT e.symbol, e.end_ts, CAST(b.rn - (e.rn - 4) AS INTEGER) AS k, {_sr4('b.c')
        {_sr4('e.y')} AS y
 FROM e JOIN b ON b.symbol = e.symbol AND b.rn BETWEEN e.rn - 4 AND e.rn
 WHERE e.rn >= 5 AND e.y IS NOT NULL"""
+
+
+# ---------------------------------------------------------------- sources / joins
+from ticklake.operators import joins as JN  # noqa: E402
+from ticklake.sources import loaders as LD  # noqa: E402
+
+_BC = ["open", "high", "low", "close", "volume"]
+
+
+def _composite_spark(spark, sf_dir):
+    b = bars_h(spark, sf_dir)
+    src = {s: b.filter(F.col("symbol") == s).select("ts", *_BC) for s in ("view", "click")}
+    out = JN.composite_join(src, on=["ts"])
+    return out.select("ts", *[r4(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in ("view", "click") for c in _BC])
+
+
+SPARK["composite_outer_join_hourly"] = _composite_spark
+_cj_cols = ", ".join(f"{_sr4(f'last_value({c}_{s} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS {c}_{s}"
+                     for s in ("view", "click") for c in _BC)
+ORACLE["composite_outer_join_hourly"] = (
+    f"WITH b AS ({BARS_H_SQL}), v AS (SELECT ts, {', '.join(f'{c} AS {c}_view' for c in _BC)} FROM b WHERE symbol = 'view'), "
+    f"c AS (SELECT ts, {', '.join(f'{c} AS {c}_click' for c in _BC)} FROM b WHERE symbol = 'click'), "
+    f"j AS (SELECT coalesce(v.ts, c.ts) AS ts, * EXCLUDE (ts) FROM v FULL OUTER JOIN c ON v.ts = c.ts) "
+    f"SELECT ts, {_cj_cols} FROM j")
+
+
+def _refresh_spark(spark, sf_dir):
+    b = bars_h(spark, sf_dir)
+    cache = b.filter(F.col("ts") < F.lit("2024-01-21").cast("timestamp"))
+    fresh = (b.filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"))
+             .withColumn("close", F.col("close") + 1000.0))  # marks rows that came from the new fetch
+    out = LD.incremental_refresh(cache, fresh)
+    return out.select("symbol", "ts", r4(F.col("close")).alias("close"), F.col("volume").cast("long").alias("volume"))
+
+
+SPARK["incremental_refresh_hourly"] = _refresh_spark
+ORACLE["incremental_refresh_hourly"] = (
+    f"WITH b AS ({BARS_H_SQL}), u AS (SELECT symbol, ts, close, volume, 0 AS p FROM b WHERE ts < TIMESTAMP '2024-01-21' "
+    f"UNION ALL SELECT symbol, ts, close + 1000.0, volume, 1 FROM b WHERE ts >= TIMESTAMP '2024-01-20') "
+    f"SELECT symbol, ts, {_sr4('arg_max(close, p)')} AS close, CAST(arg_max(volume, p) AS BIGINT) AS volume "
+    f"FROM u GROUP BY symbol, ts")
+
+
+def _broker_spark(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rec = ev.select(F.col("event_type").alias("symbol"), F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("date"),
+                    *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
+                    F.lit(1.0).alias("volume"), F.col("value").alias("wap"), F.lit(1).alias("barCount"), "event_id")
+    out = LD.broker_bars(rec, order="event_id")
+    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("open", "high", "low", "close", "volume",
+                                                                         "average")], "barCount")
+
+
+SPARK["broker_bars_events"] = _broker_spark
+ORACLE["broker_bars_events"] = (
+    "SELECT event_type AS symbol, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS ts, "
+    + ", ".join(f"{_sr4('arg_max(value, event_id)')} AS {c}" for c in ("open", "high", "low", "close"))
+    + f", {_sr4('1.0')} AS volume, {_sr4('arg_max(value, event_id)')} AS average, CAST(1 AS BIGINT) AS barCount "
+      "FROM events GROUP BY 1, 2")
+
+
+def _json_spark(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props")
+    return LD.parse_json_column(ev, "props", "k long").select("event_id", F.col("`props.k`").alias("props_k"))
+
+
+SPARK["json_flatten_events"] = _json_spark
+ORACLE["json_flatten_events"] = ("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events "
+                                 "WHERE json_valid(props) AND json_extract(props, '$') IS NOT NULL")
+
+
+def _common_start_spark(spark, sf_dir):
+    return JN.common_start(bars_w(spark, sf_dir)).select("symbol", "ts", r4(F.col("close")).alias("close"))
+
+
+SPARK["common_start_weekly"] = _common_start_spark
+ORACLE["common_start_weekly"] = (
+    f"WITH b AS ({BARS_W_SQL}) SELECT symbol, ts, {_sr4('close')} AS close FROM b "
+    "WHERE ts > (SELECT max(f) FROM (SELECT min(ts) AS f FROM b GROUP BY symbol))")
+
+
+def _tail_spark(spark, sf_dir):
+    return JN.tail(bars_w(spark, sf_dir), 5).select("symbol", "ts", r4(F.col("close")).alias("close"))
+
+
+SPARK["tail_5_weekly"] = _tail_spark
+ORACLE["tail_5_weekly"] = (f"SELECT symbol, ts, {_sr4('close')} AS close FROM (SELECT *, row_number() OVER "
+                           f"(PARTITION BY symbol ORDER BY ts DESC) AS k FROM ({BARS_W_SQL}) b) WHERE k <= 5")
+
+
+def _qtd_spark(spark, sf_dir):
+    return JN.period_to_date(bars_w(spark, sf_dir), "qtd", "1998-05-15").select("symbol", "ts")
+
+
+SPARK["quarter_to_date_weekly"] = _qtd_spark
+ORACLE["quarter_to_date_weekly"] = (f"SELECT symbol, ts FROM ({BARS_W_SQL}) b "
+                                    "WHERE ts >= date_trunc('quarter', TIMESTAMP '1998-05-15')")
