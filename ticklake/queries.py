@@ -1362,3 +1362,60 @@ def _qtd_spark(spark, sf_dir):
 SPARK["quarter_to_date_weekly"] = _qtd_spark
 ORACLE["quarter_to_date_weekly"] = (f"SELECT symbol, ts FROM ({BARS_W_SQL}) b "
                                     "WHERE ts >= date_trunc('quarter', TIMESTAMP '1998-05-15')")
+
+
+# ---------------------------------------------------------------- streaming
+from ticklake.streaming import jobs as SJ  # noqa: E402
+
+
+def _stream_bars_spark(spark, sf_dir):
+    out = SJ.run_to_table(SJ.stream_bars(SJ.read_events_stream(spark, sf_dir)), "stream-bars")
+    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
+                      F.col("volume").cast("long").alias("volume"))
+
+
+SPARK["stream_bars_hourly"] = _stream_bars_spark
+ORACLE["stream_bars_hourly"] = (
+    f"SELECT symbol, ts, {', '.join(f'{_sr4(c)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume "
+    f"FROM ({BARS_H_SQL}) b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+
+
+def _stream_inc_spark(spark, sf_dir):
+    ticks = SJ.read_events_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts",
+                                                        F.col("value").alias("close"))
+    out = SJ.run_to_table(SJ.incremental_indicators(ticks), "stream-inc")
+    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("rsi", "macd", "macd_signal")])
+
+
+SPARK["stream_incremental_rsi_macd_ticks"] = _stream_inc_spark
+
+
+def _inc_sql():
+    s = Sql("SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, value AS close FROM events")
+    s.cols(d=f"close - {lag(C, 1)}")
+    s.cols(g="CASE WHEN d > 0 THEN d ELSE 0.0 END", l="CASE WHEN d < 0 THEN -d ELSE 0.0 END")
+    s.cols(gavg=f"fsum(g) {w(14)} / 14.0", lavg=f"fsum(l) {w(14)} / 14.0")  # correctly rounded sums
+    _macdi_pre(s)
+    return s.sql({"rsi": "CASE WHEN rn >= 15 THEN CASE WHEN lavg = 0 THEN 100.0 ELSE 100 - 100 / (1 + gavg / lavg) END END",
+                  "macd": "m", "macd_signal": "sg"})
+
+
+ORACLE["stream_incremental_rsi_macd_ticks"] = _inc_sql()
+
+
+def _stream_buf_spark(spark, sf_dir):
+    recs = SJ.read_events_stream(spark, sf_dir).select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"),
+        F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("open"))
+    out = SJ.run_to_table(SJ.count_buffer(recs, buffer_size=100, window=252), "stream-buf")
+    return out.select("symbol", "ts", r4(F.col("close")).alias("close"), r4(F.col("open")).alias("open"))
+
+
+SPARK["stream_count_buffer_ticks"] = _stream_buf_spark
+ORACLE["stream_count_buffer_ticks"] = (
+    "WITH e AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, value AS close, "
+    "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS open, "
+    "row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events) "
+    f"SELECT symbol, ts, {_sr4('close')} AS close, "
+    f"{_sr4('last_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)')}"
+    " AS open FROM e QUALIFY rn >= 100")
