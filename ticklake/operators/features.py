@@ -50,8 +50,9 @@ def indicator_bundle(f: SeriesFrame, rsi: int | None = 14, macd=(12, 26, 9), atr
         specs.append(dict(kind="bbands", length=n, std=float(sd)))
         rename.update({f"BBU_{n}_{float(sd)}": "bb_upper", f"BBL_{n}_{float(sd)}": "bb_lower"})
     run_specs(f, specs)
-    f.with_columns({new: F.col(f"`{old}`") for old, new in rename.items()})
-    f.df = f.df.drop(*rename.keys())
+    from ticklake.operators.registry import safe
+    f.with_columns({new: F.col(safe(old)) for old, new in rename.items()})
+    f.df = f.df.drop(*[safe(k) for k in rename])
     groups = {"rsi": ["rsi"], "macd": ["macd", "macd_signal", "macd_hist"], "atr": ["atr"], "vwap": ["vwap"],
               "bollinger_bands": ["bb_upper", "bb_lower"]}
     ff, zero = [], []

@@ -72,11 +72,23 @@ def _post(f: SeriesFrame, cols: dict, spec: dict) -> dict:
             nm = f"{prefix}_{nm}"
         if suffix:
             nm = f"{nm}_{suffix}"
-        out[nm] = c
+        out[safe(nm)] = c
     return out
 
 
 _CTRL = ("kind", "offset", "fillna", "prefix", "suffix", "col_names", "col_numbers")
+DOT = "__DOT__"
+
+
+def safe(name: str) -> str:
+    """Working-frame name of an output: dots (``BBL_5_2.0``) are kept as
+    ``__DOT__`` until ``SeriesFrame.result`` (some PySpark paths re-parse
+    names with dots as struct access)."""
+    return name.replace(".", DOT)
+
+
+def col(name: str):
+    return F.col(safe(name))
 
 
 def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
@@ -92,7 +104,9 @@ def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
         kind = spec["kind"]
         if kind not in REGISTRY:
             raise KeyError(f"unknown indicator {kind!r}")
-        params = {k: v for k, v in spec.items() if k not in _CTRL}
+        params = {k: (safe(v) if isinstance(v, str) and k in ("close", "open_", "high", "low", "volume", "source",
+                                                                "fast", "slow", "trend", "signal") else v)
+                  for k, v in spec.items() if k not in _CTRL}
         pending.append((spec, params))
     result: dict[str, str] = {}
     while pending:

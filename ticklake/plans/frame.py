@@ -189,8 +189,11 @@ class SeriesFrame:
     def result(self, keep: list[str] | None = None) -> DataFrame:
         out = self.df.filter(~F.col("_halo"))
         if keep is not None:
-            return out.select(*[F.col(f"`{c}`") for c in keep])
-        return out.drop(*HELPERS)
+            out = out.select(*[F.col(c.replace(".", "__DOT__")) for c in keep])
+        else:
+            out = out.drop(*HELPERS)
+        ren = {c: c.replace("__DOT__", ".") for c in out.columns if "__DOT__" in c}
+        return out.withColumnsRenamed(ren) if ren else out
 
     # ----------------------------------------------------------------- scans
     def scan(self, reqs: list[Scan], reverse: bool = False) -> list[str]:

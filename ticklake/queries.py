@@ -1419,3 +1419,37 @@ ORACLE["stream_count_buffer_ticks"] = (
     f"SELECT symbol, ts, {_sr4('close')} AS close, "
     f"{_sr4('last_value(open IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)')}"
     " AS open FROM e QUALIFY rn >= 100")
+
+
+# ---------------------------------------------------------------- strategies
+from ticklake.operators import strategy as ST  # noqa: E402
+
+
+def _common_spark(spark, sf_dir):
+    out = ST.run_strategy(bars_w(spark, sf_dir), ST.CommonStrategy)
+    cols = ["SMA_10", "SMA_20", "SMA_50", "SMA_200", "VOLUME_SMA_20"]
+    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in cols])
+
+
+SPARK["common_strategy_weekly"] = _common_spark
+ORACLE["common_strategy_weekly"] = Sql("w").sql({"SMA_10": roll(C, 10), "SMA_20": roll(C, 20), "SMA_50": roll(C, 50),
+                                                 "SMA_200": roll(C, 200), "VOLUME_SMA_20": roll("volume", 20)})
+
+
+def _chained_spark(spark, sf_dir):
+    """A chained strategy: the second spec reads the first spec's output."""
+    out = ST.run_strategy(bars_h(spark, sf_dir), [dict(kind="ema", length=10),
+                                                  dict(kind="sma", close="EMA_10", length=5, prefix="EMA10")])
+    return out.select("symbol", "ts", r4(F.col("EMA_10")).alias("EMA_10"), r4(F.col("EMA10_SMA_5")).alias("EMA10_SMA_5"))
+
+
+SPARK["chained_strategy_hourly"] = _chained_spark
+
+
+def _chained_sql(s):
+    s.ema("e", C, 10)
+    return {"EMA_10": "e", "EMA10_SMA_5": roll("e", 5)}
+
+
+_cs = Sql("h")
+ORACLE["chained_strategy_hourly"] = _cs.sql(_chained_sql(_cs))
