@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ticklake.plans.frame import Scan, SeriesFrame, fresh
@@ -205,15 +205,34 @@ def rma(f, x, n: int, warm: int = 0) -> Need:
     return ewm_adjusted(f, x, 1.0 / n, minp=n, warm=warm)
 
 
+def _running(f):
+    return f.w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _native(f) -> bool:
+    """Unsegmented frames hold each symbol in one window partition, so
+    running aggregates are exact native windows (no Python pass)."""
+    return f.segment is None
+
+
 def cumsum(f, x) -> Need:
+    if _native(f):
+        x = mat(f, x)
+        return Need([], lambda ys: F.when(x.isNotNull(), F.sum(x).over(_running(f))))
     return Need([Scan(b=C(x), kind="sum")], lambda ys: ys[0])
 
 
 def cummax(f, x) -> Need:
+    if _native(f):
+        x = mat(f, x)
+        return Need([], lambda ys: F.when(x.isNotNull(), F.max(x).over(_running(f))))
     return Need([Scan(b=C(x), kind="max")], lambda ys: ys[0])
 
 
 def cummin(f, x) -> Need:
+    if _native(f):
+        x = mat(f, x)
+        return Need([], lambda ys: F.when(x.isNotNull(), F.min(x).over(_running(f))))
     return Need([Scan(b=C(x), kind="min")], lambda ys: ys[0])
 
 
@@ -229,6 +248,9 @@ def linrec(f, a, b, start: int = 1) -> Need:
 def ffill(f, x) -> Need:
     """Last non-null value so far (null before the first one): the affine
     recurrence y = 0*y + x on values and y = 1*y on nulls, plus a seen flag."""
+    if _native(f):
+        x = mat(f, x)
+        return Need([], lambda ys: F.last(x, ignorenulls=True).over(_running(f)).cast("double"))
     x = C(x)
     has = F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0))
     val = Scan(b=F.coalesce(x.cast("double"), F.lit(0.0)), a=1.0 - has)
@@ -238,6 +260,10 @@ def ffill(f, x) -> Need:
 
 def bfill(f, x) -> Need:
     """Next non-null value (null after the last one): ``ffill`` run backwards."""
+    if _native(f):
+        x = mat(f, x)
+        return Need([], lambda ys: F.first(x, ignorenulls=True).over(
+            f.w.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
     n = ffill(f, x)
     return Need(n.scans, n.finish, reverse=True)
 

@@ -171,8 +171,8 @@ def remove_outliers(df, method: str = "zscore", threshold: float = 3.0, factor:
     f.df = f.df.drop(*drop)
     if observation is not None:
         f.df = f.df.observe(observation, F.sum(F.when(~F.col("_halo"), F.col("__outliers"))).alias("outliers_removed"))
-    out = f.result().drop("__outliers")
-    return out
+    f.df = f.df.drop("__outliers")
+    return f if isinstance(df, SeriesFrame) else f.result()
 
 
 def denoise(df, span: int = 5, cols=None, symbol="symbol", ts="ts", segment="auto") -> DataFrame:
@@ -186,7 +186,7 @@ def denoise(df, span: int = 5, cols=None, symbol="symbol", ts="ts", segment="aut
         return {c: y for c, y in zip(cols, ys)}
 
     f.with_columns(_advance_all(f, [(gen, {}, {})]))
-    return f.result()
+    return f if isinstance(df, SeriesFrame) else f.result()
 
 
 def rsi_simple(df, window: int = 14, fillna_method: str | None = None, close="close", symbol="symbol", ts="ts",
@@ -206,7 +206,7 @@ def rsi_simple(df, window: int = 14, fillna_method: str | None = None, close="cl
         f.with_columns(_advance_all(f, [(gen, {}, {})]))
     elif fillna_method == "zero":
         f.with_columns({"rsi": F.coalesce(F.col("rsi"), F.lit(0.0))})
-    return f.result()
+    return f if isinstance(df, SeriesFrame) else f.result()
 
 
 def macd_incremental(df, fast: int = 12, slow: int = 26, signal: int = 9, close="close", symbol="symbol", ts="ts",
@@ -226,7 +226,7 @@ def macd_incremental(df, fast: int = 12, slow: int = 26, signal: int = 9, close=
         return {"macd": m, "macd_signal": sg}
 
     f.with_columns(_advance_all(f, [(gen, {}, {})]))
-    return f.result()
+    return f if isinstance(df, SeriesFrame) else f.result()
 
 
 # --------------------------------------------------------------- calendar
@@ -423,15 +423,18 @@ def clean(df: DataFrame, symbol: str = "symbol", ts: str = "ts", impute_method:
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows"),
                         sum((F.sum(F.col(c).isNull().cast("int")) for c in cols), F.lit(0)).alias("missing_before"))
-    out = impute(df, impute_method, backward_fill, cols, symbol, ts, segment)
+    # one ordered frame (one shuffle, one row numbering) for all ordered steps
+    f = SeriesFrame(df, symbol, ts, segment=segment, lookback=max(2, (rsi_window or 0) + 1))
+    impute(f, impute_method, backward_fill, cols, symbol, ts, segment)
     if outlier_method:
-        out = remove_outliers(out, outlier_method, threshold, cols=cols, symbol=symbol, ts=ts, segment=segment)
+        remove_outliers(f, outlier_method, threshold, cols=cols, symbol=symbol, ts=ts, segment=segment)
     if span:
-        out = denoise(out, span, cols, symbol, ts, segment)
+        denoise(f, span, cols, symbol, ts, segment)
     if rsi_window:
-        out = rsi_simple(out, rsi_window, None, "close", symbol, ts, segment)
+        rsi_simple(f, rsi_window, None, "close", symbol, ts, segment)
     if macd:
-        out = macd_incremental(out, *macd, close="close", symbol=symbol, ts=ts, segment=segment)
+        macd_incremental(f, *macd, close="close", symbol=symbol, ts=ts, segment=segment)
+    out = f.result()
     if calendar:
         out = calendar_features(out, ts)
     if anomaly_contamination:
