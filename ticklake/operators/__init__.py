@@ -5,3 +5,4 @@ from ticklake.operators import (candles, momentum, overlap, performance, statist
                                 volatility, volume)
 from ticklake.operators import state  # noqa: F401,E402
 from ticklake.operators import custom  # noqa: F401,E402
+from ticklake.operators import signals  # noqa: F401,E402

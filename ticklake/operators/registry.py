@@ -105,7 +105,9 @@ def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
         if kind not in REGISTRY:
             raise KeyError(f"unknown indicator {kind!r}")
         params = {k: (safe(v) if isinstance(v, str) and k in ("close", "open_", "high", "low", "volume", "source",
-                                                                "fast", "slow", "trend", "signal") else v)
+                                                                "fast", "slow", "trend", "signal", "series_a",
+                                                                "series_b", "indicator", "xserie", "xserie_a",
+                                                                "xserie_b") else v)
                   for k, v in spec.items() if k not in _CTRL}
         pending.append((spec, params))
     result: dict[str, str] = {}
@@ -113,7 +115,9 @@ def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
         existing = set(f.df.columns)
         ready, later = [], []
         for spec, params in pending:
-            srcs = [v for k, v in params.items() if k in ("close", "open_", "high", "low", "volume", "source")
+            srcs = [v for k, v in params.items() if k in ("close", "open_", "high", "low", "volume", "source",
+                                                           "series_a", "series_b", "indicator", "trend", "signal",
+                                                           "fast", "slow", "xserie", "xserie_a", "xserie_b")
                     and isinstance(v, str)]
             (ready if all(s in existing for s in srcs) else later).append((spec, params))
         if not ready:

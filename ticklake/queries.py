@@ -1453,3 +1453,61 @@ def _chained_sql(s):
 
 _cs = Sql("h")
 ORACLE["chained_strategy_hourly"] = _cs.sql(_chained_sql(_cs))
+
+
+# ---------------------------------------------------------------- signals
+def _sig_spark(spark, sf_dir):
+    b = bars_h(spark, sf_dir)
+    out = ST.run_strategy(b, [dict(kind="rsi"), dict(kind="sma", length=10), dict(kind="sma", length=20),
+                              dict(kind="signals", indicator="RSI_14", xa=80, xb=20),
+                              dict(kind="cross", series_a="SMA_10", series_b="SMA_20"),
+                              dict(kind="cross", series_a="SMA_10", series_b="SMA_20", above=False),
+                              dict(kind="above", series_a="close", series_b="SMA_10"),
+                              dict(kind="cross_value", series_a="RSI_14", value=50)])
+    cols = ["RSI_14_A_80", "RSI_14_B_20", "SMA_10_XA_SMA_20", "SMA_10_XB_SMA_20", "close_A_SMA_10", "RSI_14_XA_50"]
+    return out.select("symbol", "ts", *[F.col(c).cast("int").alias(c) for c in cols])
+
+
+SPARK["signals_crossings_hourly"] = _sig_spark
+
+
+def _sig_sql(s):
+    rsi = _rsi_sql(s, C, 14, "r")
+    s.cols(rsi=rsi, s10=roll(C, 10), s20=roll(C, 20))
+    cur = "coalesce(s10 > s20, false)"
+    prev = f"coalesce({lag('s10', 1)} < {lag('s20', 1)}, false)"
+    return {"RSI_14_A_80": "coalesce(rsi >= 80, false)", "RSI_14_B_20": "coalesce(rsi <= 20, false)",
+            "SMA_10_XA_SMA_20": f"{cur} AND {prev}", "SMA_10_XB_SMA_20": f"NOT {cur} AND NOT {prev}",
+            "close_A_SMA_10": "coalesce(close >= s10, false)",
+            "RSI_14_XA_50": f"coalesce(rsi > 50, false) AND coalesce({lag('rsi', 1)} < 50, false)"}
+
+
+_ss = Sql("h")
+_ss_outs = _sig_sql(_ss)
+ORACLE["signals_crossings_hourly"] = _ss.sql(_ss_outs, ints=tuple(_ss_outs))
+
+
+def _xsig_spark(spark, sf_dir):
+    out = ST.run_strategy(bars_h(spark, sf_dir), [dict(kind="rsi"), dict(kind="xsignals", signal="RSI_14", xa=60,
+                                                                                       xb=40)])
+    return out.select("symbol", "ts", *[F.col(c).cast("int").alias(c) for c in
+                                        ("TS_Trends", "TS_Trades", "TS_Entries", "TS_Exits")])
+
+
+SPARK["xsignals_rsi_hourly"] = _xsig_spark
+
+
+def _xsig_sql(s):
+    s.cols(rsi=_rsi_sql(s, C, 14, "r"))
+    s.cols(ent=f"CAST(coalesce(rsi > 60, false) AND coalesce({lag('rsi', 1)} < 60, false) AS INTEGER)",
+           ex=f"-CAST(NOT coalesce(rsi > 40, false) AND NOT coalesce({lag('rsi', 1)} < 40, false) AS INTEGER)")
+    s.cols(tr=f"coalesce(last_value(CASE WHEN ent + ex <> 0 THEN ent + ex END IGNORE NULLS) {RUN}, 0)")
+    s.cols(trend="CASE WHEN tr > 0 THEN 1 ELSE 0 END")
+    s.cols(trades=f"coalesce(trend - {lag('trend', 1)}, 0)")
+    return {"TS_Trends": "trend", "TS_Trades": "trades", "TS_Entries": "CASE WHEN trades > 0 THEN 1 ELSE 0 END",
+            "TS_Exits": "CASE WHEN trades < 0 THEN 1 ELSE 0 END"}
+
+
+_xs = Sql("h")
+_xs_outs = _xsig_sql(_xs)
+ORACLE["xsignals_rsi_hourly"] = _xs.sql(_xs_outs, ints=tuple(_xs_outs))
