@@ -322,9 +322,15 @@ def anomaly_scores(df: DataFrame, cols: list[str], n_trees: int = 100, sample_si
     total = num.count()
     if total == 0:
         return df.withColumn("anomaly_score", F.lit(None).cast("double"))
-    frac = min(1.0, (n_trees * sample_size * 1.5) / total)
-    samp = (num.sample(withReplacement=frac >= 1.0, fraction=max(frac, 1e-9), seed=seed)
-            .withColumn("tree", (F.rand(seed) * n_trees).cast("int")))
+    p = min(1.0, 1.5 * sample_size / total)
+    if total * n_trees <= 20_000_000:
+        # small input: every tree draws its own Bernoulli sample of the rows
+        samp = (num.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+                .filter(F.rand(seed) < p))
+    else:
+        # large input: one sample of ~1.5 * psi rows per tree, rows dealt to trees
+        frac = min(1.0, n_trees * 1.5 * sample_size / total)
+        samp = num.sample(fraction=frac, seed=seed).withColumn("tree", (F.rand(seed) * n_trees).cast("int"))
     k = len(cols)
     schema = "tree int, nodes array<double>"
 

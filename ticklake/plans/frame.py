@@ -145,14 +145,14 @@ class SeriesFrame:
         fs = segtab.select(sym, F.col("_sidx").alias("_first"), F.col("_start").alias("_pstart"))
         rng = rng.join(st, [sym, "_dst"]).join(fs, [sym, "_first"])
         info = rng.select(sym, "_part", F.col("_dst").cast("int").alias("_pidx"), "_first", "_pstart")
+        # every (source segment -> partition) copy, the segment's own partition
+        # included (halo = false): one join attaches real and halo rows, so
+        # the input plan is referenced once (no union of two lineages)
         pairs = (rng.select(sym, "_part", "_dst", F.explode(F.sequence("_first", "_last")).alias("_src"))
-                 .filter(F.col("_src") != F.col("_dst"))
                  .join(segtab.select(sym, F.col("_sidx").alias("_src"), "_seg"), [sym, "_src"])
-                 .select(sym, "_seg", "_part"))
+                 .select(sym, "_seg", "_part", (F.col("_src") != F.col("_dst")).alias("_halo")))
         self._pairs = pairs
-        real = base.withColumn("_part", F.col("_seg")).withColumn("_halo", F.lit(False))
-        halo = base.join(pairs, [sym, "_seg"]).withColumn("_halo", F.lit(True))
-        return info, real.unionByName(halo)
+        return info, base.join(pairs, [sym, "_seg"])
 
     def rehalo(self) -> None:
         """Re-attach halo copies from the real rows (after a recurrence level,
@@ -162,9 +162,8 @@ class SeriesFrame:
         sym = self.symbol
         real = self.df.filter(~F.col("_halo"))
         cols = [c for c in real.columns if c not in ("_part", "_halo", "_pidx", "_first", "_pstart")]
-        halo = (real.select(*cols).join(self._pairs, [sym, "_seg"]).withColumn("_halo", F.lit(True))
-                .join(self._info, [sym, "_part"]))
-        self.df = real.unionByName(halo.select(*real.columns)).repartition(sym, "_part")
+        out = real.select(*cols).join(self._pairs, [sym, "_seg"]).join(self._info, [sym, "_part"])
+        self.df = out.select(*real.columns).repartition(sym, "_part")
 
     # --------------------------------------------------------------- windows
     @property
@@ -198,7 +197,8 @@ class SeriesFrame:
         if keep is not None:
             out = out.select(*[F.col(c.replace(".", "__DOT__")) for c in keep])
         else:
-            out = out.drop(*HELPERS)
+            internal = [c for c in out.columns if c.startswith("__") and c not in self.columns]
+            out = out.drop(*HELPERS, *internal)
         ren = {c: c.replace("__DOT__", ".") for c in out.columns if "__DOT__" in c}
         return out.withColumnsRenamed(ren) if ren else out
 
@@ -243,6 +243,10 @@ class SeriesFrame:
             drop = [c for nm, *_ in specs for c in (f"{nm}_y", f"{nm}_g", f"{nm}_b", f"{nm}_a")]
             self.df = local.withColumns(outs).drop(*drop)
             return names
+        # segmented: write the pass once to the shared checkpoint folder; the
+        # summaries and the final join both read it (no second Python pass,
+        # bounded lineage, survives executor loss)
+        local = local.checkpoint(eager=True)
         # per-segment summaries (state at the segment's last row) -> carries
         aggs = [F.first("_pidx").alias("_pidx")]
         last = F.min_by if reverse else F.max_by  # the segment's last processed row
@@ -461,7 +465,8 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
     sym = f.symbol
     names = [fresh("s") for _ in outs]
     ins = {fresh("i"): c for c in inputs}
-    real = f.df.filter(~F.col("_halo")).withColumns(ins)
+    # inputs may be windows: evaluate them with the halo rows, then drop those
+    real = f.df.withColumns(ins).filter(~F.col("_halo"))
     tail_cols = []
     if tails:
         n = real.groupBy(sym).agg(F.max("_rn").alias("__N"))
@@ -507,6 +512,6 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
     if f.segment is None:
         f.df = out  # no halo rows without segments
     else:
-        f.df = out.withColumn("_halo", F.lit(False))
+        f.df = out.withColumn("_halo", F.lit(False)).checkpoint(eager=True)
         f.rehalo()
     return names
