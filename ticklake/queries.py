@@ -1511,3 +1511,39 @@ def _xsig_sql(s):
 _xs = Sql("h")
 _xs_outs = _xsig_sql(_xs)
 ORACLE["xsignals_rsi_hourly"] = _xs.sql(_xs_outs, ints=tuple(_xs_outs))
+
+
+# ---------------------------------------------------------------- state machines
+# Non-linear recurrences: no SQL twin (a recursive CTE would re-state the same
+# loop); tests/test_state_stream.py checks segment invariance and a numpy loop.
+_STATE_Q = {
+    "psar": ["PSARl_0.02_0.2", "PSARs_0.02_0.2", "PSARaf_0.02_0.2", "PSARr_0.02_0.2"],
+    "supertrend": ["SUPERT_7_3.0", "SUPERTd_7_3.0", "SUPERTl_7_3.0", "SUPERTs_7_3.0"],
+    "qqe": ["QQE_14_5_4.236", "QQE_14_5_4.236_RSIMA", "QQEl_14_5_4.236", "QQEs_14_5_4.236"],
+    "fisher": ["FISHERT_9_1", "FISHERTs_9_1"], "rsx": ["RSX_14"],
+    "stc": ["STC_10_12_26_0.5", "STCmacd_10_12_26_0.5", "STCstoch_10_12_26_0.5"], "jma": ["JMA_7_0"],
+    "ebsw": ["EBSW_40_10"], "mcgd": ["MCGD_10"], "hwma": ["HWMA_0.2_0.1_0.1"], "hwc": ["HWM", "HWU", "HWL"],
+    "ssf": ["SSF_10_2"]}
+for _k, _outs in _STATE_Q.items():
+    ind(f"{_k}_hourly", "h", dict(kind=_k), None, _outs,
+        ints=tuple(o for o in _outs if o.startswith(("PSARr", "SUPERTd"))))
+
+
+def _vp_spark(spark, sf_dir):
+    from ticklake.operators.volume import vp
+    v = vp(bars_w(spark, sf_dir), width=10)
+    return v.select("symbol", F.col("chunk").cast("int").alias("chunk"),
+                    *[r4(F.col(c)).alias(c) for c in ("low_close", "mean_close", "high_close", "pos_volume",
+                                                      "neg_volume", "total_volume")])
+
+
+SPARK["volume_profile_weekly"] = _vp_spark
+ORACLE["volume_profile_weekly"] = f"""
+WITH b AS (SELECT *, ntile(10) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS chunk,
+  CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 1.0
+       ELSE sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) END AS sg FROM ({BARS_W_SQL}) x)
+SELECT symbol, CAST(chunk AS INTEGER) AS chunk, {_sr4('min(close)')} AS low_close, {_sr4('avg(close)')} AS mean_close,
+  {_sr4('max(close)')} AS high_close, {_sr4('coalesce(sum(CASE WHEN sg > 0 THEN volume * sg END), 0.0)')} AS pos_volume,
+  {_sr4('coalesce(sum(CASE WHEN sg < 0 THEN -volume * sg END), 0.0)')} AS neg_volume,
+  {_sr4('coalesce(sum(CASE WHEN sg > 0 THEN volume * sg END), 0.0) + coalesce(sum(CASE WHEN sg < 0 THEN -volume * sg END), 0.0)')} AS total_volume
+FROM b GROUP BY symbol, chunk"""
