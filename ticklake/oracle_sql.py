@@ -55,7 +55,8 @@ def r4(e: str) -> str:
     x = f"CAST({e} AS DOUBLE)"
     a = f"abs({x})"
     d = f"(CASE WHEN floor(log10({a})) >= 4 THEN 4 - (floor(log10({a})) - 3) ELSE 4 END)"
-    return (f"(CASE WHEN {a} = 0 THEN {x} WHEN {d} >= 0 THEN sign({x}) * floor({a} * pow(10.0, {d}) + 0.5) "
+    return (f"(CASE WHEN isnan({x}) THEN NULL WHEN isinf({x}) OR {a} = 0 THEN {x} "
+            f"WHEN {d} >= 0 THEN sign({x}) * floor({a} * pow(10.0, {d}) + 0.5) "
             f"/ pow(10.0, {d}) ELSE sign({x}) * floor({a} / pow(10.0, -{d}) + 0.5) * pow(10.0, -{d}) END)")
 
 

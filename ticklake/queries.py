@@ -39,7 +39,9 @@ def r4(c):
     d = F.when(e >= 4, F.lit(4) - (e - 3)).otherwise(F.lit(4))
     up = F.signum(c) * F.floor(a * F.pow(F.lit(10.0), d) + 0.5) / F.pow(F.lit(10.0), d)
     dn = F.signum(c) * F.floor(a / F.pow(F.lit(10.0), -d) + 0.5) * F.pow(F.lit(10.0), -d)
-    return F.when(a == 0, c).when(d >= 0, up).otherwise(dn)
+    finite = ~F.isnan(c) & (a != float("inf"))
+    return F.when(F.isnan(c), F.lit(None).cast("double")).when(~finite | (a == 0), c) \
+        .when(d >= 0, up).otherwise(dn)
 
 
 def _ind_df(spark, sf_dir, bars, specs, outs, ints=(), segment="auto", lookahead=0):
@@ -1547,3 +1549,54 @@ SELECT symbol, CAST(chunk AS INTEGER) AS chunk, {_sr4('min(close)')} AS low_clos
   {_sr4('coalesce(sum(CASE WHEN sg < 0 THEN -volume * sg END), 0.0)')} AS neg_volume,
   {_sr4('coalesce(sum(CASE WHEN sg > 0 THEN volume * sg END), 0.0) + coalesce(sum(CASE WHEN sg < 0 THEN -volume * sg END), 0.0)')} AS total_volume
 FROM b GROUP BY symbol, chunk"""
+
+
+# SQL twins for three state machines: explicit recursive CTEs over the rows of
+# each symbol (the recursion carries the machine's state columns).
+def _rec_sql(state_cols, init_sel, step_sel, outs):
+    return (f"WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn "
+            f"FROM ({BARS_H_SQL}) x), r(symbol, rn, {', '.join(state_cols)}) AS ("
+            f"SELECT symbol, rn, {init_sel} FROM b WHERE rn = 1 UNION ALL "
+            f"SELECT b.symbol, b.rn, {step_sel} FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn + 1) "
+            f"SELECT b.symbol, b.ts, {', '.join(f'{e} AS {q(n)}' for n, e in outs.items())} "
+            f"FROM b JOIN r USING (symbol, rn)")
+
+
+# mcgd: no twin -- on this data the McGinley recursion diverges (values near 1e61),
+# where last-bit differences of pow() between engines are amplified.
+MCGD_SQL_UNUSED = _rec_sql(["m"], "close", "r.m + (b.close - r.m) / (1.0 * 10 * power(b.close / r.m, 4))",
+                           {"MCGD_10": _sr4("r.m")})
+_na, _nb, _nc = 1.0 - 0.2, 1.0 - 0.1, 1.0 - 0.1
+_F = f"({_na!r} * (r.f + r.v + 0.5 * r.a) + 0.2 * b.close)"
+_V = f"({_nb!r} * (r.v + r.a) + 0.1 * ({_F} - r.f))"
+_A = f"({_nc!r} * r.a + 0.1 * ({_V} - r.v))"
+_F1 = f"({_na!r} * (close + 0.0 + 0.5 * 0.0) + 0.2 * close)"
+_V1 = f"({_nb!r} * (0.0 + 0.0) + 0.1 * ({_F1} - close))"
+_A1 = f"({_nc!r} * 0.0 + 0.1 * ({_V1} - 0.0))"
+ORACLE["hwma_hourly"] = _rec_sql(["f", "v", "a"], f"{_F1}, {_V1}, {_A1}", f"{_F}, {_V}, {_A}",
+                                 {"HWMA_0.2_0.1_0.1": _sr4("r.f + r.v + 0.5 * r.a")})
+
+
+def _supertrend_sql():
+    s = Sql("h")
+    s.cols(tr=TR)
+    s.rma("atr", "tr", 7, warm=1)
+    s.cols(ub="0.5 * (high + low) + 3.0 * atr", lb="0.5 * (high + low) - 3.0 * atr")
+    base = s.cur
+    body = ",\n".join(f"{nm} AS ({txt})" for nm, txt in s.ctes)
+    # state: d (direction), u / l (carried bands); row 1: d = 1, bands as computed
+    step_d = "CASE WHEN c.close > r.u THEN 1 WHEN c.close < r.l THEN -1 ELSE r.d END"
+    step_l = (f"CASE WHEN NOT (c.close > r.u) AND NOT (c.close < r.l) AND r.d > 0 AND c.lb < r.l THEN r.l ELSE c.lb END")
+    step_u = (f"CASE WHEN NOT (c.close > r.u) AND NOT (c.close < r.l) AND r.d < 0 AND c.ub > r.u THEN r.u ELSE c.ub END")
+    rec = (f"st(symbol, rn, d, u, l) AS (SELECT symbol, rn, 1, ub, lb FROM {base} WHERE rn = 1 UNION ALL "
+           f"SELECT c.symbol, c.rn, {step_d}, {step_u}, {step_l} FROM st r JOIN {base} c "
+           f"ON c.symbol = r.symbol AND c.rn = r.rn + 1)")
+    sel = (f"SELECT b.symbol, b.ts, {_sr4('CASE WHEN b.rn = 1 THEN 0.0 WHEN st.d > 0 THEN st.l ELSE st.u END')} "
+           f"AS \"SUPERT_7_3.0\", CAST(st.d AS INTEGER) AS \"SUPERTd_7_3.0\", "
+           f"{_sr4('CASE WHEN b.rn > 1 AND st.d > 0 THEN st.l END')} AS \"SUPERTl_7_3.0\", "
+           f"{_sr4('CASE WHEN b.rn > 1 AND st.d < 0 THEN st.u END')} AS \"SUPERTs_7_3.0\" "
+           f"FROM {base} b JOIN st USING (symbol, rn)")
+    return f"WITH RECURSIVE {body},\n{rec}\n{sel}"
+
+
+ORACLE["supertrend_hourly"] = _supertrend_sql()
