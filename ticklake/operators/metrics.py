@@ -153,3 +153,21 @@ def zero(x, eps: float = 2.220446049250313e-16):
     """Snap |x| < eps to 0."""
     x = C(x)
     return F.when(F.abs(x) < eps, F.lit(0.0)).otherwise(x)
+
+
+def geometric_mean(df: DataFrame, col: str, symbol: str = "symbol") -> DataFrame:
+    """Per symbol: product^(1/n) via exp(avg(ln)); with zeros present the
+    series is shifted by +1 (nulls -> 0) and 1 is subtracted back; 0 when a
+    value is not positive.  One combinable aggregate."""
+    x = F.col(col)
+    has0 = F.max(F.when(x == 0, 1).otherwise(0))
+    s = F.coalesce(x, F.lit(0.0)) + 1
+    return df.groupBy(symbol).agg(
+        F.when(has0 == 1, F.when(F.min(s) > 0, F.exp(F.avg(F.ln(s))) - 1).otherwise(F.lit(0.0)))
+        .otherwise(F.when(F.min(x) > 0, F.exp(F.avg(F.ln(x)))).otherwise(F.lit(0.0))).alias("geometric_mean"))
+
+
+def df_error_analysis(a: DataFrame, b: DataFrame, col: str, keys=("symbol", "ts")) -> DataFrame:
+    """Correlation of one column between two frames aligned on keys."""
+    j = a.select(*keys, F.col(col).alias("__a")).join(b.select(*keys, F.col(col).alias("__b")), list(keys))
+    return j.agg(F.corr("__a", "__b").alias("corr"))
