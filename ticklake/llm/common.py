@@ -119,7 +119,7 @@ class Prefix:
         if n <= 0:
             return np.zeros(0, np.uint64)
         raw = (self.sums[k:] - self.sums[:n]) * self.down[:n]
-        return mix64(raw + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+        return mix64(raw + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -23,7 +23,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _vocab("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op5_byte_bpe": op5_byte_bpe}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.minhash import near_dedup
+    return near_dedup(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), width=200, with_text=False)
+
+
+QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup,
+           "op10_minhash_near_dedup": op10_minhash_near_dedup,
+           "op1_best_fit_packing": op1_best_fit_packing, "op5_byte_bpe": op5_byte_bpe}
 
 ORACLE: dict[str, str] = {}
 
