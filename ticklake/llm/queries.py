@@ -33,7 +33,20 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=200, with_text=False)
 
 
-QUERIES = {"op6_suffix_array_dedup": op6_suffix_array_dedup,
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.embed_dedup import near_dedup
+    return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_pivot_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.ann import search
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup,
+           "op8_pivot_ann": op8_pivot_ann,
+           "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op10_minhash_near_dedup": op10_minhash_near_dedup,
            "op1_best_fit_packing": op1_best_fit_packing, "op5_byte_bpe": op5_byte_bpe}
 
