@@ -44,7 +44,21 @@ def op8_pivot_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup,
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.secret_scan import fit, scan
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.langid import fit, predict
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs))
+
+
+QUERIES = {"op2_secret_scan": op2_secret_scan,
+           "op9_language_id": op9_language_id,
+           "op3_embedding_near_dedup": op3_embedding_near_dedup,
            "op8_pivot_ann": op8_pivot_ann,
            "op6_suffix_array_dedup": op6_suffix_array_dedup,
            "op10_minhash_near_dedup": op10_minhash_near_dedup,
