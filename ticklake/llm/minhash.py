@@ -15,10 +15,10 @@
    from the registers (five standard deviations below the threshold still
    pass), then the exact comparison of the full sets.
 5. Rest.  Keys whose members are in one component need nothing more.  In the
-   others every pair of members from different components is estimated in
-   bounded blocks, and survivors are verified the same way.  So every pair
+   others the members are compared in bounded blocks, pairs from different
+   components only: estimated first, then by their full sets.  So every pair
    that meets in a key is either verified or already connected, and no group
-   is ever expanded into all its pairs.
+   is ever expanded into rows for all its pairs.
 
 Hot keys: copies collapse in step 2; a key with very many near copies is met
 by an aggregate with map-side combine and by a join that adaptive execution
@@ -36,7 +36,7 @@ from ticklake.llm.common import Prefix, components, cut, doc_chunks, mix64, proc
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
 CHUNK = 1 << 20
-BLOCK = 1024
+BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,37 +221,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components that share a key, found in blocks.
+def _open_pairs(t: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of a block (boolean upper triangle) that may still link two components.
+
+    A pair counts only in the first band in which it meets, so each is
+    looked at in one block.
+    """
+    rep, comp, n, own = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "own"))
+    regs = _regs(t.column("regs"))
+    pair = (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :])
+    if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
+        pair &= own[:, None] != own[None, :]
+    pair &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    keys = band_keys(regs)
+    for k in range(BANDS):
+        if keys[0, k] == t.column("key")[0].as_py():
+            break
+        pair &= keys[:, k, None] != keys[None, :, k]
+    for i in np.flatnonzero(pair.any(axis=1)):
+        j = np.flatnonzero(pair[i])
+        e, sd = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j], np.broadcast_to(n[i], len(j)), n[j])
+        pair[i, j] = e >= percent / 100 - 5 * sd
+    return pair
+
+
+def _rest(members: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different components whose documents share a key.
 
     ``members``: (key, rep, comp, c) of keys that hold several components.
     A key of c members is cut into ceil(c / BLOCK) blocks by a hash of the id;
-    each pair of blocks is one group of at most about two blocks.
+    each pair of blocks is one group of at most about two blocks.  A first
+    pass keeps the members that have an open pair, a second one compares
+    their full sets and returns a spanning forest of the links, so that rows
+    grow with members and not with pairs.
     """
     blocks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
     dealt = (
         members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp"))
-    dealt = dealt.join(reps.select("rep", "n", "regs"), "rep")
-
-    def run(_, t):
-        rep, comp, n, own = (np.array(t.column(c).to_pylist(), np.int64) for c in ("rep", "comp", "n", "own"))
-        regs = _regs(t.column("regs"))
-        crossed = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        out = []
-        for i in range(len(rep)):
-            j = np.flatnonzero((comp != comp[i]) & (rep > rep[i]))
-            if crossed:
-                j = j[own[j] != own[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if len(j):
-                e, sd = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j], np.broadcast_to(n[i], len(j)), n[j])
-                out += [(rep[i], rep[k]) for k in j[e >= percent / 100 - 5 * sd]]
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": a[:, 0], "b": a[:, 1]})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    dealt = dealt.join(reps.select("rep", "n", "regs"), "rep").select("key", "lo", "hi", "own", "rep", "comp", "n", "regs")
+
+    def narrow(_, t):
+        pair = _open_pairs(t, percent)
+        return t.filter(pa.array(pair.any(axis=0) | pair.any(axis=1)))
+
+    left = cut(dealt.groupBy("key", "lo", "hi").applyInArrow(narrow, dealt.schema), "open-members")
+
+    def compare(_, t):
+        pair = _open_pairs(t, percent)
+        sets = list(shingle_sets(*texts_of(t.column("text")), words))
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
+        at = np.cumsum(size) - size
+        rep = t.column("rep").to_numpy()
+        root = np.arange(len(rep))
+        a, b = [], []
+        mark = np.zeros(flat.max(initial=0) + 1, bool)
+        for i in np.flatnonzero(pair.any(axis=1)):
+            mark[flat[at[i]:at[i] + size[i]]] = True
+            both = np.add.reduceat(mark[flat], at, dtype=np.int64) if len(flat) else size
+            mark[flat[at[i]:at[i] + size[i]]] = False
+            for j in np.flatnonzero(pair[i] & (100 * both >= percent * (size + size[i] - both))):
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    a.append(rep[i])
+                    b.append(rep[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    full = left.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return full.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -286,11 +325,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "key", "rep", "c", F.coalesce("component", "rep").alias("comp"))
     placed = cut(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    more = cut(_rest(placed.join(mixed, "key", "left_semi"), reps, percent).join(
-        stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = _verified(more, texts, words, percent)
-        links = cut(links.union(found), "links")
+    more = _rest(placed.join(mixed, "key", "left_semi"), reps, texts, words, percent)
+    links = cut(links.union(more), "links")
     comp = components(links.union(same_id), "cc")
     out = sk.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     final = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
