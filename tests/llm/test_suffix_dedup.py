@@ -64,6 +64,14 @@ def test_grams_with_many_surroundings(docs_of, monkeypatch):
     assert got(remove_repeats(docs_of(texts), width=100)) == brute(texts, 100)
 
 
+def test_heavy_grams_and_small_shards(docs_of, monkeypatch):
+    monkeypatch.setattr(sd, "HEAVY", 2)
+    monkeypatch.setattr(sd, "SHARD", 3000)
+    monkeypatch.setattr(sd, "CHUNK", 1500)
+    texts = corpus(4)
+    assert got(remove_repeats(docs_of(texts).repartition(3))) == brute(texts, 200)
+
+
 def test_text_and_edges(docs_of):
     rng = random.Random(9)
     p = " ".join(words(rng, 80))
