@@ -10,8 +10,8 @@
    (densification); 42 bands of 6 registers give the keys under which
    representatives meet.  A pair of similarity 0.8 meets in at least one
    band with probability 1 - (1 - 0.8^6)^42 = 0.999997.
-4. Stars.  In each shared key every member is paired with the key's smallest
-   id.  Pairs pass a size test, then the collision-corrected Jaccard estimate
+4. Stars.  In each shared key every member is paired with one of them, the
+   key's head, drawn by hash.  Pairs pass a size test, then the collision-corrected Jaccard estimate
    from the registers (five standard deviations below the threshold still
    pass), then the exact comparison of the full sets.
 5. Rest.  Keys whose members are in one component need nothing more.  In the
@@ -36,7 +36,7 @@ from ticklake.llm.common import Prefix, components, cut, doc_chunks, mix64, proc
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
 CHUNK = 1 << 20
-BLOCK = 512
+BLOCK = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,28 +221,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(t: pa.Table, percent: int) -> np.ndarray:
-    """Pairs of a block (boolean upper triangle) that may still link two components.
+def _open_pairs(t: pa.Table, percent: int):
+    """Pairs of a block that may still link two components: (row, later rows) one row at a time.
 
     A pair counts only in the first band in which it meets, so each is
     looked at in one block.
     """
     rep, comp, n, own = (t.column(c).to_numpy() for c in ("rep", "comp", "n", "own"))
+    crossed = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
     regs = _regs(t.column("regs"))
-    pair = (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :])
-    if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
-        pair &= own[:, None] != own[None, :]
-    pair &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    keys = band_keys(regs)
-    for k in range(BANDS):
-        if keys[0, k] == t.column("key")[0].as_py():
-            break
-        pair &= keys[:, k, None] != keys[None, :, k]
-    for i in np.flatnonzero(pair.any(axis=1)):
-        j = np.flatnonzero(pair[i])
-        e, sd = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j], np.broadcast_to(n[i], len(j)), n[j])
-        pair[i, j] = e >= percent / 100 - 5 * sd
-    return pair
+    keys = np.concatenate([band_keys(regs[i:i + 1024]) for i in range(0, len(regs), 1024)])
+    band = int(np.flatnonzero(keys[0] == t.column("key")[0].as_py())[0])
+    keys = np.ascontiguousarray(keys[:, :band])
+    for i in range(len(rep)):
+        ok = (comp != comp[i]) & (rep > rep[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        if crossed:
+            ok &= own != own[i]
+        j = np.flatnonzero(ok)
+        j = j[~(keys[j] == keys[i]).any(axis=1)] if len(j) and band else j
+        if len(j):
+            e, sd = estimate(regs[i][None, :], regs[j], n[i], n[j])
+            j = j[e >= percent / 100 - 5 * sd]
+            if len(j):
+                yield i, j
 
 
 def _rest(members: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -263,13 +264,15 @@ def _rest(members: DataFrame, reps: DataFrame, texts: DataFrame, words: int, per
     dealt = dealt.join(reps.select("rep", "n", "regs"), "rep").select("key", "lo", "hi", "own", "rep", "comp", "n", "regs")
 
     def narrow(_, t):
-        pair = _open_pairs(t, percent)
-        return t.filter(pa.array(pair.any(axis=0) | pair.any(axis=1)))
+        hit = np.zeros(t.num_rows, bool)
+        for i, j in _open_pairs(t, percent):
+            hit[i] = True
+            hit[j] = True
+        return t.filter(pa.array(hit))
 
     left = cut(dealt.groupBy("key", "lo", "hi").applyInArrow(narrow, dealt.schema), "open-members")
 
     def compare(_, t):
-        pair = _open_pairs(t, percent)
         sets = list(shingle_sets(*texts_of(t.column("text")), words))
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
@@ -278,15 +281,15 @@ def _rest(members: DataFrame, reps: DataFrame, texts: DataFrame, words: int, per
         root = np.arange(len(rep))
         a, b = [], []
         mark = np.zeros(flat.max(initial=0) + 1, bool)
-        for i in np.flatnonzero(pair.any(axis=1)):
+        for i, j in _open_pairs(t, percent):
             mark[flat[at[i]:at[i] + size[i]]] = True
             both = np.add.reduceat(mark[flat], at, dtype=np.int64) if len(flat) else size
             mark[flat[at[i]:at[i] + size[i]]] = False
-            for j in np.flatnonzero(pair[i] & (100 * both >= percent * (size + size[i] - both))):
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
+            for k in j[100 * both[j] >= percent * (size[j] + size[i] - both[j])]:
+                if root[i] != root[k]:
+                    root[root == root[k]] = root[i]
                     a.append(rep[i])
-                    b.append(rep[j])
+                    b.append(rep[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     full = left.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
@@ -311,10 +314,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     reps = cut(named.join(only, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select(
         F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["rep", "n", "regs"]), "reps")
     bands = cut(_bands(reps), "bands")
-    keys = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
+    # a key's head is drawn by hash: a document that meets others in many bands is held against many of them
+    lot = F.struct(F.xxhash64("key", "rep").alias("lot"), "rep", "n")
+    keys = bands.groupBy("key").agg(F.min(lot).alias("head"), F.count("*").alias("c")).where("c > 1")
     shared = cut(bands.join(keys, "key").select("key", "rep", "n", "c", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "shared")
     close = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
-    stars = shared.where((F.col("rep") != F.col("head")) & close).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = shared.where((F.col("rep") != F.col("head")) & close).select(
+        F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
     stars = cut(_plausible(stars, reps, percent), "stars")
     wanted = shared.where("c > 2").select(F.col("rep").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
     texts = cut(src.join(wanted, "doc_id", "left_semi"), "texts")
