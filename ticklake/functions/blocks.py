@@ -52,7 +52,7 @@ class Need:
 def roll(f: SeriesFrame, x, n: int, agg: str = "avg", minp: int | None = None, end: int = 0) -> Column:
     """``rolling(n, min_periods=minp).agg()`` as a ROWS frame; null below minp."""
     x = mat(f, x)
-    w = f.rows(n, end)
+    w = f.rows(n, end, x)
     minp = n if minp is None else minp
     fns = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp,
            "stdp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "count": F.count,
@@ -88,13 +88,8 @@ def lag(f: SeriesFrame, x, k: int = 1) -> Column:
     if k == 0:
         return C(x)
     x = mat(f, x)
-    if k < 0:
-        if -k > f.lookahead:
-            raise ValueError(f"lead of {-k} rows exceeds lookahead={f.lookahead}")
-        return F.lead(C(x), -k).over(f.w)
-    if k > f.lookback:
-        raise ValueError(f"lag of {k} rows exceeds lookback={f.lookback}")
-    return F.lag(C(x), k).over(f.w)
+    f.reached(max(k, 0), max(-k, 0), x)
+    return F.lead(C(x), -k).over(f.w) if k < 0 else F.lag(C(x), k).over(f.w)
 
 
 def diff(f, x, k=1):
@@ -112,7 +107,7 @@ def fir(f: SeriesFrame, x, weights: list[float]) -> Column:
         for t in terms[1:]:
             s = s + t
         return s
-    w = f.rows(n)
+    w = f.rows(n, 0, x)
     arr = F.collect_list(x).over(w)
     wl = F.array(*[F.lit(float(v)) for v in weights])
     dot = F.aggregate(F.zip_with(arr, wl, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
@@ -127,7 +122,7 @@ def regr(f: SeriesFrame, y, n: int):
     """Rolling OLS of y on x = 1..n inside the window: (slope, intercept at x=0,
     r).  Uses the global row number as x and rebases the intercept."""
     y = mat(f, y)
-    w = f.rows(n)
+    w = f.rows(n, 0, y)
     x = F.col("_rn").cast("double")
     ok = F.count(y).over(w) == n
     m = F.regr_slope(y, x).over(w)
@@ -212,7 +207,7 @@ def _running(f):
 def _native(f) -> bool:
     """Unsegmented frames hold each symbol in one window partition, so
     running aggregates are exact native windows (no Python pass)."""
-    return f.segment is None
+    return f.segment is None and not f.dry
 
 
 def cumsum(f, x) -> Need:

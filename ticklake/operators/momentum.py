@@ -86,8 +86,8 @@ def brar(f, open_="open", high="high", low="low", close="close", length=26, scal
 
 def mad_col(f, x, n):
     """Rolling mean absolute deviation around the window mean."""
-    w = f.rows(n)
     x = B.mat(f, x)
+    w = f.rows(n, 0, x)
     arr = F.collect_list(x).over(w)
     mean = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
     dev = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.size(arr)
@@ -481,7 +481,7 @@ def td_seq(f, close="close", asint=False, show_all=True):
         c = B.mat(f, F.coalesce(cond, F.lit(False)))
         brk = F.when(~c, F.col("_rn"))
         # last failing row among the previous 12 rows and the current one
-        last_fail = F.max(brk).over(f.rows(13))
+        last_fail = F.max(brk).over(f.rows(13, 0, c))
         run = F.when(c, F.least(F.col("_rn") - F.coalesce(last_fail, F.col("_rn") - F.least(F.col("_rn"), F.lit(13))),
                                  F.lit(13)))
         if show_all:

@@ -339,18 +339,21 @@ def vidya(f, close="close", length=14, drift=1):
 
 @indicator("vwap", "overlap")
 def vwap(f, high="high", low="low", close="close", volume="volume", anchor="D"):
-    """Cumulative typical-price VWAP reset per calendar period.  Periods are
-    inside one symbol's history, so the running sums run per (symbol, period)."""
+    """Cumulative typical-price VWAP reset per calendar period: running sums on
+    the frame's own layout.  Segmented, a period may span segments: the sums
+    are then recurrences whose coefficient is 0 on a period's first row."""
     unit = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year", "H": "hour"}.get(
         str(anchor).upper(), "day")
     from pyspark.sql import Window
     tp = (C(high) + C(low) + C(close)) / 3.0
     per = F.date_trunc(unit, F.col(f.ts))
-    real = ~F.col("_halo")  # halo copies must not count twice
-    wp = Window.partitionBy(f.symbol, per).orderBy(f.ts).rowsBetween(Window.unboundedPreceding, 0)
-    num = F.sum(F.when(real, tp * C(volume))).over(wp)
-    den = F.sum(F.when(real, C(volume))).over(wp)
-    return {f"VWAP_{str(anchor).upper()}": F.when(real, dv(num, den))}
+    if B._native(f):
+        wp = Window.partitionBy(f.symbol, "_part", per).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+        num, den = F.sum(tp * C(volume)).over(wp), F.sum(C(volume)).over(wp)
+    else:
+        keep = B.mat(f, F.when(per == lag(f, per, 1), F.lit(1.0)).otherwise(F.lit(0.0)))
+        num, den = yield B.linrec(f, keep, tp * C(volume)), B.linrec(f, keep, C(volume))
+    return {f"VWAP_{str(anchor).upper()}": dv(num, den)}
 
 
 @indicator("ichimoku", "overlap", lookahead=True)

@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ticklake.functions.blocks import Need
+from ticklake.functions.blocks import Need, lag
 from ticklake.plans.frame import SeriesFrame, fresh
 
 REGISTRY: dict[str, "Indicator"] = {}
@@ -63,7 +63,7 @@ def _post(f: SeriesFrame, cols: dict, spec: dict) -> dict:
     out = {}
     for i, (nm, c) in enumerate(cols.items()):
         if offset:
-            c = F.lag(c, offset).over(f.w) if offset > 0 else F.lead(c, -offset).over(f.w)
+            c = lag(f, c, offset)
         if fillna is not None:
             c = F.coalesce(c, F.lit(fillna))
         if names and i < len(names):
@@ -97,8 +97,17 @@ def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
     Returns ``{output name: column name in f.df}``; outputs are added to
     ``f.df``.  Later specs may use outputs of earlier ones by name (chained
     strategies): a spec whose input column is not yet present waits until the
-    producer is materialised.
+    producer is materialised.  On a segmented frame a dry run on an empty
+    frame first finds the look-back that the whole chain needs.
     """
+    if f.segment is not None:
+        dry = f.probe()
+        _run(dry, specs)
+        f.reach(dry.need, dry.need_ahead)
+    return _run(f, specs)
+
+
+def _run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
     pending = []
     for spec in specs:
         kind = spec["kind"]

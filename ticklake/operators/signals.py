@@ -125,7 +125,7 @@ def recent_extreme_index(f, x, n: int, maximum: bool = True):
     """Rows since the most recent maximum (minimum) in the last n rows."""
     rn = F.col("_rn")
     x = B.mat(f, C(x))
-    w = f.rows(n)
+    w = f.rows(n, 0, x)
     at = F.max_by(rn, F.struct(x, rn)).over(w) if maximum else F.min_by(rn, F.struct(x, -rn)).over(w)
     return rn - at
 

@@ -33,8 +33,8 @@ def kurtosis(f, close="close", length=30, min_periods=None):
     """pandas' bias-corrected excess kurtosis from Spark's population one."""
     n = _len(length, 30)
     mp = int(min_periods) if min_periods is not None else n
-    w = f.rows(n)
     x = B.mat(f, C(close))
+    w = f.rows(n, 0, x)
     cnt = F.count(x).over(w)
     g2 = F.kurtosis(x).over(w)
     k = (cnt - 1) / ((cnt - 2) * (cnt - 3)) * ((cnt + 1) * g2 + 6)
@@ -45,8 +45,8 @@ def kurtosis(f, close="close", length=30, min_periods=None):
 def skew(f, close="close", length=30, min_periods=None):
     n = _len(length, 30)
     mp = int(min_periods) if min_periods is not None else n
-    w = f.rows(n)
     x = B.mat(f, C(close))
+    w = f.rows(n, 0, x)
     cnt = F.count(x).over(w)
     g1 = F.skewness(x).over(w)
     return {f"SKEW_{n}": F.when(cnt >= F.greatest(F.lit(mp), F.lit(3)), g1 * F.sqrt(cnt * (cnt - 1)) / (cnt - 2))}
@@ -75,7 +75,7 @@ def quantile(f, close="close", length=30, q=0.5, min_periods=None):
 def stdev_col(f, x, n, ddof=1):
     v = B.roll(f, x, n, "varp" if ddof == 0 else "var")
     if ddof not in (0, 1):
-        cnt = F.count(C(x)).over(f.rows(n))
+        cnt = F.count(C(x)).over(f.rows(n, 0, x))
         v = B.roll(f, x, n, "varp") * cnt / (cnt - ddof)
     return F.sqrt(v)
 

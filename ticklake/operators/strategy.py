@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from ticklake.operators import registry as R
 from ticklake.plans.frame import SeriesFrame
 
-# Indicators left out of "all" by default (need extra inputs or
-# produce a different shape), as in the reference.
+# Indicators left out of "all" by default (they need extra inputs
+# or give another shape).
 DEFAULT_EXCLUDE = ["above", "above_value", "below", "below_value", "cross", "cross_value", "long_run",
-                   "short_run", "tsignals", "xsignals", "vp", "td_seq", "ichimoku", "dpo"]
+                   "short_run", "tsignals", "xsignals", "vp", "td_seq"]
 
 
 @dataclass
@@ -51,19 +51,18 @@ def specs_for(strategy, exclude=None) -> list[dict]:
 
 
 def run_strategy(bars: DataFrame, strategy="all", exclude=None, symbol: str = "symbol", ts: str = "ts",
-                 segment="auto", lookback: int = 300, close: str | None = None) -> DataFrame:
+                 segment="auto", lookback: int = 0, close: str | None = None) -> DataFrame:
     """Apply a strategy; ``close`` renames the price column used as ``close``
     (e.g. ``adj_close``)."""
     specs = specs_for(strategy, exclude)
     if close:
         specs = [dict(s, close=close) if "close" not in s else s for s in specs]
-    look = any(R.REGISTRY[s["kind"]].lookahead for s in specs)
-    f = SeriesFrame(bars, symbol, ts, segment=segment, lookback=lookback, lookahead=60 if look else 0)
+    f = SeriesFrame(bars, symbol, ts, segment=segment, lookback=lookback)
     R.run(f, specs)
     return f.result()
 
 
-def ta(bars: DataFrame, kind: str, symbol: str = "symbol", ts: str = "ts", segment="auto", lookback: int = 300,
+def ta(bars: DataFrame, kind: str, symbol: str = "symbol", ts: str = "ts", segment="auto", lookback: int = 0,
        **params) -> DataFrame:
     """Accessor-style single indicator (``df.ta(kind=...)``); unknown kinds raise."""
     if kind not in R.REGISTRY:

@@ -116,7 +116,7 @@ def amat(f, close="close", fast=8, slow=21, lookback=2, mamode="ema"):
 @indicator("aroon", "trend")
 def aroon(f, high="high", low="low", length=14, scalar=100):
     n, s = _len(length, 14), _f(scalar, 100.0)
-    w = f.rows(n + 1)
+    w = f.rows(n + 1, 0, F.struct(C(high), C(low)))
     rn = F.col("_rn")
     ok = F.count(C(high)).over(w) >= n + 1
     hh = F.max_by(rn, F.struct(C(high), rn)).over(w)

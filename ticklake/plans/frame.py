@@ -9,17 +9,23 @@ splits each symbol into *time segments* and plans all work per
 * row numbers: segment row counts (a small aggregate) give each segment its
   first global row number; inside a segment ``row_number`` adds the rest;
 * look-back windows (rolling, lag, weighted sums, regressions): every
-  partition also receives whole preceding segments ("halo" rows) until at
-  least ``lookback`` rows precede its first real row (and following segments
-  for ``lookahead``), so bounded ROWS frames see the right rows;
+  partition also receives the last ``lookback`` rows before its first real
+  row (and ``lookahead`` rows after its last) as "halo" copies, so bounded
+  ROWS frames see the right rows.  The runner derives the look-back from the
+  requested indicators: chained windows add up (``SeriesFrame.need``);
 * unbounded recurrences (EMA-like ``y = a*y + b``, running max/min, running
   sums): computed locally per partition in one Arrow pass, then corrected
   with the exact carry of all earlier segments.  Affine maps compose, so the
   carry is a scan over the tiny per-segment summary table.
 
-Segments come from the bar timestamps.  ``segment="auto"`` sizes them from one
-small aggregate so that no partition exceeds ``target_rows`` rows; a symbol
-that fits stays in one segment and gets no halo copies.
+Every ordered Python pass stands on a window over ``(symbol, _part)``, so the
+layout it relies on is a requirement of the plan and not an accident of the
+operators before it.
+
+``segment="auto"`` cuts only symbols above ``target_rows`` rows, each at the
+quantiles of its own timestamps, so bursts are cut finer than quiet spells.
+A segmented and a whole-symbol plan give the same answers
+(``tests/test_frame.py`` compares them for every category).
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HELPERS = ("_seg", "_part", "_halo", "_pidx", "_first", "_pstart", "_rn")
+HELPERS = ("_seg", "_part", "_halo", "_pidx", "_rn")
 
 _UNITS = {"s": 1, "sec": 1, "second": 1, "seconds": 1, "m": 60, "min": 60, "minute": 60,
           "minutes": 60, "h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400,
@@ -70,41 +76,76 @@ class SeriesFrame:
     """Bars of many symbols, planned per (symbol, time segment)."""
 
     def __init__(self, df: DataFrame, symbol: str = "symbol", ts: str = "ts",
-                 segment: str | None = "auto", lookback: int = 300, lookahead: int = 0,
+                 segment: str | None = "auto", lookback: int = 0, lookahead: int = 0,
                  target_rows: int = 2_000_000):
         self.symbol, self.ts = symbol, ts
         self.lookback, self.lookahead = int(lookback), int(lookahead)
         self.columns = [c for c in df.columns]
+        self.input = df
+        #: rows of look-back / look-ahead that the expressions built so far reach, chains added up
+        self.need, self.need_ahead = 0, 0
+        self.depths: dict[str, tuple[int, int]] = {}
+        self._cuts = None
+        self.dry = False
         if segment == "auto":
-            segment = self._auto_segment(df, target_rows)
+            self._cuts = self._quantile_cuts(df, target_rows)
+            segment = None if self._cuts is None else "auto"
         self.segment = segment
         self.df = self._build(df)
 
+    def probe(self) -> "SeriesFrame":
+        """An empty whole-symbol frame with the same columns, to find out what a request needs."""
+        empty = self.input.sparkSession.createDataFrame([], self.input.schema)
+        dry = SeriesFrame(empty, self.symbol, self.ts, segment=None)
+        dry.dry = True
+        return dry
+
+    def reach(self, lookback: int, lookahead: int) -> None:
+        """Make the halo reach at least so far; only before columns are added."""
+        if self.segment is None or (lookback <= self.lookback and lookahead <= self.lookahead):
+            return
+        if set(self.df.columns) - set(self.columns) - set(HELPERS):
+            raise ValueError(f"the request needs {lookback} rows of look-back and {lookahead} of look-ahead; "
+                             "build the frame with them")
+        self.lookback, self.lookahead = max(lookback, self.lookback), max(lookahead, self.lookahead)
+        self.df = self._build(self.input)
+
     # ------------------------------------------------------------------ plan
-    def _auto_segment(self, df: DataFrame, target_rows: int) -> str | None:
-        st = (df.groupBy(self.symbol)
-                .agg(F.count(F.lit(1)).alias("n"),
-                     (F.unix_seconds(F.max(self.ts)) - F.unix_seconds(F.min(self.ts))).alias("span"))
-                .agg(F.max("n").alias("n"), F.max("span").alias("span"))).first()
-        if st is None or st["n"] is None or st["n"] <= target_rows:
+    def _quantile_cuts(self, df: DataFrame, target_rows: int) -> DataFrame | None:
+        """``(symbol, _cuts)`` of the symbols that need cutting; None if none does.
+
+        One small aggregate finds the largest symbol; only if it is above the
+        target a second one takes timestamp quantiles of the large symbols
+        (a mergeable sketch of bounded size).
+        """
+        sizes = df.groupBy(self.symbol).agg(F.count(F.lit(1)).alias("_n"))
+        most = sizes.agg(F.max("_n").alias("n")).first()["n"]
+        if most is None or most <= target_rows:
             return None
-        # rows per second of the densest symbol -> segment length holding ~target_rows
-        secs = max(1, int(st["span"] * target_rows / st["n"]))
-        return f"{secs} seconds"
+        parts = min(math.ceil(most / target_rows), 10_000)
+        share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        large = sizes.where(F.col("_n") > target_rows).select(self.symbol)
+        return (df.join(large, self.symbol).groupBy(self.symbol)
+                .agg(F.array_distinct(F.percentile_approx(F.unix_micros(F.col(self.ts)), share, 20 * parts)).alias("_cuts")))
+
+    def _segmented(self, df: DataFrame) -> DataFrame:
+        at = F.unix_micros(F.col(self.ts))
+        if self._cuts is None:
+            us = interval_seconds(self.segment) * 1_000_000
+            return df.withColumn("_seg", F.floor(at / F.lit(us)).cast("long"))
+        passed = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < at))
+        return df.join(self._cuts, self.symbol, "left").withColumn("_seg", passed.cast("long")).drop("_cuts")
 
     def _build(self, df: DataFrame) -> DataFrame:
         sym, ts = self.symbol, self.ts
         if self.segment is None:
             # every symbol fits one partition: no segment table, no halo copies
             rows = (df.withColumn("_seg", F.lit(0).cast("long")).withColumn("_part", F.lit(0).cast("long"))
-                    .withColumn("_halo", F.lit(False)).withColumn("_pidx", F.lit(1))
-                    .withColumn("_first", F.lit(1)).withColumn("_pstart", F.lit(0).cast("long")))
+                    .withColumn("_halo", F.lit(False)).withColumn("_pidx", F.lit(1)))
             rows = rows.repartition(sym, "_part")
             wp = Window.partitionBy(sym, "_part").orderBy(ts)
             return rows.withColumn("_rn", F.row_number().over(wp).cast("long"))
-        us = interval_seconds(self.segment) * 1_000_000
-        seg = F.floor(F.unix_micros(F.col(ts)) / F.lit(us)).cast("long")
-        base = df.withColumn("_seg", seg)
+        base = self._segmented(df)
         # small table: one row per (symbol, segment)
         w = Window.partitionBy(sym).orderBy("_seg")
         segtab = (base.groupBy(sym, "_seg").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -112,18 +153,16 @@ class SeriesFrame:
                           (F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))
                            - F.col("_cnt")).alias("_start"),
                           F.sum("_cnt").over(Window.partitionBy(sym)).alias("_tot")))
-        info, rows = self._halo(base, segtab)
-        self._info = info
-        rows = rows.repartition(sym, "_part")
-        # info has one row per (symbol, segment); AQE broadcasts it when its
-        # runtime size allows, else the join reuses the (symbol, _part) layout
-        rows = rows.join(info, [sym, "_part"])
-        wp = Window.partitionBy(sym, "_part").orderBy(ts)
-        rows = rows.withColumn("_rn", (F.col("_pstart") + F.row_number().over(wp)).cast("long"))
-        return rows
-
-    def _halo(self, base: DataFrame, segtab: DataFrame):
-        """Which segments each partition needs: [first, last] by segment ordinal."""
+        self._targets = self._halo(segtab)
+        # the target table has one row per (symbol, segment); AQE broadcasts it
+        # when its runtime size allows, else the join is on (symbol, segment)
+        rows = base.join(self._targets, [sym, "_seg"])
+        ws = Window.partitionBy(sym, "_seg").orderBy(ts)
+        rows = rows.withColumn("_rn", (F.col("_start") + F.row_number().over(ws)).cast("long"))
+        return self._dealt(rows)
+
+    def _halo(self, segtab: DataFrame) -> DataFrame:
+        """Per source segment: the partitions that want rows of it, as (part, its ordinal, first and last row)."""
         sym, L, Fw = self.symbol, self.lookback, self.lookahead
         lo = F.greatest(F.col("_start") - L, F.lit(0))
         hi = F.least(F.col("_start") + F.col("_cnt") - 1 + Fw, F.col("_tot") - 1)
@@ -141,29 +180,38 @@ class SeriesFrame:
         rng = (ev.groupBy(sym, "_dst")
                .agg(F.max(F.when(F.col("_q") == "lo", F.col("_found"))).alias("_first"),
                     F.max(F.when(F.col("_q") == "hi", F.col("_found"))).alias("_last")))
-        st = segtab.select(sym, F.col("_sidx").alias("_dst"), F.col("_seg").alias("_part"))
-        fs = segtab.select(sym, F.col("_sidx").alias("_first"), F.col("_start").alias("_pstart"))
-        rng = rng.join(st, [sym, "_dst"]).join(fs, [sym, "_first"])
-        info = rng.select(sym, "_part", F.col("_dst").cast("int").alias("_pidx"), "_first", "_pstart")
-        # every (source segment -> partition) copy, the segment's own partition
-        # included (halo = false): one join attaches real and halo rows, so
-        # the input plan is referenced once (no union of two lineages)
-        pairs = (rng.select(sym, "_part", "_dst", F.explode(F.sequence("_first", "_last")).alias("_src"))
-                 .join(segtab.select(sym, F.col("_sidx").alias("_src"), "_seg"), [sym, "_src"])
-                 .select(sym, "_seg", "_part", (F.col("_src") != F.col("_dst")).alias("_halo")))
-        self._pairs = pairs
-        return info, base.join(pairs, [sym, "_seg"])
+        dst = segtab.select(sym, F.col("_sidx").cast("long").alias("_dst"),
+                            F.struct(F.col("_seg").alias("part"), F.col("_sidx").alias("pidx"),
+                                     (lo + 1).alias("lo"), (hi + 1).alias("hi")).alias("_t"))
+        pairs = rng.join(dst, [sym, "_dst"]).select(sym, "_t", F.explode(F.sequence("_first", "_last")).alias("_sidx"))
+        wanted = pairs.groupBy(sym, "_sidx").agg(F.collect_list("_t").alias("_want"))
+        return segtab.join(wanted, [sym, "_sidx"]).select(sym, "_seg", "_start", "_want")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Numbered real rows, each sent to its own partition and to those whose halo it is in."""
+        near = F.filter("_want", lambda t: (F.col("_rn") >= t["lo"]) & (F.col("_rn") <= t["hi"]))
+        out = rows.withColumn("_t", F.explode(near))
+        out = out.withColumns({"_part": F.col("_t.part"), "_pidx": F.col("_t.pidx"),
+                               "_halo": F.col("_t.part") != F.col("_seg")}).drop("_t", "_want", "_start")
+        return out.repartition(self.symbol, "_part")
 
     def rehalo(self) -> None:
         """Re-attach halo copies from the real rows (after a recurrence level,
-        whose values are exact on real rows only)."""
+        whose values are exact on real rows only).  Every column's halo rows
+        are exact then, so windows over them start counting anew."""
+        self.depths = {}
         if self.segment is None:
             return
-        sym = self.symbol
         real = self.df.filter(~F.col("_halo"))
-        cols = [c for c in real.columns if c not in ("_part", "_halo", "_pidx", "_first", "_pstart")]
-        out = real.select(*cols).join(self._pairs, [sym, "_seg"]).join(self._info, [sym, "_part"])
-        self.df = out.select(*real.columns).repartition(sym, "_part")
+        cols = list(real.columns)
+        out = self._dealt(real.drop("_part", "_halo", "_pidx").join(self._targets, [self.symbol, "_seg"]))
+        self.df = out.select(*cols)
+
+    def ordered(self, df: DataFrame, reverse: bool = False) -> DataFrame:
+        """``df`` clustered by (symbol, _part) and sorted by row, as a requirement of the plan (column ``_ord``)."""
+        by = F.col("_rn").desc() if reverse else F.col("_rn")
+        out = df.withColumn("_ord", F.row_number().over(Window.partitionBy(self.symbol, "_part").orderBy(by)))
+        return out.sortWithinPartitions(self.symbol, "_part", by)
 
     # --------------------------------------------------------------- windows
     @property
@@ -173,22 +221,38 @@ class SeriesFrame:
             self._rows = {}
         return self._w
 
-    def rows(self, n: int, end: int = 0):
-        if n - 1 > self.lookback:
-            raise ValueError(f"window of {n} rows exceeds lookback={self.lookback}; build the frame "
-                             "with a larger lookback")
+    def rows(self, n: int, end: int = 0, x=None):
+        """ROWS frame of ``n`` rows that ends ``end`` rows ahead, over the expression ``x``."""
+        self.reached(n - 1 - end, end, x)
         w = self.w
         key = (n, end)
         if key not in self._rows:
             self._rows[key] = w.rowsBetween(-(n - 1) + end, end)
         return self._rows[key]
 
-    def whole(self):
-        """Frame over a symbol's whole history: only valid without segments."""
-        return Window.partitionBy(self.symbol)
+    def depth(self, x) -> tuple[int, int]:
+        """How far an expression reaches back and ahead: its own windows plus those of the columns it reads."""
+        text = x if isinstance(x, str) else str(x)
+        back = [int(k) for k in re.findall(r"ROWS BETWEEN -?(\d+)", text)] + [int(k) for k in re.findall(r"\blag\([^()]*?, (\d+), NULL\)", text)]
+        ahead = [int(k) for k in re.findall(r"\blead\([^()]*?, (\d+), NULL\)", text)]
+        inner = [self.depths[c] for c in set(re.findall(r"\w+", text)) if c in self.depths]
+        return (max(back, default=0) + max((d[0] for d in inner), default=0),
+                max(ahead, default=0) + max((d[1] for d in inner), default=0))
+
+    def reached(self, back: int, ahead: int = 0, x=None) -> None:
+        """Note a window over ``x``; on a segmented frame it must lie in the halo."""
+        inner = (0, 0) if x is None else self.depth(x)
+        self.need, self.need_ahead = max(self.need, back + inner[0]), max(self.need_ahead, ahead + inner[1])
+        if self.segment is not None and (self.need > self.lookback or self.need_ahead > self.lookahead):
+            raise ValueError(f"a window reaches {self.need} rows back and {self.need_ahead} ahead; the frame was built with "
+                             f"lookback={self.lookback}, lookahead={self.lookahead}")
 
     def with_columns(self, cols: dict) -> "SeriesFrame":
         if cols:
+            for name, c in cols.items():
+                d = self.depth(c)
+                if d != (0, 0):
+                    self.depths[name] = d
             self.df = self.df.withColumns(cols)
         return self
 
@@ -232,16 +296,17 @@ class SeriesFrame:
             if kind == "lin":
                 out_fields += [T.StructField(f"{nm}_g", T.DoubleType())]
         schema = T.StructType(out_fields)
-        # rows of one (symbol, segment) are clustered in one partition (the
-        # frame is hash-partitioned on it); stream them in row order through
-        # one Python call per Arrow batch (a grouped UDF would pay per group)
-        src = df.sortWithinPartitions(sym, "_part", F.col("_rn").desc() if reverse else F.col("_rn"))
-        local = src.mapInPandas(_local_scans(sym, specs), schema)
+        # stream the rows of each (symbol, segment) in order through one Python
+        # call per Arrow batch (a grouped UDF would pay per group)
+        src = self.ordered(df, reverse)
+        schema = T.StructType([*src.schema.fields, *schema.fields[len(df.columns):]])
+        local = src.mapInPandas(_local_scans(sym, specs), schema).drop("_ord")
         if self.segment is None:
             # one partition per symbol: the local pass is already the answer
             outs = {nm: F.col(f"{nm}_y") for nm, *_ in specs}
             drop = [c for nm, *_ in specs for c in (f"{nm}_y", f"{nm}_g", f"{nm}_b", f"{nm}_a")]
             self.df = local.withColumns(outs).drop(*drop)
+            self.rehalo()
             return names
         # segmented: write the pass once to the shared checkpoint folder; the
         # summaries and the final join both read it (no second Python pass,
@@ -277,17 +342,6 @@ class SeriesFrame:
         return names
 
 
-def _group_scans(sym: str, specs, reverse: bool):
-    """One (symbol, segment) group in row order (descending for reverse)."""
-    inner = _local_scans(sym, specs)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn", ascending=not reverse, kind="stable").reset_index(drop=True)
-        return next(iter(inner(iter([pdf]))))
-
-    return fn
-
-
 def _local_scans(sym: str, specs):
     """Per partition, over its real rows in order: the recurrence from a zero
     state at the segment's first row (``_y``) and, for affine recurrences, the
@@ -480,9 +534,9 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
         real = real.join(last.groupBy(sym).agg(*aggs), sym, "left")
     if f.segment is None:
         # every symbol is one (symbol, _part) group, clustered in one partition
-        src = real.sortWithinPartitions(sym, "_part", "_rn")
+        src = f.ordered(real)
     else:
-        src = real.repartition(sym).sortWithinPartitions(sym, "_rn")
+        src = f.ordered(real.withColumn("_part", F.lit(0).cast("long")))
     schema = T.StructType(list(src.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
     in_names, keep = list(ins), list(src.columns)
 
@@ -508,10 +562,11 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
                     res[j][i] = o[j]
             yield pdf.assign(**{n: r for n, r in zip(names, res)})
 
-    out = src.mapInPandas(fn, schema).drop(*in_names, *tail_cols)
+    out = src.mapInPandas(fn, schema).drop(*in_names, *tail_cols, "_ord")
     if f.segment is None:
         f.df = out  # no halo rows without segments
+        f.rehalo()
     else:
         f.df = out.withColumn("_halo", F.lit(False)).checkpoint(eager=True)
-        f.rehalo()
+        f.rehalo()  # (_part comes back from the segment)
     return names

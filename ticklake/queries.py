@@ -46,7 +46,7 @@ def r4(c):
 
 def _ind_df(spark, sf_dir, bars, specs, outs, ints=(), segment="auto", lookahead=0):
     b = BARS_FN[bars](spark, sf_dir)
-    f = SeriesFrame(b, segment=segment, lookback=300, lookahead=lookahead)
+    f = SeriesFrame(b, segment=segment)
     R.run(f, specs)
     df = f.result()
     sel = [F.col("symbol"), F.col("ts")]
