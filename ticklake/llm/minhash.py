@@ -308,7 +308,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sk = cut(sketch(src, words), "sketch")
     named = sk.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    heads = named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # (written first, so that both sides of the next join are plain shuffles, which adaptive execution can split)
+    heads = cut(named.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "heads")
     member = cut(named.select("doc_id", "n_shingles", "k1", "k2").join(heads, ["n_shingles", "k1", "k2"]).select("doc_id", "rep").distinct(), "member")
     only = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2")
     reps = cut(named.join(only, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select(
