@@ -14,10 +14,12 @@ def composite_join(sources: dict[str, DataFrame], on: list[str] = ("ts",), ffill
                    series: str = "composite", skip_empty: bool = True) -> DataFrame:
     """Full outer join of several sources on ``on``; colliding column names
     get a ``_<source>`` suffix; empty sources are skipped (all empty ->
-    error); the joined series is forward filled in ``on`` order.
+    error); each joined series is forward filled in the order of the last
+    ``on`` column.
 
-    The joined series is one ordered series; its fill runs on the segmented
-    frame, so a long composite is still split over many tasks."""
+    The other ``on`` columns name the series (``on=["symbol", "ts"]`` fills per
+    symbol); with one column there is one series.  The fill runs on the
+    segmented frame, so a long composite is still split over many tasks."""
     on = list(on)
     items = [(n, d) for n, d in sources.items() if not (skip_empty and d.isEmpty())]
     if not items:
@@ -37,7 +39,7 @@ def composite_join(sources: dict[str, DataFrame], on: list[str] = ("ts",), ffill
     if not ffill:
         return out
     key = "__series"
-    out = out.withColumn(key, F.lit(series))
+    out = out.withColumn(key, F.to_json(F.struct(*on[:-1])) if len(on) > 1 else F.lit(series))
     ts = on[-1]
     f = SeriesFrame(out, key, ts, segment="auto", lookback=1)
     cols = [c for c in out.columns if c not in on and c != key]
@@ -103,7 +105,13 @@ def to_utc(df: DataFrame, ts: str = "ts", tz: str | None = None) -> DataFrame:
 
 
 def is_ordered(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> bool:
-    """True when every symbol's rows are strictly increasing in ``ts`` in the
-    given row order is not knowable in Spark; this checks uniqueness of
-    (symbol, ts) instead, the property ordering-by-ts needs."""
-    return df.groupBy(symbol, ts).count().filter("count > 1").isEmpty()
+    """True when every symbol's timestamps strictly increase in the order in
+    which the rows stand (files in name order, rows as written).
+
+    Each row is numbered where it stands; a symbol's rows are in order when
+    ranking them by position and by timestamp agrees, that is when no row's
+    timestamp is at or below the one before it."""
+    from pyspark.sql import Window
+    at = df.select(F.col(symbol).alias("s"), F.col(ts).alias("t")).withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("t").over(Window.partitionBy("s").orderBy("at"))
+    return at.withColumn("before", before).filter("t <= before OR t IS NULL").isEmpty()

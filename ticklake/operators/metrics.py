@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ticklake.functions import blocks as B
 from ticklake.functions.blocks import C, dv, lag
+from ticklake.operators.registry import _advance_all
 from ticklake.operators.registry import run as run_specs
 from ticklake.plans.frame import SeriesFrame
 
@@ -119,14 +120,26 @@ def metrics(bars: DataFrame, benchmark_rate: float = 0.0, calmar_years: int = 3,
 def jensens_alpha(bars: DataFrame, benchmark_symbol: str, symbol: str = "symbol", ts: str = "ts",
                   close: str = "close") -> DataFrame:
     """OLS intercept of each symbol's percent returns on the benchmark's
-    returns, aligned by timestamp (inner join), benchmark gaps linearly
-    interpolated.  The benchmark is one symbol's series (bounded by time, not
-    by the number of symbols) joined on ts."""
+    returns, aligned by timestamp; where the benchmark has no bar, its return
+    is interpolated linearly between its neighbours on the union of all
+    timestamps (held at the ends).  The benchmark is one symbol's series
+    (bounded by time, not by the number of symbols) joined on ts."""
     f = SeriesFrame(bars, symbol, ts, segment="auto", lookback=2)
     f.with_columns({"__r": dv(C(close), lag(f, close, 1)) - 1})
     rets = f.result(keep=[symbol, ts, "__r"])
     bench = rets.filter(F.col(symbol) == benchmark_symbol).select(F.col(ts), F.col("__r").alias("__br"))
-    j = rets.join(bench, ts)
+    # the benchmark on every timestamp that occurs
+    grid = rets.select(ts).distinct().join(bench, ts, "left").withColumn("__s", F.lit("benchmark"))
+    line = SeriesFrame(grid, "__s", ts, segment="auto")
+
+    def between(f):
+        known = F.when(C("__br").isNotNull(), F.col("_rn").cast("double"))
+        (a, ia, b, ib) = yield B.ffill(f, "__br"), B.ffill(f, known), B.bfill(f, "__br"), B.bfill(f, known)
+        share = dv(F.col("_rn") - ia, ib - ia)
+        return {"__br": F.coalesce(C("__br"), a + (b - a) * share, a)}
+
+    line.with_columns(_advance_all(line, [(between, {}, {})]))
+    j = rets.join(line.result(keep=[ts, "__br"]), ts)
     return j.groupBy(symbol).agg(F.regr_intercept("__r", "__br").alias("jensens_alpha"),
                                  F.regr_slope("__r", "__br").alias("beta"))
 

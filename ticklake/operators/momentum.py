@@ -414,7 +414,7 @@ def _bb_kc(f, high, low, close, bb_length, bb_std, kc_length, kc_scalar, mamode,
 
 @indicator("squeeze", "momentum")
 def squeeze(f, high="high", low="low", close="close", bb_length=20, bb_std=2.0, kc_length=20, kc_scalar=1.5,
-            mom_length=12, mom_smooth=6, mamode="sma", tr=True, lazybear=False, asint=True):
+            mom_length=12, mom_smooth=6, mamode="sma", tr=True, lazybear=False, asint=True, detailed=False):
     bl_, bs, kl, ks = _len(bb_length, 20), _f(bb_std, 2.0), _len(kc_length, 20), _f(kc_scalar, 1.5)
     ml, msm = _len(mom_length, 12), _len(mom_smooth, 6)
     mm = mamode if isinstance(mamode, str) else "sma"
@@ -435,7 +435,18 @@ def squeeze(f, high="high", low="low", close="close", bb_length=20, bb_std=2.0,
     no = ~on & ~off
     props = ("" if tr else "hlr") + f"_{bl_}_{bs}_{kl}_{ks}" + ("_LB" if lazybear else "")
     cast = (lambda c: c.cast("int")) if asint else (lambda c: c)
-    return {f"SQZ{props}": sq, "SQZ_ON": cast(on), "SQZ_OFF": cast(off), "SQZ_NO": cast(no)}
+    out = {f"SQZ{props}": sq, "SQZ_ON": cast(on), "SQZ_OFF": cast(off), "SQZ_NO": cast(no)}
+    if detailed:
+        sq = B.mat(f, sq)
+        change = sq - lag(f, sq, 1)
+        # rises and falls against the last value of the same sign, however many rows ago
+        pos, neg = B.mat(f, F.when(sq >= 0, sq)), B.mat(f, F.when(sq < 0, sq))
+        last_pos, last_neg = yield B.ffill(f, pos), B.ffill(f, neg)
+        dp, dn = pos - lag(f, last_pos, 1), neg - lag(f, last_neg, 1)
+        pick = lambda cond: F.when(cond & (sq != 0), sq)
+        out.update({"SQZ_INC": pick(change > 0), "SQZ_DEC": pick(change < 0), "SQZ_PINC": pick(dp > 0), "SQZ_PDEC": pick(dp < 0),
+                    "SQZ_NDEC": pick(dn < 0), "SQZ_NINC": pick(dn > 0)})
+    return out
 
 
 @indicator("squeeze_pro", "momentum")

@@ -368,3 +368,43 @@ def ichimoku(f, high="high", low="low", close="close", tenkan=9, kijun=26, senko
     if include_chikou:
         out[f"ICS_{k}"] = lag(f, close, -(k - 1))
     return out
+
+
+@indicator("hilo", "overlap")
+def hilo(f, high="high", low="low", close="close", high_length=13, low_length=21, mamode="sma"):
+    """Gann HiLo: the low average from a close above yesterday's high average on,
+    the high average from a close below yesterday's low average on; between
+    such rows the line carries the last value forward."""
+    hn, ln = _len(high_length, 13), _len(low_length, 21)
+    mm = mamode.lower() if isinstance(mamode, str) else "sma"
+    ha = yield from ma_gen(f, mm, high, hn)
+    la = yield from ma_gen(f, mm, low, ln)
+    ha, la = B.mat(f, ha), B.mat(f, la)
+    up = F.coalesce(C(close) > lag(f, ha, 1), F.lit(False))
+    down = F.coalesce(C(close) < lag(f, la, 1), F.lit(False)) & ~up
+    up, down = B.mat(f, up), B.mat(f, down)
+    line = yield B.ffill(f, F.when(up, la).when(down, ha))
+    p = f"_{hn}_{ln}"
+    return {f"HILO{p}": line, f"HILOl{p}": F.when(~down, line), f"HILOs{p}": F.when(~up, line)}
+
+
+def ichimoku_span(bars, tenkan=9, kijun=26, senkou=52, symbol="symbol", ts="ts", segment="auto"):
+    """The cloud ahead: the last ``kijun`` span values of each symbol, dated on
+    the business days that follow its last bar (``symbol, ts, ISA, ISB``).
+    A top-k per symbol over the finished indicator."""
+    from ticklake.operators.joins import tail
+    from ticklake.plans.frame import SeriesFrame
+    t, k, s = _len(tenkan, 9), _len(kijun, 26), _len(senkou, 52)
+    f = SeriesFrame(bars, symbol, ts, segment=segment, lookback=max(t, k, s))
+    mid = lambda n: 0.5 * (roll(f, "high", n, "max") + roll(f, "low", n, "min"))
+    f.with_columns({"__a": 0.5 * (mid(t) + mid(k)), "__b": mid(s)})
+    rows = f.result(keep=[symbol, ts, "__a", "__b", "_rn"]).withColumnRenamed("_rn", "__rn")
+    last = rows.groupBy(symbol).agg(F.max(ts).alias("__last"), F.max("__rn").alias("__n"))
+    near = tail(rows, k, symbol, ts).join(last, symbol).where(F.col("__rn") > F.col("__n") - k)
+    i = F.col("__rn") - (F.col("__n") - F.least(F.col("__n"), F.lit(k))) - 1
+    day = F.weekday(F.date_add(F.col("__last").cast("date"), 1))
+    skip = F.when(day >= 5, 7 - day).otherwise(F.lit(0))
+    first = F.when(day >= 5, F.lit(0)).otherwise(day)
+    ahead = (1 + skip + F.floor((first + i) / 5) * 7 + (first + i) % 5 - first).cast("int")
+    date = F.col("__last") + F.make_interval(days=ahead)
+    return near.select(symbol, date.alias(ts), F.col("__a").alias(f"ISA_{t}"), F.col("__b").alias(f"ISB_{k}"))

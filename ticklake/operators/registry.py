@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ticklake.functions.blocks import Need, lag
+from ticklake.functions.blocks import Need, bfill, ffill, lag
 from ticklake.plans.frame import SeriesFrame, fresh
 
 REGISTRY: dict[str, "Indicator"] = {}
@@ -54,7 +54,10 @@ def indicators(category: str | None = None, exclude=()) -> list[str]:
 
 
 def _post(f: SeriesFrame, cols: dict, spec: dict) -> dict:
-    """offset / fillna / prefix / suffix / col_names handling of one call."""
+    """offset / fillna / col_numbers / prefix / suffix / col_names handling of one call."""
+    if spec.get("col_numbers") is not None and len(cols) > 1:
+        items = list(cols.items())
+        cols = dict(items[int(k)] for k in spec["col_numbers"])
     offset = int(spec.get("offset") or 0)
     fillna = spec.get("fillna")
     prefix = spec.get("prefix")
@@ -73,10 +76,41 @@ def _post(f: SeriesFrame, cols: dict, spec: dict) -> dict:
         if suffix:
             nm = f"{nm}_{suffix}"
         out[safe(nm)] = c
+    spec["_made"] = list(out)
     return out
 
 
-_CTRL = ("kind", "offset", "fillna", "prefix", "suffix", "col_names", "col_numbers")
+_CTRL = ("kind", "offset", "fillna", "fill_method", "prefix", "suffix", "col_names", "col_numbers", "signal_indicators", "_made")
+#: Options of ``signal_indicators`` and, per indicator, the outputs they are drawn for with their defaults.
+_SIGNAL_OPTIONS = ("xa", "xb", "xserie", "xserie_a", "xserie_b", "cross_values", "cross_series")
+_SIGNALS = {
+    "rsi": [(0, dict(xa=80, xb=20))], "er": [(0, dict(xa=80, xb=20))],
+    "macd": [(1, dict(xa=0, xb=None, cross_values=True)), (0, dict(xa=0, xb=None))],
+}
+
+
+def _filled(f: SeriesFrame, names: list[str], method: str) -> None:
+    """Forward or backward fill of finished outputs."""
+    if method not in ("ffill", "pad", "bfill", "backfill"):
+        raise ValueError(f"unknown fill_method {method!r}")
+    fill = ffill if method in ("ffill", "pad") else bfill
+
+    def gen(f):
+        ys = yield tuple(fill(f, F.col(n)) for n in names)
+        return dict(zip(names, ys))
+
+    f.with_columns(_advance_all(f, [(gen, {}, {})]))
+
+
+def _signal_specs(spec: dict) -> list[dict]:
+    given = {k: spec[k] for k in _SIGNAL_OPTIONS if k in spec}
+    if spec["kind"] not in _SIGNALS:
+        raise ValueError(f"{spec['kind']!r} takes no signal_indicators")
+    out = []
+    for at, defaults in _SIGNALS[spec["kind"]]:
+        out.append({**defaults, **given, "kind": "signals", "indicator": spec["_made"][at].replace(DOT, ".")})
+        given = {}  # the options hold for the first output only
+    return out
 DOT = "__DOT__"
 
 
@@ -109,7 +143,7 @@ def run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
 
 def _run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
     pending = []
-    for spec in specs:
+    for spec in [dict(s) for s in specs]:
         kind = spec["kind"]
         if kind not in REGISTRY:
             raise KeyError(f"unknown indicator {kind!r}")
@@ -117,7 +151,7 @@ def _run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
                                                                 "fast", "slow", "trend", "signal", "series_a",
                                                                 "series_b", "indicator", "xserie", "xserie_a",
                                                                 "xserie_b") else v)
-                  for k, v in spec.items() if k not in _CTRL}
+                  for k, v in spec.items() if k not in _CTRL and not (spec.get("signal_indicators") and k in _SIGNAL_OPTIONS)}
         pending.append((spec, params))
     result: dict[str, str] = {}
     while pending:
@@ -134,6 +168,11 @@ def _run(f: SeriesFrame, specs: list[dict]) -> dict[str, str]:
         outs = _advance_all(f, [(REGISTRY[s["kind"]].fn, p, s) for s, p in ready])
         f.with_columns(outs)
         result.update({k: k for k in outs})
+        for method in {s.get("fill_method") for s, _ in ready} - {None}:
+            _filled(f, [n for s, _ in ready if s.get("fill_method") == method for n in s["_made"]], method)
+        drawn = [x for s, _ in ready if s.get("signal_indicators") for x in _signal_specs(s)]
+        if drawn:
+            result.update(_run(f, drawn))
         pending = later
     return result
 

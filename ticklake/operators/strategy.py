@@ -56,7 +56,7 @@ def run_strategy(bars: DataFrame, strategy="all", exclude=None, symbol: str = "s
     (e.g. ``adj_close``)."""
     specs = specs_for(strategy, exclude)
     if close:
-        specs = [dict(s, close=close) if "close" not in s else s for s in specs]
+        specs = [dict(s, close=close) if "close" not in s and "close" in R.REGISTRY[s["kind"]].defaults else s for s in specs]
     f = SeriesFrame(bars, symbol, ts, segment=segment, lookback=lookback)
     R.run(f, specs)
     return f.result()

@@ -176,9 +176,29 @@ def pvt(f, close="close", volume="volume", drift=1):
     return {"PVT": y}
 
 
+def _vp_by_price(df: DataFrame, w: int, symbol: str, close: str, volume: str) -> DataFrame:
+    """Volume per price range: ``w`` ranges of equal width between the symbol's
+    smallest and largest close, closed on the right, bounds rounded to two
+    digits, the lowest one widened by a thousandth.  Empty ranges are listed."""
+    ends = df.groupBy(symbol).agg(F.min(close).alias("__lo"), F.max(close).alias("__hi"))
+    step = (F.col("__hi") - F.col("__lo")) / w
+    j = df.join(ends, symbol)
+    at = F.when(step > 0, F.ceil((C(close) - F.col("__lo")) / step) - 1).otherwise(F.lit(0))
+    j = j.withColumn("chunk", F.least(F.greatest(at, F.lit(0)), F.lit(w - 1)).cast("int"))
+    pos, neg = F.when(F.col("__sg") > 0, C(volume) * F.col("__sg")), F.when(F.col("__sg") < 0, -C(volume) * F.col("__sg"))
+    sums = j.groupBy(symbol, "chunk").agg(F.avg(close).alias(f"mean_{close}"), F.sum(pos).alias("__p"), F.sum(neg).alias("__n"))
+    every = ends.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    low = F.col("__lo") + F.col("chunk") * step - F.when(F.col("chunk") == 0, (F.col("__hi") - F.col("__lo")) * 0.001).otherwise(F.lit(0.0))
+    out = every.join(sums, [symbol, "chunk"], "left")
+    return out.select(
+        symbol, "chunk", F.round(low, 2).alias(f"low_{close}"), f"mean_{close}", F.round(F.col("__lo") + (F.col("chunk") + 1) * step, 2).alias(f"high_{close}"),
+        F.coalesce("__p", F.lit(0.0)).alias(f"pos_{volume}"), F.coalesce("__n", F.lit(0.0)).alias(f"neg_{volume}"),
+        (F.coalesce("__p", F.lit(0.0)) + F.coalesce("__n", F.lit(0.0))).alias(f"total_{volume}"))
+
+
 def vp(bars: DataFrame, width: int = 10, symbol: str = "symbol", ts: str = "ts", close: str = "close",
-       volume: str = "volume") -> DataFrame:
-    """Volume profile per symbol: rows split into ``width`` contiguous chunks
+       volume: str = "volume", sort_close: bool = False) -> DataFrame:
+    """Volume profile per symbol (``sort_close``: by price range, see ``_vp_by_price``): rows split into ``width`` contiguous chunks
     by position exactly like ``array_split`` (the first N mod width chunks
     get one extra row).  Chunk ids come from the row number and the symbol's
     row count (a small aggregate); the profile itself is a combinable
@@ -190,6 +210,8 @@ def vp(bars: DataFrame, width: int = 10, symbol: str = "symbol", ts: str = "ts",
     sgn = signed_col(fr, close, 1)
     fr.with_columns({"__sg": sgn})
     df = fr.result(keep=[symbol, ts, close, volume, "_rn", "__sg"])
+    if sort_close:
+        return _vp_by_price(df, w, symbol, close, volume)
     cnt = df.groupBy(symbol).agg(F.count(F.lit(1)).alias("__n"))
     df = df.join(cnt, symbol)
     q = F.floor(F.col("__n") / w)

@@ -67,7 +67,7 @@ def read_json_records(spark: SparkSession, path: str, data_field: str | None = "
     r = spark.read.option("multiLine", multiline).option("mode", "DROPMALFORMED")
     df = r.schema(schema).json(path) if schema is not None else r.json(path)
     if data_field and data_field in df.columns:
-        df = df.select(F.explode_outer(data_field).alias("__rec")).select("__rec.*") \
+        df = df.select(F.explode(data_field).alias("__rec")).select("__rec.*") \
             if isinstance(df.schema[data_field].dataType, T.ArrayType) else df.select(f"{data_field}.*")
     return flatten(df)
 
