@@ -42,8 +42,8 @@ from ticklake.llm.common import Prefix, cut, doc_chunks, mix64, ranges, texts_of
 
 GRAM = 64
 CHUNK = 1 << 20
-HEAVY = 64
-LIMIT = 4096
+HEAVY = 4096
+LIMIT = 16384
 SHARD = 64 << 20
 BLOCK = 1 << 16
 MAP_BITS = 22
