@@ -1516,8 +1516,7 @@ ORACLE["xsignals_rsi_hourly"] = _xs.sql(_xs_outs, ints=tuple(_xs_outs))
 
 
 # ---------------------------------------------------------------- state machines
-# Non-linear recurrences: no SQL twin (a recursive CTE would re-state the same
-# loop); tests/test_state_stream.py checks segment invariance and a numpy loop.
+# Non-linear recurrences; their SQL twins (below) carry the state in recursive CTEs.
 _STATE_Q = {
     "psar": ["PSARl_0.02_0.2", "PSARs_0.02_0.2", "PSARaf_0.02_0.2", "PSARr_0.02_0.2"],
     "supertrend": ["SUPERT_7_3.0", "SUPERTd_7_3.0", "SUPERTl_7_3.0", "SUPERTs_7_3.0"],
@@ -1531,6 +1530,17 @@ for _k, _outs in _STATE_Q.items():
         ints=tuple(o for o in _outs if o.startswith(("PSARr", "SUPERTd"))))
 
 
+def _mcgd_spark(spark, sf_dir):
+    """On the raw prices the McGinley recursion diverges (ratios far from 1 to the
+    fourth power); on prices near 1,000 it is a moving average."""
+    f = SeriesFrame(bars_h(spark, sf_dir).withColumn("level", F.col("close") + 1000.0))
+    R.run(f, [dict(kind="mcgd", close="level")])
+    return f.result().select("symbol", "ts", r4(F.col("MCGD_10")).alias("MCGD_10"))
+
+
+SPARK["mcgd_hourly"] = _mcgd_spark
+
+
 def _vp_spark(spark, sf_dir):
     from ticklake.operators.volume import vp
     v = vp(bars_w(spark, sf_dir), width=10)
@@ -1562,10 +1572,6 @@ def _rec_sql(state_cols, init_sel, step_sel, outs):
             f"FROM b JOIN r USING (symbol, rn)")
 
 
-# mcgd: no twin -- on this data the McGinley recursion diverges (values near 1e61),
-# where last-bit differences of pow() between engines are amplified.
-MCGD_SQL_UNUSED = _rec_sql(["m"], "close", "r.m + (b.close - r.m) / (1.0 * 10 * power(b.close / r.m, 4))",
-                           {"MCGD_10": _sr4("r.m")})
 _na, _nb, _nc = 1.0 - 0.2, 1.0 - 0.1, 1.0 - 0.1
 _F = f"({_na!r} * (r.f + r.v + 0.5 * r.a) + 0.2 * b.close)"
 _V = f"({_nb!r} * (r.v + r.a) + 0.1 * ({_F} - r.f))"
@@ -1600,3 +1606,216 @@ def _supertrend_sql():
 
 
 ORACLE["supertrend_hourly"] = _supertrend_sql()
+
+
+def _machine(s: Sql, first: dict, layers: list[dict], state: list[str], outs: dict, ints=()) -> str:
+    """SQL of a state machine over the rows of ``s``: ``first`` gives the state
+    columns on row 1 (over ``c``); each layer of expressions may use the row
+    (``c``'s columns), the state before (``p_...``) and earlier layers."""
+    base = s.cur
+    body = ",\n".join(f"{nm} AS ({txt})" for nm, txt in s.ctes)
+    names = ", ".join(state)
+    inner = (f"SELECT c.*, {', '.join(f'r.{n} AS p_{n}' for n in state)} FROM m r JOIN {base} c "
+             "ON c.symbol = r.symbol AND c.rn = r.rn + 1")
+    for layer in layers:
+        inner = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM ({inner}) x"
+    rec = (f"m(symbol, rn, {names}) AS (SELECT symbol, rn, {', '.join(f'CAST({first[n]} AS {_kind(first[n])})' for n in state)} FROM {base} c WHERE rn = 1 "
+           f"UNION ALL SELECT symbol, rn, {names} FROM ({inner}) y)")
+    sel = ", ".join(f"CAST({e} AS INTEGER) AS {q(n)}" if n in ints else f"{_sr4(e)} AS {q(n)}" for n, e in outs.items())
+    return f"WITH RECURSIVE {body},\n{rec}\nSELECT b.symbol, b.ts, {sel} FROM {base} b JOIN m USING (symbol, rn)"
+
+
+def _kind(e: str) -> str:
+    return "DOUBLE[]" if e.startswith("[") else "DOUBLE"
+
+
+def _from_end(col: str, k: int) -> str:
+    """A symbol's value ``k`` rows before its last, on every row."""
+    return f"nth_value({col}, {k + 1}) OVER (PARTITION BY symbol ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+def _psar_sql():
+    s = Sql("h").cols(lasth=_from_end("high", 0), lastl=_from_end("low", 0))
+    first = dict(side="0", stop="close", extreme="0", speed="0.02", turned="0", h1="high", l1="low", h2="lasth", l2="lastl")
+    new = "p_side = 0"
+    layers = [
+        dict(d0=f"CASE WHEN {new} THEN CASE WHEN p_l1 - low > greatest(high - p_h1, 0.0) THEN -1.0 ELSE 1.0 END ELSE p_side END"),
+        dict(e0=f"CASE WHEN {new} THEN CASE WHEN d0 > 0 THEN p_h1 ELSE p_l1 END ELSE p_extreme END",
+             best="CASE WHEN d0 > 0 THEN high ELSE low END", worst="CASE WHEN d0 > 0 THEN low ELSE high END"),
+        dict(moved="p_stop + p_speed * (e0 - p_stop)"),
+        dict(turned="CASE WHEN d0 * worst < d0 * moved THEN 1.0 ELSE 0.0 END", further="d0 * best > d0 * e0",
+             held="CASE WHEN d0 > 0 THEN least(p_l1, p_l2, moved) ELSE greatest(p_h1, p_h2, moved) END"),
+        dict(e1="CASE WHEN further THEN best ELSE e0 END", f1="CASE WHEN further THEN least(p_speed + 0.02, 0.2) ELSE p_speed END"),
+        dict(side="CASE WHEN turned = 1 THEN -d0 ELSE d0 END", stop="CASE WHEN turned = 1 THEN e1 ELSE held END",
+             extreme="CASE WHEN turned = 1 THEN worst ELSE e1 END", speed="CASE WHEN turned = 1 THEN 0.02 ELSE f1 END",
+             h1="high", l1="low", h2="p_h1", l2="p_l1"),
+    ]
+    p = "_0.02_0.2"
+    return _machine(s, first, layers, list(first), {
+        f"PSARl{p}": "CASE WHEN m.side > 0 THEN m.stop END", f"PSARs{p}": "CASE WHEN m.side < 0 THEN m.stop END",
+        f"PSARaf{p}": "m.speed", f"PSARr{p}": "m.turned"}, ints=(f"PSARr{p}",))
+
+
+def _fisher_sql():
+    s = Sql("h").cols(hl2="0.5 * (high + low)")
+    s.cols(hh=roll("hl2", 9, "max"), ll=roll("hl2", 9, "min"))
+    s.cols(pos=f"(hl2 - ll) / greatest({nz('hh', 'll')}, 0.001) - 0.5")
+    first = dict(v="0.0", y="NULL")
+    layers = [dict(raw="0.66 * pos + 0.67 * p_v"),
+              dict(v="CASE WHEN rn <= 9 THEN 0.0 WHEN raw < -0.99 THEN -0.999 WHEN raw > 0.99 THEN 0.999 ELSE raw END"),
+              dict(y="CASE WHEN rn < 9 THEN NULL WHEN rn = 9 THEN 0.0 ELSE 0.5 * (ln((1 + v) / (1 - v)) + p_y) END")]
+    return _machine(s, first, layers, ["v", "y"], {"FISHERT_9_1": "m.y", "FISHERTs_9_1": "lag(m.y) OVER (PARTITION BY b.symbol ORDER BY b.rn)"})
+
+
+def _ebsw_sql():
+    n, bars = 40, 10
+    cut = (1 - math.sin(360 / n)) / math.cos(360 / n)
+    fade = math.exp(-math.sqrt(2) * math.pi / bars)
+    one, two = 2 * fade * math.cos(math.sqrt(2) * 180 / bars), -fade * fade
+    first = dict(price="0.0", hp="0.0", f1="0.0", f2="0.0", y="NULL")
+    go = f"rn > {n}"
+    layers = [dict(h=f"0.5 * (1 + {cut!r}) * (close - p_price) + {cut!r} * p_hp"),
+              dict(f0=f"(1 - {one!r} - {two!r}) * (h + p_hp) / 2 + {one!r} * p_f1 + {two!r} * p_f2"),
+              dict(pw="(f0 * f0 + p_f1 * p_f1 + p_f2 * p_f2) / 3"),
+              dict(y=f"CASE WHEN rn < {n} THEN NULL WHEN rn = {n} THEN 0.0 WHEN pw > 0 THEN (f0 + p_f1 + p_f2) / 3 / sqrt(pw) END",
+                   price=f"CASE WHEN {go} THEN close ELSE 0.0 END", hp=f"CASE WHEN {go} THEN h ELSE 0.0 END",
+                   f1=f"CASE WHEN {go} THEN f0 ELSE 0.0 END", f2=f"CASE WHEN {go} THEN p_f1 ELSE 0.0 END")]
+    return _machine(Sql("h"), first, layers, list(first), {"EBSW_40_10": "m.y"})
+
+
+def _hwc_sql():
+    level = "0.8 * (p_level + p_slope + 0.5 * p_bend) + 0.2 * close"
+    first = dict(level="0.8 * close + 0.2 * close", slope="0.1 * (0.8 * close + 0.2 * close - close)",
+                 bend="0.1 * (0.1 * (0.8 * close + 0.2 * close - close))", spread="0.0", seen="close", mid="0.0", reach="0.0")
+    first["mid"] = f"{first['level']} + {first['slope']} + 0.5 * {first['bend']}"
+    layers = [dict(level=level), dict(slope="0.9 * (p_slope + p_bend) + 0.1 * (level - p_level)"),
+              dict(bend="0.9 * p_bend + 0.1 * (slope - p_slope)"),
+              dict(mid="level + slope + 0.5 * bend", reach="sqrt(p_spread)", seen="close",
+                   spread="0.9 * p_spread + 0.1 * (p_seen - p_mid) * (p_seen - p_mid)")]
+    return _machine(Sql("h"), first, layers, list(first), {"HWM": "m.mid", "HWU": "m.mid + m.reach", "HWL": "m.mid - m.reach"})
+
+
+def _ssf_sql():
+    x = math.pi * math.sqrt(2) / 10
+    a0 = math.exp(-x)
+    c3, c2 = -a0 * a0, 2 * a0 * math.cos(x)
+    c1 = 1 - c3 - c2
+    s = Sql("h").cols(z1=_from_end("close", 0), z2=_from_end("close", 1))
+    first = dict(y=f"{c1!r} * close + {c2!r} * z1 + {c3!r} * z2", before="z1")
+    layers = [dict(y=f"{c1!r} * close + {c2!r} * p_y + {c3!r} * p_before", before="p_y")]
+    return _machine(s, first, layers, ["y", "before"], {"SSF_10_2": "m.y"})
+
+
+def _mcgd_sql():
+    s = Sql("h").cols(level="close + 1000.0")
+    return _machine(s, dict(y="level"), [dict(y="p_y + (level - p_y) / (10.0 * pow(level / p_y, 4))")], ["y"], {"MCGD_10": "m.y"})
+
+
+def _rsx_sql():
+    n = 14
+    share, warm = 3.0 / (n + 2.0), n - 1
+    keep = 1.0 - share
+    poles = [f"{side}{k}{x}" for side in "un" for k in range(3) for x in "ab"]
+    first = dict(age="0", moved="0", seen="0.0", y="NULL") | {p: "0.0" for p in poles}
+    layers = [dict(price="100.0 * close", idle=f"rn <= {n} OR p_age = 0"),
+              dict(du="CASE WHEN idle THEN 0.0 ELSE price - p_seen END"), dict(dn="abs(du)")]
+    for k in range(3):
+        layers.append({f"{s}{k}a": f"CASE WHEN idle THEN p_{s}{k}a ELSE {keep!r} * p_{s}{k}a + {share!r} * d{s} END" if k == 0 else
+                       f"CASE WHEN idle THEN p_{s}{k}a ELSE {keep!r} * p_{s}{k}a + {share!r} * o{s}{k - 1} END" for s in "un"})
+        layers.append({f"{s}{k}b": f"CASE WHEN idle THEN p_{s}{k}b ELSE {share!r} * {s}{k}a + {keep!r} * p_{s}{k}b END" for s in "un"})
+        layers.append({f"o{s}{k}": f"1.5 * {s}{k}a - 0.5 * {s}{k}b" for s in "un"})
+    layers += [dict(grown=f"CASE WHEN rn <= {n} THEN 0 WHEN p_age = 0 THEN 1 ELSE least(p_age, {warm}) + 1 END"),
+               dict(moved="CASE WHEN idle THEN 0 WHEN p_moved = 1 OR du <> 0 THEN 1 ELSE 0 END", seen="price"),
+               dict(age=f"CASE WHEN grown = {warm} AND moved = 0 THEN 0 ELSE grown END"),
+               dict(y=f"CASE WHEN rn < {n} THEN NULL WHEN rn = {n} THEN 0.0 WHEN grown > {warm} AND on2 > 1e-10 "
+                      f"THEN least(greatest((ou2 / on2 + 1.0) * 50.0, 0.0), 100.0) ELSE 50.0 END")]
+    return _machine(Sql("h"), first, layers, list(first), {"RSX_14": "m.y"})
+
+
+def _jma_sql():
+    n = 7
+    half = 0.5 * (n - 1)
+    reach = max(math.log2(math.sqrt(half)) + 2.0, 0)
+    power = max(reach - 2.0, 0.5)
+    most, decay = reach ** (1 / power), reach * math.sqrt(half)
+    band, keep, gain = decay / (decay + 1), 0.45 * (n - 1) / (0.45 * (n - 1) + 2.0), 1.5
+    first = dict(above="close", below="close", average="close", line="close", err="0.0", speed="0.0", dist="[0.0]", sums="[0.0]")
+    layers = [dict(ov="close - p_above", un="close - p_below"),
+              dict(dd="CASE WHEN abs(ov) <> abs(un) THEN greatest(abs(ov), abs(un)) ELSE 0.0 END"),
+              dict(sums="list_append(p_sums, p_sums[-1] + (dd - p_dist[1]) / 10)[-66:]", dist="list_append(p_dist, dd)[-10:]"),
+              dict(mean="list_sum(sums) / len(sums)"),
+              dict(odd=f"pow(greatest(1.0, least({most!r}, CASE WHEN mean = 0 THEN 0.0 ELSE dd / mean END)), {power!r})"),
+              dict(slack=f"pow({band!r}, sqrt(odd))", slow=f"pow({keep!r}, odd)"),
+              dict(above="CASE WHEN ov > 0 THEN close ELSE close - slack * ov END", below="CASE WHEN un < 0 THEN close ELSE close - slack * un END",
+                   average="(1 - slow) * close + slow * p_average"),
+              dict(err=f"(close - average) * (1 - {keep!r}) + {keep!r} * p_err"),
+              dict(speed=f"(average + {gain!r} * err - p_line) * (1 - slow) * (1 - slow) + slow * slow * p_speed"),
+              dict(line="p_line + speed")]
+    return _machine(Sql("h"), first, layers, list(first), {"JMA_7_0": f"CASE WHEN b.rn >= {n} THEN m.line END"})
+
+
+def _stc_sql():
+    s = Sql("h").ema("ef", "close", 12).ema("es", "close", 26)
+    s.cols(xm="CASE WHEN rn >= 26 THEN ef - es END")
+    s.cols(lo=roll("xm", 10, "min"), hi=roll("xm", 10, "max"))
+    s.cols(rg=nz("hi", "lo"))
+
+    def stage(x, low, width, gate):
+        return [dict(st=f"CASE WHEN coalesce({gate}, 0) > 0 THEN 100 * (({x} - {low}) / {width}) ELSE p_st END"),
+                dict(pf="round(p_pf + 0.5 * (st - p_pf), 8)")]
+
+    def carry(s, layers, name):
+        base = s.cur
+        inner = f"SELECT c.*, r.st AS p_st, r.pf AS p_pf FROM {name} r JOIN {base} c ON c.symbol = r.symbol AND c.rn = r.rn + 1"
+        for layer in layers:
+            inner = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM ({inner}) x"
+        s.ctes.append((f"{name}(symbol, rn, st, pf)", f"SELECT symbol, rn, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE) FROM {base} WHERE rn = 1 "
+                                                     f"UNION ALL SELECT symbol, rn, st, pf FROM ({inner}) y"))
+        s.recursive = True
+        nxt = f"{name}_rows"
+        s.ctes.append((nxt, f"SELECT c.*, r.pf AS {name}_pf FROM {base} c JOIN {name} r USING (symbol, rn)"))
+        s.cur = nxt
+
+    carry(s, stage("xm", "lo", "rg", "lo"), "one")
+    s.cols(lo2=roll("one_pf", 10, "min"), hi2=roll("one_pf", 10, "max"))
+    s.cols(rg2=nz("hi2", "lo2"))
+    carry(s, stage("one_pf", "lo2", "rg2", "rg2"), "two")
+    p = "_10_12_26_0.5"
+    return s.sql({f"STC{p}": "two_pf", f"STCmacd{p}": "xm", f"STCstoch{p}": "one_pf"})
+
+
+def _qqe_sql():
+    s = Sql("h").cols(d=f"close - {lag('close', 1)}")
+    s.cols(up="CASE WHEN d < 0 THEN 0.0 ELSE d END", dn="CASE WHEN d > 0 THEN 0.0 ELSE d END")
+    s.rma("pa", "up", 14, warm=1).rma("na", "dn", 14, warm=1)
+    s.cols(rsi=dv("100.0 * pa", "(pa + abs(na))"))
+    s.ema("line", "rsi", 5, warm=14)
+    s.cols(ok_line="CASE WHEN rn >= 15 THEN line END")
+    s.cols(tr=f"abs(ok_line - {lag('ok_line', 1)})")
+    s.ema("s1", "tr", 27, warm=15)
+    s.cols(ok_s1="CASE WHEN rn >= 27 THEN s1 END")
+    s.ema("s2", "ok_s1", 27, warm=41)
+    s.cols(dar="CASE WHEN rn >= 42 THEN 4.236 * s2 END")
+    s.cols(hi="ok_line + dar", lo="ok_line - dar")
+    first = dict(prev="ok_line", l1="0.0", l2="0.0", u1="0.0", u2="0.0", up="1", y="ok_line", yl="NULL", yu="NULL")
+
+    def crossed(level, before):
+        return (f"(coalesce(ok_line > {level} AND p_prev < {before}, false) OR coalesce(ok_line <= {level} AND p_prev >= {before}, false))")
+
+    layers = [dict(tu=crossed("p_u1", "p_u2"), tl=crossed("p_l1", "p_l2"),
+                   l1="CASE WHEN p_prev > p_l1 AND ok_line > p_l1 THEN CASE WHEN lo IS NULL THEN NULL ELSE greatest(p_l1, lo) END ELSE lo END",
+                   u1="CASE WHEN p_prev < p_u1 AND ok_line < p_u1 THEN CASE WHEN hi IS NULL THEN NULL ELSE least(p_u1, hi) END ELSE hi END",
+                   l2="p_l1", u2="p_u1", prev="ok_line"),
+              dict(side="CASE WHEN tu THEN 1 WHEN tl THEN 0 ELSE p_up END"),
+              dict(y="CASE WHEN side = 1 THEN l1 ELSE u1 END", yl="CASE WHEN side = 1 THEN l1 END", yu="CASE WHEN side = 0 THEN u1 END")]
+    # (the row has a column named up as well: the state's is renamed)
+    first = {("flag" if k == "up" else k): v for k, v in first.items()}
+    layers[1]["side"] = layers[1]["side"].replace("p_up", "p_flag")
+    layers.append(dict(flag="side"))
+    return _machine(s, first, layers, list(first), {
+        "QQE_14_5_4.236": "m.y", "QQE_14_5_4.236_RSIMA": "b.ok_line", "QQEl_14_5_4.236": "m.yl", "QQEs_14_5_4.236": "m.yu"})
+
+
+for _k, _fn in (("psar", _psar_sql), ("fisher", _fisher_sql), ("ebsw", _ebsw_sql), ("hwc", _hwc_sql), ("ssf", _ssf_sql), ("mcgd", _mcgd_sql),
+                ("rsx", _rsx_sql), ("jma", _jma_sql), ("stc", _stc_sql), ("qqe", _qqe_sql)):
+    ORACLE[f"{_k}_hourly"] = _fn()
