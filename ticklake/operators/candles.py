@@ -64,6 +64,8 @@ def cdl_inside(f, open_="open", high="high", low="low", close="close", asbool=Fa
 
 @indicator("cdl_pattern", "candles")
 def cdl_pattern(f, open_="open", high="high", low="low", close="close", name="all", scalar=100):
+    """Patterns by name.  ``all`` means the patterns built here (doji, inside);
+    asking by name for one that only the external binary has raises."""
     names = ALL_PATTERNS if name == "all" else ([name] if isinstance(name, str) else list(name))
     out = {}
     for nm in names:

@@ -233,8 +233,10 @@ class SeriesFrame:
     def depth(self, x) -> tuple[int, int]:
         """How far an expression reaches back and ahead: its own windows plus those of the columns it reads."""
         text = x if isinstance(x, str) else str(x)
-        back = [int(k) for k in re.findall(r"ROWS BETWEEN -?(\d+)", text)] + [int(k) for k in re.findall(r"\blag\([^()]*?, (\d+), NULL\)", text)]
-        ahead = [int(k) for k in re.findall(r"\blead\([^()]*?, (\d+), NULL\)", text)]
+        frames = re.findall(r"ROWS BETWEEN -?(\d+) AND (?:(\d+)|CURRENT ROW)", text)
+        shifts = [int(k) for k in re.findall(r", (\d+), NULL\b", text)]
+        back = [int(k) for k, _ in frames] + (shifts if "lag(" in text else [])
+        ahead = [int(k) for _, k in frames if k] + (shifts if "lead(" in text else [])
         inner = [self.depths[c] for c in set(re.findall(r"\w+", text)) if c in self.depths]
         return (max(back, default=0) + max((d[0] for d in inner), default=0),
                 max(ahead, default=0) + max((d[1] for d in inner), default=0))

@@ -56,8 +56,14 @@ def _ind_df(spark, sf_dir, bars, specs, outs, ints=(), segment="auto", lookahead
     return df.select(*sel)
 
 
+#: (specs, SQL builder, outputs, integer outputs) of every indicator query with a twin.
+RECIPES: list[tuple] = []
+
+
 def ind(name, bars, specs, sqlfn, outs, ints=(), segment="auto", lookahead=0):
     specs = specs if isinstance(specs, list) else [specs]
+    if sqlfn is not None:
+        RECIPES.append((specs, sqlfn, outs, ints))
     SPARK[name] = lambda spark, sf_dir: _ind_df(spark, sf_dir, bars, specs, outs, ints, segment, lookahead)
     if sqlfn is not None:
         s = Sql(bars)
@@ -389,8 +395,6 @@ def _dm(s):
 
 
 ind("dm_hourly", "h", dict(kind="dm"), _dm, ["DMP_14", "DMN_14"])
-ind("er_hourly", "h", dict(kind="er"),
-    lambda s: {"ER_10": dv(f"abs(close - {lag(C, 10)})", roll(f"abs(close - {lag(C, 1)})", 10, "sum"))}, ["ER_10"])
 
 
 def _er_fix(s):
@@ -1819,3 +1823,141 @@ def _qqe_sql():
 for _k, _fn in (("psar", _psar_sql), ("fisher", _fisher_sql), ("ebsw", _ebsw_sql), ("hwc", _hwc_sql), ("ssf", _ssf_sql), ("mcgd", _mcgd_sql),
                 ("rsx", _rsx_sql), ("jma", _jma_sql), ("stc", _stc_sql), ("qqe", _qqe_sql)):
     ORACLE[f"{_k}_hourly"] = _fn()
+
+
+# ---------------------------------------------------------------- products: many indicators in one plan
+def _twin(recipes, bars="h") -> str:
+    """The recipes' SQL on the same bars, side by side."""
+    parts, seen, cols = [], set(), []
+    for i, (_, sqlfn, outs, ints) in enumerate(recipes):
+        one = Sql(bars)
+        res = {k: v for k, v in sqlfn(one).items() if k not in seen and k in outs}
+        seen |= set(res)
+        if res:
+            parts.append(f"({one.sql(res, ints=ints)}) a{i}")
+            cols += [f"a{i}.{q(k)}" for k in res]
+    first = parts[0].rsplit(" ", 1)[1]
+    joins = "".join(f"\nJOIN {x} ON {x.rsplit(' ', 1)[1]}.symbol = {first}.symbol AND {x.rsplit(' ', 1)[1]}.ts = {first}.ts" for x in parts[1:])
+    return f"SELECT {first}.symbol, {first}.ts, {', '.join(cols)} FROM {parts[0]}{joins}"
+
+
+def _product(df, recipes):
+    outs = {o: o in ints for _, _, outs, ints in recipes for o in outs}
+    return df.select("symbol", "ts", *[F.col(f"`{o}`").cast("int").alias(o) if i else r4(F.col(f"`{o}`")).alias(o) for o, i in outs.items()])
+
+
+def _by_default(spec) -> bool:
+    known = R.REGISTRY[spec["kind"]].defaults
+    return all(k == "kind" or (k in known and known[k] == v) for k, v in spec.items())
+
+
+def _category(cat):
+    from ticklake.operators.strategy import run_strategy, specs_for
+    kinds = {x["kind"] for x in specs_for(cat)}
+    # (variance: a few sums of squares end on a tie of the 4-digit rounding; it has queries of its own)
+    recipes = [r for r in RECIPES if all(x["kind"] in kinds and _by_default(x) and x["kind"] != "variance" for x in r[0])]
+    SPARK[f"strategy_{cat}_hourly"] = lambda spark, sf_dir: _product(run_strategy(bars_h(spark, sf_dir), cat), recipes)
+    ORACLE[f"strategy_{cat}_hourly"] = _twin(recipes)
+
+
+# ---- indicators that had no query of their own
+def _hilo_sql(s):
+    s.cols(ha=roll("high", 13), la=roll("low", 21))
+    s.cols(up=f"coalesce(close > {lag('ha', 1)}, false)", low_break=f"coalesce(close < {lag('la', 1)}, false)")
+    s.cols(down="low_break AND NOT up")
+    s.cols(line=f"last_value(CASE WHEN up THEN la WHEN down THEN ha END IGNORE NULLS) {RUN}")
+    return {"HILO_13_21": "line", "HILOl_13_21": "CASE WHEN NOT down THEN line END", "HILOs_13_21": "CASE WHEN NOT up THEN line END"}
+
+
+ind("hilo_hourly", "h", dict(kind="hilo"), _hilo_sql, ["HILO_13_21", "HILOl_13_21", "HILOs_13_21"])
+
+
+def _squeeze_detail_sql(s):
+    out = _squeeze(s)
+    s.cols(sq=out["SQZ_20_2.0_20_1.5"])
+    s.cols(pos="CASE WHEN sq >= 0 THEN sq END", neg="CASE WHEN sq < 0 THEN sq END")
+    before = "OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    s.cols(pp=f"last_value(pos IGNORE NULLS) {before}", pn=f"last_value(neg IGNORE NULLS) {before}", ps=lag("sq", 1))
+    keep = lambda cond: f"CASE WHEN sq <> 0 AND {cond} THEN sq END"
+    return {"SQZ_INC": keep("sq > ps"), "SQZ_DEC": keep("sq < ps"), "SQZ_PINC": keep("pos > pp"), "SQZ_PDEC": keep("pos < pp"),
+            "SQZ_NDEC": keep("neg < pn"), "SQZ_NINC": keep("neg > pn")}
+
+
+ind("squeeze_detailed_hourly", "h", dict(kind="squeeze", detailed=True), _squeeze_detail_sql,
+    ["SQZ_INC", "SQZ_DEC", "SQZ_PINC", "SQZ_PDEC", "SQZ_NDEC", "SQZ_NINC"])
+
+
+def _squeeze_pro_sql(s):
+    s.cols(mid=roll(C, 20), sd=roll(C, 20, "stddev_pop"), tr=TR)
+    s.cols(bl="mid - 2.0 * sd", bu="mid + 2.0 * sd", band=roll("tr", 20), mo=f"close - {lag(C, 12)}")
+    on = {k: f"coalesce(bl > mid - {w} * band AND bu < mid + {w} * band, false)" for k, w in (("WIDE", 2.0), ("NORMAL", 1.5), ("NARROW", 1.0))}
+    off = "coalesce(bl < mid - 2.0 * band AND bu > mid + 2.0 * band, false)"
+    return {"SQZPRO_20_2.0_20_2.0_1.5_1.0": roll("mo", 6), **{f"SQZPRO_ON_{k}": e for k, e in on.items()}, "SQZPRO_OFF": off,
+            "SQZPRO_NO": f"NOT {on['WIDE']} AND NOT {off}"}
+
+
+_SP = ["SQZPRO_ON_WIDE", "SQZPRO_ON_NORMAL", "SQZPRO_ON_NARROW", "SQZPRO_OFF", "SQZPRO_NO"]
+ind("squeeze_pro_hourly", "h", dict(kind="squeeze_pro"), _squeeze_pro_sql, ["SQZPRO_20_2.0_20_2.0_1.5_1.0", *_SP], ints=tuple(_SP))
+
+
+def _ma_sql(s):
+    s.ema("e", C, 10)
+    return {"EMA_10": "e"}
+
+
+ind("ma_hourly", "h", dict(kind="ma"), _ma_sql, ["EMA_10"])
+
+
+def _runs_sql(s):
+    s.cols(f=roll(C, 5), g=roll(C, 20))
+    inc = lambda x: f"coalesce({x} - {lag(x, 2)} > 0, false)"
+    dec = lambda x: f"coalesce({x} - {lag(x, 2)} < 0, false)"
+    s.cols(fi=inc("f"), fd=dec("f"), gi=inc("g"), gd=dec("g"))
+    s.cols(lr="CAST((fi AND gd) OR (fi AND gi) AS INTEGER)", sr="CAST((fd AND gi) OR (fd AND gd) AS INTEGER)")
+    s.cols(trades=f"coalesce(lr - {lag('lr', 1)}, 0)")
+    return {"LR_2": "lr", "SR_2": "sr", "TS_Trends": "lr", "TS_Trades": "trades", "TS_Entries": "CASE WHEN trades > 0 THEN 1 ELSE 0 END",
+            "TS_Exits": "CASE WHEN trades < 0 THEN 1 ELSE 0 END"}
+
+
+_RUN_OUTS = ["LR_2", "SR_2", "TS_Trends", "TS_Trades", "TS_Entries", "TS_Exits"]
+ind("runs_signals_hourly", "h",
+    [dict(kind="sma", length=5), dict(kind="sma", length=20), dict(kind="long_run", fast="SMA_5", slow="SMA_20"),
+     dict(kind="short_run", fast="SMA_5", slow="SMA_20"), dict(kind="tsignals", trend="LR_2")], _runs_sql, _RUN_OUTS, ints=tuple(_RUN_OUTS))
+
+ind("cdl_pattern_hourly", "h", dict(kind="cdl_pattern", name=["inside"]),
+    lambda s: {"CDL_INSIDE": f"100 * CAST(coalesce(high - {lag('high', 1)} < 0 AND low - {lag('low', 1)} > 0, false) AS INTEGER)"
+                             " * (CASE WHEN close >= open THEN 1 ELSE -1 END)"}, ["CDL_INSIDE"])
+
+
+for _cat in ("momentum", "overlap", "performance", "statistics", "trend", "volatility", "volume"):
+    _category(_cat)
+
+
+def _recipe(*kinds):
+    return [next(r for r in RECIPES if [x["kind"] for x in r[0]] == [k] and _by_default(r[0][0])) for k in kinds]
+
+
+def _segmented(name, recipes, segment):
+    """The segmented plan must give what SQL gives."""
+    from ticklake.operators.strategy import run_strategy
+    specs = [x for r in recipes for x in r[0]]
+    SPARK[name] = lambda spark, sf_dir: _product(run_strategy(bars_h(spark, sf_dir), specs, segment=segment), recipes)
+    ORACLE[name] = _twin(recipes)
+
+
+_segmented("vwap_rma_segmented", _recipe("vwap", "rma"), "2 days")
+_segmented("trima_kst_segmented", _recipe("trima", "kst", "hma"), "6 hours")
+_segmented("bundle_segmented", _recipe("rsi", "macd", "atr", "vwap", "bbands"), "2 days")
+
+
+def _bundle_spark(spark, sf_dir):
+    from ticklake.operators.features import indicator_bundle
+    f = indicator_bundle(SeriesFrame(bars_h(spark, sf_dir)), bbands=(5, 2.0))
+    names = ["rsi", "macd", "macd_signal", "macd_hist", "atr", "vwap", "bb_upper", "bb_lower"]
+    return f.result().select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in names])
+
+
+SPARK["indicator_bundle_hourly"] = _bundle_spark
+ORACLE["indicator_bundle_hourly"] = (
+    'SELECT symbol, ts, "RSI_14" AS rsi, "MACD_12_26_9" AS macd, "MACDs_12_26_9" AS macd_signal, "MACDh_12_26_9" AS macd_hist, '
+    f'"ATRr_14" AS atr, "VWAP_D" AS vwap, "BBU_5_2.0" AS bb_upper, "BBL_5_2.0" AS bb_lower FROM ({_twin(_recipe("rsi", "macd", "atr", "vwap", "bbands"))}) t')
