@@ -44,3 +44,33 @@ def test_count_buffer_fixture(spark, tmp_path):
     out = SJ.run_to_table(SJ.count_buffer(stream, buffer_size=2, window=252), "buf-test").orderBy("ts").collect()
     assert len(out) == 2
     assert all(r["open"] is not None for r in out)
+
+
+def test_stream_anomalies_follow_running_statistics(spark, tmp_path):
+    import datetime as dt
+    rng = np.random.default_rng(3)
+    v = rng.normal(10, 1, size=300)
+    v[[150, 220]] = [60.0, -40.0]
+    rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), float(x)) for i, x in enumerate(v)]
+    schema = "symbol string, ts timestamp, close double"
+    p = str(tmp_path / "recs")
+    for k in range(0, 300, 100):  # three micro-batches: the state is carried over
+        spark.createDataFrame(rows[k:k + 100], schema).coalesce(1).write.mode("append").parquet(p)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(p)
+    out = SJ.run_to_table(SJ.remove_stream_anomalies(stream, ["close"], warm=50, threshold=6.0), "anomaly-test").collect()
+    assert sorted(r["close"] for r in out) == sorted(np.delete(v, [150, 220]))
+
+
+def test_validation_reports_every_offender(spark):
+    import datetime as dt
+
+    import pytest
+
+    from ticklake.operators import clean as CL
+    t = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(100)]
+    rows = [("A", x, 1.0, 1.0, 1.0, -1.0, 1.0) for x in t] + [("B", t[0], 1.0, 1.0, 1.0, 1.0, 1.0)] * 2
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    with pytest.raises(CL.DataValidationError) as e:
+        CL.validate(df)
+    found = e.value.details["offenders"] if hasattr(e.value, "details") else e.value.args[1]["offenders"]
+    assert {(r["problem"], r["count"]) for r in found.groupBy("problem").count().collect()} == {("duplicate", 1), ("close", 100)}

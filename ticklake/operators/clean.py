@@ -45,25 +45,30 @@ def require_columns(df: DataFrame, required=OHLCV, case_insensitive: bool = Fals
         raise DataValidationError(f"Missing required columns: {missing}", {"missing_columns": missing})
 
 
-def validate(df: DataFrame, required=OHLCV, symbol: str = "symbol", ts: str = "ts", sample: int = 20) -> DataFrame:
-    """Schema check (no job), then one aggregate job for duplicate
-    timestamps and negative prices; offenders are sampled, never collected
-    whole."""
-    require_columns(df, required)
+def offenders(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Every key that validation objects to: its ``problem`` (``duplicate``, or
+    the name of a column with a negative value) and how many rows have it."""
     keys = [symbol, ts] if symbol in df.columns else [ts]
-    dup = df.groupBy(*keys).count().filter("count > 1")
-    d = dup.limit(sample).collect()
-    if d:
-        raise DataValidationError(f"Duplicate timestamps found: {[tuple(r[:-1]) for r in d]}",
-                                  {"duplicate_timestamps": [tuple(r[:-1]) for r in d]})
     pcs = [c for c in PRICE_COLS if c in df.columns]
-    if pcs:
-        neg = df.agg(*[F.sum(F.when(F.col(c) < 0, 1).otherwise(0)).alias(c) for c in pcs]).first()
-        for c in pcs:
-            if neg[c]:
-                rows = df.filter(F.col(c) < 0).select(*keys).limit(sample).collect()
-                raise DataValidationError(f"Negative values found in column {c}",
-                                          {"column": c, "negative_indices": [tuple(r) for r in rows]})
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate"), *[F.sum((F.col(c) < 0).cast("int")).alias(c) for c in pcs])
+    found = F.array(F.struct(F.lit("duplicate").alias("problem"), F.when(F.col("duplicate") > 1, F.col("duplicate")).alias("n")),
+                    *[F.struct(F.lit(c).alias("problem"), F.when(F.col(c) > 0, F.col(c)).alias("n")) for c in pcs])
+    return per.select(*keys, F.explode(F.filter(found, lambda x: x["n"].isNotNull())).alias("_p")).select(*keys, "_p.problem", "_p.n")
+
+
+def validate(df: DataFrame, required=OHLCV, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Schema check (no job), then one job that looks for the first offender.
+    The error carries all offenders as a DataFrame (``details["offenders"]``);
+    its message names a few of them."""
+    require_columns(df, required)
+    bad = offenders(df, symbol, ts)
+    some = bad.orderBy((F.col("problem") != "duplicate"), "problem", *[c for c in bad.columns if c not in ("problem", "n")]).limit(20).collect()
+    if some:
+        first = some[0]["problem"]
+        rows = [tuple(r[:-2]) for r in some if r["problem"] == first]
+        if first == "duplicate":
+            raise DataValidationError(f"Duplicate timestamps found: {rows}", {"duplicate_timestamps": rows, "offenders": bad})
+        raise DataValidationError(f"Negative values found in column {first}", {"column": first, "negative_indices": rows, "offenders": bad})
     return df
 
 
@@ -249,13 +254,10 @@ def _observed(d: Column) -> Column:
     return F.when(dw == 7, F.date_sub(d, 1)).when(dw == 1, F.date_add(d, 1)).otherwise(d)
 
 
-def holiday_dimension(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """US federal holidays (observed dates) generated from their rules for a
-    year range: a bounded dimension (11 rows per year)."""
-    y = F.col("id").cast("int")
-    years = spark.range(first_year - 1, last_year + 2)
+def holiday_rules(y: Column) -> list[tuple[str, Column]]:
+    """US federal holidays of a year (observed dates), by their rules."""
     fixed = lambda m, d: _observed(F.make_date(y, F.lit(m), F.lit(d)))
-    rules = [
+    return [
         ("New Years Day", fixed(1, 1)),
         ("Birthday of Martin Luther King, Jr.", _nth_weekday(y, 1, 2, 3)),
         ("Washington's Birthday", _nth_weekday(y, 2, 2, 3)),
@@ -268,42 +270,43 @@ def holiday_dimension(spark: SparkSession, first_year: int, last_year: int) -> D
         ("Thanksgiving Day", _nth_weekday(y, 11, 5, 4)),
         ("Christmas Day", fixed(12, 25)),
     ]
+
+
+def holiday_dimension(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """The holidays of a year range as a table (11 rows a year)."""
+    years = spark.range(first_year - 1, last_year + 2)
+    rules = holiday_rules(F.col("id").cast("int"))
     hol = years.select(F.explode(F.array(*[F.struct(F.lit(n).alias("holiday"), d.alias("date")) for n, d in rules]))
                        .alias("h")).select("h.*").filter(F.col("date").isNotNull())
     return hol.filter((F.year("date") >= first_year) & (F.year("date") <= last_year))
 
 
-def calendar_features(df: DataFrame, ts: str = "ts", day_of_week: bool = True, is_holiday: bool = True,
-                      years: tuple[int, int] | None = None) -> DataFrame:
+def calendar_features(df: DataFrame, ts: str = "ts", day_of_week: bool = True, is_holiday: bool = True) -> DataFrame:
     """day_of_week (Monday=0) and is_holiday (by date; the reference only
-    matches exact midnights).  The holiday dimension is generated for the
-    data's year range (one tiny aggregate) and broadcast: its size is
-    11 rows per year, bounded by the calendar, not by the data."""
+    matches exact midnights).  The rules are evaluated for the row's own year
+    and, for a New Year observed on 31 December, the next: an expression,
+    without a join or a look at the data first."""
     out = df
     if day_of_week:
         out = out.withColumn("day_of_week", F.weekday(F.col(ts)))
     if is_holiday:
-        if years is None:
-            r = df.agg(F.min(F.year(ts)).alias("a"), F.max(F.year(ts)).alias("b")).first()
-            years = (r["a"] or 1970, r["b"] or 1970)
-        hol = holiday_dimension(df.sparkSession, *years).select(F.col("date").alias("__hd")).distinct()
-        out = (out.join(F.broadcast(hol), F.to_date(F.col(ts)) == F.col("__hd"), "left")
-               .withColumn("is_holiday", F.col("__hd").isNotNull()).drop("__hd"))
+        y = F.year(F.col(ts))
+        days = [d for _, d in holiday_rules(y)] + [_observed(F.make_date(y + 1, F.lit(1), F.lit(1)))]
+        day = F.to_date(F.col(ts))
+        out = out.withColumn("is_holiday", F.exists(F.array(*days), lambda d: F.coalesce(d == day, F.lit(False))))
     return out
 
 
 # -------------------------------------------------------------- sentiment
 def sentiment(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id",
-              alpha: float = 15.0, broadcast_limit_rows: int = 2_000_000) -> DataFrame:
+              alpha: float = 15.0) -> DataFrame:
     """Compound score per text: tokens (lower-cased words) joined to a
     ``(word, valence)`` lexicon, summed, normalised to s / sqrt(s^2 + alpha).
-    Blank or non-string text -> 0.0.  The lexicon is broadcast only after
-    its row count is checked; otherwise the join shuffles on the word."""
+    Blank or non-string text -> 0.0.  Adaptive execution broadcasts the
+    lexicon if its measured size allows, else the join shuffles on the word."""
     toks = (docs.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z']+"))
                         .alias("word")).filter(F.col("word") != ""))
-    n = lexicon.count()
-    lex = F.broadcast(lexicon) if n <= broadcast_limit_rows else lexicon
-    s = toks.join(lex, "word").groupBy(key).agg(F.sum("valence").alias("__s"))
+    s = toks.join(lexicon, "word").groupBy(key).agg(F.sum("valence").alias("__s"))
     return (docs.join(s, key, "left")
             .withColumn("sentiment", F.coalesce(F.col("__s") / F.sqrt(F.col("__s") * F.col("__s") + alpha),
                                                 F.lit(0.0)))
@@ -313,32 +316,33 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str
 # ---------------------------------------------------------------- anomaly
 def anomaly_scores(df: DataFrame, cols: list[str], n_trees: int = 100, sample_size: int = 256, seed: int = 42,
                    key: str | None = None) -> DataFrame:
-    """Isolation-forest scores.  Trees are grown in parallel (one Spark group
-    per tree, each on a ``sample_size`` random sample: bounded), collected as
-    small arrays (n_trees x 2*sample_size nodes), broadcast, and every row is
-    scored in Arrow batches by ``mapInPandas``.  Higher score = more anomalous."""
+    """Isolation-forest scores.  One rule at every size: each row is dealt to
+    about ``1.5 * n_trees * sample_size / rows`` trees (at most all of them),
+    by a hash of its values, so the sample does not depend on partitions.
+    Trees are grown in parallel (one Spark group per tree, on the
+    ``sample_size`` smallest hashes dealt to it: bounded), collected as small
+    arrays (n_trees x 2*sample_size nodes), broadcast, and every row is scored
+    in Arrow batches by ``mapInPandas``.  Higher score = more anomalous."""
     spark = df.sparkSession
     num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     total = num.count()
     if total == 0:
         return df.withColumn("anomaly_score", F.lit(None).cast("double"))
-    p = min(1.0, 1.5 * sample_size / total)
-    if total * n_trees <= 20_000_000:
-        # small input: every tree draws its own Bernoulli sample of the rows
-        samp = (num.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-                .filter(F.rand(seed) < p))
-    else:
-        # large input: one sample of ~1.5 * psi rows per tree, rows dealt to trees
-        frac = min(1.0, n_trees * 1.5 * sample_size / total)
-        samp = num.sample(fraction=frac, seed=seed).withColumn("tree", (F.rand(seed) * n_trees).cast("int"))
+    shares = min(float(n_trees), 1.5 * n_trees * sample_size / total)
+    h = F.xxhash64(*cols, F.lit(seed))
+    unit = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
+    copies = F.lit(int(shares)) + (unit < shares - int(shares)).cast("int")
+    begin = F.pmod(F.shiftright(h, 20), F.lit(n_trees)).cast("int")
+    samp = (num.withColumn("_copies", copies).where("_copies > 0").withColumn("_begin", begin)
+            .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+            .withColumn("tree", ((F.col("_begin") + F.col("_i")) % n_trees).cast("int"))
+            .withColumn("_h", F.xxhash64(*cols, F.col("tree"))).drop("_copies", "_begin", "_i"))
     k = len(cols)
     schema = "tree int, nodes array<double>"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        x = pdf[cols].to_numpy(dtype=float)
-        if len(x) > sample_size:
-            x = x[np.random.default_rng(seed + t).choice(len(x), sample_size, replace=False)]
+        x = pdf.sort_values("_h", kind="stable").head(sample_size)[cols].to_numpy(dtype=float)
         rng = np.random.default_rng(seed * 7919 + t)
         limit = int(np.ceil(np.log2(max(len(x), 2))))
         nodes = []  # flattened (feature, split, left, right, size) per node

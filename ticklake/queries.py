@@ -1212,7 +1212,7 @@ LEXICON = [("good", 1.9), ("great", 3.1), ("excellent", 3.2), ("happy", 2.7), ("
 
 
 def _sent_spark(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.col("lang") == "en").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lex = spark.createDataFrame(LEXICON, "word string, valence double")
     return CL.sentiment(docs, lex).select("doc_id", r4(F.col("sentiment")).alias("sentiment"))
 
@@ -1220,7 +1220,7 @@ def _sent_spark(spark, sf_dir):
 SPARK["sentiment_lexicon_documents"] = _sent_spark
 _lex_sql = ", ".join(f"('{w}', {v!r})" for w, v in LEXICON)
 ORACLE["sentiment_lexicon_documents"] = (
-    f"WITH lex(word, valence) AS (VALUES {_lex_sql}), d AS (SELECT doc_id, text FROM documents WHERE lang = 'en'), "
+    f"WITH lex(word, valence) AS (VALUES {_lex_sql}), d AS (SELECT doc_id, text FROM documents), "
     "t AS (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z'']+')) AS word FROM d), "
     "s AS (SELECT t.doc_id, sum(valence) AS s FROM t JOIN lex USING (word) WHERE word <> '' GROUP BY t.doc_id) "
     f"SELECT d.doc_id, {__import__('ticklake.oracle_sql', fromlist=['r4']).r4('coalesce(s.s / sqrt(s.s * s.s + 15.0), 0.0)')}"
@@ -1375,20 +1375,21 @@ from ticklake.streaming import jobs as SJ  # noqa: E402
 
 
 def _stream_bars_spark(spark, sf_dir):
-    out = SJ.run_to_table(SJ.stream_bars(SJ.read_events_stream(spark, sf_dir)), "stream-bars")
-    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
+    ticks = SJ.ordered_stream(spark, SJ.events_in_order(spark, sf_dir))
+    out = SJ.run_to_table(SJ.stream_bars(ticks), "stream-bars")
+    return out.where(F.col("symbol") != SJ.CLOSING).select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("open", "high", "low", "close")],
                       F.col("volume").cast("long").alias("volume"))
 
 
 SPARK["stream_bars_hourly"] = _stream_bars_spark
 ORACLE["stream_bars_hourly"] = (
     f"SELECT symbol, ts, {', '.join(f'{_sr4(c)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, volume "
-    f"FROM ({BARS_H_SQL}) b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+    f"FROM ({BARS_H_SQL}) b")
 
 
 def _stream_inc_spark(spark, sf_dir):
-    ticks = SJ.read_events_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts",
-                                                        F.col("value").alias("close"))
+    ticks = SJ.ordered_stream(spark, SJ.events_in_order(spark, sf_dir)).where(F.col("event_type") != SJ.CLOSING).select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
     out = SJ.run_to_table(SJ.incremental_indicators(ticks), "stream-inc")
     return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in ("rsi", "macd", "macd_signal")])
 
@@ -1410,7 +1411,7 @@ ORACLE["stream_incremental_rsi_macd_ticks"] = _inc_sql()
 
 
 def _stream_buf_spark(spark, sf_dir):
-    recs = SJ.read_events_stream(spark, sf_dir).select(
+    recs = SJ.ordered_stream(spark, SJ.events_in_order(spark, sf_dir)).where(F.col("event_type") != SJ.CLOSING).select(
         F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"),
         F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("open"))
     out = SJ.run_to_table(SJ.count_buffer(recs, buffer_size=100, window=252), "stream-buf")
@@ -1427,6 +1428,57 @@ ORACLE["stream_count_buffer_ticks"] = (
     " AS open FROM e QUALIFY rn >= 100")
 
 
+def _stream_join_spark(spark, sf_dir):
+    """Two bar streams (views, clicks) outer-joined on ts; the closing ticks let the last rows through."""
+    path = SJ.events_in_order(spark, sf_dir)
+
+    def side(symbol):
+        t = SJ.ordered_stream(spark, path).where(F.col("event_type").isin(symbol, SJ.CLOSING))
+        t = t.withColumn("ts", F.date_trunc("minute", "ts")).withColumn("value", F.when(F.col("event_type") == SJ.CLOSING, None).otherwise(F.col("value")))
+        return t.select("ts", "event_id", "value")
+
+    out = SJ.run_to_table(SJ.join_streams(side("view"), side("click"), "view", "click"), "stream-join")
+    return out.where("value_view IS NOT NULL OR value_click IS NOT NULL").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_id_view", "event_id_click", r4(F.col("value_view")).alias("value_view"),
+        r4(F.col("value_click")).alias("value_click"))
+
+
+SPARK["stream_join_ticks"] = _stream_join_spark
+ORACLE["stream_join_ticks"] = (
+    "WITH e AS (SELECT date_trunc('minute', CAST(ts AS TIMESTAMP)) AS ts, event_id, event_type, value FROM events) "
+    "SELECT coalesce(v.ts, c.ts) AS ts, v.event_id AS event_id_view, c.event_id AS event_id_click, "
+    f"{_sr4('v.value')} AS value_view, {_sr4('c.value')} AS value_click FROM (SELECT * FROM e WHERE event_type = 'view') v "
+    "FULL OUTER JOIN (SELECT * FROM e WHERE event_type = 'click') c ON v.ts = c.ts")
+
+
+def _stream_json_spark(spark, sf_dir):
+    path = SJ.events_in_order(spark, sf_dir)
+    t = SJ.ordered_stream(spark, path).where(F.col("event_type") != SJ.CLOSING)
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("event_id"))).otherwise(
+        F.to_json(F.struct("event_id", "event_type", "value")))
+    good, bad = SJ.split_json_stream(t.select(text.alias("json")), "json", "event_id long, event_type string, value double", "stream-json")
+    rows = good.select("event_id", "event_type", r4(F.col("value")).alias("value"))
+    return rows.union(bad.select(F.regexp_extract("json", r"(\d+)$", 1).cast("long"), F.lit("bad"), F.lit(None).cast("double")))
+
+
+SPARK["stream_json_parse"] = _stream_json_spark
+ORACLE["stream_json_parse"] = (
+    f"SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE event_type END AS event_type, "
+    f"CASE WHEN event_id % 7 = 0 THEN NULL ELSE {_sr4('value')} END AS value FROM events")
+
+
+def _stream_polled_spark(spark, sf_dir):
+    """Polls that return every record twice."""
+    path = SJ.events_in_order(spark, sf_dir)
+    twice = SJ.ordered_stream(spark, path).where(F.col("event_type") != SJ.CLOSING).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("again")
+    out = SJ.run_to_table(SJ.polled(twice, ["event_id"], watermark="60 days"), "stream-polled")
+    return out.select("event_id", "event_type", r4(F.col("value")).alias("value"))
+
+
+SPARK["stream_polled_dedupe"] = _stream_polled_spark
+ORACLE["stream_polled_dedupe"] = f"SELECT event_id, event_type, {_sr4('value')} AS value FROM events"
+
+
 # ---------------------------------------------------------------- strategies
 from ticklake.operators import strategy as ST  # noqa: E402
 

@@ -6,13 +6,17 @@
   of the last ``window`` gains / losses, three EMA states) in
   ``applyInPandasWithState``; every record advances the state exactly once
   (the reference re-feeds overlapping buffers and double-counts).
-* ``count_buffer``: a per-symbol ring buffer of the last ``window``
-  records; once ``buffer_size`` records are held, each new record is emitted
-  with its gaps filled from the buffer.
+* ``count_buffer``: once ``buffer_size`` records of the last ``window`` are
+  held, each new record is emitted with its gaps filled from them.
+* ``polled``: overlapping polls of a source, each record once.
+* ``remove_stream_anomalies``: running statistics per symbol as state.
 * ``join_streams``: stream-stream full outer join of two bar streams on ts
   with watermarks and an equality time bound.
-* ``parse_json_stream``: ``from_json`` of a value column, bad records to a
-  side sink through ``foreachBatch``.
+* ``split_json_stream``: ``from_json`` of a value column, records and rows
+  that do not parse to two tables through ``foreachBatch``.
+
+A symbol's rows are taken in time order within a micro-batch's chunk; the size
+of a micro-batch is bounded by the source's trigger options.
 
 State lives in the checkpoint folder (``spark.checkpoint.dir``), so a
 restarted query resumes instead of losing it.
@@ -42,6 +46,36 @@ def read_events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) ->
             .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+CLOSING = "__closing__"
+
+
+def events_in_order(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """The ``events`` table as ``parts`` files, one after another in time, and a
+    closing tick far ahead that lets the watermark release the last windows
+    (its symbol is ``CLOSING``).  Returns the folder, below the checkpoint folder."""
+    path = scratch_path(spark, "events-in-order")
+    ev = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = ev.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c"), F.max("ts").alias("m")).first()
+    edges = [None, *cuts["c"], None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = ev
+        part = part if lo is None else part.where(at >= lo)
+        part = part if hi is None else part.where(at < hi)
+        part.coalesce(1).write.mode("append").parquet(path)
+    last = spark.createDataFrame([(-1, CLOSING)], "event_id long, event_type string").select(
+        "event_id", (F.lit(cuts["m"]) + F.expr("INTERVAL 30 DAYS")).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("user_id"),
+        "event_type", F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    last.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def ordered_stream(spark: SparkSession, path: str) -> DataFrame:
+    """``events_in_order`` as a stream of one file per micro-batch."""
+    return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+            .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def fetch(spark: SparkSession, path: str, mode: str = "batch", schema=None, fmt: str = "parquet", **opts) -> DataFrame:
     """Same source as a batch read or a stream: downstream transforms are shared."""
     r = spark.readStream if mode == "stream" else spark.read
@@ -89,9 +123,8 @@ def _incremental_fn(window: int, fast: int, slow: int, signal: int):
             gains, losses = list(gains), list(losses)
         else:
             prev, gains, losses, ef, es, sg, started = None, [], [], None, None, 0.0, False
-        rows = pd.concat(list(pdfs)).sort_values("ts")
         out = []
-        for t, p in zip(rows["ts"], rows["close"]):
+        for t, p in ((t, p) for pdf in pdfs for t, p in zip(*(pdf.sort_values("ts")[c] for c in ("ts", "close")))):
             # incremental RSI: ring buffer of the last `window` gains / losses
             if prev is None or (isinstance(prev, float) and math.isnan(prev)) or not started:
                 rsi = float("nan")
@@ -130,36 +163,36 @@ def incremental_indicators(bars: DataFrame, window: int = 14, fast: int = 12, sl
 
 
 # ---------------------------------------------------------- count buffer
-BUF_STATE = "rows array<struct<ts:timestamp,close:double,open:double>>, n long"
-BUF_OUT = "symbol string, ts timestamp, close double, open double"
+BUF_STATE = "n long, vals array<double>, at array<long>"
 
 
-def count_buffer(records: DataFrame, buffer_size: int = 100, window: int = 252) -> DataFrame:
-    """Keep the last ``window`` records per symbol; once ``buffer_size`` are
-    held, emit each new record with nulls filled from the buffer (forward,
-    then backward).  Never emits when buffer_size > window."""
+def count_buffer(records: DataFrame, buffer_size: int = 100, window: int = 252, cols=("close", "open")) -> DataFrame:
+    """Over the last ``window`` records per symbol: once ``buffer_size`` are
+    held, each new record is emitted with its nulls filled by the last value
+    the buffer holds.  Never emits when buffer_size > window.
 
-    def fn(key, pdfs, state: GroupState):
-        if state.exists:
-            rows, n = state.get
-            buf = [tuple(r) for r in rows]
-        else:
-            buf, n = [], 0
-        new = pd.concat(list(pdfs)).sort_values("ts")
-        out = []
-        for r in new.itertuples(index=False):
-            buf.append((r.ts, r.close, r.open))
-            buf = buf[-window:]
-            n += 1
-            if len(buf) >= buffer_size:
-                b = pd.DataFrame(buf, columns=["ts", "close", "open"]).ffill().bfill()
-                last = b.iloc[-1]
-                out.append((key[0], last["ts"], last["close"], last["open"]))
-        state.update(([{"ts": a, "close": b, "open": c} for a, b, c in buf], n))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "close", "open"])
+    The newest record stands last, so only the last value of each column and
+    its position matter: the state is two numbers per column."""
+    cols = list(cols)
+    out_schema = "symbol string, ts timestamp, " + ", ".join(f"`{c}` double" for c in cols)
 
-    return records.groupBy("symbol").applyInPandasWithState(fn, BUF_OUT, BUF_STATE, "append",
-                                                             GroupStateTimeout.NoTimeout)
+    def fn(key, pdfs, state: GroupState):
+        n, vals, at = state.get if state.exists else (0, [math.nan] * len(cols), [0] * len(cols))
+        vals, at = list(vals), list(at)
+        for pdf in pdfs:
+            pdf = pdf.sort_values("ts")
+            out = []
+            for row in zip(pdf["ts"], *[pdf[c].astype("float64") for c in cols]):
+                n += 1
+                for i, v in enumerate(row[1:]):
+                    if v == v:
+                        vals[i], at[i] = v, n
+                if min(n, window) >= buffer_size:
+                    out.append((key[0], row[0], *[v if k and n - k < window else math.nan for v, k in zip(vals, at)]))
+            yield pd.DataFrame(out, columns=["symbol", "ts", *cols])
+        state.update((n, vals, at))
+
+    return records.groupBy("symbol").applyInPandasWithState(fn, out_schema, BUF_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # -------------------------------------------------------------- stream join
@@ -179,8 +212,66 @@ def join_streams(left: DataFrame, right: DataFrame, lname: str, rname: str, ts:
     return j.select(F.coalesce("__lt", "__rt").alias(ts), *[c for c in j.columns if c not in ("__lt", "__rt")])
 
 
-def parse_json_stream(stream: DataFrame, col: str, schema, bad_path: str | None = None) -> DataFrame:
-    """Parsed records; rows whose JSON does not parse are filtered out.  With
-    ``bad_path`` a caller-run ``foreachBatch`` can divert them (see tests)."""
-    p = stream.withColumn("__j", F.from_json(F.col(col), schema))
-    return p.filter(F.col("__j").isNotNull()).select("*", "__j.*").drop("__j")
+def parse_json_stream(stream: DataFrame, col: str, schema: str) -> DataFrame:
+    """Parsed records beside the original columns, and ``bad``: the JSON did not parse."""
+    j = F.from_json(F.col(col), schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    p = stream.withColumn("__j", j)
+    bad = F.col(col).isNotNull() & (F.col("__j").isNull() | F.col("__j._bad").isNotNull())
+    return p.withColumn("bad", bad).select("*", "__j.*").drop("__j", "_bad")
+
+
+def split_json_stream(stream: DataFrame, col: str, schema: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Run the parser over everything available: (records, rows that did not parse).
+    Each micro-batch goes to both tables, under the batch's own folder, so a
+    batch that is run again after a failure replaces what it had written."""
+    spark = stream.sparkSession
+    good, bad, ck = (scratch_path(spark, f"{name}-{k}") for k in ("good", "bad", "ck"))
+    parsed = parse_json_stream(stream, col, schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.where("NOT bad").drop("bad", col).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        batch.where("bad").select(col).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+
+    q = parsed.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(good).drop("batch"), spark.read.parquet(bad).drop("batch")
+
+
+def polled(snapshots: DataFrame, keys: list[str], ts: str = "ts", watermark: str = "1 day") -> DataFrame:
+    """A polled source whose snapshots overlap: each record passes once, as long as
+    it comes no later than the watermark after its first appearance."""
+    return snapshots.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([*keys, ts])
+
+
+# ---------------------------------------------------------------- anomalies
+OUT_STATE = "n long, mean array<double>, m2 array<double>"
+
+
+def remove_stream_anomalies(records: DataFrame, cols, warm: int = 100, threshold: float = 4.0) -> DataFrame:
+    """Streaming anomaly filter: a record is dropped if a value lies further than
+    ``threshold`` standard deviations from its symbol's mean so far.  The first
+    ``warm`` records pass (there is nothing to judge by); dropped records do
+    not enter the statistics.  State: count, mean and sum of squares per column
+    (a refitted forest would need a window of records per symbol as state)."""
+    cols = list(cols)
+
+    def fn(key, pdfs, state: GroupState):
+        n, mean, m2 = state.get if state.exists else (0, [0.0] * len(cols), [0.0] * len(cols))
+        mean, m2 = list(mean), list(m2)
+        for pdf in pdfs:
+            pdf = pdf.sort_values("ts")
+            keep = []
+            for row in zip(*[pdf[c].astype("float64") for c in cols]):
+                odd = n >= warm and any(v == v and abs(v - m) > threshold * math.sqrt(q / n) for v, m, q in zip(row, mean, m2))
+                keep.append(not odd)
+                if not odd:
+                    n += 1
+                    for i, v in enumerate(row):
+                        if v == v:
+                            d = v - mean[i]
+                            mean[i] += d / n
+                            m2[i] += d * (v - mean[i])
+            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+        state.update((n, mean, m2))
+
+    return records.groupBy("symbol").applyInPandasWithState(fn, records.schema, OUT_STATE, "append", GroupStateTimeout.NoTimeout)
