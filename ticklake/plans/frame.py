@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,7 +303,7 @@ class SeriesFrame:
         # call per Arrow batch (a grouped UDF would pay per group)
         src = self.ordered(df, reverse)
         schema = T.StructType([*src.schema.fields, *schema.fields[len(df.columns):]])
-        local = src.mapInPandas(_local_scans(sym, specs), schema).drop("_ord")
+        local = src.mapInArrow(_local_scans(sym, specs), schema).drop("_ord")
         if self.segment is None:
             # one partition per symbol: the local pass is already the answer
             outs = {nm: F.col(f"{nm}_y") for nm, *_ in specs}
@@ -355,42 +356,54 @@ def _local_scans(sym: str, specs):
         state = {}
         key = None
         done = set()
-        for pdf in batches:
-            n = len(pdf)
+        for b in batches:
+            n = b.num_rows
             if n == 0:
                 continue
-            syms = pdf[sym].to_numpy()
-            parts = pdf["_part"].to_numpy()
-            halo = pdf["_halo"].to_numpy()
+            code = b.column(sym).dictionary_encode()
+            at = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            name = [*code.dictionary.to_pylist(), None]
+            parts = b.column("_part").to_numpy()
+            halo = b.column("_halo").to_numpy(zero_copy_only=False)
             newgrp = np.ones(n, dtype=bool)
-            newgrp[1:] = (syms[1:] != syms[:-1]) | (parts[1:] != parts[:-1])
-            newgrp[0] = (syms[0], parts[0]) != key
-            starts = np.flatnonzero(newgrp)
-            for i in starts:  # contiguity guard: a group never resumes later
-                k = (syms[i], parts[i])
+            newgrp[1:] = (at[1:] != at[:-1]) | (parts[1:] != parts[:-1])
+            newgrp[0] = (name[at[0]], parts[0]) != key
+            for i in np.flatnonzero(newgrp):  # contiguity guard: a group never resumes later
+                k = (name[at[i]], parts[i])
                 if k in done:
                     raise RuntimeError(f"rows of {k} are not contiguous in the partition")
                 if key is not None:
                     done.add(key)
                 key = k
-            key = (syms[-1], parts[-1])
-            cols = {}
+            cols = []
             for nm, kind, bcol, acol, aconst in specs:
-                b = pdf[bcol].to_numpy(dtype="float64", na_value=np.nan)
+                x = _floats(b.column(bcol))
                 a = None
                 if kind == "lin":
-                    a = (pdf[acol].to_numpy(dtype="float64", na_value=1.0) if acol else np.full(n, aconst))
-                    b = np.where(np.isnan(b), 0.0, b)
-                ys, gs, st = _run(kind, a, b, newgrp, halo, state.get(nm))
+                    a = _floats(b.column(acol), 1.0) if acol else np.full(n, aconst)
+                    x = np.where(np.isnan(x), 0.0, x)
+                ys, gs, st = _run(kind, a, x, newgrp, halo, state.get(nm))
                 state[nm] = st
-                cols[f"{nm}_y"] = ys
+                cols.append(ys)
                 if kind == "lin":
-                    cols[f"{nm}_g"] = gs
-            yield pdf.assign(**cols)
+                    cols.append(gs)
+            # the other columns pass through as they are; NaN results become null
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, from_pandas=True) for c in cols]], names=names(b))
+
+    def names(b):
+        out = list(b.schema.names)
+        for nm, kind, *_ in specs:
+            out += [f"{nm}_y", f"{nm}_g"] if kind == "lin" else [f"{nm}_y"]
+        return out
 
     return fn
 
 
+def _floats(column, missing: float = float("nan")) -> np.ndarray:
+    out = column.cast(pa.float64())
+    return (out.fill_null(missing) if out.null_count else out).to_numpy(zero_copy_only=False)
+
+
 BLOCK = 64
 
 
@@ -545,15 +558,15 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
     def fn(batches):
         cur, m = None, None
         seen = set()
-        for pdf in batches:
-            if len(pdf) == 0:
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            syms = pdf[sym].tolist()
-            cols = [pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist() for c in in_names]
-            tl = [pdf[c].to_numpy(dtype="float64", na_value=np.nan).tolist() for c in tail_cols]
-            res = [[0.0] * len(pdf) for _ in names]
-            for i in range(len(pdf)):
-                if syms[i] != cur:
+            syms = b.column(sym).to_pylist()
+            cols = [_floats(b.column(c)).tolist() for c in in_names]
+            tl = [_floats(b.column(c)).tolist() for c in tail_cols]
+            res = [[0.0] * len(syms) for _ in names]
+            for i in range(len(syms)):
+                if syms[i] != cur or m is None:
                     if syms[i] in seen:  # contiguity guard
                         raise RuntimeError(f"rows of symbol {syms[i]!r} are not contiguous in the partition")
                     seen.add(syms[i])
@@ -562,9 +575,10 @@ def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict
                 o = m.step(*[c[i] for c in cols])
                 for j in range(len(names)):
                     res[j][i] = o[j]
-            yield pdf.assign(**{n: r for n, r in zip(names, res)})
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *[pa.array(np.array(r, dtype="float64"), from_pandas=True) for r in res]], names=[*b.schema.names, *names])
 
-    out = src.mapInPandas(fn, schema).drop(*in_names, *tail_cols, "_ord")
+    out = src.mapInArrow(fn, schema).drop(*in_names, *tail_cols, "_ord")
     if f.segment is None:
         f.df = out  # no halo rows without segments
         f.rehalo()
