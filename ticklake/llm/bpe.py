@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ticklake.llm.common import Prefix, doc_chunks, process_cache, ranges, texts_of
+from ticklake.llm.common import Prefix, bounded_batches, doc_chunks, process_cache, ranges, texts_of
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points that the pattern's white-space class holds (fixed by Unicode's White_Space property).
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         yield from encode_batches(batches, path, shard_bytes, emit)
 
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded_batches(src).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -346,4 +346,4 @@ def digests(docs: DataFrame, path: str, shard_bytes: int = 48 << 20) -> DataFram
         yield from encode_batches(batches, path, shard_bytes, emit)
 
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(src).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

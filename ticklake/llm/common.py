@@ -33,6 +33,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for rows that are whole documents.
+
+    Sets two session options for Python stages: at most 2,000 rows and 8 MB a
+    batch (a longer document is a batch of its own), instead of 10,000 and 64 MB.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def process_cache(key, build):
     """``build()`` once per Python worker process, shared by its tasks.
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import doc_chunks, texts_of
+from ticklake.llm.common import bounded_batches, doc_chunks, texts_of
 
 BITS = 14
 UNIT = 32
@@ -90,7 +90,7 @@ def fit(docs: DataFrame) -> Model:
                 [pa.array([name] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(np.append(c[hit], number[name]), pa.int64())],
                 names=["lang", "bucket", "n"])
 
-    found = rows.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = bounded_batches(rows).select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = found.toArrow()  # at most (buckets + 1) rows a language
     lang = found.column("lang").to_pylist()
     names = sorted(set(lang))
@@ -185,4 +185,4 @@ def predict(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFr
     else:
         src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held_out(docs["doc_id"]).alias("held_out"))
     kept = src.dtypes if keep_columns else [("doc_id", "bigint"), ("held_out", "boolean")]
-    return src.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept) + ", lang_pred string, score double")
+    return bounded_batches(src).mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in kept) + ", lang_pred string, score double")

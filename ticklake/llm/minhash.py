@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import Prefix, components, cut, doc_chunks, mix64, process_cache, texts_of
+from ticklake.llm.common import Prefix, bounded_batches, components, cut, doc_chunks, mix64, process_cache, texts_of
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
 CHUNK = 1 << 20
@@ -305,7 +305,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     fewer words than a shingle is one shingle.  Rows that share a doc_id are
     one vertex; a null doc_id gives a null component and ``kept`` false.
     """
-    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    src = bounded_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")))
     sk = cut(sketch(src, words), "sketch")
     named = sk.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # (written first, so that both sides of the next join are plain shuffles, which adaptive execution can split)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklake.llm.bpe import Shard
-from ticklake.llm.common import cut, process_cache, ranges, texts_of
+from ticklake.llm.common import bounded_batches, cut, process_cache, ranges, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ke
         yield from flush()
 
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return src.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return bounded_batches(src).mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

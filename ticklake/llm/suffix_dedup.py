@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import Prefix, cut, doc_chunks, mix64, ranges, texts_of
+from ticklake.llm.common import Prefix, bounded_batches, cut, doc_chunks, mix64, ranges, texts_of
 
 GRAM = 64
 CHUNK = 1 << 20
@@ -484,7 +484,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True) ->
         raise ValueError(f"width must be at least {GRAM + 8}")
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).select(
         F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "doc_id", "text")
-    hit = cut(_repeated(_marks(src, width)), "repeated-anchors")
+    hit = cut(_repeated(_marks(bounded_batches(src), width)), "repeated-anchors")
     bits = _key_map(hit.select("key"))
     moved = _listed(src, bits, True)
     # (both digit-3 ways and the final pass read one shuffle of the texts)
