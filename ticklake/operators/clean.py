@@ -216,19 +216,26 @@ def rsi_simple(df, window: int = 14, fillna_method: str | None = None, close="cl
 
 def macd_incremental(df, fast: int = 12, slow: int = 26, signal: int = 9, close="close", symbol="symbol", ts="ts",
                      segment="auto") -> DataFrame:
-    """EMAs seeded with the first price, signal seeded with 0 (the streaming
-    form, differs from the ``macd`` indicator)."""
+    """EMAs seeded with the first price there is, signal seeded with 0 (the
+    streaming form, differs from the ``macd`` indicator).  Null before the
+    first price; a missing price later leaves the averages where they are."""
     f = _frame(df, symbol, ts, segment)
 
     def gen(f):
         af, as_, ag = 2.0 / (fast + 1), 2.0 / (slow + 1), 2.0 / (signal + 1)
-        k = F.col("_rn")
         x = C(close)
-        ef, es = yield (B.linrec(f, F.lit(1 - af), F.when(k == 1, x).otherwise(af * x)),
-                        B.linrec(f, F.lit(1 - as_), F.when(k == 1, x).otherwise(as_ * x)))
+        seen = yield B.cumsum(f, F.when(x.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
+        seen = B.mat(f, seen)
+        first, moves = (seen == 1) & x.isNotNull(), (seen > 1) & x.isNotNull()
+
+        def average(share, v, seed):
+            return B.linrec(f, F.when(moves, F.lit(1 - share)).otherwise(F.lit(1.0)),
+                            F.when(first, seed).when(moves, share * v).otherwise(F.lit(0.0)))
+
+        ef, es = yield average(af, x, x), average(as_, x, x)
         m = ef - es
-        sg = yield B.linrec(f, F.lit(1 - ag), F.when(k == 1, F.lit(0.0)).otherwise(ag * m))
-        return {"macd": m, "macd_signal": sg}
+        sg = yield average(ag, m, F.lit(0.0))
+        return {"macd": F.when(seen > 0, m), "macd_signal": F.when(seen > 0, sg)}
 
     f.with_columns(_advance_all(f, [(gen, {}, {})]))
     return f if isinstance(df, SeriesFrame) else f.result()

@@ -139,13 +139,13 @@ class Sql:
                                  f"THEN {q(out + '__n')} / {q(out + '__d')} END"})
 
     def sql(self, outs: dict[str, str], ints: tuple = (), keep: tuple = ("symbol", "ts"), digits: int = 4,
-            where: str | None = None) -> str:
+            where: str | None = None, raw: bool = False) -> str:
         sel = list(keep)
         for n, e in outs.items():
             if n in ints:
                 sel.append(f"CAST({e} AS INTEGER) AS {q(n)}")
             else:
-                sel.append(f"{r4(e)} AS {q(n)}")
+                sel.append(f"{e if raw else r4(e)} AS {q(n)}")
         body = ",\n".join(f"{nm} AS ({txt})" for nm, txt in self.ctes)
         head = "WITH RECURSIVE " if self.recursive else "WITH "
         wh = f" WHERE {where}" if where else ""

@@ -1280,21 +1280,23 @@ from ticklake.sources import loaders as LD  # noqa: E402
 _BC = ["open", "high", "low", "close", "volume"]
 
 
+_ALL_EVENTS = ("view", "click", "purchase", "signup", "error")
+
+
 def _composite_spark(spark, sf_dir):
     b = bars_h(spark, sf_dir)
-    src = {s: b.filter(F.col("symbol") == s).select("ts", *_BC) for s in ("view", "click")}
+    src = {s: b.filter(F.col("symbol") == s).select("ts", *_BC) for s in _ALL_EVENTS}
     out = JN.composite_join(src, on=["ts"])
-    return out.select("ts", *[r4(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in ("view", "click") for c in _BC])
+    return out.select("ts", *[r4(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in _ALL_EVENTS for c in _BC])
 
 
 SPARK["composite_outer_join_hourly"] = _composite_spark
 _cj_cols = ", ".join(f"{_sr4(f'last_value({c}_{s} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS {c}_{s}"
-                     for s in ("view", "click") for c in _BC)
+                     for s in _ALL_EVENTS for c in _BC)
 ORACLE["composite_outer_join_hourly"] = (
-    f"WITH b AS ({BARS_H_SQL}), v AS (SELECT ts, {', '.join(f'{c} AS {c}_view' for c in _BC)} FROM b WHERE symbol = 'view'), "
-    f"c AS (SELECT ts, {', '.join(f'{c} AS {c}_click' for c in _BC)} FROM b WHERE symbol = 'click'), "
-    f"j AS (SELECT coalesce(v.ts, c.ts) AS ts, * EXCLUDE (ts) FROM v FULL OUTER JOIN c ON v.ts = c.ts) "
-    f"SELECT ts, {_cj_cols} FROM j")
+    f"WITH b AS ({BARS_H_SQL}), j AS (SELECT ts, "
+    + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN {c} END) AS {c}_{s}" for s in _ALL_EVENTS for c in _BC)
+    + f" FROM b GROUP BY ts) SELECT ts, {_cj_cols} FROM j")
 
 
 def _refresh_spark(spark, sf_dir):
@@ -1878,15 +1880,15 @@ for _k, _fn in (("psar", _psar_sql), ("fisher", _fisher_sql), ("ebsw", _ebsw_sql
 
 
 # ---------------------------------------------------------------- products: many indicators in one plan
-def _twin(recipes, bars="h") -> str:
-    """The recipes' SQL on the same bars, side by side."""
+def _twin(recipes, bars="h", raw=False) -> str:
+    """The recipes' SQL on the same bars, side by side (``raw``: not rounded)."""
     parts, seen, cols = [], set(), []
     for i, (_, sqlfn, outs, ints) in enumerate(recipes):
         one = Sql(bars)
         res = {k: v for k, v in sqlfn(one).items() if k not in seen and k in outs}
         seen |= set(res)
         if res:
-            parts.append(f"({one.sql(res, ints=ints)}) a{i}")
+            parts.append(f"({one.sql(res, ints=ints, raw=raw)}) a{i}")
             cols += [f"a{i}.{q(k)}" for k in res]
     first = parts[0].rsplit(" ", 1)[1]
     joins = "".join(f"\nJOIN {x} ON {x.rsplit(' ', 1)[1]}.symbol = {first}.symbol AND {x.rsplit(' ', 1)[1]}.ts = {first}.ts" for x in parts[1:])
@@ -2013,3 +2015,82 @@ SPARK["indicator_bundle_hourly"] = _bundle_spark
 ORACLE["indicator_bundle_hourly"] = (
     'SELECT symbol, ts, "RSI_14" AS rsi, "MACD_12_26_9" AS macd, "MACDs_12_26_9" AS macd_signal, "MACDh_12_26_9" AS macd_hist, '
     f'"ATRr_14" AS atr, "VWAP_D" AS vwap, "BBU_5_2.0" AS bb_upper, "BBL_5_2.0" AS bb_lower FROM ({_twin(_recipe("rsi", "macd", "atr", "vwap", "bbands"))}) t')
+
+
+_PRICES = ("open", "high", "low", "close", "volume")
+_GAPPY_SQL = (f"SELECT symbol, ts, open, high, low, CASE WHEN CAST(epoch(ts) / 3600 AS BIGINT) % 10 = 0 THEN NULL ELSE close END AS close, "
+              f"CAST(volume AS DOUBLE) AS volume FROM ({BARS_H_SQL}) g")
+
+
+def _clean_pipeline_spark(spark, sf_dir):
+    b = bars_h(spark, sf_dir)
+    gappy = b.withColumn("close", F.when((F.unix_seconds("ts") / 3600).cast("long") % 10 == 0, None).otherwise(F.col("close")))
+    out = CL.clean(gappy.withColumn("volume", F.col("volume").cast("double")), threshold=2.0)
+    return out.select("symbol", "ts", *[r4(F.col(c)).alias(c) for c in (*_PRICES, "rsi", "macd", "macd_signal")],
+                      F.col("day_of_week").cast("int").alias("day_of_week"), F.col("is_holiday").cast("int").alias("is_holiday"))
+
+
+def _clean_pipeline_sql():
+    run = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    each = lambda f: ", ".join(f"{f(c)} AS {c}" for c in _PRICES)
+    whole = "OVER (PARTITION BY symbol)"
+    text = f"SELECT symbol, ts, {each(lambda c: f'coalesce(last_value({c} IGNORE NULLS) {run}, first_value({c} IGNORE NULLS) {after})')} FROM ({_GAPPY_SQL}) a"
+    text = (f"SELECT symbol, ts, {each(lambda c: f'CASE WHEN coalesce(abs(({c} - avg({c}) {whole}) / nullif(stddev_pop({c}) {whole}, 0)) > 2.0, false) THEN NULL ELSE {c} END')} "
+            f"FROM ({text}) z")
+    text = f"SELECT symbol, ts, {each(lambda c: f'last_value({c} IGNORE NULLS) {run}')} FROM ({text}) f"
+    s = Sql(text)
+    for c in _PRICES:
+        s.rma(f"d_{c}", c, 5, alpha=2.0 / 6, minp=0)
+    body = ",\n".join(f"{nm} AS ({txt})" for nm, txt in s.ctes)
+    text = f"WITH RECURSIVE {body}\nSELECT symbol, ts, {', '.join(f'd_{c} AS {c}' for c in _PRICES)} FROM {s.cur}"
+    s = Sql(text)
+    _rsis_pre(s)
+    s.cols(rsi_v="CASE WHEN la <> 0 THEN 100 - 100 / (1 + ga / la) WHEN la = 0 AND ga > 0 THEN 100.0 END")
+    # the averages start at the symbol's first price (the outlier step can blank the first row)
+    seen = f"count(close) {run}"
+    s.cols(seen=seen)
+    s.cols(seed="CASE WHEN seen = 1 AND close IS NOT NULL THEN 1 ELSE 0 END", go="CASE WHEN seen > 1 AND close IS NOT NULL THEN 1 ELSE 0 END")
+    for name, share in (("ef", 2.0 / 13), ("es", 2.0 / 27)):
+        s.cols(**{f"{name}_a": f"CASE WHEN go = 1 THEN {1 - share!r} ELSE 1.0 END",
+                  f"{name}_b": f"CASE WHEN seed = 1 THEN close WHEN go = 1 THEN {share!r} * close ELSE 0.0 END"})
+    s.rec(1, ef=("ef_a", "ef_b"), es=("es_a", "es_b"))
+    s.cols(m0="ef - es")
+    s.cols(sg_a=f"CASE WHEN go = 1 THEN {1 - 2.0 / 10!r} ELSE 1.0 END", sg_b=f"CASE WHEN go = 1 THEN {2.0 / 10!r} * m0 ELSE 0.0 END")
+    s.rec(1, sg0=("sg_a", "sg_b"))
+    s.cols(m="CASE WHEN seen > 0 THEN m0 END", sg="CASE WHEN seen > 0 THEN sg0 END")
+    inner = s.sql({**{c: c for c in _PRICES}, "rsi": "rsi_v", "macd": "m", "macd_signal": "sg"})
+    return (f"SELECT b.*, CAST((dayofweek(b.ts) + 6) % 7 AS INTEGER) AS day_of_week, CAST(h.hd IS NOT NULL AS INTEGER) AS is_holiday "
+            f"FROM ({inner}) b LEFT JOIN ({_holiday_sql()}) h ON CAST(b.ts AS DATE) = h.hd")
+
+
+SPARK["clean_pipeline_hourly"] = _clean_pipeline_spark
+ORACLE["clean_pipeline_hourly"] = _clean_pipeline_sql()
+
+
+def _preprocess_spark(spark, sf_dir):
+    from ticklake.operators import features as FT
+    out = FT.preprocess(bars_h(spark, sf_dir), seq_len=10, horizon=1, indicators=dict(bbands=(5, 2.0)))
+    total = F.aggregate("X", F.lit(0.0), lambda a, row: a + F.aggregate(row, F.lit(0.0), lambda x, v: x + v))
+    return out.select("symbol", "start_ts", "end_ts", F.size("X").alias("rows"), F.size(F.col("X")[0]).alias("features"),
+                      r4(total).alias("x_sum"), r4(F.col("X")[9][3]).alias("last_close"), r4(F.col("y")).alias("y"))
+
+
+def _preprocess_sql():
+    feats = ["open", "high", "low", "close", "volume", "rsi", "macd", "macd_signal", "macd_hist", "atr", "vwap", "bb_upper", "bb_lower"]
+    recipes = _recipe("rsi", "macd", "atr", "vwap", "bbands")
+    raw = (f'SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close, b.volume, "RSI_14" AS rsi, "MACD_12_26_9" AS macd, "MACDs_12_26_9" AS macd_signal, '
+           f'"MACDh_12_26_9" AS macd_hist, "ATRr_14" AS atr, "VWAP_D" AS vwap, "BBU_5_2.0" AS bb_upper, "BBL_5_2.0" AS bb_lower '
+           f"FROM ({BARS_H_SQL}) b JOIN ({_twin(recipes, raw=True)}) t ON t.symbol = b.symbol AND t.ts = b.ts")
+    ends = "OVER (PARTITION BY symbol)"
+    scaled = ", ".join(f"({c} - min({c}) {ends}) / (CASE WHEN max({c}) {ends} - min({c}) {ends} = 0 THEN 1.0 ELSE max({c}) {ends} - min({c}) {ends} END) AS {c}" for c in feats)
+    w10 = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
+    return (f"WITH s AS (SELECT symbol, ts, {scaled} FROM ({raw}) r), k AS (SELECT *, {' + '.join(feats)} AS t FROM s WHERE {' AND '.join(f'{c} IS NOT NULL' for c in feats)}), "
+            f"q AS (SELECT symbol, first_value(ts) {w10} AS start_ts, ts AS end_ts, count(*) {w10} AS n, sum(t) {w10} AS x_sum, close, "
+            f"lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS y FROM k) "
+            f"SELECT symbol, start_ts, end_ts, 10 AS rows, {len(feats)} AS features, {_sr4('x_sum')} AS x_sum, {_sr4('close')} AS last_close, {_sr4('y')} AS y "
+            f"FROM q WHERE n = 10 AND y IS NOT NULL")
+
+
+SPARK["preprocess_sequences_hourly"] = _preprocess_spark
+ORACLE["preprocess_sequences_hourly"] = _preprocess_sql()
