@@ -195,7 +195,7 @@ def ewm_adjusted(f, x, alpha: float, minp: int = 0, warm: int = 0) -> Need:
 
 
 def rma(f, x, n: int, warm: int = 0) -> Need:
-    """Wilder average as pandas-ta computes it: ``ewm(alpha=1/n,
+    """Wilder average in its adjusted form: ``ewm(alpha=1/n,
     adjust=True, min_periods=n)``."""
     return ewm_adjusted(f, x, 1.0 / n, minp=n, warm=warm)
 

@@ -109,15 +109,15 @@ def tos_stdevall(f, close="close", length=None, stds=None, ddof=1):
     props = "TOS_STDEVALL"
     sym = f.symbol
     real = f.df.filter(~F.col("_halo"))
-    tot = real.groupBy(sym).agg(F.max("_rn").alias("__n"))
     x = F.col("_rn").cast("double")
     if length is not None:
         length = int(length) if isinstance(length, int) and length > 2 else 30
         props = f"{props}_{length}"
     dd = int(ddof) if ddof is not None and ddof >= 0 else 1
-    src = real.join(F.broadcast(tot), sym)
+    src = real
     if length is not None:
-        src = src.filter(F.col("_rn") > F.col("__n") - length)
+        tot = real.groupBy(sym).agg(F.max("_rn").alias("__n"))
+        src = real.join(tot, sym).filter(F.col("_rn") > F.col("__n") - length)
     agg = src.groupBy(sym).agg(F.regr_slope(C(close), x).alias("__m"), F.regr_intercept(C(close), x).alias("__b"),
                                F.var_pop(C(close)).alias("__vp"), F.count(C(close)).alias("__c"),
                                F.min("_rn").alias("__r0"))
