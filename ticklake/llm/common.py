@@ -30,7 +30,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ticklake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` once all that reads them has itself been written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -167,12 +177,15 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         point = cut(point, f"{name}-point")
         jump = point.alias("p").join(point.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select(
             "id", F.coalesce("next", "to").alias("to"))
-        point = cut(jump, f"{name}-jump")
+        first, point = point, cut(jump, f"{name}-jump")
+        release(first)
         maps.append(point)
         left = point.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         right = point.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(left, "a").join(right, "b").where("ta <> tb")
-        edges = cut(moved.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        first, edges = edges, cut(moved.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), f"{name}-edges")
+        release(first)
+    release(edges)
     if not maps:
         return spark.createDataFrame([], "id long, component long")
     out = maps[0].select("id", F.col("to").alias("component"))

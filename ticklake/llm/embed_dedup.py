@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import components, cut
+from ticklake.llm.common import components, cut, release
 from ticklake.llm.vectors import matrix, permutations, pivots, usable
 
 BLOCK = 1024
@@ -114,6 +114,7 @@ def near_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     m = pivot_count or min(max(64, math.ceil(2 * math.sqrt(n))), 16384)
     posted = cut(_post(classes, pivots(held, m, d), near, d), "pivot-lists")
     found = cut(_links(posted, d, min(shared, m), least), "vector-links")
+    release(posted)
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     per_id = member.join(degree.withColumnRenamed("a", "rep"), "rep", "left").groupBy("id").agg(
         F.max(F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import Prefix, bounded_batches, components, cut, doc_chunks, mix64, process_cache, texts_of
+from ticklake.llm.common import Prefix, bounded_batches, components, cut, doc_chunks, mix64, process_cache, release, texts_of
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
 CHUNK = 1 << 20
@@ -293,7 +293,9 @@ def _rest(members: DataFrame, reps: DataFrame, texts: DataFrame, words: int, per
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     full = left.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    return full.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+    out = full.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
+    out.open_members = left
+    return out
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -314,11 +316,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     only = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2")
     reps = cut(named.join(only, ["doc_id", "n_shingles", "k1", "k2"], "left_semi").select(
         F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["rep", "n", "regs"]), "reps")
+    sizes = cut(sk.select("doc_id", "n_shingles"), "sizes")
+    release(sk, heads)
     bands = cut(_bands(reps), "bands")
     # a key's head is drawn by hash: a document that meets others in many bands is held against many of them
     lot = F.struct(F.xxhash64("key", "rep").alias("lot"), "rep", "n")
     keys = bands.groupBy("key").agg(F.min(lot).alias("head"), F.count("*").alias("c")).where("c > 1")
     shared = cut(bands.join(keys, "key").select("key", "rep", "n", "c", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "shared")
+    release(bands)
     close = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
     stars = shared.where((F.col("rep") != F.col("head")) & close).select(
         F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
@@ -331,11 +336,13 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = shared.where("c > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "rep", "c", F.coalesce("component", "rep").alias("comp"))
     placed = cut(placed, "placed")
+    release(shared, stars)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     more = _rest(placed.join(mixed, "key", "left_semi"), reps, texts, words, percent)
-    links = cut(links.union(more), "links")
+    first, links = links, cut(links.union(more), "links")
+    release(first, placed, texts, reps, more.open_members)
     comp = components(links.union(same_id), "cc")
-    out = sk.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = sizes.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     final = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", final.alias("component_id"),

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticklake.llm.bpe import Shard
-from ticklake.llm.common import bounded_batches, cut, process_cache, ranges, texts_of
+from ticklake.llm.common import bounded_batches, cut, process_cache, ranges, release, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -195,6 +195,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 1024, partitions: int | None = N
     rows = cut(
         held.repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
         .withColumn("_at", F.monotonically_increasing_id()), "sorted-pieces")
+    release(held)
     runs = (
         rows.groupBy(F.shiftright("_at", 33).alias("part"), F.col("length"))
         .agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("part", "length").collect())
