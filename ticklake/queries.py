@@ -2094,3 +2094,51 @@ def _preprocess_sql():
 
 SPARK["preprocess_sequences_hourly"] = _preprocess_spark
 ORACLE["preprocess_sequences_hourly"] = _preprocess_sql()
+
+
+def _geo_spark(spark, sf_dir):
+    from ticklake.operators.metrics import geometric_mean
+    return geometric_mean(bars_h(spark, sf_dir), "close").select("symbol", r4(F.col("geometric_mean")).alias("geometric_mean"))
+
+
+SPARK["geometric_mean_hourly"] = _geo_spark
+ORACLE["geometric_mean_hourly"] = f"SELECT symbol, {_sr4('exp(avg(ln(close)))')} AS geometric_mean FROM ({BARS_H_SQL}) b GROUP BY symbol"
+
+
+def _error_spark(spark, sf_dir):
+    from ticklake.operators.metrics import df_error_analysis
+    b = bars_h(spark, sf_dir)
+    return df_error_analysis(b, b.withColumn("close", F.col("close") + F.col("high")), "close").select(r4(F.col("corr")).alias("corr"))
+
+
+SPARK["error_analysis_hourly"] = _error_spark
+ORACLE["error_analysis_hourly"] = f"SELECT {_sr4('corr(close, close + high)')} AS corr FROM ({BARS_H_SQL}) b"
+
+
+def _value_cross_sql(s):
+    up = f"coalesce(close > 50 AND {lag('close', 1)} < 50, false)"
+    return {"close_A_50": "CAST(close >= 50 AS INTEGER)", "close_B_50": "CAST(close <= 50 AS INTEGER)", "close_XA_50": f"CAST({up} AS INTEGER)"}
+
+
+ind("value_crossings_hourly", "h",
+    [dict(kind="above_value", series_a="close", value=50), dict(kind="below_value", series_a="close", value=50),
+     dict(kind="cross_value", series_a="close", value=50)], _value_cross_sql, ["close_A_50", "close_B_50", "close_XA_50"],
+    ints=("close_A_50", "close_B_50", "close_XA_50"))
+
+
+def _alpha_spark(spark, sf_dir):
+    from ticklake.operators.metrics import jensens_alpha
+    b = bars_h(spark, sf_dir).where(~((F.col("symbol") == "view") & (F.hour("ts") % 5 == 0)))  # the benchmark has gaps
+    return jensens_alpha(b, "view").select("symbol", r4(F.col("jensens_alpha")).alias("jensens_alpha"), r4(F.col("beta")).alias("beta"))
+
+
+SPARK["jensens_alpha_hourly"] = _alpha_spark
+ORACLE["jensens_alpha_hourly"] = f"""
+WITH b AS (SELECT * FROM ({BARS_H_SQL}) x WHERE NOT (symbol = 'view' AND extract('hour' FROM ts) % 5 = 0)),
+r AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM b),
+g AS (SELECT t.ts, v.r AS v, row_number() OVER (ORDER BY t.ts) AS n FROM (SELECT DISTINCT ts FROM r) t LEFT JOIN (SELECT * FROM r WHERE symbol = 'view') v ON v.ts = t.ts),
+w AS (SELECT *, last_value(v IGNORE NULLS) OVER f AS pv, last_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER f AS pn,
+  first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN n END IGNORE NULLS) OVER a AS nn FROM g
+  WINDOW f AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+i AS (SELECT ts, coalesce(v, pv + (nv - pv) * (n - pn) / nullif(nn - pn, 0), pv) AS v FROM w)
+SELECT r.symbol, {_sr4('regr_intercept(r.r, i.v)')} AS jensens_alpha, {_sr4('regr_slope(r.r, i.v)')} AS beta FROM r JOIN i ON i.ts = r.ts GROUP BY r.symbol"""
