@@ -146,3 +146,28 @@ def test_jensens_alpha_interpolates_the_benchmark(spark):
     m = m.interpolate()
     ok = s.notna() & m.notna()
     assert abs(out["S"] - np.polyfit(m[ok], s[ok], 1)[1]) < 1e-12
+
+
+def test_columns_constants_and_order(one):
+    assert joins.resolve(one, "close") == "close" and joins.resolve(one, "CLOSE") == "close" and joins.resolve(one, "vol") == "volume"
+    with pytest.raises(KeyError):
+        joins.resolve(one, "nothing")
+    assert joins.constants(one, [70, 30.5]).first()["70"] == 70.0
+    t = [r["ts"] for r in joins.in_order(one, newest_first=True).select("ts").collect()]
+    assert t == sorted(t, reverse=True)
+
+
+def test_open_trades(spark):
+    from ticklake.operators.signals import open_trades
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    trend, trades, close = [0, 1, 1, 0, 1, 1], [0, 1, 0, -1, 1, 0], [1.0, 2.0, 3.0, 4.0, 5.0, 4.0]
+    df = spark.createDataFrame([("A", day(i), trend[i], trades[i], close[i]) for i in range(6)], "symbol string, ts timestamp, TS_Trends int, TS_Trades int, close double")
+    out = [(r["entry_price"], r["unrealised"]) for r in open_trades(df).orderBy("ts").collect()]
+    assert out == [(None, None), (2.0, 0.0), (2.0, 0.5), (None, None), (5.0, 0.0), (5.0, 4.0 / 5 - 1)]
+
+
+def test_preprocess_from_a_file(spark, one, tmp_path):
+    from ticklake.operators.features import preprocess_file
+    one.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).coalesce(1).write.option("header", True).csv(str(tmp_path / "bars"))
+    out = preprocess_file(spark, str(tmp_path / "bars"), seq_len=5)
+    assert out.count() > 500 and len(out.first()["X"]) == 5

@@ -155,3 +155,9 @@ def preprocess(df: DataFrame, seq_len: int = 60, horizon: int = 1, normalization
     out = scale(out, [c for c in feats], normalization, symbol) if normalization else out
     out = out.dropna(subset=feats)
     return sequences(out, feats, seq_len, horizon, "close", symbol, ts, segment)
+
+
+def preprocess_file(spark, path: str, **options) -> DataFrame:
+    """``preprocess`` of bars in a CSV file or folder with a header."""
+    from ticklake.sources.loaders import load_csv
+    return preprocess(load_csv(spark, path), **options)

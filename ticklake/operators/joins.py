@@ -115,3 +115,27 @@ def is_ordered(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> bool:
     at = df.select(F.col(symbol).alias("s"), F.col(ts).alias("t")).withColumn("at", F.monotonically_increasing_id())
     before = F.lag("t").over(Window.partitionBy("s").orderBy("at"))
     return at.withColumn("before", before).filter("t <= before OR t IS NULL").isEmpty()
+
+
+def resolve(df: DataFrame, name: str) -> str:
+    """The column meant by ``name``: its exact name, the same in another case, or
+    the only column that starts with it.  Several or none raise."""
+    if name in df.columns:
+        return name
+    low = name.lower()
+    for found in ([c for c in df.columns if c.lower() == low], [c for c in df.columns if c.lower().startswith(low)]):
+        if len(found) == 1:
+            return found[0]
+        if found:
+            raise KeyError(f"{name!r} may be any of {found}")
+    raise KeyError(f"no column {name!r} in {df.columns}")
+
+
+def constants(df: DataFrame, values) -> DataFrame:
+    """One column per value, named by it, for levels that series are compared with."""
+    return df.withColumns({str(v): F.lit(float(v)) for v in values})
+
+
+def in_order(df: DataFrame, symbol: str = "symbol", ts: str = "ts", newest_first: bool = False) -> DataFrame:
+    """Rows sorted by symbol and time (a range-partitioned sort), or newest first."""
+    return df.orderBy(F.col(symbol), F.col(ts).desc() if newest_first else F.col(ts))

@@ -146,3 +146,22 @@ def trade_summary(df: DataFrame, trend: str = "TS_Trends", trades: str = "TS_Tra
                                   F.sum(F.when(F.col(trades) > 0, 1).otherwise(0)).alias("entries"),
                                   F.sum(F.when(F.col(trades) < 0, 1).otherwise(0)).alias("exits")) \
         .withColumn("round_trips", F.least("entries", "exits"))
+
+
+def open_trades(df: DataFrame, trend: str = "TS_Trends", trades: str = "TS_Trades", price: str = "close",
+                symbol: str = "symbol", ts: str = "ts", segment="auto") -> DataFrame:
+    """Every row of a trend with the price it was entered at and the unrealised
+    result of the open trade; null outside trends.  The entry price is
+    carried forward on the segmented frame."""
+    from ticklake.operators.registry import _advance_all
+    from ticklake.plans.frame import SeriesFrame
+    f = SeriesFrame(df, symbol, ts, segment=segment)
+
+    def carried(f):
+        entry = yield B.ffill(f, F.when(C(trades) > 0, C(price).cast("double")))
+        return {"entry_price": entry}
+
+    f.with_columns(_advance_all(f, [(carried, {}, {})]))
+    inside = F.col(trend).cast("int") > 0
+    return f.result().withColumn("entry_price", F.when(inside, F.col("entry_price"))).withColumn(
+        "unrealised", F.try_divide(F.col(price), F.col("entry_price")) - 1)
