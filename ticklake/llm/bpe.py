@@ -232,7 +232,7 @@ class Ranks:
 class Shard:
     """Distinct matches of a run of documents and the documents as rows of match numbers."""
 
-    CHUNK = 1 << 20
+    CHUNK = 1 << 19
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks

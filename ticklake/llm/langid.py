@@ -26,7 +26,7 @@ from ticklake.llm.common import bounded_batches, doc_chunks, texts_of
 
 BITS = 14
 UNIT = 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 MAX_LANGUAGES = 1000
 
 

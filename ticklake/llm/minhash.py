@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ticklake.llm.common import Prefix, bounded_batches, components, cut, doc_chunks, mix64, process_cache, release, texts_of
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLOCK = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ticklake.llm.common import Prefix, bounded_batches, cut, doc_chunks, mix64, ranges, texts_of
 
 GRAM = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 HEAVY = 4096
 LIMIT = 16384
 SHARD = 64 << 20
@@ -349,9 +349,15 @@ def _last_digit(ctx: DataFrame, width: int) -> DataFrame:
         gram, around, key = (t.column(c).to_numpy() for c in ("gram", "around", "key"))
         once = np.flatnonzero(_new(gram, around))  # rows of one doc_id may have sent the same bytes twice
         t, gram, around, key = t.take(pa.array(once)), gram[once], around[once], key[once]
-        h, ok = _window_hashes(t.column("left").to_numpy(), t.column("bytes"), w)
-        h += gram.view(np.uint64)[:, None] + np.arange(w, dtype=np.uint64)[None, :] * _STEP
-        s = mix64(h)[ok]
+        left, raw = t.column("left").to_numpy(), t.column("bytes")
+        keys, inside = [], []
+        for i in range(0, len(gram), 512):  # hashed a few rows at a time: the prefix sums are the largest arrays
+            h, ok = _window_hashes(left[i:i + 512], raw.slice(i, 512), w)
+            h += gram[i:i + 512].view(np.uint64)[:, None] + np.arange(w, dtype=np.uint64)[None, :] * _STEP
+            keys.append(mix64(h[ok]))
+            inside.append(ok)
+        s, ok = np.concatenate(keys), np.concatenate(inside)
+        del keys, inside
         order = np.argsort(s)
         s = s[order]
         same = np.zeros(len(s), bool)
