@@ -70,6 +70,18 @@ def test_near_dedup_edges(spark):
     assert near_dedup(df.where("vec_id = 0")).collect()[0]["kept"]
 
 
+@pytest.mark.parametrize("d", [2, 32])
+def test_near_dedup_finds_the_links_of_a_dense_group(spark, d):
+    rng = np.random.default_rng(5)
+    spread = 0.19 if d == 32 else 0.3  # d = 32: mutual cosine about 0.965
+    group = unit(rng.normal(size=(1, d))) + rng.normal(size=(3000, d)) * spread / math.sqrt(d)
+    x = np.concatenate([rng.normal(size=(1000, d)), group]).astype(np.float32)
+    links, _ = brute(x)
+    rows = sorted(near_dedup(frame(spark, x), pivot_count=700).collect(), key=lambda r: r["vec_id"])
+    got = np.array([r["n_links"] for r in rows])
+    assert (got <= links).all() and got.sum() >= 0.999 * links.sum()
+
+
 def nearest(x, q, k):
     u = unit(x.astype(np.float64))
     s = u @ u[q]

@@ -40,6 +40,16 @@ def pivots(held: DataFrame, count: int, d: int) -> np.ndarray:
     return matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), d)
 
 
+def directions(count: int, d: int) -> np.ndarray:
+    """``count`` random directions (normal components, not scaled), the same on every run.
+
+    They do not depend on the rows, so no group of rows can take them up, and
+    the scores of two vectors on them are bivariate normal draws with the
+    vectors' cosine as correlation, in any number of dimensions.
+    """
+    return np.random.RandomState(7).standard_normal((count, d))
+
+
 def permutations(x: np.ndarray, pivot: np.ndarray, length: int) -> np.ndarray:
     """Each row's nearest pivots (largest cosine), nearest first, ties to the smaller pivot number."""
     s = x @ pivot.T
