@@ -111,6 +111,23 @@ def test_search_recall_and_scores(spark):
     assert hit / (120 * 5) >= 0.9
 
 
+@pytest.mark.parametrize("alike", [0.965, 0.8])
+def test_search_recall_beside_a_tight_group(spark, alike):
+    rng = np.random.default_rng(9)
+    d, n, hot = 64, 4000, 1333
+    axis = unit(rng.normal(size=(1, d)))
+    off = rng.normal(size=(hot, d))
+    off = unit(off - (off @ axis.T) * axis)
+    x = np.concatenate([math.sqrt(alike) * axis + math.sqrt(1 - alike) * off, unit(rng.normal(size=(n - hot, d)))]).astype(np.float32)
+    df = frame(spark, x)
+    by = {}
+    for r in search(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = {q: len({i for i, _ in nearest(x, q, 5)} & by[q]) / 5 for q in range(0, n, 20)}
+    assert np.mean([h for q, h in hit.items() if q >= hot]) >= 0.9
+    assert np.mean([h for q, h in hit.items() if q < hot]) >= 0.9
+
+
 def test_search_small_tables_are_exact(spark):
     random.seed(2)
     good = [[random.choice([-1, 0, 1, 2]) for _ in range(4)] for _ in range(30)]

@@ -34,12 +34,6 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def pivots(held: DataFrame, count: int, d: int) -> np.ndarray:
-    """``count`` vectors with the smallest hashed ids: a sample of fixed size, the same on every run."""
-    rows = held.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(count).collect()
-    return matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), d)
-
-
 def directions(count: int, d: int) -> np.ndarray:
     """``count`` random directions (normal components, not scaled), the same on every run.
 
