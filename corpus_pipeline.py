@@ -24,6 +24,11 @@ def _shaped(docs: DataFrame) -> DataFrame:
     return docs.select(*[(docs[c] if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in COLUMNS])
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with ``row``, a written number of their own: ``doc_id`` may be null or repeated."""
+    return cut(docs.withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (``und``: no text or no letter) go; ``lang`` is the prediction."""
     from ticklake.llm.langid import fit, predict
@@ -34,20 +39,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest id.  Empty texts stay."""
+    """One row of each near-duplicate group stays: the smallest id (null ids last).  Empty texts stay."""
     from ticklake.llm.minhash import near_dedup
-    docs = _shaped(docs)
-    kept = near_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = _numbered(_shaped(docs), "rows-near")
+    found = near_dedup(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(first).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by passages of 200 bytes that occur more than once are cut out; emptied documents go."""
     from ticklake.llm.suffix_dedup import remove_repeats
-    docs = _shaped(docs)
-    clean = remove_repeats(docs).where("n_removed < n_bytes OR n_bytes = 0").select(
-        "doc_id", F.col("kept_text").alias("text"))
-    return docs.drop("text").join(clean, "doc_id").select(
+    rows = _numbered(_shaped(docs), "rows-passages")
+    clean = remove_repeats(rows.select(F.col("row").alias("doc_id"), "text")).where("n_removed < n_bytes OR n_bytes = 0").select(
+        F.col("doc_id").alias("row"), F.col("kept_text").alias("text"))
+    return rows.drop("text").join(clean, "row").select(
         "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

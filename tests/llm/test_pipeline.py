@@ -72,6 +72,19 @@ def test_stages_take_an_empty_table(spark, corpus):
         assert docs.count() == 0
 
 
+def test_null_and_repeated_ids_lose_and_mix_nothing(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (" ".join(words(rng, 90)) for _ in range(6))
+    rows = [(None, a), (None, b), (7, c), (7, c), (8, d), (8, e), (None, f), (9, f)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    want = {(None, a, "s0"), (None, b, "s1"), (7, c, "s2"), (7, c, "s3"), (8, d, "s4"), (8, e, "s5"), (9, f, "s7")}
+    for name in ("minhash_near_dedup", "suffix_array_dedup"):
+        docs = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        got = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+        assert len(got) == 6 and set(got) <= want and {t for _, t, _ in got} == {a, b, c, d, e, f}
+
+
 def test_every_numbered_query_is_registered(spark):
     import __spark_entry__
     found = __spark_entry__.queries()
