@@ -66,6 +66,21 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.url_filter import judge_table
+    return judge_table(table(spark, sf_dir, "pages"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.token_align import align
+    return align(table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ticklake.llm.conversation_repair import damage_and_repair
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -77,6 +92,9 @@ QUERIES = {
     "op8_pivot_ann": op8_pivot_ann,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _REACH = """, reach AS (
