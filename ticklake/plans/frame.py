@@ -518,71 +518,3 @@ def _carry_fn(sym: str, specs, reverse: bool = False):
         return pd.DataFrame(out)
 
     return fn
-
-
-# ------------------------------------------------------------ state machines
-def run_state(f: "SeriesFrame", make, inputs: list, outs: list[str], tails: dict | None = None) -> list[str]:
-    """Stream every symbol's real rows in row order through a Python state
-    machine (``make(tail_values) -> obj`` with ``obj.step(*inputs) -> tuple``).
-
-    Non-linear recurrences (parabolic SAR, Jurik, ...) are serial by nature:
-    the rows of one symbol go to one task, but they are streamed in Arrow
-    batches with O(1) state, never materialised as one group.  ``tails``
-    asks for a symbol's last rows ({name: (column, k)} = value k rows before
-    the last), a bounded per-symbol aggregate, for machines whose first
-    rows read from the end of the series (negative-index wrap-around)."""
-    sym = f.symbol
-    names = [fresh("s") for _ in outs]
-    ins = {fresh("i"): c for c in inputs}
-    # inputs may be windows: evaluate them with the halo rows, then drop those
-    real = f.df.withColumns(ins).filter(~F.col("_halo"))
-    tail_cols = []
-    if tails:
-        n = real.groupBy(sym).agg(F.max("_rn").alias("__N"))
-        need = max(k for _, k in tails.values()) + 1
-        last = real.join(n, sym).filter(F.col("_rn") > F.col("__N") - need)
-        aggs = []
-        for nm, (c, k) in tails.items():
-            tc = fresh("tl")
-            aggs.append(F.max(F.when(F.col("_rn") == F.col("__N") - k, c)).alias(tc))
-            tail_cols.append(tc)
-        real = real.join(last.groupBy(sym).agg(*aggs), sym, "left")
-    if f.segment is None:
-        # every symbol is one (symbol, _part) group, clustered in one partition
-        src = f.ordered(real)
-    else:
-        src = f.ordered(real.withColumn("_part", F.lit(0).cast("long")))
-    schema = T.StructType(list(src.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
-    in_names, keep = list(ins), list(src.columns)
-
-    def fn(batches):
-        cur, m = None, None
-        seen = set()
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            syms = b.column(sym).to_pylist()
-            cols = [_floats(b.column(c)).tolist() for c in in_names]
-            tl = [_floats(b.column(c)).tolist() for c in tail_cols]
-            res = [[0.0] * len(syms) for _ in names]
-            for i in range(len(syms)):
-                if syms[i] != cur or m is None:
-                    if syms[i] in seen:  # contiguity guard
-                        raise RuntimeError(f"rows of symbol {syms[i]!r} are not contiguous in the partition")
-                    seen.add(syms[i])
-                    cur = syms[i]
-                    m = make([t[i] for t in tl])
-                o = m.step(*[c[i] for c in cols])
-                for j in range(len(names)):
-                    res[j][i] = o[j]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, *[pa.array(np.array(r, dtype="float64"), from_pandas=True) for r in res]], names=[*b.schema.names, *names])
-
-    out = src.mapInArrow(fn, schema).drop(*in_names, *tail_cols, "_ord")
-    if f.segment is None:
-        f.df = out  # no halo rows without segments
-        f.rehalo()
-    else:
-        f.df = out.withColumn("_halo", F.lit(False)).checkpoint(eager=True)
-        f.rehalo()  # (_part comes back from the segment)
-    return names

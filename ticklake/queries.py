@@ -2003,6 +2003,13 @@ _segmented("vwap_rma_segmented", _recipe("vwap", "rma"), "2 days")
 _segmented("trima_kst_segmented", _recipe("trima", "kst", "hma"), "6 hours")
 _segmented("bundle_segmented", _recipe("rsi", "macd", "atr", "vwap", "bbands"), "2 days")
 
+# the machines' segments, run side by side, must give what the serial twins give
+for _k in ("psar", "supertrend", "qqe", "stc", "hwma", "hwc", "rsx", "ssf", "ebsw"):
+    _outs = _STATE_Q[_k]
+    ind(f"{_k}_segmented", "h", dict(kind=_k), None, _outs, ints=tuple(o for o in _outs if o.startswith(("PSARr", "SUPERTd"))),
+        segment="2 days" if _k in ("psar", "supertrend", "qqe", "stc") else "6 hours")
+    ORACLE[f"{_k}_segmented"] = ORACLE[f"{_k}_hourly"]
+
 
 def _bundle_spark(spark, sf_dir):
     from ticklake.operators.features import indicator_bundle
