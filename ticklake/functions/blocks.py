@@ -172,10 +172,9 @@ def ema(f, x, n: int, warm: int = 0, sma_seed: bool = True, alpha: float | None
     else:
         start = warm + 1
         seed = x
-    acoef = F.when(k <= start, F.lit(1.0)).otherwise(F.when(x.isNull(), F.lit(1.0)).otherwise(F.lit(a)))
     b = (F.when(k < start, F.lit(0.0)).when(k == start, seed)
          .otherwise(F.when(x.isNull(), F.lit(0.0)).otherwise(al * x)))
-    return Need([Scan(b=b, a=acoef)], lambda ys: F.when(k >= start, ys[0]))
+    return Need([Scan(b=b, a=float(a), decays=(k > start) & x.isNotNull())], lambda ys: F.when(k >= start, ys[0]))
 
 
 def ewm_adjusted(f, x, alpha: float, minp: int = 0, warm: int = 0) -> Need:
@@ -234,10 +233,12 @@ def cummin(f, x) -> Need:
 def linrec(f, a, b, start: int = 1) -> Need:
     """Generic y = a*y + b from row ``start`` (zero state before)."""
     k = F.col("_rn")
-    acoef = F.when(k <= start, F.lit(1.0)).otherwise(F.coalesce(C(a), F.lit(1.0))) if not isinstance(a, float) \
-        else F.when(k <= start, F.lit(1.0)).otherwise(F.lit(a))
     bb = F.when(k < start, F.lit(0.0)).otherwise(F.coalesce(C(b), F.lit(0.0)))
-    return Need([Scan(b=bb, a=acoef)], lambda ys: F.when(k >= start, ys[0]))
+    if isinstance(a, float):
+        one = Scan(b=bb, a=a, decays=k > start)
+    else:
+        one = Scan(b=bb, a=F.when(k <= start, F.lit(1.0)).otherwise(F.coalesce(C(a), F.lit(1.0))))
+    return Need([one], lambda ys: F.when(k >= start, ys[0]))
 
 
 def ffill(f, x) -> Need:

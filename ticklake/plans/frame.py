@@ -66,11 +66,17 @@ def fresh(prefix: str = "t") -> str:
 @dataclass
 class Scan:
     """One recurrence request: ``y_t = a_t * y_{t-1} + b_t`` (kind ``lin``),
-    or a running ``max`` / ``min`` / ``sum`` of ``b`` (nulls skipped)."""
+    or a running ``max`` / ``min`` / ``sum`` of ``b`` (nulls skipped).  With
+    ``decays``, ``a_t`` is the number ``a`` on the rows where it holds and 1
+    on the others."""
 
     b: Column
     a: Column | float | None = None
     kind: str = "lin"
+    decays: Column | None = None
+
+    def coefficient(self) -> Column | float:
+        return self.a if self.decays is None else F.when(self.decays, F.lit(self.a)).otherwise(F.lit(1.0))
 
 
 class SeriesFrame:
@@ -87,6 +93,8 @@ class SeriesFrame:
         self.need, self.need_ahead = 0, 0
         self.depths: dict[str, tuple[int, int]] = {}
         self._cuts = None
+        #: rows of the largest symbol, if known
+        self.most_rows: int | None = None
         self.dry = False
         if segment == "auto":
             self._cuts = self._quantile_cuts(df, target_rows)
@@ -122,6 +130,7 @@ class SeriesFrame:
         sizes = df.groupBy(self.symbol).agg(F.count(F.lit(1)).alias("_n"))
         most = sizes.agg(F.max("_n").alias("n")).first()["n"]
         if most is None or most <= target_rows:
+            self.most_rows = most or 0
             return None
         parts = min(math.ceil(most / target_rows), 10_000)
         share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
@@ -270,16 +279,52 @@ class SeriesFrame:
         return out.withColumnsRenamed(ren) if ren else out
 
     # ----------------------------------------------------------------- scans
+    def _within(self, r: Scan) -> bool:
+        """A whole symbol's powers of the coefficient stay within doubles."""
+        if self.segment is not None or self.most_rows is None or r.kind != "lin" or not isinstance(r.a, float):
+            return False
+        return 0 < r.a <= 1 and self.most_rows * -math.log10(r.a) <= DIGITS
+
+    def _summed(self, reqs: list[tuple[str, Scan]]) -> None:
+        """Recurrences of constant coefficient as running sums in the JVM.
+
+        With ``m`` the decays so far, ``y = a**m * sum(b * a**-m)``; all
+        requests share one window, so one sort.
+        """
+        sofar = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        number = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+        inputs = {f"{nm}_b": number(r.b) for nm, r in reqs}
+        inputs.update({f"{nm}_d": F.when(r.decays, 1).otherwise(0) for nm, r in reqs if r.decays is not None})
+        self.df = self.df.withColumns(inputs)
+        times = {nm: F.col(f"{nm}_m") if r.decays is not None else F.col("_rn") for nm, r in reqs}
+        counts = {f"{nm}_m": F.sum(f"{nm}_d").over(sofar) for nm, r in reqs if r.decays is not None}
+        if counts:
+            self.df = self.df.withColumns(counts)
+        power = lambda nm, r, sign: F.pow(F.lit(r.a), sign * times[nm].cast("double"))
+        self.df = self.df.withColumns({nm: power(nm, r, 1) * F.sum(F.col(f"{nm}_b") * power(nm, r, -1)).over(sofar) for nm, r in reqs})
+        self.df = self.df.drop(*inputs, *counts)
+        self.rehalo()
+
     def scan(self, reqs: list[Scan], reverse: bool = False) -> list[str]:
         """Run several recurrences in one Arrow pass; returns result columns.
         ``reverse`` runs them from the newest row backwards (back-fill, next
         valid value); the carry then flows from later segments."""
         sym = self.symbol
         names = [fresh("y") for _ in reqs]
+        native = [not reverse and self._within(r) for r in reqs]
+        if any(native):
+            self._summed([(nm, r) for nm, r, ok in zip(names, reqs, native) if ok])
+            left = [(nm, r) for nm, r, ok in zip(names, reqs, native) if not ok]
+            if not left:
+                return names
+            done = self.scan([r for _, r in left])
+            self.df = self.df.withColumnsRenamed(dict(zip(done, (nm for nm, _ in left))))
+            return names
         df = self.df
         ins = {}
         specs = []
         for nm, r in zip(names, reqs):
+            r = Scan(b=r.b, a=r.coefficient(), kind=r.kind)
             bcol = f"{nm}_b"
             ins[bcol] = r.b.cast("double")
             acol = None
@@ -345,6 +390,10 @@ class SeriesFrame:
         return names
 
 
+#: Powers of a coefficient stay within doubles up to so many digits.
+DIGITS = 200.0
+
+
 def _local_scans(sym: str, specs):
     """Per partition, over its real rows in order: the recurrence from a zero
     state at the segment's first row (``_y``) and, for affine recurrences, the
