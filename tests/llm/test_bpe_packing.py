@@ -132,3 +132,38 @@ def test_pack_documents_edges(spark, docs_of):
     assert sum(r["doc_id"] == 3 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
     with pytest.raises(Exception):
         pack(spark.createDataFrame([(1, 0, 99)], "doc_id long, piece int, length long"), capacity=64).count()
+
+
+def thue_morse(bits: int) -> tuple[str, str]:
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomial_hashes(docs_of, reference):
+    one, other = thue_morse(11)
+    texts = [one, other, f"{one} {other}", f"{other} {one} {other}"]
+    got = {r["doc_id"]: list(r["ids"]) for r in encode(docs_of(texts), MULTI).collect()}
+    assert [got[i] for i in range(4)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_matches_of_one_hash_stay_apart(monkeypatch, reference):
+    """Even if all words had one hash."""
+    import numpy as np
+
+    from ticklake.llm import bpe
+    from ticklake.llm.common import texts_of
+    import pyarrow as pa
+    monkeypatch.setattr(bpe, "word_hashes", lambda codes, start, end: np.zeros(len(start), np.uint64))
+    texts = odd_texts(60, 4) + ["", "the lake the lake"]
+    shard = bpe.Shard(bpe.Ranks.load(MULTI))
+    shard.add(*texts_of(pa.array(texts)))
+    assert [ids.tolist() for ids in shard.encode()] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_added_tokens_in_texts_are_the_library_s(docs_of):
+    tok = Tokenizer.from_file(JSON)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "plain", "<|endoftext", "", None, "é<|endoftext|>\n x"]
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces(docs_of(texts), JSON, keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [*tok.encode(t or "", add_special_tokens=False).ids, 2], t

@@ -77,3 +77,10 @@ def test_edges(spark, docs_of):
     assert got == sorted([(None, None, False), (7, 7, True), (7, 7, True), (9, 9, True), (9, 9, True)], key=str)
     long = " ".join(f"v{i}" for i in range(200_000))
     assert result(near_dedup(docs_of([long, long + " tail", "short"]))) == {0: (199_996, 0), 1: (199_997, 0), 2: (1, 2)}
+
+
+def test_words_that_collide_in_polynomial_hashes(docs_of):
+    from .test_bpe_packing import thue_morse
+    one, other = thue_morse(11)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup(docs_of([one, other, one]), words=2).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}

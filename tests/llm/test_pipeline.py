@@ -85,10 +85,17 @@ def test_null_and_repeated_ids_lose_and_mix_nothing(spark):
         assert len(got) == 6 and set(got) <= want and {t for _, t, _ in got} == {a, b, c, d, e, f}
 
 
+def test_an_unlabelled_table_keeps_every_text_with_a_letter(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, 30)), None, "s", 1) for i in range(20)] + [(20, "123 !", None, "s", 1), (21, None, None, "s", 1)]
+    docs = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r["doc_id"] for r in docs} == set(range(20)) and {r["lang"] for r in docs} == {None}
+
+
 def test_every_numbered_query_is_registered(spark):
     import __spark_entry__
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) <= set(found) and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) <= set(found) and "pipeline" in found
     assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 

@@ -82,3 +82,13 @@ def test_text_and_edges(docs_of):
     assert remove_repeats(docs_of([]).where("false")).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(docs, width=10)
+
+
+def test_columns_are_carried_and_unlike_texts_of_one_id_share_nothing(spark):
+    import random
+    rng = random.Random(8)
+    a, b, c = (" ".join(str(rng.randrange(10**9)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, c, "u")]
+    got = {r["tag"]: (r["doc_id"], r["kept_text"]) for r in remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string, tag string"), keep=["tag"], by_content=True).collect()}
+    assert got == {"x": (1, ""), "y": (1, b), "z": (2, ""), "u": (None, c)}

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ticklake.llm.common import Prefix, bounded_batches, doc_chunks, process_cache, ranges, texts_of
+from ticklake.llm.common import bounded_batches, doc_chunks, process_cache, ranges, texts_of, word_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Code points that the pattern's white-space class holds (fixed by Unicode's White_Space property).
@@ -254,13 +254,17 @@ class Shard:
             mark[doc_at[:-1][doc_at[:-1] < len(codes)]] = True
             start = split_points(codes, mark)
             end = np.append(start[1:], len(codes))
-            h = Prefix(codes).hash(start, end)
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            _, first, inverse = np.unique(word_hashes(codes, start, end), return_index=True, return_inverse=True)
             number = self.number
             glob = np.fromiter(
                 (number.setdefault(text[a:b], len(number)) for a, b in zip(start[first].tolist(), end[first].tolist())),
                 np.int32, len(first))
             words = glob[inverse]
+            # matches of one hash are compared letter by letter with their first
+            size, like = end - start, first[inverse]
+            other = codes != codes[np.minimum(ranges(start[like], size), len(codes) - 1)]
+            for k in np.flatnonzero((size != size[like]) | np.logical_or.reduceat(other, start)).tolist() if len(start) else ():
+                words[k] = number.setdefault(text[start[k]:end[k]], len(number))
             at = np.searchsorted(start, doc_at)
             self.docs += [words[at[k]:at[k + 1]] for k in range(j - i)]
             self.bytes += hi - lo

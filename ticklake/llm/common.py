@@ -119,6 +119,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of disjoint ascending slices: sums of a mixed value of each code with its place in the slice.
+
+    A code at another place counts as another value, so no regular pattern of
+    a text cancels out (as the powers of one multiplier can).  Whoever merges
+    slices by their hash alone has the odds of 64 random bits.
+    """
+    n = len(codes)
+    if len(start) == 0:
+        return np.zeros(0, np.uint64)
+    place = np.arange(n, dtype=np.int64)
+    place[start[0]:] -= np.repeat(start, np.diff(np.append(start, n)))
+    mixed = codes.astype(np.uint64) << np.uint64(40)
+    mixed += place.astype(np.uint64)
+    mixed *= _MULT
+    mixed = mix64(mixed)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed, out=sums[1:])
+    return mix64(sums[end] - sums[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Prefix:
     """Prefix sums of a polynomial code; hashes any slice in O(1)."""
 

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticklake.llm.common import Prefix, bounded_batches, components, cut, doc_chunks, mix64, process_cache, release, texts_of
+from ticklake.llm import common
+from ticklake.llm.common import bounded_batches, components, cut, doc_chunks, mix64, process_cache, release, texts_of
 
 BUCKETS, BANDS, ROWS = 256, 42, 6
 CHUNK = 1 << 19
@@ -64,7 +65,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray):
     inner = edge[edge > 0]
     closes[inner - 1] = word[inner - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return Prefix(data).hash(start, end), np.searchsorted(start, offsets)
+    return common.word_hashes(data, start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):

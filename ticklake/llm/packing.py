@@ -33,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,21 @@ def _encoder(path: str):
     return process_cache(("tokenizer", path), build)
 
 
+def _added(path: str) -> list[str]:
+    """Texts of the file's added tokens: in a document they are tokens, whatever surrounds them."""
+
+    def build():
+        with open(path, encoding="utf-8") as f:
+            return [t["content"] for t in json.load(f).get("added_tokens", [])]
+
+    return process_cache(("added", path), build)
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+    return process_cache(("library", path), lambda: Tokenizer.from_file(path))
+
+
 class _WordIds(Shard):
     """A shard whose distinct matches are encoded by the tokenizer library."""
 
@@ -101,11 +117,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ke
 
         def flush():
             gen = shard.encode()
-            for ids_col in held:
+            for ids_col, own in held:
                 cols = [[], [], [], [], []]
                 kept = []
-                for doc in ids_col.to_pylist():
-                    ids = np.append(next(gen), np.uint32(end_id)).astype("<u4")
+                for row, doc in enumerate(ids_col.to_pylist()):
+                    ids = next(gen)
+                    ids = np.append(own.get(row, ids), np.uint32(end_id)).astype("<u4")
                     at = cut_points(len(ids))
                     for k in range(len(at) - 1):
                         part = ids[at[k]:at[k + 1]]
@@ -123,8 +140,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, ke
                 yield pa.record_batch(out, names=names)
 
         for b in batches:
-            shard.add(*texts_of(b.column("text")))
-            held.append(b.column("doc_id"))
+            text, own = b.column("text"), {}
+            for token in _added(path):
+                text_has = pc.fill_null(pc.match_substring(b.column("text"), token), False)
+                for row in np.flatnonzero(text_has.to_numpy(zero_copy_only=False)).tolist():
+                    # texts that name an added token go through the library whole
+                    own[row] = np.array(_library(path).encode(b.column("text")[row].as_py(), add_special_tokens=False).ids, np.uint32)
+                text = pc.if_else(text_has, "", text)
+            shard.add(*texts_of(text))
+            held.append((b.column("doc_id"), own))
             if shard.bytes >= shard_bytes:
                 yield from flush()
                 held, shard = [], _WordIds(path)

@@ -299,8 +299,8 @@ def _contexts(asked: DataFrame, width: int) -> DataFrame:
                     [pa.array(key[doc]), pa.array(asked_gram[item]), pa.array(asked_around[item]), pa.array(asked_whole[item]),
                      pa.array(left.astype(np.int16)), raw], names=["key", "gram", "around", "whole", "left", "bytes"])
 
-    # doc_id is not used: with it, this and the final pass read the same shuffle of the texts
-    return asked.select("key", "doc_id", "text", "want").mapInArrow(
+    # the other columns are not used: with them, this and the final pass read the same shuffle of the texts
+    return asked.mapInArrow(
         run, "key long, gram long, around long, whole boolean, left short, bytes binary")
 
 
@@ -419,7 +419,7 @@ def _dealt_out(ctx: DataFrame, width: int) -> DataFrame:
         gather, "key long, around long, cover binary")
 
 
-def _removed(joined: DataFrame, width: int, with_text: bool) -> DataFrame:
+def _removed(joined: DataFrame, width: int, with_text: bool, keep: list[str]) -> DataFrame:
     """The results of documents whose ``want`` lists settled anchors (null: none)."""
     w = width - GRAM + 1
 
@@ -470,13 +470,15 @@ def _removed(joined: DataFrame, width: int, with_text: bool) -> DataFrame:
             if with_text:
                 cols.append(pa.array(text, pa.string()))
                 names.append("kept_text")
-            yield pa.record_batch(cols, names=names)
+            yield pa.record_batch([*cols, *(b.column(f"keep_{c}") for c in keep)], names=[*names, *keep])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return joined.drop("key").mapInArrow(run, schema)
+    kinds = dict(joined.dtypes)
+    return joined.drop("key").mapInArrow(run, schema + "".join(f", `{c}` {kinds[f'keep_{c}']}" for c in keep))
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True, keep: list[str] | None = None,
+                   by_content: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``) of every row.
 
     Removes each byte covered by a window of ``width`` bytes that also starts
@@ -485,11 +487,17 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True) ->
     ``width`` has no windows.  Equal texts of at least ``width`` bytes lose
     everything.  Bytes of a character cut in two are left out of
     ``kept_text``.  Rows with a null or repeated doc_id each give a row.
+    ``keep`` names columns to carry along.  With ``by_content`` a row is known
+    by a 64-bit hash of its id and text, so that unlike texts of one id share
+    nothing; else by its id.
     """
     if width < GRAM + 8:
         raise ValueError(f"width must be at least {GRAM + 8}")
-    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).select(
-        F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "doc_id", "text")
+    keep = keep or []
+    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
+                      *[docs[c].alias(f"keep_{c}") for c in keep])
+    name = F.xxhash64("doc_id", "text") if by_content else F.coalesce("doc_id", F.xxhash64("text"))
+    src = src.select(name.alias("key"), "doc_id", "text", *[f"keep_{c}" for c in keep])
     hit = cut(_repeated(_marks(bounded_batches(src), width)), "repeated-anchors")
     bits = _key_map(hit.select("key"))
     moved = _listed(src, bits, True)
@@ -501,4 +509,5 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True) ->
     settled = hit.where(F.col("kind").isin(WHOLE, COPY)).select("key", "around", "kind", F.lit(None).cast("binary").alias("cover")).union(
         covers.select("key", "around", F.lit(FEW).cast("byte").alias("kind"), "cover"))
     want = settled.groupBy("key").agg(F.collect_list(F.struct("around", "kind", "cover")).alias("want"))
-    return _removed(_listed(src, bits, False), width, with_text).union(_removed(moved.join(want, "key", "left"), width, with_text))
+    return _removed(_listed(src, bits, False), width, with_text, keep).union(
+        _removed(moved.join(want, "key", "left"), width, with_text, keep))
