@@ -30,12 +30,11 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (``und``: no text or no letter) go; ``lang`` is the prediction."""
+    """Documents without text or letter go; ``lang`` is the prediction (null where no language could be learned)."""
     from ticklake.llm.langid import fit, predict
     docs = _shaped(docs)
-    found = predict(docs, fit(docs), keep_columns=True)
-    return found.where("lang_pred <> 'und'").select(
-        "doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    found = predict(docs, fit(docs), keep_columns=True).where(F.col("text").rlike(r"\p{L}"))
+    return found.select("doc_id", "text", F.nullif("lang_pred", F.lit("und")).alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by passages of 200 bytes that occur more than once are cut out; emptied documents go."""
     from ticklake.llm.suffix_dedup import remove_repeats
-    rows = _numbered(_shaped(docs), "rows-passages")
-    clean = remove_repeats(rows.select(F.col("row").alias("doc_id"), "text")).where("n_removed < n_bytes OR n_bytes = 0").select(
-        F.col("doc_id").alias("row"), F.col("kept_text").alias("text"))
-    return rows.drop("text").join(clean, "row").select(
-        "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    clean = remove_repeats(_shaped(docs), keep=["lang", "source"], by_content=True).where("n_removed < n_bytes OR n_bytes = 0")
+    return clean.select(
+        "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
