@@ -115,3 +115,31 @@ def test_bursts_are_cut_by_their_own_rows(spark):
     w = SeriesFrame(burst.union(slow), segment=None)
     R.run(w, [dict(kind="sma", length=10), dict(kind="ema", length=10)])
     _compare(got, w.result().toPandas())
+
+
+def test_each_symbol_is_cut_by_its_own_count(spark):
+    from pyspark.sql import functions as F
+
+    def series(name, n):
+        return spark.range(n).select(F.lit(name).alias("symbol"), (F.col("id") * 60).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("close"))
+
+    f = SeriesFrame(series("A", 20_000).union(series("B", 1_100)).union(series("C", 10)), target_rows=1_000, lookback=200)
+    got = {(r["symbol"], r["_part"]): (r["n"], r["halo"]) for r in f.df.groupBy("symbol", "_part").agg(
+        F.count_if(~F.col("_halo")).alias("n"), F.count_if("_halo").alias("halo")).collect()}
+    parts = {s: [v for k, v in got.items() if k[0] == s] for s in "ABC"}
+    assert len(parts["A"]) in (19, 20, 21) and len(parts["B"]) == 2 and len(parts["C"]) == 1
+    assert sum(v[0] for v in parts["A"]) == 20_000 and sum(v[0] for v in parts["B"]) == 1_100
+    assert all(v[0] <= 1_300 for p in parts.values() for v in p) and all(v[1] <= 200 for p in parts.values() for v in p)
+
+
+def test_order_check_combines_splits(spark):
+    from pyspark.sql import functions as F
+
+    from ticklake.operators.joins import is_ordered, order_summary
+    rows = spark.range(0, 1000, 1, 7).select(F.concat(F.lit("s"), F.col("id") % 3).alias("symbol"), F.col("id").cast("timestamp").alias("ts"))
+    assert is_ordered(rows) and order_summary(rows).count() == 21
+    assert not is_ordered(rows.withColumn("ts", F.when(F.unix_seconds("ts") == 500, F.lit(0).cast("timestamp")).otherwise(F.col("ts"))))
+    # each split in order, but a later split begins before an earlier one ends
+    late = spark.range(0, 100, 1, 2).select(F.lit("s").alias("symbol"), ((F.col("id") % 50) + F.lit(1)).cast("timestamp").alias("ts"))
+    assert not is_ordered(late)
+    assert not is_ordered(rows.withColumn("ts", F.when(F.unix_seconds("ts") != 7, F.col("ts"))))

@@ -108,13 +108,26 @@ def is_ordered(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> bool:
     """True when every symbol's timestamps strictly increase in the order in
     which the rows stand (files in name order, rows as written).
 
-    Each row is numbered where it stands; a symbol's rows are in order when
-    ranking them by position and by timestamp agrees, that is when no row's
-    timestamp is at or below the one before it."""
+    Each split of the input sums a symbol's rows up as (first, last, in order);
+    the sums, one row per split and symbol, are combined in split order.  No
+    symbol is gathered in one task."""
     from pyspark.sql import Window
-    at = df.select(F.col(symbol).alias("s"), F.col(ts).alias("t")).withColumn("at", F.monotonically_increasing_id())
-    before = F.lag("t").over(Window.partitionBy("s").orderBy("at"))
-    return at.withColumn("before", before).filter("t <= before OR t IS NULL").isEmpty()
+    sums = order_summary(df, symbol, ts)
+    before = F.lag("last").over(Window.partitionBy("symbol").orderBy("split"))
+    return sums.withColumn("before", before).filter("NOT in_order OR first <= before").isEmpty()
+
+
+def order_summary(df: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """``symbol, split, first, last, in_order, n`` of each input split and symbol; summaries of neighbouring splits combine."""
+    from pyspark.sql import Window
+    at = df.select(F.col(symbol).alias("symbol"), F.col(ts).alias("t")).withColumn("at", F.monotonically_increasing_id())
+    at = at.withColumn("split", F.shiftright("at", 33))
+    before = F.lag("t").over(Window.partitionBy("symbol", "split").orderBy("at"))
+    rows = at.withColumn("before", before)
+    return rows.groupBy("symbol", "split").agg(
+        F.min_by("t", "at").alias("first"), F.max_by("t", "at").alias("last"),
+        F.every(F.col("t").isNotNull() & F.coalesce(F.col("before") < F.col("t"), F.col("before").isNull())).alias("in_order"),
+        F.count(F.lit(1)).alias("n"))
 
 
 def resolve(df: DataFrame, name: str) -> str:

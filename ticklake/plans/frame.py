@@ -132,19 +132,33 @@ class SeriesFrame:
         if most is None or most <= target_rows:
             self.most_rows = most or 0
             return None
-        parts = min(math.ceil(most / target_rows), 10_000)
-        share = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        large = sizes.where(F.col("_n") > target_rows).select(self.symbol)
-        return (df.join(large, self.symbol).groupBy(self.symbol)
-                .agg(F.array_distinct(F.percentile_approx(F.unix_micros(F.col(self.ts)), share, 20 * parts)).alias("_cuts")))
+        # as many parts as a symbol's own rows ask for: its cuts are every step-th quantile of a fine sketch
+        large = sizes.where(F.col("_n") > target_rows).select(self.symbol, F.ceil(F.col("_n") / F.lit(target_rows)).alias("_parts"))
+        fine = min(math.ceil(most / target_rows), 10_000)
+        share = F.array(*[F.lit(i / fine) for i in range(1, fine)])
+        found = (df.join(large, self.symbol).groupBy(self.symbol)
+                 .agg(F.percentile_approx(F.unix_micros(F.col(self.ts)), share, 20 * fine).alias("_fine"), F.first("_parts").alias("_parts")))
+        chosen = F.transform(F.sequence(F.lit(1), F.greatest(F.least("_parts", F.lit(fine)) - 1, F.lit(1)).cast("int")),
+                             lambda k: F.get("_fine", F.greatest(F.round(k * fine / F.least("_parts", F.lit(fine))).cast("int") - 1, F.lit(0))))
+        return found.select(self.symbol, F.array_distinct(chosen).alias("_cuts"))
 
     def _segmented(self, df: DataFrame) -> DataFrame:
         at = F.unix_micros(F.col(self.ts))
         if self._cuts is None:
             us = interval_seconds(self.segment) * 1_000_000
             return df.withColumn("_seg", F.floor(at / F.lit(us)).cast("long"))
-        passed = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<bigint>")), lambda c: c < at))
-        return df.join(self._cuts, self.symbol, "left").withColumn("_seg", passed.cast("long")).drop("_cuts")
+        # cuts ascend: their number below a row is found by halving
+        cuts = F.coalesce("_cuts", F.array().cast("array<bigint>"))
+        halving = F.sequence(F.lit(1), F.lit(15))  # up to 2**14 cuts
+        start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+        def half(acc, _):
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            open_, below = acc["lo"] < acc["hi"], F.get(cuts, mid) < at
+            return F.struct(F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"))
+
+        passed = F.aggregate(halving, start, half, lambda acc: acc["lo"])
+        return df.join(self._cuts, self.symbol, "left").withColumn("_seg", F.when(F.size(cuts) == 0, F.lit(0)).otherwise(passed).cast("long")).drop("_cuts")
 
     def _build(self, df: DataFrame) -> DataFrame:
         sym, ts = self.symbol, self.ts
