@@ -184,3 +184,42 @@ def df_error_analysis(a: DataFrame, b: DataFrame, col: str, keys=("symbol", "ts"
     """Correlation of one column between two frames aligned on keys."""
     j = a.select(*keys, F.col(col).alias("__a")).join(b.select(*keys, F.col(col).alias("__b")), list(keys))
     return j.agg(F.corr("__a", "__b").alias("corr"))
+
+
+def risk_ratios(bars: DataFrame, benchmark_rate: float = 0.0, period: float = TRADING_DAYS_PER_YEAR, log: bool = False,
+                use_cagr: bool = False, capital: float = 1.0, symbol: str = "symbol", ts: str = "ts", close: str = "close",
+                segment="auto") -> DataFrame:
+    """Per symbol ``n, mean_return, volatility, sharpe_ratio, optimal_leverage`` with all options.
+
+    ``log`` takes log returns, ``period`` annualises mean and deviation,
+    ``use_cagr`` divides the growth rate by the volatility instead.  A symbol
+    without two prices, or whose prices never move, has null ratios.
+    """
+    f = SeriesFrame(bars, symbol, ts, segment=segment, lookback=2)
+    step = dv(C(close), lag(f, close, 1))
+    f.with_columns({"__r": B.log(step) if log else step - 1})
+    days = F.floor((F.unix_seconds(F.max(ts)) - F.unix_seconds(F.min(ts))) / 86400.0)
+    sums = f.df.filter(~F.col("_halo")).groupBy(symbol).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("__r").alias("mean_return"), F.stddev_samp("__r").alias("__sd"),
+        dv(F.max_by(C(close), "_rn"), F.min_by(C(close), "_rn")).alias("__growth"), (days / TRADING_DAYS_PER_YEAR).alias("__years"))
+    growth = F.pow(F.col("__growth"), dv(F.lit(1.0), F.col("__years"))) - 1
+    volatility = F.sqrt(dv(F.col("n"), F.col("__years"))) * F.col("__sd")
+    excess, deviation = period * F.col("mean_return") - benchmark_rate, math.sqrt(period) * F.col("__sd")
+    return sums.select(
+        symbol, "n", "mean_return", volatility.alias("volatility"),
+        (dv(growth, volatility) if use_cagr else dv(excess, deviation)).alias("sharpe_ratio"),
+        (capital * dv(excess, deviation * deviation)).cast("long").alias("optimal_leverage"))
+
+
+def linear_regression(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Ordinary least squares of ``y`` on ``x`` per group: ``n, a`` (intercept), ``b`` (slope), ``r, t``.
+
+    Rows where either is null are left out; one combinable aggregate.  With
+    fewer than two distinct ``x`` the line is null, with two rows ``t`` is.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    a, b = C(y).cast("double"), C(x).cast("double")
+    out = both.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.regr_intercept(a, b).alias("a"), F.regr_slope(a, b).alias("b"), F.corr(b, a).alias("r"))
+    r = F.col("r")
+    return out.withColumn("t", dv(r, F.sqrt(dv(F.greatest(1 - r * r, F.lit(0.0)), F.when(F.col("n") > 2, F.col("n") - 2)))))

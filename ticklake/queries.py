@@ -2149,3 +2149,96 @@ w AS (SELECT *, last_value(v IGNORE NULLS) OVER f AS pv, last_value(CASE WHEN v
   WINDOW f AS (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 i AS (SELECT ts, coalesce(v, pv + (nv - pv) * (n - pn) / nullif(nn - pn, 0), pv) AS v FROM w)
 SELECT r.symbol, {_sr4('regr_intercept(r.r, i.v)')} AS jensens_alpha, {_sr4('regr_slope(r.r, i.v)')} AS beta FROM r JOIN i ON i.ts = r.ts GROUP BY r.symbol"""
+
+
+# ---------------------------------------------------------------- option variants and trades
+def _risk_spark(**options):
+    def run(spark, sf_dir):
+        from ticklake.operators.metrics import risk_ratios
+        m = risk_ratios(bars_w(spark, sf_dir), **options)
+        return m.select("symbol", "n", "optimal_leverage", *[r4(F.col(c)).alias(c) for c in ("mean_return", "volatility", "sharpe_ratio")])
+    return run
+
+
+def _risk_sql(log, use_cagr, period, rate):
+    from ticklake.oracle_sql import r4 as sr4
+    step = "close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0)"
+    ret = f"ln(CASE WHEN {step} > 0 THEN {step} END)" if log else f"{step} - 1"
+    excess, dev = f"({period} * mr - {rate})", f"(sqrt({period}) * sr)"
+    vol = "(sqrt(n / NULLIF(yrs, 0)) * sr)"
+    sharpe = f"(power(lc / fc, 1.0 / NULLIF(yrs, 0)) - 1) / NULLIF({vol}, 0)" if use_cagr else f"{excess} / NULLIF({dev}, 0)"
+    return f"""
+WITH r AS (SELECT symbol, ts, close, {ret} AS r FROM ({BARS_W_SQL}) x),
+a AS (SELECT symbol, count(*) AS n, avg(r) AS mr, stddev_samp(r) AS sr, arg_min(close, ts) AS fc, arg_max(close, ts) AS lc,
+             floor((epoch(max(ts)) - epoch(min(ts))) / 86400.0) / 252.0 AS yrs FROM r GROUP BY symbol)
+SELECT symbol, CAST(n AS BIGINT) AS n, {sr4('mr')} AS mean_return, {sr4(vol)} AS volatility, {sr4(sharpe)} AS sharpe_ratio,
+       CAST(trunc({excess} / NULLIF({dev} * {dev}, 0)) AS BIGINT) AS optimal_leverage FROM a"""
+
+
+for _name, _o in {"risk_ratios_log_weekly": dict(log=True, use_cagr=False, period=52, benchmark_rate=0.01),
+                  "risk_ratios_cagr_weekly": dict(log=False, use_cagr=True, period=252, benchmark_rate=0.0)}.items():
+    SPARK[_name] = _risk_spark(**_o)
+    ORACLE[_name] = _risk_sql(_o["log"], _o["use_cagr"], _o["period"], _o["benchmark_rate"])
+
+
+def _regression_spark(spark, sf_dir):
+    from ticklake.operators.metrics import linear_regression
+    m = linear_regression(bars_w(spark, sf_dir), "volume", "close", ["symbol"])
+    return m.select("symbol", "n", *[r4(F.col(c)).alias(c) for c in ("a", "b", "r", "t")])
+
+
+def _regression_sql():
+    from ticklake.oracle_sql import r4 as sr4
+    cols = {"a": "a", "b": "b", "r": "r", "t": "r / NULLIF(sqrt(greatest(1 - r * r, 0) / NULLIF(greatest(n - 2, 0), 0)), 0)"}
+    return f"""
+WITH g AS (SELECT symbol, count(*) AS n, regr_intercept(close, volume) AS a, regr_slope(close, volume) AS b, corr(close, volume) AS r
+           FROM ({BARS_W_SQL}) x WHERE close IS NOT NULL AND volume IS NOT NULL GROUP BY symbol)
+SELECT symbol, CAST(n AS BIGINT) AS n, {', '.join(f'{sr4(e)} AS {k}' for k, e in cols.items())} FROM g"""
+
+
+SPARK["linear_regression_weekly"] = _regression_spark
+ORACLE["linear_regression_weekly"] = _regression_sql()
+
+
+def _crossed(spark, sf_dir):
+    """Hourly bars with the trend "short average above the long one" and its entries and exits."""
+    f = SeriesFrame(bars_h(spark, sf_dir), lookback=30)
+    R.run(f, [dict(kind="sma", length=5), dict(kind="sma", length=20)])
+    f.with_columns({"TS_Trends": F.coalesce((F.col("SMA_5") > F.col("SMA_20")).cast("int"), F.lit(0))})
+    before = F.lag("TS_Trends").over(f.w)
+    f.with_columns({"TS_Trades": F.when(before.isNull(), 0).otherwise(F.col("TS_Trends") - before)})
+    return f.result()
+
+
+_TRADES_SQL = f"""
+WITH s AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn,
+  avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fast,
+  avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS slow FROM ({BARS_H_SQL}) x),
+t AS (SELECT *, CASE WHEN rn >= 20 AND fast > slow THEN 1 ELSE 0 END AS trend FROM s),
+u AS (SELECT *, coalesce(trend - lag(trend) OVER (PARTITION BY symbol ORDER BY ts), 0) AS trade FROM t)"""
+
+
+def _trade_table_spark(spark, sf_dir):
+    from ticklake.operators.signals import trade_table
+    t = trade_table(_crossed(spark, sf_dir))
+    return t.select("symbol", "ts", F.col("trade").cast("int").alias("trade"), r4(F.col("entry_price")).alias("entry_price"),
+                    r4(F.col("exit_price")).alias("exit_price"))
+
+
+def _trade_summary_spark(spark, sf_dir):
+    from ticklake.operators.signals import trade_summary
+    t = trade_summary(_crossed(spark, sf_dir))
+    return t.select("symbol", r4(F.col("coverage")).alias("coverage"), *[F.col(c).cast("long").alias(c) for c in ("entries", "exits", "round_trips")])
+
+
+def _trade_sql():
+    from ticklake.oracle_sql import r4 as sr4
+    table = (f"{_TRADES_SQL} SELECT symbol, ts, CAST(trade AS INTEGER) AS trade, {sr4('CASE WHEN trade > 0 THEN close END')} AS entry_price, "
+             f"{sr4('CASE WHEN trade < 0 THEN close END')} AS exit_price FROM u WHERE trade <> 0")
+    summary = (f"{_TRADES_SQL}, g AS (SELECT symbol, avg(trend) AS c, count(*) FILTER (trade > 0) AS e, count(*) FILTER (trade < 0) AS x FROM u GROUP BY symbol) "
+               f"SELECT symbol, {sr4('c')} AS coverage, CAST(e AS BIGINT) AS entries, CAST(x AS BIGINT) AS exits, CAST(least(e, x) AS BIGINT) AS round_trips FROM g")
+    return table, summary
+
+
+SPARK["trade_table_hourly"], SPARK["trade_summary_hourly"] = _trade_table_spark, _trade_summary_spark
+ORACLE["trade_table_hourly"], ORACLE["trade_summary_hourly"] = _trade_sql()
