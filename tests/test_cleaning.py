@@ -90,3 +90,23 @@ def test_sentiment_lexicon(spark):
     s = 5.0
     assert abs(out[1] - s / (s * s + 15) ** 0.5) < 1e-12
     assert out[2] < 0 and out[3] == 0.0 and out[4] == 0.0
+
+
+def test_counters_of_every_step(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ticklake.operators import clean as CL
+    rng = random.Random(2)
+    rows = [("a", i * 60, 100.0 + rng.random(), 5.0) for i in range(200)]
+    rows[10] = ("a", 600, None, 5.0)
+    rows[50] = ("a", 3000, 900.0, 5.0)
+    df = spark.createDataFrame(rows, "symbol string, at long, close double, volume double").select(
+        "symbol", F.col("at").cast("timestamp").alias("ts"), *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], "volume")
+    counters = CL.CleaningCounters()
+    out = CL.clean(df, span=None, rsi_window=None, macd=None, calendar=False, anomaly_contamination=0.1, counters=counters)
+    assert not set(CL.CleaningCounters.TALLIES) & set(out.columns)
+    n = out.count()
+    assert counters.read() == {"rows": 200, "missing_before": 4, "missing_imputed": 4, "outliers_removed": 4, "anomalies_removed": 200 - n}
+    assert 10 <= 200 - n <= 30

@@ -22,6 +22,7 @@ from ticklake.functions import blocks as B
 from ticklake.functions.blocks import C, dv, lag
 from ticklake.operators.registry import _advance_all
 from ticklake.plans.frame import SeriesFrame
+from ticklake.session import written
 
 PRICE_COLS = ["open", "high", "low", "close"]
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -139,12 +140,13 @@ def _history_stats(f: SeriesFrame, cols, exact: bool):
 
 
 def remove_outliers(df, method: str = "zscore", threshold: float = 3.0, factor: float = 1.5, cols=None,
-                    exact: bool = True, symbol="symbol", ts="ts", segment="auto", observation=None):
+                    exact: bool = True, symbol="symbol", ts="ts", segment="auto", observation=None, count_as: str | None = None):
     """Null values with |z| > threshold (population std over the symbol's
     history) or outside [Q1 - factor*IQR, Q3 + factor*IQR], then forward
     fill.  Bounds are one per-symbol aggregate joined back.  ``exact=False``
     uses a bounded quantile sketch instead of exact percentiles (whose
-    per-group state grows with the distinct values of a symbol)."""
+    per-group state grows with the distinct values of a symbol).  ``count_as``
+    names a column that says how many values of a row were outliers."""
     f = _frame(df, symbol, ts, segment)
     cols = cols or _num_cols(f.df, (symbol, ts))
     st = _history_stats(f, cols, exact)
@@ -176,6 +178,8 @@ def remove_outliers(df, method: str = "zscore", threshold: float = 3.0, factor:
     f.df = f.df.drop(*drop)
     if observation is not None:
         f.df = f.df.observe(observation, F.sum(F.when(~F.col("_halo"), F.col("__outliers"))).alias("outliers_removed"))
+    if count_as:
+        f.df = f.df.withColumn(count_as, F.col("__outliers"))
     f.df = f.df.drop("__outliers")
     return f if isinstance(df, SeriesFrame) else f.result()
 
@@ -428,13 +432,46 @@ def remove_anomalies(df: DataFrame, cols: list[str], contamination: float = 0.1,
 
 
 # --------------------------------------------------------------- pipeline
+class CleaningCounters:
+    """What a run of ``clean`` did, observed while its rows pass by (no extra job).
+
+    Each step leaves its count on the row; the sums are taken once, where the
+    rows leave the ordered steps, and again behind the anomaly removal.
+    """
+
+    TALLIES = ("tally_before", "tally_after", "tally_outliers")
+
+    def __init__(self):
+        self.cleaned, self.kept = Observation(), Observation()
+        self.anomalies = False
+
+    def taken(self, df: DataFrame) -> DataFrame:
+        """Sums of the tallies; their columns go."""
+        before, after, outliers = (F.sum(F.col(c)) for c in self.TALLIES)
+        return df.observe(self.cleaned, F.count(F.lit(1)).alias("rows"), F.coalesce(before, F.lit(0)).alias("missing_before"),
+                          F.coalesce(before - after, F.lit(0)).alias("missing_imputed"),
+                          F.coalesce(outliers, F.lit(0)).alias("outliers_removed")).drop(*self.TALLIES)
+
+    def left(self, df: DataFrame) -> DataFrame:
+        self.anomalies = True
+        return df.observe(self.kept, F.count(F.lit(1)).alias("rows"))
+
+    def read(self) -> dict[str, int]:
+        """The counts; waits for an action on the cleaned rows."""
+        got = dict(self.cleaned.get)
+        got["anomalies_removed"] = got["rows"] - self.kept.get["rows"] if self.anomalies else 0
+        return got
+
+
 def clean(df: DataFrame, symbol: str = "symbol", ts: str = "ts", impute_method: str = "forward_fill",
           backward_fill: bool = True, outlier_method: str | None = "zscore", threshold: float = 3.0,
           span: int | None = 5, rsi_window: int | None = 14, macd=(12, 26, 9), calendar: bool = True,
-          anomaly_contamination: float | None = None, segment="auto", observation: Observation | None = None):
+          anomaly_contamination: float | None = None, segment="auto", observation: Observation | None = None,
+          counters: CleaningCounters | None = None):
     """The batch cleaning pipeline: validate -> impute -> outliers -> denoise
     -> RSI -> MACD -> calendar -> anomalies.  ``observation`` collects
-    rows / missing-before counters without an extra job."""
+    rows / missing-before counters without an extra job, ``counters`` what
+    every step did."""
     validate(df, symbol=symbol, ts=ts)
     cols = [c for c in OHLCV if c in df.columns]
     if observation is not None:
@@ -442,9 +479,16 @@ def clean(df: DataFrame, symbol: str = "symbol", ts: str = "ts", impute_method:
                         sum((F.sum(F.col(c).isNull().cast("int")) for c in cols), F.lit(0)).alias("missing_before"))
     # one ordered frame (one shuffle, one row numbering) for all ordered steps
     f = SeriesFrame(df, symbol, ts, segment=segment, lookback=max(2, (rsi_window or 0) + 1))
+    before, after, outliers = CleaningCounters.TALLIES
+    nulls = lambda: sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    if counters is not None:
+        f.with_columns({before: nulls()})
     impute(f, impute_method, backward_fill, cols, symbol, ts, segment)
+    if counters is not None:
+        f.with_columns({after: nulls(), outliers: F.lit(0).cast("long")})
     if outlier_method:
-        remove_outliers(f, outlier_method, threshold, cols=cols, symbol=symbol, ts=ts, segment=segment)
+        remove_outliers(f, outlier_method, threshold, cols=cols, symbol=symbol, ts=ts, segment=segment,
+                        count_as=outliers if counters is not None else None)
     if span:
         denoise(f, span, cols, symbol, ts, segment)
     if rsi_window:
@@ -452,8 +496,13 @@ def clean(df: DataFrame, symbol: str = "symbol", ts: str = "ts", impute_method:
     if macd:
         macd_incremental(f, *macd, close="close", symbol=symbol, ts=ts, segment=segment)
     out = f.result()
+    if counters is not None:
+        out = counters.taken(out)
     if calendar:
         out = calendar_features(out, ts)
     if anomaly_contamination:
-        out = remove_anomalies(out, cols, anomaly_contamination)
+        # counting, growing, the threshold and the scoring read one written table
+        out = remove_anomalies(written(out, "cleaned"), cols, anomaly_contamination)
+        if counters is not None:
+            out = counters.left(out)
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticklake.plans.frame import SeriesFrame, _floats, fresh
-from ticklake.session import scratch_path
+from ticklake.session import written
 
 ROUNDS = 4
 #: Rows that a linear system advances in one matrix product.
@@ -56,13 +56,6 @@ def thaw(machine, saved: dict) -> None:
             setattr(machine, k, deque(v, now.maxlen) if isinstance(now, deque) else v)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the checkpoint folder and read again (later passes read only the columns they need)."""
-    path = scratch_path(df.sparkSession, f"ticklake-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _groups(b: pa.RecordBatch, keys: list[str]):
     """Runs of equal keys in a batch, as (key, start, stop)."""
     n = b.num_rows
@@ -193,21 +186,21 @@ def _ends(make, keys: list[str], ins: list[str], tail_cols: list[str]):
 def _settled(f: SeriesFrame, make, real: DataFrame, ins: list[str], tail_cols: list[str], names: list[str]) -> DataFrame:
     """Rows with the machine's outputs, every segment from its exact state (see the module's text)."""
     sym, keys = f.symbol, [f.symbol, "_part"]
-    held = _written(real.withColumn("_part", F.col("_seg")), "machine-rows")
+    held = written(real.withColumn("_part", F.col("_seg")), "machine-rows")
     slim = held.select(*keys, "_rn", *ins, *tail_cols)
     kind = T.StructType([*[held.schema[k] for k in keys], T.StructField("ran", T.StringType()), T.StructField("exit", T.StringType())])
 
     def ends(rows: DataFrame) -> DataFrame:
         return f.ordered(rows).mapInArrow(_ends(make, keys, ins, tail_cols), kind)
 
-    known = _written(ends(slim.withColumn("entry", F.lit(None).cast("string"))), "machine-ends")
+    known = written(ends(slim.withColumn("entry", F.lit(None).cast("string"))), "machine-ends")
     before = F.lag("exit").over(Window.partitionBy(sym).orderBy("_part"))
     for _ in range(ROUNDS):
         stale = known.withColumn("entry", before).where("NOT entry <=> ran").select(*keys, "entry")
         if stale.isEmpty():
             break
         again = ends(slim.join(stale, keys)).withColumnsRenamed({"ran": "ran_2", "exit": "exit_2"})
-        known = _written(known.join(again, keys, "left").select(
+        known = written(known.join(again, keys, "left").select(
             *keys, F.coalesce("ran_2", "ran").alias("ran"), F.coalesce("exit_2", "exit").alias("exit")), "machine-ends")
     entered = known.withColumn("entry", before)
     open_ = entered.where("NOT entry <=> ran").select(sym).distinct().withColumn("whole", F.lit(True))
@@ -218,7 +211,7 @@ def _settled(f: SeriesFrame, make, real: DataFrame, ins: list[str], tail_cols: l
     src = f.ordered(rows)
     schema = T.StructType([*src.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     out = src.mapInArrow(_stepped(make, keys, ins, tail_cols, names, "entry"), schema)
-    return _written(out.drop(*ins, *tail_cols, "_ord", "entry").withColumn("_part", F.col("_seg")), "machine-out")
+    return written(out.drop(*ins, *tail_cols, "_ord", "entry").withColumn("_part", F.col("_seg")), "machine-out")
 
 
 # ------------------------------------------------------------ linear systems
@@ -308,7 +301,7 @@ def scan_linear(f: SeriesFrame, matrix, inputs: list[Column], start: list[Column
         f.rehalo()
         return names
 
-    held = _written(real.withColumn("_part", F.col("_seg")), "linear-rows")
+    held = written(real.withColumn("_part", F.col("_seg")), "linear-rows")
 
     def ends(batches):
         last = None
@@ -338,6 +331,6 @@ def scan_linear(f: SeriesFrame, matrix, inputs: list[Column], start: list[Column
 
     carried = summary.groupBy(sym).applyInPandas(
         composed, T.StructType([*[held.schema[c] for c in keys], T.StructField("carry", T.ArrayType(T.DoubleType()))]))
-    f.df = _written(states(f.ordered(held.join(carried, keys)), "carry").drop("carry"), "linear-out")
+    f.df = written(states(f.ordered(held.join(carried, keys)), "carry").drop("carry"), "linear-out")
     f.rehalo()
     return names

@@ -2242,3 +2242,32 @@ def _trade_sql():
 
 SPARK["trade_table_hourly"], SPARK["trade_summary_hourly"] = _trade_table_spark, _trade_summary_spark
 ORACLE["trade_table_hourly"], ORACLE["trade_summary_hourly"] = _trade_sql()
+
+
+# ---------------------------------------------------------------- cleaning counters
+def _clean_counters_spark(spark, sf_dir):
+    """What every step of the cleaning pipeline did, observed while its rows were written."""
+    b = bars_h(spark, sf_dir)
+    gappy = b.withColumn("close", F.when((F.unix_seconds("ts") / 3600).cast("long") % 10 == 0, None).otherwise(F.col("close")))
+    counters = CL.CleaningCounters()
+    CL.clean(gappy.withColumn("volume", F.col("volume").cast("double")), threshold=2.0, span=None, rsi_window=None, macd=None,
+             counters=counters).write.format("noop").mode("overwrite").save()
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counters.read().items()])
+
+
+def _clean_counters_sql():
+    whole = "OVER (PARTITION BY symbol)"
+    run = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    filled = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) {run}, first_value({c} IGNORE NULLS) {after}) AS {c}" for c in _PRICES)
+    nulls = lambda: " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in _PRICES)
+    z = ", ".join(f"abs(({c} - avg({c}) {whole}) / NULLIF(stddev_pop({c}) {whole}, 0)) > 2.0 AS {c}" for c in _PRICES)
+    bad = " + ".join(f"count(*) FILTER ({c})" for c in _PRICES)
+    return (f"WITH a AS ({_GAPPY_SQL}), b AS (SELECT symbol, ts, {filled} FROM a), z AS (SELECT {z} FROM b), "
+            f"n AS (SELECT count(*) AS rows, {nulls()} AS m FROM a), l AS (SELECT {nulls()} AS m FROM b), o AS (SELECT {bad} AS k FROM z) "
+            f"SELECT CAST(n.rows AS BIGINT) AS rows, CAST(n.m AS BIGINT) AS missing_before, CAST(n.m - l.m AS BIGINT) AS missing_imputed, "
+            f"CAST(o.k AS BIGINT) AS outliers_removed, CAST(0 AS BIGINT) AS anomalies_removed FROM n, l, o")
+
+
+SPARK["clean_counters_hourly"] = _clean_counters_spark
+ORACLE["clean_counters_hourly"] = _clean_counters_sql()

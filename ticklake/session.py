@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the checkpoint folder and read again (later passes read only the columns they need)."""
+    path = scratch_path(df.sparkSession, f"ticklake-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
