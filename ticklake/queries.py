@@ -2271,3 +2271,25 @@ def _clean_counters_sql():
 
 SPARK["clean_counters_hourly"] = _clean_counters_spark
 ORACLE["clean_counters_hourly"] = _clean_counters_sql()
+
+
+# ---------------------------------------------------------------- isolation forest
+def _forest_spark(spark, sf_dir):
+    """What must hold for the scores of all hourly bars, whatever the trees: every row is scored, scores lie between
+    0 and 1, equal values score alike, and the rows removed are the highest-scored share."""
+    from ticklake.session import written
+    cols = list(_PRICES)
+    bars = bars_h(spark, sf_dir).select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in cols])
+    scored = written(CL.anomaly_scores(bars, cols), "scored")
+    limit = scored.agg(F.percentile_approx("anomaly_score", 0.9, 100000)).first()[0]
+    apart = scored.groupBy(*cols).agg((F.max("anomaly_score") - F.min("anomaly_score")).alias("apart")).agg(F.max("apart")).first()[0]
+    inside = F.col("anomaly_score") <= F.lit(limit)
+    share = scored.agg(F.avg(inside.cast("int"))).first()[0]
+    return scored.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("anomaly_score").between(0, 1)).alias("scored")).select(
+        "symbol", "rows", "scored", F.lit((apart or 0.0) <= 1e-12).alias("alike"), F.lit(share is not None and 0.9 <= share < 0.92).alias("kept_share"))
+
+
+SPARK["isolation_forest_hourly"] = _forest_spark
+ORACLE["isolation_forest_hourly"] = (
+    f"SELECT symbol, count(*) AS rows, count(*) AS scored, true AS alike, true AS kept_share FROM ({BARS_H_SQL}) b GROUP BY symbol")
