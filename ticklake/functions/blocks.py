@@ -16,6 +16,7 @@ from typing import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ticklake.functions import long_windows
 from ticklake.plans.frame import Scan, SeriesFrame, fresh
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, added by non_zero_range
@@ -50,10 +51,13 @@ class Need:
 
 # ----------------------------------------------------------- bounded windows
 def roll(f: SeriesFrame, x, n: int, agg: str = "avg", minp: int | None = None, end: int = 0) -> Column:
-    """``rolling(n, min_periods=minp).agg()`` as a ROWS frame; null below minp."""
+    """``rolling(n, min_periods=minp).agg()`` as a ROWS frame; null below minp.
+    Long windows are put together from blocks (``long_windows``)."""
     x = mat(f, x)
-    w = f.rows(n, end, x)
     minp = n if minp is None else minp
+    if n > long_windows.LONG and end == 0 and long_windows.supported(agg):
+        return long_windows.rolling(f, x, n, agg, minp)
+    w = f.rows(n, end, x)
     fns = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp,
            "stdp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "count": F.count,
            "skew": F.skewness, "kurt": F.kurtosis}

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ticklake.functions import blocks as B
 from ticklake.functions.blocks import C, dv, lag
 from ticklake.operators.registry import _advance_all
+from ticklake.operators.selection import exact_quantiles
 from ticklake.plans.frame import SeriesFrame
 from ticklake.session import written
 
@@ -127,29 +128,29 @@ def impute(df, method: str = "forward_fill", backward_fill: bool = False, cols=N
     return f.result() if not isinstance(df, SeriesFrame) else f
 
 
-def _history_stats(f: SeriesFrame, cols, exact: bool):
+def _history_stats(f: SeriesFrame, cols, method: str, exact: bool):
+    """Mean and deviation, or quartiles, of each symbol's history."""
     real = f.df.filter(~F.col("_halo"))
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}")]
-        if exact:
-            aggs.append(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{c}"))
-        else:
-            aggs.append(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 100000).alias(f"__q_{c}"))
-    return real.groupBy(f.symbol).agg(*aggs)
+    if method == "zscore":
+        return real.groupBy(f.symbol).agg(*[a for c in cols for a in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
+    if exact:
+        return exact_quantiles(real, f.symbol, cols, [0.25, 0.75]).withColumnsRenamed({c: f"__q_{c}" for c in cols})
+    return real.groupBy(f.symbol).agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 100000).alias(f"__q_{c}") for c in cols])
 
 
 def remove_outliers(df, method: str = "zscore", threshold: float = 3.0, factor: float = 1.5, cols=None,
                     exact: bool = True, symbol="symbol", ts="ts", segment="auto", observation=None, count_as: str | None = None):
     """Null values with |z| > threshold (population std over the symbol's
     history) or outside [Q1 - factor*IQR, Q3 + factor*IQR], then forward
-    fill.  Bounds are one per-symbol aggregate joined back.  ``exact=False``
-    uses a bounded quantile sketch instead of exact percentiles (whose
-    per-group state grows with the distinct values of a symbol).  ``count_as``
+    fill.  Bounds are a per-symbol aggregate joined back.  Quartiles are exact
+    (``selection``: no state that grows with a symbol); ``exact=False`` takes a
+    bounded quantile sketch instead, in one pass.  ``count_as``
     names a column that says how many values of a row were outliers."""
     f = _frame(df, symbol, ts, segment)
     cols = cols or _num_cols(f.df, (symbol, ts))
-    st = _history_stats(f, cols, exact)
+    if method not in ("zscore", "iqr"):
+        raise ValueError(method)
+    st = _history_stats(f, cols, method, exact)
     f.df = f.df.join(st, symbol, "left")
     masked = {}
     flags = []
@@ -161,8 +162,6 @@ def remove_outliers(df, method: str = "zscore", threshold: float = 3.0, factor:
             q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
             iqr = q3 - q1
             bad = (x < q1 - factor * iqr) | (x > q3 + factor * iqr)
-        else:
-            raise ValueError(method)
         bad = F.coalesce(bad, F.lit(False))
         masked[c] = F.when(bad, F.lit(None).cast("double")).otherwise(x.cast("double"))
         flags.append(bad.cast("int"))
