@@ -2293,3 +2293,87 @@ def _forest_spark(spark, sf_dir):
 SPARK["isolation_forest_hourly"] = _forest_spark
 ORACLE["isolation_forest_hourly"] = (
     f"SELECT symbol, count(*) AS rows, count(*) AS scored, true AS alike, true AS kept_share FROM ({BARS_H_SQL}) b GROUP BY symbol")
+
+
+# ---------------------------------------------------------------- long windows and exact quartiles
+_LONG = 100
+
+
+def _long_windows_spark(spark, sf_dir):
+    from ticklake.functions import blocks as B
+    f = SeriesFrame(_gappy(spark, sf_dir), segment="36 hours", lookback=_LONG)
+    aggs = {"hi": "max", "lo": "min", "mean": "avg", "dev": "std", "total": "sum"}
+    f.with_columns({k: B.roll(f, "close", _LONG, a, minp=_LONG // 2) for k, a in aggs.items()})
+    return f.result(["symbol", "ts", *aggs]).select("symbol", "ts", *[r4(F.col(k)).alias(k) for k in aggs])
+
+
+def _long_windows_sql():
+    from ticklake.oracle_sql import r4 as sr4
+    win = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {_LONG - 1} PRECEDING AND CURRENT ROW)"
+    aggs = {"hi": "max", "lo": "min", "mean": "avg", "dev": "stddev_samp", "total": "sum"}
+    return (f"WITH r AS (SELECT symbol, ts, count(close) {win} AS n, {', '.join(f'{a}(close) {win} AS {k}' for k, a in aggs.items())} "
+            f"FROM ({GAPPY_SQL}) b) SELECT symbol, ts, {', '.join(f'{sr4(f'CASE WHEN n >= {_LONG // 2} THEN {k} END')} AS {k}' for k in aggs)} FROM r")
+
+
+SPARK["long_windows_hourly"] = _long_windows_spark
+ORACLE["long_windows_hourly"] = _long_windows_sql()
+
+
+def _quartiles_spark(spark, sf_dir):
+    """Quartiles of all ticks of an event type, exact whatever its size."""
+    from ticklake.operators.selection import exact_quantiles
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), "value")
+    q = exact_quantiles(ev, "symbol", ["value"], [0.25, 0.5, 0.75])
+    return q.select("symbol", *[r4(F.get("value", F.lit(i))).alias(n) for i, n in enumerate(("q1", "q2", "q3"))])
+
+
+SPARK["exact_quartiles_ticks"] = _quartiles_spark
+ORACLE["exact_quartiles_ticks"] = (
+    "SELECT event_type AS symbol, " + ", ".join(f"{_sr4(f'quantile_cont(value, {p})')} AS {n}" for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)))
+    + " FROM events GROUP BY event_type")
+
+
+# ---------------------------------------------------------------- cache merged in place
+def _cache_merge_spark(spark, sf_dir):
+    """A cache of the first bars, two deltas that overlap it (the second one comes twice), read again."""
+    from ticklake.session import scratch_path
+    from ticklake.sources.cache import BarCache
+    b = bars_h(spark, sf_dir).select("symbol", "ts", "close", "volume")
+    at = lambda d: F.lit(d).cast("timestamp")
+    cache = BarCache(spark, scratch_path(spark, "bar-cache"), unit="day")
+    cache.merge(b.where(F.col("ts") < at("2024-01-21")))
+    first = b.where(F.col("ts").between(at("2024-01-20"), at("2024-01-25"))).withColumn("close", F.col("close") + 1000.0)
+    second = b.where(F.col("ts") >= at("2024-01-24 12:00:00")).withColumn("close", F.col("close") + 2000.0)
+    for delta in (first, second, second):
+        cache.merge(delta)
+    return cache.read().select("symbol", "ts", r4(F.col("close")).alias("close"), F.col("volume").cast("long").alias("volume"))
+
+
+SPARK["cache_merge_hourly"] = _cache_merge_spark
+ORACLE["cache_merge_hourly"] = (
+    f"WITH b AS ({BARS_H_SQL}), u AS (SELECT symbol, ts, close, volume, 0 AS p FROM b WHERE ts < TIMESTAMP '2024-01-21' "
+    "UNION ALL SELECT symbol, ts, close + 1000.0, volume, 1 FROM b WHERE ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-25' "
+    "UNION ALL SELECT symbol, ts, close + 2000.0, volume, 2 FROM b WHERE ts >= TIMESTAMP '2024-01-24 12:00:00') "
+    f"SELECT symbol, ts, {_sr4('arg_max(close, p)')} AS close, CAST(arg_max(volume, p) AS BIGINT) AS volume FROM u GROUP BY symbol, ts")
+
+
+# ---------------------------------------------------------------- streaming composite
+def _stream_composite_spark(spark, sf_dir):
+    """The bars of all event types as five streams, joined and filled; equals the batch composite join."""
+    from ticklake.streaming.composite import run_filled
+    path = SJ.rows_in_order(bars_h(spark, sf_dir), "bars-in-order")
+    rows = spark.read.parquet(path)
+
+    def side(symbol):
+        t = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        own = t.where(F.col("symbol") == symbol)
+        return own.select("ts", *[F.col(c) for c in _BC])
+
+    closing = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+               .where(F.col("symbol") == SJ.CLOSING).select("ts", F.lit(1).alias("closing")))
+    out = run_filled({**{s: side(s) for s in _ALL_EVENTS}, "end": closing}, "bars")
+    return out.where("closing IS NULL").select("ts", *[r4(F.col(f"{c}_{s}")).alias(f"{c}_{s}") for s in _ALL_EVENTS for c in _BC])
+
+
+SPARK["stream_composite_filled_hourly"] = _stream_composite_spark
+ORACLE["stream_composite_filled_hourly"] = ORACLE["composite_outer_join_hourly"]

@@ -49,27 +49,31 @@ def read_events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) ->
 CLOSING = "__closing__"
 
 
-def events_in_order(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
-    """The ``events`` table as ``parts`` files, one after another in time, and a
-    closing tick far ahead that lets the watermark release the last windows
-    (its symbol is ``CLOSING``).  Returns the folder, below the checkpoint folder."""
-    path = scratch_path(spark, "events-in-order")
-    ev = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    cuts = ev.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c"), F.max("ts").alias("m")).first()
-    edges = [None, *cuts["c"], None]
+def rows_in_order(rows: DataFrame, name: str, symbol: str = "symbol", ts: str = "ts", parts: int = 4) -> str:
+    """A replay of a table for tests of streams: ``parts`` files, one after another in time, and a row far ahead that
+    lets the watermark release the last windows (its symbol is ``CLOSING``, its other columns are null).  Each file is
+    written by one task, so that it is one micro-batch.  Returns the folder, below the checkpoint folder."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, name)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c"), F.max(ts).alias("m")).first()
+    edges = [None, *(cuts["c"] or []), None]
     for lo, hi in zip(edges[:-1], edges[1:]):
-        part = ev
+        part = rows
         part = part if lo is None else part.where(at >= lo)
         part = part if hi is None else part.where(at < hi)
         part.coalesce(1).write.mode("append").parquet(path)
-    last = spark.createDataFrame([(-1, CLOSING)], "event_id long, event_type string").select(
-        "event_id", (F.lit(cuts["m"]) + F.expr("INTERVAL 30 DAYS")).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("user_id"),
-        "event_type", F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+    fixed = {symbol: F.lit(CLOSING), ts: F.lit(cuts["m"]) + F.expr("INTERVAL 30 DAYS")}
+    last = spark.range(1).select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     last.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def events_in_order(spark: SparkSession, sf_dir: str, parts: int = 4) -> str:
+    """``rows_in_order`` of the ``events`` table."""
+    return rows_in_order(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"), "events-in-order", "event_type", parts=parts)
+
+
 def ordered_stream(spark: SparkSession, path: str) -> DataFrame:
     """``events_in_order`` as a stream of one file per micro-batch."""
     return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
