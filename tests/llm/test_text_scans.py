@@ -67,6 +67,33 @@ def test_markov_models_tell_random_from_ordinary(docs_of):
     assert sum(r["n_markov"] for r in got[40:]) == 0
 
 
+ORDINARY = ["12345678901234567890", "20240115/20240116/20240117", "the/quick/brown/fox/jumped/over", "1234567890123456789012345678901234567890",
+            "getUserAccountManagerFactoryBean", "MAXIMUM_NUMBER_OF_CONNECTIONS", "2024-01-15T10-20-30/2024-01-16", "this-is-a-long-hyphenated-word",
+            "usr/local/share/applications/settings", "internationalization_of_configurations", "=" * 60, "-" * 40, "_" * 30, "Donaudampfschifffahrtsgesellschaft",
+            "314159265358979323846264338327950288", "version-12/release-2024-10-04/build-1771", "THE/QUICK/BROWN/FOX/JUMPED/OVER", "AAAAAAAAAAAAAAAAAAAAAAAAAAAA"]
+
+
+def test_a_corpus_without_marks_still_finds_random_strings_and_leaves_the_rest(docs_of):
+    _, mixed = secret_texts()
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, 30, 400)) for _ in range(150)]
+    for i in range(50):
+        texts[i] = f"{texts[i]} {mixed(32)} {texts[i]}"
+    for i, o in enumerate(ORDINARY):
+        texts[60 + i] = f"{texts[60 + i]} {o} {texts[60 + i]}"
+    docs = docs_of(texts)
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs, secret_scan.fit(docs)).collect()}
+    assert all(r["n_assign"] == 0 and r["n_access"] == 0 for r in got.values())
+    assert sum(got[i]["n_markov"] > 0 for i in range(50)) >= 48
+    wrong = [texts[i][-60:] if i < 60 else ORDINARY[i - 60] for i in range(50, 150) if got[i]["n_markov"] and i < 60 + len(ORDINARY)]
+    assert not wrong and not sum(got[i]["n_markov"] for i in range(60 + len(ORDINARY), 150))
+
+
+def test_repeated_rows_are_each_scanned(docs_of):
+    docs = docs_of(["token=abcdef123"]).union(docs_of(["token=abcdef123"]))
+    assert [r["n_assign"] for r in secret_scan.scan(docs, secret_scan.fit(docs)).collect()] == [1, 1]
+
+
 def test_redaction(docs_of):
     texts = ["a password=abcdef12 b AKIA" + "A" * 16 + " c", "token = " + "0123456789abcdef" * 3 + " end", "plain é", "", None]
     docs = docs_of(texts).withColumn("spans", F.lit(1))
@@ -152,6 +179,28 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+STORY = "<h1>Title of it</h1>" + "".join(f"<p>Paragraph {i} tells a part of the story in a sentence of some length.</p>" for i in range(6))
+TOLD = "Title of it\n" + "\n".join(f"Paragraph {i} tells a part of the story in a sentence of some length." for i in range(6))
+MENU = '<nav class="main-nav"><a href="/">Home</a> <a href="/b">Blog</a></nav>'
+LAYOUTS = {
+    "state on body": f'<body class="has-sidebar no-comments">{MENU}<article>{STORY}</article><footer>x</footer>',
+    "state on a wrapper": f'<div id="page" class="with-header">{MENU}<article>{STORY}</article></div>',
+    "name on main": f'{MENU}<main class="legal-content">{STORY}</main><div class="site-footer">Imprint</div>',
+    "wrapper named like a frame": f'<div class="sidebar-right layout">{MENU}<article>{STORY}</article></div><div class="cookie-notice">We use cookies.</div>',
+    "widget wrapper and a real sidebar": f'<div class="widget"><main>{STORY}</main></div><div class="sidebar"><p>Popular now</p></div>',
+    "own header": f'<header><div>Site name</div></header><article><header>{STORY[:20]}</header>{STORY[20:]}</article>',
+    "teasers in a related box": f'<article>{STORY}</article><div class="related"><article><p>Another story</p></article></div>',
+    "advert inside": f'<article>{STORY}<div class="ad-slot">Buy now</div><div class="share social">Tweet</div></article>',
+    "talk after": f'<article>{STORY}</article><div id="comments"><p>Nice, thanks a lot for this.</p><div class="reply">Same here.</div></div>',
+    "a notice on top": f'<div class="alert" role="alert">Please log in</div><div class="entry-content">{STORY}</div>',
+}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_whole_pages_of_many_layouts(layout):
+    assert html_extract.main_text(f"<!DOCTYPE html><html><head><title>T</title></head>{LAYOUTS[layout]}</html>") == TOLD
+
+
 def test_the_tree_fits_its_table():
     assert all(html_extract.decide(html_extract.tree(), r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
 

@@ -5,7 +5,15 @@ tags.  A block is described by its word count and link density, those of the
 blocks before and after it, and what its open tags and their class, id and
 role words say (inside an article, inside a menu, advert, comments ...).  A
 small decision tree, trained on the labelled table below, keeps or drops
-each block.  White space inside a block becomes one space; kept blocks are
+each block.
+
+Names are read with care.  Those on html, body, article and main say how the
+page is laid out, not what it holds.  A name that begins with a state (has-sidebar, with-header)
+says nothing.  An element named like a frame that holds an article, a main part
+or the title and more than half of the page's words is a wrapper.  A
+header inside an article is the article's own.
+
+White space inside a block becomes one space; kept blocks are
 joined in page order by a newline.
 
 Markup, comments, scripts, styles, the head and form controls are never
@@ -43,6 +51,12 @@ FRAME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "spo
 TALK_WORDS = {"comment", "comments", "disqus", "reply", "replies", "respond", "discussion"}
 BODY_TAGS = {"article", "main"}
 BODY_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+#: First parts of names that state a layout.
+STATE_WORDS = {"has", "have", "with", "without", "no", "not", "is", "show", "hide", "hidden", "supports", "using"}
+#: Elements whose names describe the page; what they hold is no frame for it.
+LAYOUT_TAGS = {"html", "body", "article", "main"}
+#: Elements that only the main text's surroundings hold.
+CORE_TAGS = {"article", "main", "h1"}
 
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "in_body", "in_frame", "in_talk")
 #: The labelled table, read off pages by hand.  Where a block's place decides, it does so in any
@@ -101,10 +115,14 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
     """``(text, link density, in body, in frame, in talk)`` of the page's text blocks, in order.
 
     The open tags are kept as a stack of (tag, body, frame, talk, skip)
-    totals, so a block reads its place off the top.
+    totals, so a block reads its place off the top, and the numbers of the
+    open elements that are frames by name only.  Which of those are wrappers
+    is known at the end of the page.
     """
-    out: list[tuple[str, float, int, int, int]] = []
-    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+    out: list[tuple] = []
+    stack: list[tuple] = [("", 0, 0, 0, 0, ())]
+    named = 0  # frames by name seen so far
+    core: set[int] = set()  # those that hold an article, a main part or the title
     text: list[str] = []
     links = 0  # words inside links
     anchors = 0
@@ -116,7 +134,7 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined and not place[4]:
                 words = joined.count(" ") + 1
-                out.append((joined, min(1.0, links / words), *(1 if v else 0 for v in place[1:4])))
+                out.append((joined, min(1.0, links / words), *(1 if v else 0 for v in place[1:4]), place[5], words))
             text.clear()
         links = 0
 
@@ -162,24 +180,44 @@ def blocks(page: str) -> list[tuple[str, float, int, int, int]]:
         if name == "body":
             stack = [s for s in stack if s[0] != "head"]
             _recount(stack)
-        _, body, frame, talk, skip = stack[-1]
-        words = set()
-        if "=" in m[3]:
-            for attr in ATTRIBUTE.finditer(m[3]):
-                if attr[1].lower() in ("class", "id", "role"):
-                    words |= {w for w in re.split(r"[^a-z]+", (attr[2] or attr[3] or attr[4] or "").lower()) if w}
-        body += name in BODY_TAGS or bool(words & BODY_WORDS)
-        frame += name in FRAME_TAGS or bool(words & FRAME_WORDS)
-        talk += bool(words & TALK_WORDS)
+        _, body, frame, talk, skip, wraps = stack[-1]
+        inside = any(t[0] in BODY_TAGS for t in stack)
+        in_body, in_frame, in_talk = _named(m[3]) if "=" in m[3] else (False, False, False)
+        if name in CORE_TAGS:
+            core.update(wraps)
+        if in_frame and name not in LAYOUT_TAGS:
+            named += 1
+            wraps = (*wraps, named)
+        body += name in BODY_TAGS or (in_body and name not in ("html", "body"))
+        frame += name in FRAME_TAGS and not (name == "header" and inside)
+        talk += in_talk and name not in LAYOUT_TAGS
         skip += name in SKIP
-        stack.append((name, body, frame, talk, skip))
+        stack.append((name, body, frame, talk, skip, wraps))
     flush()
-    return out
+    held: dict[int, int] = {}
+    for b in out:
+        for w in b[5]:
+            held[w] = held.get(w, 0) + b[6]
+    half = sum(b[6] for b in out) / 2
+    wrappers = {w for w in core if held.get(w, 0) > half}
+    return [(text, share, body, int(frame or any(w not in wrappers for w in wraps)), talk) for text, share, body, frame, talk, wraps, _ in out]
+
+
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id and role name (main text, frame, reader comments)."""
+    words: set[str] = set()
+    for attr in ATTRIBUTE.finditer(attributes):
+        if attr[1].lower() in ("class", "id", "role"):
+            for name in (attr[2] or attr[3] or attr[4] or "").lower().split():
+                parts = [w for w in re.split(r"[^a-z]+", name) if w]
+                if parts and parts[0] not in STATE_WORDS:
+                    words.update(parts)
+    return bool(words & BODY_WORDS), bool(words & FRAME_WORDS), bool(words & TALK_WORDS)
 
 
 def _recount(stack: list) -> None:
     """After the head is closed nothing open skips text."""
-    stack[:] = [(n, b, f, t, 0) for n, b, f, t, _ in stack]
+    stack[:] = [(n, b, f, t, 0, w) for n, b, f, t, _, w in stack]
 
 
 def main_text(page: str) -> str:
