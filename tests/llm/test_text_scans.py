@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import textwrap
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,93 @@ def test_the_tree_fits_its_table():
     assert all(html_extract.decide(html_extract.tree(), r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
 
 
+# The notices as their owners publish them.
+MIT = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+BSD3 = """Copyright 2008 Some Company Inc. All rights kept.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of Some Company Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY SOME COMPANY AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+BSD2 = BSD3[:BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE"):]
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = GPL2.replace("This program", "This library").replace("General", "Lesser General").replace("version 2", "version 2.1")
+AGPL = GPL3.replace("This program is free", "Thing is free").replace("General", "Affero General")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright (c) 2019, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+NOTICES = {"MIT": MIT, "BSD-3-Clause": BSD3, "BSD-2-Clause": BSD2, "Apache-2.0": APACHE, "GPL-3.0": GPL3, "GPL-2.0": GPL2, "LGPL-2.1": LGPL, "AGPL-3.0": AGPL,
+           "MPL-2.0": MPL, "ISC": ISC}
+
+
+def laid_out(notice, width, mark):
+    """Every paragraph wrapped, every line behind a comment mark."""
+    paragraphs = [textwrap.wrap(p.strip(), width, break_long_words=False, break_on_hyphens=False) if width else [p] for p in notice.split("\n\n")]
+    lines = [line for i, p in enumerate(paragraphs) for line in ([""] if i else []) + p]
+    body = "\n".join((mark + line).rstrip(" ") for line in lines)
+    return {"": body, " * ": "/*\n" + body + "\n */\nint main() { return 0; }"}.get(mark, body + "\n\nx = 1\n")
+
+
+def license_texts():
+    texts, want = [], []
+    for name, notice in NOTICES.items():
+        for width in (0, 30, 60, 72, 79, 100):
+            for mark in ("", " * ", "# ", "// "):
+                for text in (laid_out(notice, width, mark), "Some words before\nand after a title\n\n" + laid_out(notice, width, mark).replace("\n", "\r\n")):
+                    texts.append(text)
+                    want.append(name)
+    for name, notice in NOTICES.items():  # a heading and a copyright line without blank lines around them
+        texts.append("The Licence\nCopyright (c) 2020 A. Body\n" + laid_out(notice[notice.index("\n\n") + 2:] if notice[:4] in ("MIT ", "Copy") else notice, 70, ""))
+        want.append(name)
+    texts += [f"// SPDX-License-Identifier: {n}\n#include <x>" for n in ("MIT", "GPL-2.0-only", "LGPL-2.1-or-later", "Apache-2.0")]
+    want += ["MIT", "GPL-2.0", "LGPL-2.1", "Apache-2.0"]
+    return texts, want
+
+
+def test_whole_notices_in_any_layout(docs_of):
+    texts, want = license_texts()
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs_of(texts)).collect()}
+    wrong = [(want[i], got[i], t) for i, t in enumerate(texts) if got[i] != want[i]]
+    assert not wrong, (len(wrong), wrong[0])
+
+
+def test_license_sql_twin(docs_of):
+    texts = license_texts()[0] + ["Intro\nReleased under the MIT License\nand more", "", None, "the licence\n\n\n" * 2000, "licen\u0001se.\t Licensed under CC BY 4.0\rx"]
+    docs = docs_of(texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(license_scan.oracle_sql()).df().sort_values("doc_id").reset_index(drop=True)
+    got = license_scan.scan(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    for c in want.columns:
+        assert got[c].astype(object).where(got[c].notna(), None).tolist() == want[c].astype(object).where(want[c].notna(), None).tolist(), c
+
+
 def test_license_rules(spark, docs_of):
     texts = ["Intro.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.\nx", "LICENSED under  cc by-nc 4.0!",
              "Licensed under the Apache License, Version 2.0. All rights reserved.", "The license of the thing.", "", None,
