@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticklake.functions import blocks as B
-from ticklake.functions import long_windows
+from ticklake.functions import long_ranks, long_windows
 from ticklake.plans.frame import SeriesFrame
 
 N, ROWS = 150, 1100
@@ -99,3 +99,79 @@ def test_a_window_of_2000_costs_about_what_one_of_20_costs(spark):
     short, long = min(seconds(20) for _ in range(2)), min(seconds(2000) for _ in range(2))
     assert long < 3 * short + 2.0, (short, long)
     assert 2000 > long_windows.LONG
+
+
+def absolute(v):
+    v = v[v == v]
+    return np.abs(v - v.mean()).mean()
+
+
+@pytest.mark.parametrize("segment", [None, "2 days"])
+@pytest.mark.parametrize("minp", [N, 20, 1])
+def test_quantiles_and_deviations_equal_pandas(series, segment, minp):
+    pdf, df = series
+    f = SeriesFrame(df, segment=segment, lookback=N)
+    f.with_columns({a.replace(".", ""): B.roll(f, "x", N, a, minp) for a in ("q0.5", "q0.05", "q0.9", "mad")})
+    got = f.result(["symbol", "ts", "q05", "q005", "q09", "mad"]).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    rolled = lambda fn: pdf.groupby("symbol")["x"].transform(lambda s: fn(s.rolling(N, min_periods=minp)))
+    for name, want in (("q05", rolled(lambda r: r.median())), ("q005", rolled(lambda r: r.quantile(0.05))), ("q09", rolled(lambda r: r.quantile(0.9))),
+                       ("mad", rolled(lambda r: r.apply(absolute, raw=True)))):
+        assert (got[name].isna() == want.isna()).all(), name
+        np.testing.assert_allclose(got[name].to_numpy(), want.to_numpy(), rtol=1e-12, atol=1e-9, err_msg=name)
+
+
+@pytest.mark.parametrize("n", [65, 300, 5000])
+def test_rank_windows_equal_brute_force(n):
+    """Ties, nulls, NaN, infinities, windows longer than the series, chunks with rows before them."""
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 40, 900).astype(float)
+    x[rng.random(900) < 0.01] = np.inf
+    x[850:860] = np.nan
+    valid = rng.random(900) > 0.2
+    valid[:70] = False
+    for agg in ("q0.25", "q0.5", "mad"):
+        for first in (0, 400):
+            got, null = long_ranks.windows(x, valid, first, n, agg, 3)
+            for i, t in enumerate(range(first, 900)):
+                v = x[max(t + 1 - n, 0):t + 1][valid[max(t + 1 - n, 0):t + 1]]
+                assert null[i] == (len(v) < 3)
+                if null[i]:
+                    continue
+                with np.errstate(invalid="ignore"):
+                    if agg == "mad":
+                        want = np.abs(v - v.mean()).mean() if np.isfinite(v).all() else np.nan
+                    else:
+                        s, at = np.sort(v), float(agg[1:]) * (len(v) - 1)
+                        a, b = s[int(np.floor(at))], s[int(np.ceil(at))]
+                        want = a if a == b else (np.ceil(at) - at) * a + (at - np.floor(at)) * b if at % 1 else a
+                np.testing.assert_allclose(got[i], want, rtol=1e-12, atol=1e-12)
+
+
+def test_chunks_and_repeated_symbols_keep_their_own_rows(spark, monkeypatch):
+    """Batches end inside windows, symbols inside batches; the null symbol is one like any other."""
+    import pyarrow as pa
+    monkeypatch.setattr(long_ranks, "FEWEST", 100)
+    rng = np.random.default_rng(3)
+    names = ["A"] * 333 + ["B"] * 80 + [None] * 150
+    x = rng.normal(size=len(names))
+    rows = pa.table({"s": names, "_part": pa.array([0] * len(names), pa.int64()), "v": x})
+    out = [b for b in long_ranks._slid("s", "v", 70, "q0.5", 70)(iter(rows.to_batches(max_chunksize=37)))]
+    got = np.concatenate([b.column("_slid").to_numpy(zero_copy_only=False) for b in out])
+    want = np.concatenate([pd.Series(x[a:b]).rolling(70).median() for a, b in ((0, 333), (333, 413), (413, 563))])
+    np.testing.assert_allclose(got, want)
+
+
+def test_a_median_of_2000_costs_about_what_one_of_30_costs(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("S"), F.col("id") % 4).alias("symbol"), F.timestamp_seconds("id").alias("ts"), F.rand(3).alias("x"))
+
+    def seconds(n):
+        f = SeriesFrame(rows, segment=None)
+        f.with_columns({a: B.roll(f, "x", n, f"q{q}") for a, q in (("mid", 0.5),)})
+        t = time.time()
+        f.result().write.format("noop").mode("overwrite").save()
+        return time.time() - t
+
+    seconds(30)
+    short, long = min(seconds(30) for _ in range(2)), min(seconds(2000) for _ in range(2))
+    print("quantiles", short, long)
+    assert long < 3 * short + 2.0, (short, long)

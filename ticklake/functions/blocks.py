@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ticklake.functions import long_windows
+from ticklake.functions import long_ranks, long_windows
 from ticklake.plans.frame import Scan, SeriesFrame, fresh
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon, added by non_zero_range
@@ -52,11 +52,14 @@ class Need:
 # ----------------------------------------------------------- bounded windows
 def roll(f: SeriesFrame, x, n: int, agg: str = "avg", minp: int | None = None, end: int = 0) -> Column:
     """``rolling(n, min_periods=minp).agg()`` as a ROWS frame; null below minp.
-    Long windows are put together from blocks (``long_windows``)."""
+    Long windows are put together from blocks (``long_windows``), their quantiles
+    and absolute deviations from counted ranks (``long_ranks``)."""
     x = mat(f, x)
     minp = n if minp is None else minp
     if n > long_windows.LONG and end == 0 and long_windows.supported(agg):
         return long_windows.rolling(f, x, n, agg, minp)
+    if n > long_windows.LONG and end == 0 and (agg == "mad" or agg.startswith("q")):
+        return long_ranks.rolling(f, x, n, agg, minp)
     w = f.rows(n, end, x)
     fns = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "std": F.stddev_samp,
            "stdp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop, "count": F.count,
@@ -65,6 +68,10 @@ def roll(f: SeriesFrame, x, n: int, agg: str = "avg", minp: int | None = None, e
         v = fns[agg](x).over(w)
     elif agg.startswith("q"):
         v = F.percentile(x, float(agg[1:])).over(w)
+    elif agg == "mad":
+        arr = F.collect_list(x).over(w)
+        mean = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
+        v = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.size(arr)
     else:
         raise ValueError(agg)
     if minp <= 0:

@@ -86,12 +86,7 @@ def brar(f, open_="open", high="high", low="low", close="close", length=26, scal
 
 def mad_col(f, x, n):
     """Rolling mean absolute deviation around the window mean."""
-    x = B.mat(f, x)
-    w = f.rows(n, 0, x)
-    arr = F.collect_list(x).over(w)
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
-    dev = F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / F.size(arr)
-    return F.when(F.count(x).over(w) >= n, dev)
+    return B.roll(f, x, n, "mad")
 
 
 @indicator("cci", "momentum")

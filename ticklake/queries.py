@@ -2318,6 +2318,29 @@ def _long_windows_sql():
 SPARK["long_windows_hourly"] = _long_windows_spark
 ORACLE["long_windows_hourly"] = _long_windows_sql()
 
+_RANKED = {"mid": "q0.5", "high_tenth": "q0.9", "away": "mad"}
+
+
+def _long_ranks_spark(spark, sf_dir):
+    from ticklake.functions import blocks as B
+    f = SeriesFrame(_gappy(spark, sf_dir), segment="36 hours", lookback=_LONG)
+    f.with_columns({k: B.roll(f, "close", _LONG, a, minp=_LONG // 2) for k, a in _RANKED.items()})
+    return f.result(["symbol", "ts", *_RANKED]).select("symbol", "ts", *[r4(F.col(k)).alias(k) for k in _RANKED])
+
+
+def _long_ranks_sql():
+    from ticklake.oracle_sql import r4 as sr4
+    win = f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {_LONG - 1} PRECEDING AND CURRENT ROW)"
+    full = f"CASE WHEN n >= {_LONG // 2} THEN {{}} END"
+    return (f"WITH r AS (SELECT symbol, ts, count(close) {win} AS n, quantile_cont(close, 0.5) {win} AS mid, quantile_cont(close, 0.9) {win} AS high_tenth, "
+            f"avg(close) {win} AS mean, list_filter(list(close) {win}, lambda v: v IS NOT NULL) AS held FROM ({GAPPY_SQL}) b) "
+            f"SELECT symbol, ts, {sr4(full.format('mid'))} AS mid, {sr4(full.format('high_tenth'))} AS high_tenth, "
+            f"{sr4(full.format('list_avg(list_transform(held, lambda v: abs(v - mean)))'))} AS away FROM r")
+
+
+SPARK["long_ranks_hourly"] = _long_ranks_spark
+ORACLE["long_ranks_hourly"] = _long_ranks_sql()
+
 
 def _quartiles_spark(spark, sf_dir):
     """Quartiles of all ticks of an event type, exact whatever its size."""
