@@ -324,6 +324,58 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str
 
 
 # ---------------------------------------------------------------- anomaly
+def grown_tree(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One isolation tree over the rows of ``x``: (feature, split, left, right, size) per node, -1 as a leaf's feature."""
+    limit = int(np.ceil(np.log2(max(len(x), 2))))
+    nodes = []
+
+    def build(idx, depth):
+        me = len(nodes)
+        nodes.append([-1.0, 0.0, -1.0, -1.0, float(len(idx))])
+        if depth >= limit or len(idx) <= 1:
+            return me
+        sub = x[idx]
+        lo, hi = np.fmin.reduce(sub, axis=0), np.fmax.reduce(sub, axis=0)
+        ok = np.where(hi > lo)[0]
+        if len(ok) == 0:
+            return me
+        q = int(rng.choice(ok))
+        sp = rng.uniform(lo[q], hi[q])
+        left = idx[sub[:, q] < sp]
+        right = idx[~(sub[:, q] < sp)]
+        nodes[me][0], nodes[me][1] = float(q), float(sp)
+        nodes[me][2] = float(build(left, depth + 1))
+        nodes[me][3] = float(build(right, depth + 1))
+        return me
+
+    build(np.arange(len(x)), 0)
+    return np.array(nodes)
+
+
+def _usual_depth(n: float) -> float:
+    """Mean depth of an unsuccessful search among ``n`` rows."""
+    return 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n if n > 2 else (1.0 if n == 2 else 0.0)
+
+
+def isolation_scores(forest: list[np.ndarray], x: np.ndarray, sample: int) -> np.ndarray:
+    """Scores in (0, 1] of the rows of ``x``, higher as more anomalous; a missing value lies above every split."""
+    usual = _usual_depth(sample)
+    depth = np.zeros(len(x))
+    for nodes in forest:
+        rest = np.array([_usual_depth(s) for s in nodes[:, 4]])
+        cur = np.zeros(len(x), dtype=int)
+        inner = np.flatnonzero(nodes[cur, 0] >= 0)
+        while len(inner):
+            at = cur[inner]
+            left = x[inner, nodes[at, 0].astype(int)] < nodes[at, 1]
+            cur[inner] = np.where(left, nodes[at, 2], nodes[at, 3]).astype(int)
+            depth[inner] += 1
+            inner = inner[nodes[cur[inner], 0] >= 0]
+        depth += rest[cur]
+    avg = depth / max(len(forest), 1)
+    return np.power(2.0, -avg / usual) if usual > 0 else np.zeros(len(x))
+
+
 def anomaly_scores(df: DataFrame, cols: list[str], n_trees: int = 100, sample_size: int = 256, seed: int = 42,
                    key: str | None = None) -> DataFrame:
     """Isolation-forest scores.  One rule at every size: each row is dealt to
@@ -353,70 +405,18 @@ def anomaly_scores(df: DataFrame, cols: list[str], n_trees: int = 100, sample_si
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
         x = pdf.sort_values("_h", kind="stable").head(sample_size)[cols].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed * 7919 + t)
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
-        nodes = []  # flattened (feature, split, left, right, size) per node
-
-        def build(idx, depth):
-            me = len(nodes)
-            nodes.append([-1.0, 0.0, -1.0, -1.0, float(len(idx))])
-            if depth >= limit or len(idx) <= 1:
-                return me
-            sub = x[idx]
-            lo, hi = np.nanmin(sub, axis=0), np.nanmax(sub, axis=0)
-            ok = np.where(hi > lo)[0]
-            if len(ok) == 0:
-                return me
-            q = int(rng.choice(ok))
-            sp = rng.uniform(lo[q], hi[q])
-            left = idx[sub[:, q] < sp]
-            right = idx[sub[:, q] >= sp]
-            nodes[me][0], nodes[me][1] = float(q), float(sp)
-            nodes[me][2] = float(build(left, depth + 1))
-            nodes[me][3] = float(build(right, depth + 1))
-            return me
-
-        build(np.arange(len(x)), 0)
-        return pd.DataFrame({"tree": [t], "nodes": [np.array(nodes).ravel().tolist()]})
+        return pd.DataFrame({"tree": [t], "nodes": [grown_tree(x, np.random.default_rng(seed * 7919 + t)).ravel().tolist()]})
 
     trees = samp.groupBy("tree").applyInPandas(grow, schema).collect()  # n_trees small arrays
     forest = [np.array(r["nodes"]).reshape(-1, 5) for r in trees]
     bc = spark.sparkContext.broadcast(forest)
     psi = min(sample_size, total)
 
-    def c_of(n):
-        return 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n if n > 2 else (1.0 if n == 2 else 0.0)
-
-    cn = c_of(psi)
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
 
     def score(batches):
-        fr = bc.value
         for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            depth = np.zeros(len(x))
-            for nodes in fr:
-                cur = np.zeros(len(x), dtype=int)
-                d = np.zeros(len(x))
-                active = np.ones(len(x), dtype=bool)
-                while active.any():
-                    feat = nodes[cur, 0]
-                    leaf = feat < 0
-                    done = active & leaf
-                    if done.any():
-                        sizes = nodes[cur[done], 4]
-                        d[done] += np.array([c_of(s) for s in sizes])
-                        active &= ~leaf
-                    if not active.any():
-                        break
-                    ia = np.where(active)[0]
-                    fv = x[ia, nodes[cur[ia], 0].astype(int)]
-                    go_left = fv < nodes[cur[ia], 1]
-                    cur[ia] = np.where(go_left, nodes[cur[ia], 2], nodes[cur[ia], 3]).astype(int)
-                    d[ia] += 1
-                depth += d
-            avg = depth / max(len(fr), 1)
-            yield pdf.assign(anomaly_score=np.power(2.0, -avg / cn) if cn > 0 else np.zeros(len(x)))
+            yield pdf.assign(anomaly_score=isolation_scores(bc.value, pdf[cols].to_numpy(dtype=float), psi))
 
     return df.mapInPandas(score, out_schema)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import ticklake.operators  # noqa: F401  (registers indicators)
@@ -2400,3 +2400,36 @@ def _stream_composite_spark(spark, sf_dir):
 
 SPARK["stream_composite_filled_hourly"] = _stream_composite_spark
 ORACLE["stream_composite_filled_hourly"] = ORACLE["composite_outer_join_hourly"]
+
+
+# ---------------------------------------------------------------- streaming forest
+_FOREST = dict(refit_every=1000, window=1000, n_trees=50, contamination=0.05)
+
+
+def _stream_forest_spark(spark, sf_dir):
+    """Anomalies of the ticks, removed in four micro-batches and in a single batch: per symbol the rows that no forest
+    judges (all kept), whether both ways keep the same rows, and whether the share kept is near the one asked for."""
+    from ticklake.session import written
+    from ticklake.streaming.forest import run_forest
+    ticks = lambda df: df.where(F.col("event_type") != SJ.CLOSING).select(
+        F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    path = SJ.events_in_order(spark, sf_dir)
+    stream = run_forest(ticks(SJ.ordered_stream(spark, path)), ["value"], "ticks", **_FOREST)
+    at_once = written(ticks(spark.read.parquet(path)), "ticks")
+    batch = run_forest(at_once, ["value"], "ticks-once", **_FOREST)
+    first = -(-_FOREST["window"] // _FOREST["refit_every"]) * _FOREST["refit_every"]
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "value", F.xxhash64("symbol", "ts", "event_id", "value")))
+    ids = lambda df, name: df.select("event_id", F.lit(True).alias(name))
+    rows = at_once.withColumn("n", n).join(ids(stream, "one"), "event_id", "left").join(ids(batch, "two"), "event_id", "left")
+    one, two = F.coalesce("one", F.lit(False)), F.coalesce("two", F.lit(False))
+    judged = F.col("n") > first
+    share = F.try_divide(F.count_if(judged & one), F.count_if(judged))
+    return rows.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~judged & one).alias("passed"), F.bool_and(one == two).alias("same_as_one_batch"),
+        F.coalesce(share.between(0.85, 0.99), F.lit(True)).alias("share_near"))
+
+
+SPARK["stream_forest_ticks"] = _stream_forest_spark
+ORACLE["stream_forest_ticks"] = (
+    "SELECT event_type AS symbol, count(*) AS rows, least(count(*), 1000) AS passed, true AS same_as_one_batch, true AS share_near "
+    "FROM events GROUP BY event_type")

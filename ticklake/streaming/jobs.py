@@ -256,7 +256,7 @@ def remove_stream_anomalies(records: DataFrame, cols, warm: int = 100, threshold
     ``threshold`` standard deviations from its symbol's mean so far.  The first
     ``warm`` records pass (there is nothing to judge by); dropped records do
     not enter the statistics.  State: count, mean and sum of squares per column
-    (a refitted forest would need a window of records per symbol as state)."""
+    (for refitted forests over all columns together see ``streaming.forest``)."""
     cols = list(cols)
 
     def fn(key, pdfs, state: GroupState):
