@@ -74,3 +74,47 @@ def test_validation_reports_every_offender(spark):
         CL.validate(df)
     found = e.value.details["offenders"] if hasattr(e.value, "details") else e.value.args[1]["offenders"]
     assert {(r["problem"], r["count"]) for r in found.groupBy("problem").count().collect()} == {("duplicate", 1), ("close", 100)}
+
+
+def test_whole_buffer_over_micro_batches(spark, tmp_path):
+    import datetime as dt
+
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(minutes=i), float(i), None if rng.random() < 0.5 else float(i)) for s, n in (("A", 300), ("B", 7), ("C", 3)) for i in range(n)]
+    schema = "symbol string, ts timestamp, close double, open double"
+    p = str(tmp_path / "recs")
+    for lo, hi in ((0, 5), (5, 6), (6, 300)):
+        spark.createDataFrame([r for r in rows if lo <= r[2] < hi], schema).coalesce(1).write.mode("append").parquet(p)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(p)
+    out = SJ.run_to_table(SJ.whole_buffer(stream, buffer_size=4, window=6), "whole-test").toPandas()
+    want = []
+    for s, g in pd.DataFrame(rows, columns=["symbol", "ts", "close", "open"]).groupby("symbol"):
+        for i in range(4, len(g) + 1):
+            b = g.iloc[max(i - 6, 0):i]
+            want += [(s, i, c, o) for c, o in zip(b["close"], b["open"].astype(float).ffill().bfill())]
+    got = [tuple(r) for r in out[["symbol", "number", "close", "open"]].itertuples(index=False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert (out["ts"] == pd.Timestamp(t0) + pd.to_timedelta(out["close"], unit="min")).all()
+    none = SJ.run_to_table(SJ.whole_buffer(stream, buffer_size=7, window=6), "whole-none")
+    assert none.count() == 0
+
+
+def test_watchlist_names_and_choices(spark, tmp_path):
+    import pytest
+
+    from ticklake.operators.strategy import run_watchlist
+    from ticklake.sources.loaders import DataFetchError, watchlist
+    for name in ("BRK.B_D", "SPY_D", "^GSPC_D", "SPY_W", "A B_D", "X+Y%_D"):
+        (tmp_path / f"{name}.csv").write_text("ts,close,volume,split,symbol\n" + "".join(f"2024-01-{i:02d},{i}.0,1.0,0,zz\n" for i in range(1, 29)))
+    folder, schema = str(tmp_path), "ts timestamp, close double, volume double, split int, symbol string"
+    symbols = lambda df: sorted(r[0] for r in df.select("symbol").distinct().collect())
+    assert symbols(watchlist(spark, folder, schema=schema)) == ["A B", "BRK.B", "SPY", "X+Y%", "^GSPC"]
+    assert watchlist(spark, folder, schema=schema, tf="w").count() == 28
+    chosen = watchlist(spark, folder, schema=schema, tickers=["brk.b", "SPY", "^gspc"], tf="D", drop=["split", "nothing"])
+    assert symbols(chosen) == ["BRK.B", "SPY", "^GSPC"] and chosen.columns == ["ts", "close", "volume", "symbol"] and chosen.count() == 84
+    with pytest.raises(DataFetchError):
+        watchlist(spark, folder, schema=schema, tickers=["SPY", "NONE"], tf="D")
+    out = run_watchlist(spark, folder, tickers=["SPY", "BRK.B"], tf="D", schema=schema)
+    assert out.where("SMA_10 IS NOT NULL").count() == 2 * 19

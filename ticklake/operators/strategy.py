@@ -68,3 +68,12 @@ def ta(bars: DataFrame, kind: str, symbol: str = "symbol", ts: str = "ts", segme
     if kind not in R.REGISTRY:
         raise KeyError(f"unknown indicator {kind!r}")
     return run_strategy(bars, [dict(kind=kind, **params)], symbol=symbol, ts=ts, segment=segment, lookback=lookback)
+
+
+def run_watchlist(spark, path: str, strategy=CommonStrategy, tickers: list[str] | None = None, tf: str | None = None, ts: str = "ts",
+                  analyze: bool = True, segment="auto", **load) -> DataFrame:
+    """One strategy over many ticker files: all files are one read, all indicators one plan, ``symbol`` names the
+    ticker.  ``analyze=False`` only reads; see ``sources.loaders.watchlist`` for the other options."""
+    from ticklake.sources.loaders import watchlist
+    bars = watchlist(spark, path, tickers=tickers, tf=tf, **load)
+    return run_strategy(bars, strategy, ts=ts, segment=segment) if analyze else bars

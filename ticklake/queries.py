@@ -2433,3 +2433,51 @@ SPARK["stream_forest_ticks"] = _stream_forest_spark
 ORACLE["stream_forest_ticks"] = (
     "SELECT event_type AS symbol, count(*) AS rows, least(count(*), 1000) AS passed, true AS same_as_one_batch, true AS share_near "
     "FROM events GROUP BY event_type")
+
+
+# ---------------------------------------------------------------- watchlist, whole buffer
+def _ticker_files(spark, bars, tf):
+    """One CSV file per symbol, named after symbol and time frame."""
+    from ticklake.session import scratch_path
+    root = scratch_path(spark, "watchlist")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    bars.withColumn("ticker", F.upper("symbol")).repartition("ticker").write.partitionBy("ticker").option("header", True).csv(f"{root}/parts")
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{root}/files"))
+    for part in fs.globStatus(path(f"{root}/parts/ticker=*/part-*.csv")):  # one per ticker
+        ticker = part.getPath().getParent().getName().split("=", 1)[1]
+        fs.rename(part.getPath(), path(f"{root}/files/{ticker}_{tf}.csv"))
+    return f"{root}/files"
+
+
+def _watchlist_spark(spark, sf_dir):
+    """The common strategy over a watchlist of CSV files, one per symbol."""
+    bars = bars_w(spark, sf_dir)
+    folder = _ticker_files(spark, bars, "W")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
+    tickers = [r["symbol"] for r in bars.select("symbol").distinct().collect()]  # the watchlist itself
+    out = ST.run_watchlist(spark, folder, tickers=tickers, tf="W", schema=schema)
+    cols = ["SMA_10", "SMA_20", "SMA_50", "SMA_200", "VOLUME_SMA_20"]
+    return out.select(F.lower("symbol").alias("symbol"), "ts", *[r4(F.col(c)).alias(c) for c in cols])
+
+
+SPARK["watchlist_common_strategy_weekly"] = _watchlist_spark
+ORACLE["watchlist_common_strategy_weekly"] = ORACLE["common_strategy_weekly"]
+
+
+def _whole_buffer_spark(spark, sf_dir):
+    recs = SJ.ordered_stream(spark, SJ.events_in_order(spark, sf_dir)).where(F.col("event_type") != SJ.CLOSING).select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("open"))
+    out = SJ.run_to_table(SJ.whole_buffer(recs, buffer_size=4, window=6), "stream-whole")
+    return out.select("symbol", "number", "ts", r4(F.col("close")).alias("close"), r4(F.col("open")).alias("open"))
+
+
+SPARK["stream_whole_buffer_ticks"] = _whole_buffer_spark
+ORACLE["stream_whole_buffer_ticks"] = (
+    "WITH e AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, value AS close, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS open, "
+    "row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events), "
+    "b AS (SELECT a.rn AS number, e.* FROM e a JOIN e ON a.symbol = e.symbol AND e.rn BETWEEN a.rn - 5 AND a.rn WHERE a.rn >= 4) "
+    f"SELECT symbol, number, ts, {_sr4('close')} AS close, "
+    f"{_sr4('coalesce(last_value(open IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(open IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')}"
+    " AS open FROM b WINDOW w AS (PARTITION BY symbol, number ORDER BY rn)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,14 +177,33 @@ def mock_bars(spark: SparkSession, n: int, start: str = "2025-01-01", symbol: st
                                  (100.25 + i).alias("average"), F.lit(1).cast("long").alias("barCount"))
 
 
-def watchlist(spark: SparkSession, path_glob: str, fmt: str = "csv", schema=None, **opts) -> DataFrame:
-    """All ticker files in one read; the symbol is the file's base name."""
-    r = spark.read.format(fmt)
+def watchlist(spark: SparkSession, path: str, fmt: str = "csv", schema=None, tickers: list[str] | None = None, tf: str | None = None,
+              drop: list[str] | None = None, **opts) -> DataFrame:
+    """All ticker files of a folder (or a glob) in one read, with ``symbol``, the file's name without its ending and
+    its time frame (``BRK.B_D.csv`` is ``BRK.B``).
+
+    ``tickers`` (any case) and ``tf`` choose files by name: only these are read, and a ticker without a file is an
+    error.  ``drop`` names columns to leave out; those that are not there do not matter.  A column ``symbol`` of the
+    files gives way to the name.
+    """
+    reader = spark.read.format(fmt)
     for k, v in {"header": True, **opts}.items():
-        r = r.option(k, v)
-    df = r.schema(schema).load(path_glob) if schema is not None else r.option("inferSchema", True).load(path_glob)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return df.withColumn("symbol", F.regexp_extract(name, r"^([^._]+)", 1))
+        reader = reader.option(k, v)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    if tickers is None:
+        df = reader.load(path if tf is None else f"{path.rstrip('/')}/*_{tf.upper()}.*")
+    else:
+        wanted = sorted({t.upper() for t in tickers})
+        if not wanted:
+            raise ValueError("no tickers")
+        escaped = ["".join(f"\\{c}" if c in "*?[]{}\\" else c for c in t) for t in wanted]
+        try:  # a path without a file is an error that names it
+            df = reader.load([f"{path.rstrip('/')}/{t}{'' if tf is None else '_' + tf.upper()}.{fmt}" for t in escaped])
+        except AnalysisException as e:
+            raise DataFetchError(f"tickers without a file under {path}: {e}") from e
+    file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # a URI's part: a plus is a plus
+    name = F.regexp_extract(file, r"^(.+?)(?:_([^_.]*))?\.[^.]+?(?:\.(?:gz|bz2|zst))?$", 1)
+    return df.select(*[c for c in df.columns if c not in {"symbol", *(drop or [])}], name.alias("symbol"))
 
 
 # -------------------------------------------------------------- registry

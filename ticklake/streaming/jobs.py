@@ -8,6 +8,7 @@
   (the reference re-feeds overlapping buffers and double-counts).
 * ``count_buffer``: once ``buffer_size`` records of the last ``window`` are
   held, each new record is emitted with its gaps filled from them.
+* ``whole_buffer``: as ``count_buffer``, but every record emits all the records held.
 * ``polled``: overlapping polls of a source, each record once.
 * ``remove_stream_anomalies``: running statistics per symbol as state.
 * ``join_streams``: stream-stream full outer join of two bar streams on ts
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,6 +201,55 @@ def count_buffer(records: DataFrame, buffer_size: int = 100, window: int = 252,
     return records.groupBy("symbol").applyInPandasWithState(fn, out_schema, BUF_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+RING_STATE = "n long, at array<timestamp>, vals array<double>"
+
+
+def whole_buffer(records: DataFrame, buffer_size: int = 100, window: int = 252, cols=("close", "open")) -> DataFrame:
+    """Over the last ``window`` records per symbol: once ``buffer_size`` are held, every record emits the whole buffer,
+    gaps filled forward and then backward within it.
+
+    ``number`` counts a symbol's records and tells the emissions apart; ``ts`` and the columns are the buffer's.  Up to
+    ``window`` rows leave per record (``count_buffer`` emits the newest alone).  Never emits when buffer_size > window.
+    State: the buffer.
+    """
+    cols = list(cols)
+    out_schema = "symbol string, number long, ts timestamp, " + ", ".join(f"`{c}` double" for c in cols)
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        for flip in (slice(None), slice(None, None, -1)):
+            x = x[flip]
+            last = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))[:, None]), axis=0)
+            x = np.where(last >= 0, np.take_along_axis(x, np.maximum(last, 0), axis=0), np.nan)[flip]
+        return x
+
+    def frame(symbol, parts):
+        out = pd.DataFrame({"symbol": symbol, "number": np.concatenate([np.full(len(a), n) for n, a, _ in parts]), "ts": np.concatenate([a for _, a, _ in parts])})
+        return out.assign(**dict(zip(cols, np.concatenate([x for _, _, x in parts]).T)))
+
+    def fn(key, pdfs, state: GroupState):
+        n, at, vals = state.get if state.exists else (0, [], [])
+        at, vals = np.array(pd.to_datetime(list(at)), dtype="datetime64[us]"), np.array(vals, dtype=float).reshape(-1, len(cols))
+        for pdf in pdfs:
+            pdf = pdf.sort_values("ts")
+            at = np.concatenate((at, pdf["ts"].to_numpy(dtype="datetime64[us]")))
+            vals = np.concatenate((vals, pdf[cols].to_numpy(dtype=float)))
+            parts = []
+            for end in range(len(at) - len(pdf) + 1, len(at) + 1):
+                n += 1
+                begin = max(end - window, 0)
+                if end - begin >= buffer_size:
+                    parts.append((n, at[begin:end], filled(vals[begin:end])))
+                if len(parts) == 200:
+                    yield frame(key[0], parts)
+                    parts = []
+            if parts:
+                yield frame(key[0], parts)
+            at, vals = at[-window:], vals[-window:]
+        state.update((n, [t.to_pydatetime() for t in pd.DatetimeIndex(at)], vals.ravel().tolist()))
+
+    return records.groupBy("symbol").applyInPandasWithState(fn, out_schema, RING_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 # -------------------------------------------------------------- stream join
 def join_streams(left: DataFrame, right: DataFrame, lname: str, rname: str, ts: str = "ts",
                  watermark: str = "2 hours") -> DataFrame:
