@@ -83,3 +83,49 @@ def test_bad_settings_and_empty_input(spark, table):
     with pytest.raises(ValueError):
         ForestStream(table.schema, ["x"], "unused", contamination=0.0)
     assert run_forest(table.limit(0), ["x", "y"], **SETTINGS).count() == 0
+
+
+def test_only_the_newest_forests_are_written(spark, table):
+    folder = scratch_path(spark, "forest-lean")
+    run_forest(table, ["x", "y"], folder=folder, **SETTINGS)
+    fitted = spark.read.parquet(f"{folder}/fitted").groupBy("symbol").agg(F.count("*").alias("n"), F.max("_v").alias("v"))
+    assert {r["symbol"]: (r["n"], r["v"]) for r in fitted.collect()} == {"A": (1, 8), "B": (1, 2), None: (1, 2)}
+
+
+def test_trees_and_scores_as_node_by_node():
+    def plain_tree(x, rng):
+        limit, nodes = int(np.ceil(np.log2(max(len(x), 2)))), []
+
+        def build(idx, depth):
+            me = [-1.0, 0.0, -1.0, -1.0, float(len(idx))]
+            nodes.append(me)
+            lo, hi = np.fmin.reduce(x[idx], axis=0, initial=np.inf), np.fmax.reduce(x[idx], axis=0, initial=-np.inf)
+            ok = np.where(hi > lo)[0]
+            if depth >= limit or len(idx) <= 1 or not len(ok):
+                return
+            q = int(rng.choice(ok))
+            me[0], me[1] = float(q), float(rng.uniform(lo[q], hi[q]))
+            below = x[idx, q] < me[1]
+            for place, part in ((2, idx[below]), (3, idx[~below])):
+                me[place] = float(len(nodes))
+                build(part, depth + 1)
+
+        build(np.arange(len(x)), 0)
+        return np.array(nodes)
+
+    def plain_depth(nodes, row):
+        at, depth = 0, 0
+        while nodes[at, 0] >= 0:
+            at, depth = int(nodes[at, 2 if row[int(nodes[at, 0])] < nodes[at, 1] else 3]), depth + 1
+        n = nodes[at, 4]
+        return depth + (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2))
+
+    rng = np.random.default_rng(5)
+    for features in (1, 3):
+        x = rng.normal(size=(90, features)).round(1)
+        x[rng.random(x.shape) < 0.1] = np.nan
+        forest = [grown_tree(x, np.random.default_rng(k)) for k in range(4)]
+        assert all(np.array_equal(t, plain_tree(x, np.random.default_rng(k))) for k, t in enumerate(forest))
+        usual = 2 * (np.log(89) + 0.5772156649) - 2 * 89 / 90
+        want = [2 ** (-np.mean([plain_depth(t, row) for t in forest]) / usual) for row in x]
+        assert np.allclose(isolation_scores(forest, x, 90), want, rtol=1e-12)

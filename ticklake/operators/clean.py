@@ -10,7 +10,9 @@ aggregates joined back.
 
 from __future__ import annotations
 
+import bisect
 import datetime as _dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -325,30 +327,56 @@ def sentiment(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str
 
 # ---------------------------------------------------------------- anomaly
 def grown_tree(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One isolation tree over the rows of ``x``: (feature, split, left, right, size) per node, -1 as a leaf's feature."""
+    """One isolation tree over the rows of ``x``: (feature, split, left, right, size) per node, -1 as a leaf's feature.
+
+    Nodes are small, so they are split as lists; a single feature is sorted once, and a node is a slice of it.
+    """
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes = []
 
+    def split(lo, hi):
+        if hi - lo == math.inf:
+            raise OverflowError("a split between infinite values")
+        return lo + (hi - lo) * rng.random()
+
+    def halves(idx):
+        ok = []
+        for q, (col, gaps) in enumerate(columns):
+            v = [col[i] for i in idx]
+            v = [y for y in v if y == y] if gaps else v
+            lo, hi = min(v, default=0.0), max(v, default=0.0)
+            if hi > lo:
+                ok.append((q, lo, hi))
+        if not ok:
+            return None
+        q, lo, hi = ok[int(rng.integers(len(ok)))]
+        sp, col = split(lo, hi), columns[q][0]
+        return q, sp, [i for i in idx if col[i] < sp], [i for i in idx if not col[i] < sp]
+
+    def slices(idx):
+        a, end = idx.start, min(idx.stop, known)
+        if a >= end or not values[end - 1] > values[a]:
+            return None
+        sp = split(values[a], values[end - 1])
+        m = bisect.bisect_left(values, sp, a, end)
+        return 0, sp, range(a, m), range(m, idx.stop)
+
     def build(idx, depth):
-        me = len(nodes)
-        nodes.append([-1.0, 0.0, -1.0, -1.0, float(len(idx))])
-        if depth >= limit or len(idx) <= 1:
-            return me
-        sub = x[idx]
-        lo, hi = np.fmin.reduce(sub, axis=0), np.fmax.reduce(sub, axis=0)
-        ok = np.where(hi > lo)[0]
-        if len(ok) == 0:
-            return me
-        q = int(rng.choice(ok))
-        sp = rng.uniform(lo[q], hi[q])
-        left = idx[sub[:, q] < sp]
-        right = idx[~(sub[:, q] < sp)]
-        nodes[me][0], nodes[me][1] = float(q), float(sp)
-        nodes[me][2] = float(build(left, depth + 1))
-        nodes[me][3] = float(build(right, depth + 1))
-        return me
-
-    build(np.arange(len(x)), 0)
+        me = [-1.0, 0.0, -1.0, -1.0, float(len(idx))]
+        nodes.append(me)
+        parts = cut(idx) if depth < limit and len(idx) > 1 else None
+        if parts is not None:
+            me[0], me[1] = float(parts[0]), parts[1]
+            me[2] = float(len(nodes))
+            build(parts[2], depth + 1)
+            me[3] = float(len(nodes))
+            build(parts[3], depth + 1)
+
+    if x.shape[1] == 1:
+        cut, values, known = slices, np.sort(x[:, 0]).tolist(), int(np.count_nonzero(~np.isnan(x[:, 0])))
+    else:
+        cut, columns = halves, [(c.tolist(), bool(np.isnan(c).any())) for c in x.T]
+    build(range(len(x)), 0)
     return np.array(nodes)
 
 
@@ -361,8 +389,21 @@ def isolation_scores(forest: list[np.ndarray], x: np.ndarray, sample: int) -> np
     """Scores in (0, 1] of the rows of ``x``, higher as more anomalous; a missing value lies above every split."""
     usual = _usual_depth(sample)
     depth = np.zeros(len(x))
+    most = max((int(nodes[:, 4].max()) for nodes in forest), default=0)
+    usuals = np.array([_usual_depth(n) for n in range(most + 1)])
+    one = x[:, 0] if x.shape[1] == 1 else None
     for nodes in forest:
-        rest = np.array([_usual_depth(s) for s in nodes[:, 4]])
+        rest = usuals[nodes[:, 4].astype(int)]
+        if one is not None:
+            # a single feature: the leaves, in the order of the nodes, are the intervals between the sorted splits
+            level, at = 0, np.zeros(1, dtype=int)
+            while len(at):
+                rest[at] += level
+                inner = at[nodes[at, 0] >= 0]
+                at, level = nodes[inner, 2:4].astype(int).ravel(), level + 1
+            leaf = nodes[:, 0] < 0
+            depth += rest[leaf][np.searchsorted(np.sort(nodes[~leaf, 1]), one, side="right")]
+            continue
         cur = np.zeros(len(x), dtype=int)
         inner = np.flatnonzero(nodes[cur, 0] >= 0)
         while len(inner):

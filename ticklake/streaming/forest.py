@@ -10,8 +10,9 @@ any cut into micro-batches, and a single batch, give the same.
 ``foreachBatch`` writes, under the batch's number, the rows kept, the newest
 ``window`` records of each symbol and each symbol's newest forest.  A batch that
 is run again replaces what it had written; a restarted stream goes on from the
-files.  Fitting and judging are groups of (symbol, forest): at most ``window``
-and ``refit_every`` records, however hot the symbol.
+files.  A forest is fitted where its records are judged, in one group of
+(symbol, forest): at most ``window`` and ``refit_every`` records, however hot the
+symbol; only the newest forests are written.
 """
 
 from __future__ import annotations
@@ -54,28 +55,38 @@ class ForestStream:
     def _write(self, df: DataFrame, what: str, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{what}/batch={number}")
 
+    def _grown(self, pdf: pd.DataFrame):
+        """The forest of one (symbol, forest) group of records, these records' values, and the rows a tree was grown from."""
+        x = pdf.sort_values("_n")[self.cols].to_numpy(dtype=float)
+        rng = np.random.default_rng([self.seed, int(pdf["_v"].iloc[0])])
+        size = min(self.sample, len(x))
+        return [grown_tree(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(self.n_trees)], x, size
+
     def _fit(self):
-        cols, sym, n_trees, sample, seed, share = self.cols, self.symbol, self.n_trees, self.sample, self.seed, 1 - self.contamination
+        sym, share = self.symbol, 1 - self.contamination
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_n")
-            version = int(pdf["_v"].iloc[0])
-            x = pdf[cols].to_numpy(dtype=float)
-            rng = np.random.default_rng([seed, version])
-            size = min(sample, len(x))
-            forest = [grown_tree(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(n_trees)]
+            forest, x, size = self._grown(pdf)
             bound = float(np.quantile(isolation_scores(forest, x, size), share))
-            return pd.DataFrame({sym: pdf[sym].iloc[:1].to_numpy(), "_v": [version], "bound": [bound], "trees": [[t.ravel().tolist() for t in forest]]})
+            return pd.DataFrame({sym: pdf[sym].iloc[:1].to_numpy(), "_v": pdf["_v"].iloc[:1].to_numpy(), "bound": [bound], "trees": [[t.ravel().tolist() for t in forest]]})
 
         return fit
 
     def _judge(self, names: list[str]):
-        cols, sample = self.cols, min(self.sample, self.window)
-
-        def judge(rows: pd.DataFrame, forests: pd.DataFrame) -> pd.DataFrame:
-            if len(rows) and len(forests):
-                forest = [np.asarray(t, dtype=float).reshape(-1, 5) for t in forests["trees"].iloc[0]]
-                rows = rows[isolation_scores(forest, rows[cols].to_numpy(dtype=float), sample) <= forests["bound"].iloc[0]]
+        cols, sample, share = self.cols, min(self.sample, self.window), 1 - self.contamination
+
+        def judge(rows: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
+            """``source``: the forest, if an earlier batch fitted it, or the records it is fitted on."""
+            if len(rows) and len(source):
+                x, held = rows[cols].to_numpy(dtype=float), source[source["bound"].notna()]
+                if len(held):
+                    forest = [np.asarray(t, dtype=float).reshape(-1, 5) for t in held["trees"].iloc[0]]
+                    scores, bound = isolation_scores(forest, x, sample), held["bound"].iloc[0]
+                else:
+                    forest, seen, size = self._grown(source)
+                    scores = isolation_scores(forest, np.concatenate((seen, x)), size)
+                    bound, scores = np.quantile(scores[:len(seen)], share), scores[len(seen):]
+                rows = rows[scores <= bound]
             return rows[names]
 
         return judge
@@ -100,16 +111,18 @@ class ForestStream:
         ends = known.groupBy(F.col(sym).alias("_s")).agg(F.max("_n").alias("_all"), F.max(F.when(~F.col("_new"), F.col("_n"))).alias("_old"))
         wanted = (known.withColumn("_v", F.explode(F.when(first <= last, F.sequence(first, last)))).join(ends, F.col(sym).eqNullSafe(F.col("_s")))
                   .where((F.col("_v") * every <= F.col("_all")) & (F.col("_v") * every > F.coalesce("_old", F.lit(0)))))
-        fitted = wanted.select(sym, "_n", "_v", *self.cols).groupBy(sym, "_v").applyInPandas(self._fit(), self.forest_schema)
-        self._write(fitted, "fitted", number)
-        forests = self._read("newest", number - 1, self.forest_schema, spark).unionByName(self._read("fitted", number, self.forest_schema, spark))
-
+        older = self._read("newest", number - 1, self.forest_schema, spark)
+        # a forest is fitted where it judges, and not written; only a symbol's newest one goes on to later batches
+        source = wanted.select(sym, "_v", "_n", *self.cols).unionByName(older, allowMissingColumns=True)
         judged = rows.withColumn("_v", F.floor((F.col("_n") - 1) / F.lit(every)).cast("long"))
-        kept = judged.groupBy(sym, "_v").cogroup(forests.groupBy(sym, "_v")).applyInPandas(self._judge(names), self.schema)
+        kept = judged.groupBy(sym, "_v").cogroup(source.groupBy(sym, "_v")).applyInPandas(self._judge(names), self.schema)
         self._write(kept, "rows", number)
 
         counts = ends.select("_s", "_all")
         self._write(known.join(counts, F.col(sym).eqNullSafe(F.col("_s"))).where(F.col("_n") > F.col("_all") - window).select(*self.tail_schema.names), "tail", number)
+        last = wanted.where(F.col("_v") == F.floor(F.col("_all") / F.lit(every))).select(sym, "_n", "_v", *self.cols)
+        self._write(last.groupBy(sym, "_v").applyInPandas(self._fit(), self.forest_schema), "fitted", number)
+        forests = older.unionByName(self._read("fitted", number, self.forest_schema, spark))
         newest = forests.groupBy(F.col(sym).alias("_s")).agg(F.max("_v").alias("_newest"))
         self._write(forests.join(newest, F.col(sym).eqNullSafe(F.col("_s")) & (F.col("_v") == F.col("_newest"))).select(*self.forest_schema.names), "newest", number)
 
