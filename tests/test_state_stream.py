@@ -118,3 +118,29 @@ def test_watchlist_names_and_choices(spark, tmp_path):
         watchlist(spark, folder, schema=schema, tickers=["SPY", "NONE"], tf="D")
     out = run_watchlist(spark, folder, tickers=["SPY", "BRK.B"], tf="D", schema=schema)
     assert out.where("SMA_10 IS NOT NULL").count() == 2 * 19
+
+
+def test_replay_files_are_in_time_order_and_hold_all_rows(spark):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "concat('s', id % 3) AS symbol", "timestamp_seconds(1700000000 + (id * 7919) % 4000) AS ts")
+    path = SJ.rows_in_order(rows, "replay-test")
+    got = spark.read.parquet(path).selectExpr("*", "_metadata.file_path AS file", "_metadata.file_modification_time AS at").where(f"symbol <> '{SJ.CLOSING}'").toPandas()
+    assert sorted(got["id"]) == list(range(4000))
+    files = [g["ts"] for _, g in got.groupby("file", sort=False)]
+    assert len(files) == 4 and all(ts.is_monotonic_increasing for ts in files)
+    times = got.groupby("file").agg(lo=("ts", "min"), hi=("ts", "max"), at=("at", "min")).sort_values("lo")
+    assert times["at"].is_monotonic_increasing and (times["lo"].iloc[1:].to_numpy() > times["hi"].iloc[:-1].to_numpy()).all()
+
+
+def test_whole_buffer_of_a_long_symbol(spark, tmp_path):
+    import pandas as pd
+    n, window = 25_000, 40  # several chunks, each left in several pieces
+    rows = spark.range(n).selectExpr("'A' AS symbol", "timestamp_seconds(id) AS ts", "CAST(id AS double) AS close", "IF(id % 97 = 5, CAST(id AS double), NULL) AS open")
+    rows.coalesce(1).write.parquet(str(tmp_path / "long"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "long"))
+    out = SJ.run_to_table(SJ.whole_buffer(stream, buffer_size=39, window=window), "whole-long")
+    assert out.count() == 39 + (n - 39) * window
+    last = out.where("number IN (39, 40, 10000, 10001, 25000)").orderBy("number", "ts").toPandas()
+    for number, g in last.groupby("number"):
+        ids = pd.Series(range(max(number - window, 0), number), dtype=float)
+        assert g["close"].tolist() == ids.tolist()
+        assert g["open"].fillna(-1).tolist() == ids.where(ids % 97 == 5).ffill().bfill().fillna(-1).tolist()

@@ -54,17 +54,18 @@ CLOSING = "__closing__"
 def rows_in_order(rows: DataFrame, name: str, symbol: str = "symbol", ts: str = "ts", parts: int = 4) -> str:
     """A replay of a table for tests of streams: ``parts`` files, one after another in time, and a row far ahead that
     lets the watermark release the last windows (its symbol is ``CLOSING``, its other columns are null).  Each file is
-    written by one task, so that it is one micro-batch.  Returns the folder, below the checkpoint folder."""
+    written by one task, in time order, so that it is one micro-batch.  Returns the folder, below the checkpoint folder."""
     spark = rows.sparkSession
     path = scratch_path(spark, name)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     cuts = rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 10_000).alias("c"), F.max(ts).alias("m")).first()
-    edges = [None, *(cuts["c"] or []), None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = rows
-        part = part if lo is None else part.where(at >= lo)
-        part = part if hi is None else part.where(at < hi)
-        part.coalesce(1).write.mode("append").parquet(path)
+    edges = cuts["c"] or []
+    number = sum([(at >= edge).cast("int") for edge in edges], F.lit(0))
+    dealt = scratch_path(spark, f"{name}-dealt")  # the table is read once, by all tasks; a part's task reads its own rows
+    rows.withColumn("_file", number).write.partitionBy("_file").parquet(dealt)
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_file", T.IntegerType())])).parquet(dealt)
+    for k in range(len(edges) + 1):
+        dealt.where(F.col("_file") == k).select(*rows.columns).coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
     fixed = {symbol: F.lit(CLOSING), ts: F.lit(cuts["m"]) + F.expr("INTERVAL 30 DAYS")}
     last = spark.range(1).select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     last.coalesce(1).write.mode("append").parquet(path)
@@ -215,35 +216,35 @@ def whole_buffer(records: DataFrame, buffer_size: int = 100, window: int = 252,
     cols = list(cols)
     out_schema = "symbol string, number long, ts timestamp, " + ", ".join(f"`{c}` double" for c in cols)
 
-    def filled(x: np.ndarray) -> np.ndarray:
-        for flip in (slice(None), slice(None, None, -1)):
-            x = x[flip]
-            last = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))[:, None]), axis=0)
-            x = np.where(last >= 0, np.take_along_axis(x, np.maximum(last, 0), axis=0), np.nan)[flip]
-        return x
+    step = max(200_000 // max(window, 1), 1)  # records whose buffers leave together
 
-    def frame(symbol, parts):
-        out = pd.DataFrame({"symbol": symbol, "number": np.concatenate([np.full(len(a), n) for n, a, _ in parts]), "ts": np.concatenate([a for _, a, _ in parts])})
-        return out.assign(**dict(zip(cols, np.concatenate([x for _, _, x in parts]).T)))
+    def filled(vals, back, ahead, rows, lo, hi):
+        # the last value that the buffer holds up to the row, else the first one behind it
+        source = np.where(back[rows] >= lo, back[rows], np.where(ahead[rows] < hi, ahead[rows], -1))
+        return np.where(source >= 0, vals[source], np.nan)
 
     def fn(key, pdfs, state: GroupState):
         n, at, vals = state.get if state.exists else (0, [], [])
         at, vals = np.array(pd.to_datetime(list(at)), dtype="datetime64[us]"), np.array(vals, dtype=float).reshape(-1, len(cols))
         for pdf in pdfs:
             pdf = pdf.sort_values("ts")
+            held = len(at)
             at = np.concatenate((at, pdf["ts"].to_numpy(dtype="datetime64[us]")))
             vals = np.concatenate((vals, pdf[cols].to_numpy(dtype=float)))
-            parts = []
-            for end in range(len(at) - len(pdf) + 1, len(at) + 1):
-                n += 1
-                begin = max(end - window, 0)
-                if end - begin >= buffer_size:
-                    parts.append((n, at[begin:end], filled(vals[begin:end])))
-                if len(parts) == 200:
-                    yield frame(key[0], parts)
-                    parts = []
-            if parts:
-                yield frame(key[0], parts)
+            place = np.arange(len(at))[:, None]
+            back = np.maximum.accumulate(np.where(np.isnan(vals), -1, place), axis=0)
+            ahead = np.minimum.accumulate(np.where(np.isnan(vals), len(at), place)[::-1], axis=0)[::-1]
+            for start in range(held + 1, len(at) + 1, step):
+                ends = np.arange(start, min(start + step, len(at) + 1))
+                size = np.minimum(ends, window)
+                ends, size = ends[size >= buffer_size], size[size >= buffer_size]
+                if not len(ends):
+                    continue
+                lo, hi = np.repeat(ends - size, size), np.repeat(ends, size)
+                rows = lo + np.arange(len(lo)) - np.repeat(np.cumsum(size) - size, size)
+                out = pd.DataFrame({"symbol": key[0], "number": n + hi - held, "ts": at[rows]})
+                yield out.assign(**{c: filled(vals[:, k], back[:, k], ahead[:, k], rows, lo, hi) for k, c in enumerate(cols)})
+            n += len(pdf)
             at, vals = at[-window:], vals[-window:]
         state.update((n, [t.to_pydatetime() for t in pd.DatetimeIndex(at)], vals.ravel().tolist()))
 
