@@ -144,3 +144,25 @@ def test_whole_buffer_of_a_long_symbol(spark, tmp_path):
         ids = pd.Series(range(max(number - window, 0), number), dtype=float)
         assert g["close"].tolist() == ids.tolist()
         assert g["open"].fillna(-1).tolist() == ids.where(ids % 97 == 5).ffill().bfill().fillna(-1).tolist()
+
+
+def test_ticker_files_are_written_under_their_names(spark):
+    import os
+
+    from ticklake.queries import _ticker_files
+    from ticklake.sources.loaders import watchlist
+    n = 4 * spark.sparkContext.defaultParallelism + 20
+    bars = spark.range(n * 30).selectExpr(f"concat('s.', id % {n}) AS symbol", "timestamp_seconds(id) AS ts", "IF(id % 7 = 0, NULL, id / 3) AS close")
+    folder = _ticker_files(spark, bars, "W")
+    local = folder.removeprefix("file://")
+    assert sorted(f for f in os.listdir(local) if not f.startswith(".")) == sorted(f"S.{i}_W.csv" for i in range(n))
+    assert not os.path.exists(f"{os.path.dirname(local)}/parts")
+    sc = spark.sparkContext
+    sc.setJobGroup("watchlist-test", "listing")
+    held = watchlist(spark, folder, tickers=[f"s.{i}" for i in range(n)], tf="W", schema="symbol string, ts timestamp, close double")
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("watchlist-test") for s in track.getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max((s.numTasks for s in stages if s), default=0) <= 4 * sc.defaultParallelism
+    key = lambda df: sorted(map(str, df.selectExpr("lower(symbol) AS symbol", "ts", "close").collect()))
+    assert key(held) == key(bars)

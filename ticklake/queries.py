@@ -2437,9 +2437,53 @@ ORACLE["stream_forest_ticks"] = (
 
 # ---------------------------------------------------------------- watchlist, whole buffer
 def _ticker_files(spark, bars, tf):
-    """One CSV file per symbol, named after symbol and time frame."""
+    """One CSV file per symbol, named after symbol and time frame.
+
+    Every task writes the files of its symbols straight under their names.  In a store that only Spark opens, Spark's
+    own writer makes them, and they get their names one after another.
+    """
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs as stores
+
     from ticklake.session import scratch_path
     root = scratch_path(spark, "watchlist")
+    try:
+        stores.FileSystem.from_uri(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return _renamed_files(spark, bars, tf, root)
+    head = ",".join(bars.columns) + "\n"
+
+    def write(batches):
+        store, folder = stores.FileSystem.from_uri(root)
+        store.create_dir(f"{folder}/files", recursive=True)
+        out, ticker, own = None, None, f"{folder}/files/.{uuid.uuid4().hex}"
+
+        def done():
+            out.close()
+            store.move(own, f"{folder}/files/{ticker}_{tf}.csv")
+
+        for b in batches:
+            names, lines = b.column("ticker").to_pylist(), b.column("line").to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i < j and (out is None or names[i] != ticker):
+                    if out is not None:
+                        done()
+                    ticker, out = names[i], store.open_output_stream(own)
+                    out.write(head.encode())
+                out.write("".join(f"{x}\n" for x in lines[i:j]).encode())
+            yield pa.record_batch([pa.array([len(names)], pa.int64())], names=["lines"])
+        if out is not None:
+            done()
+
+    lines = bars.select(F.upper("symbol").alias("ticker"), F.to_csv(F.struct(*bars.columns)).alias("line"))
+    lines.repartition("ticker").sortWithinPartitions("ticker").mapInArrow(write, "lines long").agg(F.sum("lines")).first()
+    return f"{root}/files"
+
+
+def _renamed_files(spark, bars, tf, root):
     path = spark._jvm.org.apache.hadoop.fs.Path
     bars.withColumn("ticker", F.upper("symbol")).repartition("ticker").write.partitionBy("ticker").option("header", True).csv(f"{root}/parts")
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())

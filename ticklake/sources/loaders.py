@@ -197,10 +197,16 @@ def watchlist(spark: SparkSession, path: str, fmt: str = "csv", schema=None, tic
         if not wanted:
             raise ValueError("no tickers")
         escaped = ["".join(f"\\{c}" if c in "*?[]{}\\" else c for c in t) for t in wanted]
+        # Spark lists each path in a task of its own, up to 10,000: a few tasks for each core do the same
+        conf, key = spark.conf, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+        tasks = conf.get(key)
+        conf.set(key, str(min(int(tasks), 4 * spark.sparkContext.defaultParallelism)))
         try:  # a path without a file is an error that names it
             df = reader.load([f"{path.rstrip('/')}/{t}{'' if tf is None else '_' + tf.upper()}.{fmt}" for t in escaped])
         except AnalysisException as e:
             raise DataFetchError(f"tickers without a file under {path}: {e}") from e
+        finally:
+            conf.set(key, tasks)
     file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # a URI's part: a plus is a plus
     name = F.regexp_extract(file, r"^(.+?)(?:_([^_.]*))?\.[^.]+?(?:\.(?:gz|bz2|zst))?$", 1)
     return df.select(*[c for c in df.columns if c not in {"symbol", *(drop or [])}], name.alias("symbol"))
