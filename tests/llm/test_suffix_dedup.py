@@ -92,3 +92,14 @@ def test_columns_are_carried_and_unlike_texts_of_one_id_share_nothing(spark):
     got = {r["tag"]: (r["doc_id"], r["kept_text"]) for r in remove_repeats(
         spark.createDataFrame(rows, "doc_id long, text string, tag string"), keep=["tag"], by_content=True).collect()}
     assert got == {"x": (1, ""), "y": (1, b), "z": (2, ""), "u": (None, c)}
+
+
+def test_no_task_runs_two_python_processes_in_a_row(spark):
+    import re
+
+    from ticklake.llm.suffix_dedup import _dealt_out
+    rows = spark.createDataFrame([], "key long, doc_id long, text string, want array<struct<gram: long, around: long, whole: boolean>>")
+    plan = _dealt_out(rows, 200)._jdf.queryExecution().optimizedPlan().toString()
+    names = [re.search(r"\w+", line).group() for line in plan.splitlines() if re.search(r"\w", line)]
+    names = [n for n in names if n not in ("Project", "Filter")]
+    assert "MapInArrow" in names and ("MapInArrow", "MapInArrow") not in list(zip(names, names[1:]))

@@ -254,8 +254,11 @@ def _listed(src: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
     return src.withColumn("bit", _bit(F.col("key"))).mapInArrow(run, src.schema)
 
 
-def _contexts(asked: DataFrame, width: int) -> DataFrame:
-    """Bytes left and right of the anchors that ``want`` lists: ``key, gram, around, whole, left, bytes``."""
+def _contexts(asked: DataFrame, width: int, then=None, schema: str = "key long, gram long, around long, whole boolean, left short, bytes binary") -> DataFrame:
+    """Bytes left and right of the anchors that ``want`` lists: ``key, gram, around, whole, left, bytes``.
+
+    ``then`` goes on with these batches in the same process and gives rows of ``schema``.
+    """
     w = width - GRAM + 1
 
     def run(batches):
@@ -300,8 +303,7 @@ def _contexts(asked: DataFrame, width: int) -> DataFrame:
                      pa.array(left.astype(np.int16)), raw], names=["key", "gram", "around", "whole", "left", "bytes"])
 
     # the other columns are not used: with them, this and the final pass read the same shuffle of the texts
-    return asked.mapInArrow(
-        run, "key long, gram long, around long, whole boolean, left short, bytes binary")
+    return asked.mapInArrow(run if then is None else lambda batches: then(run(batches)), schema)
 
 
 def _window_hashes(left: np.ndarray, raw: pa.Array, w: int):
@@ -350,23 +352,21 @@ def _last_digit(ctx: DataFrame, width: int) -> DataFrame:
         once = np.flatnonzero(_new(gram, around))  # rows of one doc_id may have sent the same bytes twice
         t, gram, around, key = t.take(pa.array(once)), gram[once], around[once], key[once]
         left, raw = t.column("left").to_numpy(), t.column("bytes")
-        keys, inside = [], []
+        hashes, ok = np.empty((w, len(gram)), np.uint64), np.empty((w, len(gram)), bool)
         for i in range(0, len(gram), 512):  # hashed a few rows at a time: the prefix sums are the largest arrays
-            h, ok = _window_hashes(left[i:i + 512], raw.slice(i, 512), w)
+            h, inside = _window_hashes(left[i:i + 512], raw.slice(i, 512), w)
             h += gram[i:i + 512].view(np.uint64)[:, None] + np.arange(w, dtype=np.uint64)[None, :] * _STEP
-            keys.append(mix64(h[ok]))
-            inside.append(ok)
-        s, ok = np.concatenate(keys), np.concatenate(inside)
-        del keys, inside
-        order = np.argsort(s)
-        s = s[order]
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        same[:-1] |= same[1:].copy()
-        hit = np.zeros(len(s), bool)
-        hit[order] = same
-        cover = np.zeros(ok.shape, bool)
-        cover[ok] = hit
+            hashes[:, i:i + 512], ok[:, i:i + 512] = mix64(h).T, inside.T
+        cover = np.zeros((len(gram), w), bool)
+        for o in range(w):  # ordered one offset at a time: only windows of one offset can be equal
+            at = np.flatnonzero(ok[o])
+            s = hashes[o, at]
+            order = np.argsort(s)
+            s = s[order]
+            same = np.zeros(len(s), bool)
+            same[1:] = s[1:] == s[:-1]
+            same[:-1] |= same[1:].copy()
+            cover[at[order[same]], o] = True
         cover[t.column("whole").to_numpy(zero_copy_only=False)] = False  # settled by digit 2
         return _covers(key, around, cover)
 
@@ -388,7 +388,7 @@ def _last_digit(ctx: DataFrame, width: int) -> DataFrame:
     return ctx.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(run, "key long, around long, cover binary")
 
 
-def _dealt_out(ctx: DataFrame, width: int) -> DataFrame:
+def _dealt_out(asked: DataFrame, width: int) -> DataFrame:
     """The same for heavy grams: every window is dealt out by its content."""
     w = width - GRAM + 1
 
@@ -410,7 +410,8 @@ def _dealt_out(ctx: DataFrame, width: int) -> DataFrame:
         cover[0, t.column("o").to_numpy()] = True
         return pa.Table.from_batches([_covers(t.column("key")[:1].to_numpy(), t.column("around")[:1].to_numpy(), cover)])
 
-    each = ctx.mapInArrow(spread, "content long, key long, around long, o short, whole boolean")
+    # (bytes found and dealt out by one Python process: two in a row would each hold its own memory)
+    each = _contexts(asked, width, spread, "content long, key long, around long, o short, whole boolean")
     # one surrounding may come from two documents here: a heavy gram's rows and other tasks' rows do not meet before
     twice = each.groupBy("content").agg(
         F.min("around").alias("a"), F.max("around").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where(
@@ -504,8 +505,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = True, ke
     # (both digit-3 ways and the final pass read one shuffle of the texts)
     asks = lambda way: hit.where((F.col("way") == way) & F.col("sends")).groupBy("key").agg(
         F.collect_list(F.struct("gram", "around", (F.col("kind") == WHOLE).alias("whole"))).alias("want"))
-    context = lambda way: _contexts(moved.join(asks(way), "key"), width)
-    covers = _last_digit(context(FEW), width).union(_dealt_out(context(MANY), width))
+    asked = lambda way: moved.join(asks(way), "key")
+    covers = _last_digit(_contexts(asked(FEW), width), width).union(_dealt_out(asked(MANY), width))
     settled = hit.where(F.col("kind").isin(WHOLE, COPY)).select("key", "around", "kind", F.lit(None).cast("binary").alias("cover")).union(
         covers.select("key", "around", F.lit(FEW).cast("byte").alias("kind"), "cover"))
     want = settled.groupBy("key").agg(F.collect_list(F.struct("around", "kind", "cover")).alias("want"))
